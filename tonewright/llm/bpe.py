@@ -51,21 +51,22 @@ class PairIndexBpe:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
+        end = spec["model"].get("end_of_word_suffix") or ""
         alphabet = byte_alphabet()
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.bytes_of = [b""] * (1 + max([*vocab.values(), *self.special.values()]))
         for token, i in vocab.items():
-            self.bytes_of[i] = bytes(alphabet[c] for c in token)
+            self.bytes_of[i] = bytes(alphabet[c] for c in (token.removesuffix(end) if end else token))
         for token, i in self.special.items():
             self.bytes_of[i] = token.encode()
-        self.of_byte = np.empty(256, np.int64)
+        self.of_byte, self.of_last_byte = np.empty(256, np.int64), np.empty(256, np.int64)
         for c, b in alphabet.items():
-            self.of_byte[b] = vocab[c]
+            self.of_byte[b], self.of_last_byte[b] = vocab[c], vocab[c + end]
         pairs = [m if isinstance(m, list) else m.split(" ") for m in merges]
         self.left = np.array([vocab[a] for a, _ in pairs], np.int64)
         self.right = np.array([vocab[b] for _, b in pairs], np.int64)
-        self.made = np.array([vocab[a + b] for a, b in pairs], np.int64)
+        self.made = np.array([vocab[a.removesuffix(end) + b if end else a + b] for a, b in pairs], np.int64)
         keys = self.left << 32 | self.right
         self.by_key = np.argsort(keys, kind="stable")
         self.keys = keys[self.by_key]
@@ -83,6 +84,7 @@ class PairIndexBpe:
         flat = np.frombuffer(b"\0".join(words) + b"\0", np.uint8)
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
         sym = self.of_byte[flat]
+        sym[ends - 1] = self.of_last_byte[flat[ends - 1]]
         sym[ends] = -1  # a wall behind each word
         n = len(sym)
         after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
