@@ -12,6 +12,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: For bytes.translate: ASCII letters lower-cased, other ASCII characters but digits made blank, the rest as it is.
+WORD_BYTES = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 32 for b in range(256))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Keep the cluster's spark.checkpoint.dir; set one only where none is set, as in tests."""
     sc = spark.sparkContext
@@ -50,6 +54,12 @@ def texts_of(batch: pa.RecordBatch, text: str) -> list[str]:
     return [x or "" for x in batch.column(batch.schema.get_field_index(text)).to_pylist()]
 
 
+def byte_texts(batch: pa.RecordBatch, text: str) -> list[bytes]:
+    """The text column as UTF-8; null counts as empty."""
+    column = batch.column(batch.schema.get_field_index(text)).cast(pa.large_string()).cast(pa.large_binary())
+    return [x or b"" for x in column.to_pylist()]
+
+
 @contextlib.contextmanager
 def no_cycles() -> Iterator[None]:
     """Pause Python's cycle collector while many small objects are made."""

@@ -31,13 +31,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import WORD_BYTES, byte_texts, slices
 
 SLOT_BITS = 20
 #: Bytes of a word's beginning that count as a term of their own, for inflected forms.
 STEM = 6
-#: Maps bytes to what the term splitter sees: word bytes lower-cased, all others blank.
-WORD_BYTES = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 32 for b in range(256))
 
 
 def term_slots(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -52,11 +50,6 @@ def term_slots(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return slots & ((1 << SLOT_BITS) - 1), sizes
 
 
-def byte_texts(batch: pa.RecordBatch, text: str) -> list[bytes]:
-    column = batch.column(batch.schema.get_field_index(text)).cast(pa.large_string()).cast(pa.large_binary())
-    return [x or b"" for x in column.to_pylist()]
-
-
 def row_sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Sums of consecutive runs of rows; runs may be empty."""
     out = np.zeros((len(sizes), *values.shape[1:]))
