@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 #: For bytes.translate: ASCII letters lower-cased, other ASCII characters but digits made blank, the rest as it is.
@@ -41,9 +42,8 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 8 << 20) -
         if batch.num_rows == 0:
             continue
         column = batch.column(batch.schema.get_field_index(text))
-        sizes = column.cast(pa.large_string()).cast(pa.large_binary())
-        lengths = pc.fill_null(pc.binary_length(sizes), 0).to_numpy(zero_copy_only=False)
-        block = np.cumsum(lengths) // limit
+        lengths = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        block = np.cumsum(lengths, dtype=np.int64) // limit
         starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
         for a, b in zip(starts, np.r_[starts[1:], batch.num_rows], strict=True):
             yield batch.slice(int(a), int(b - a))
@@ -60,6 +60,35 @@ def byte_texts(batch: pa.RecordBatch, text: str) -> list[bytes]:
     return [x or b"" for x in column.to_pylist()]
 
 
+#: Bits of the map that tells a pass over the texts which rows are wanted; where it is full, more rows pass than needed.
+MARK_BITS = 23
+
+
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen = np.zeros(1 << (MARK_BITS - 3), np.uint8)
+    for b in batches:
+        mark = np.asarray(b.column(0)) & ((1 << MARK_BITS) - 1)
+        np.bitwise_or.at(seen, mark >> 3, (1 << (mark & 7)).astype(np.uint8))
+    at = np.flatnonzero(seen)
+    if len(at):
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(seen[at].astype(np.int32))], names=["cell", "bits"])
+
+
+def marks(hashes: DataFrame) -> np.ndarray:
+    """A map of fixed size of the values in a one-column frame of 64-bit hashes; marked() asks it."""
+    cells = hashes.mapInArrow(_marks, "cell int, bits int").groupBy("cell").agg(F.bit_or("bits").alias("bits"))
+    got = cells.toArrow()  # at most 2 ** (MARK_BITS - 3) short rows, whatever the input
+    out = np.zeros(1 << (MARK_BITS - 3), np.uint8)
+    out[np.asarray(got["cell"])] = np.asarray(got["bits"])
+    return out
+
+
+def marked(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes may be in the map: all that are, and some others."""
+    mark = hashes & ((1 << MARK_BITS) - 1)
+    return (table[mark >> 3] >> (mark & 7) & 1).astype(bool)
+
+
 @contextlib.contextmanager
 def no_cycles() -> Iterator[None]:
     """Pause Python's cycle collector while many small objects are made."""

@@ -36,15 +36,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_texts, checkpointed, slices
+from .common import byte_texts, checkpointed, marked, marks, slices
 from .graph import components
 
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 SKETCH_BITS = 19
 SKETCH_ROWS = 2
 CHUNK = 1 << 14
-#: Bits of the map that tells a pass over the texts which sets are wanted; where it is full, more sets are fetched than needed.
-WANTED_BITS = 23
 
 
 def tokens_of(text: bytes, size: int) -> np.ndarray:
@@ -143,8 +141,7 @@ def _postings(batches: Iterator[pa.RecordBatch], size: int, percent: int, sketch
 def _sets(batches: Iterator[pa.RecordBatch], size: int, percent: int, sketch, wanted) -> Iterator[pa.RecordBatch]:
     """Whole sets, and prefixes under the other orders, of the documents whose hash is marked."""
     for b in batches:
-        mark = np.asarray(b.column(1)) & ((1 << WANTED_BITS) - 1)
-        kept = np.flatnonzero(wanted.value[mark >> 3] >> (mark & 7) & 1)
+        kept = np.flatnonzero(marked(wanted.value, np.asarray(b.column(1))))
         for part in slices(iter([b.take(pa.array(kept))]), "_text"):
             sets = [x for x in (tokens_of(t, size) for t in byte_texts(part, "_text")) if len(x)]
             if sets:
@@ -152,16 +149,6 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int, percent: int, sketch, wa
                 yield pa.RecordBatch.from_arrays([pa.array(map(identity, sets), pa.int64()), *[pa.array(x, pa.list_(pa.int64())) for x in columns]], names=["f", "p1", "p2", "tokens"])
 
 
-def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen = np.zeros(1 << (WANTED_BITS - 3), np.uint8)
-    for b in batches:
-        mark = np.asarray(b.column(0)) & ((1 << WANTED_BITS) - 1)
-        np.bitwise_or.at(seen, mark >> 3, (1 << (mark & 7)).astype(np.uint8))
-    at = np.flatnonzero(seen)
-    if len(at):
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(seen[at].astype(np.int32))], names=["cell", "bits"])
-
-
 def possible(na: Column, nb: Column, ia: Column, ib: Column, percent: int) -> Column:
     """Whether sets of these lengths that first meet at these places can be similar enough."""
     rest = F.least(na - ia, nb - ib)
@@ -193,13 +180,9 @@ class NgramJoin:
     def fetch(self, names: DataFrame) -> DataFrame:
         """(f, p1, p2, tokens) of at least the named sets, each once."""
         ids = names.join(self.nodes, "f").select(F.xxhash64("rep").alias("h"))
-        wanted = np.zeros(1 << (WANTED_BITS - 3), np.uint8)
-        cell = ids.mapInArrow(_marks, "cell int, bits int").groupBy("cell").agg(F.bit_or("bits").alias("bits"))
-        got = cell.toArrow()  # at most 2 ** (WANTED_BITS - 3) short rows
-        wanted[np.asarray(got["cell"])] = np.asarray(got["bits"])
-        marked = self.docs.select("_id", F.xxhash64("_id").alias("h"), "_text").select("_id", "h", "_text")
-        run = partial(_sets, size=self.size, percent=self.percent, sketch=self.sketch, wanted=self.spark.sparkContext.broadcast(wanted))
-        return marked.mapInArrow(run, "f long, p1 array<long>, p2 array<long>, tokens array<long>").dropDuplicates(["f"])
+        docs = self.docs.select("_id", F.xxhash64("_id").alias("h"), "_text")
+        run = partial(_sets, size=self.size, percent=self.percent, sketch=self.sketch, wanted=self.spark.sparkContext.broadcast(marks(ids)))
+        return docs.mapInArrow(run, "f long, p1 array<long>, p2 array<long>, tokens array<long>").dropDuplicates(["f"])
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Of candidate pairs (a, b), those that pass the other orders' filters and are similar enough."""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, ngram_join, token_count, toxicity
+from . import bpe, decontaminate, exact_dedup, ngram_join, suffix_dedup, token_count, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,6 +57,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(_table(spark, sf_dir, "documents"))
+
+
 def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     out = bpe.encode_decode(docs)
@@ -74,6 +78,7 @@ QUERIES: dict[str, Query] = {
     "op4_exact_dedup": op4_exact_dedup,
     "op6_toxicity": op6_toxicity,
     "op8_decontamination": op8_decontamination,
+    "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_bpe_round_trip": op10_bpe_round_trip,
 }
 
