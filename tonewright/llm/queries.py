@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, ngram_join, suffix_dedup, token_count, toxicity
+from . import bpe, ctw, decontaminate, exact_dedup, ngram_join, suffix_dedup, token_count, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,6 +44,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = ctw.score(_table(spark, sf_dir, "documents"))
+    return scored.select("doc_id", ctw.held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find(docs, _table(spark, sf_dir, "benchmark"))
@@ -77,6 +82,7 @@ QUERIES: dict[str, Query] = {
     "op3_token_counts": op3_token_counts,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_toxicity": op6_toxicity,
+    "op7_language_model": op7_language_model,
     "op8_decontamination": op8_decontamination,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_bpe_round_trip": op10_bpe_round_trip,
