@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ctw, decontaminate, exact_dedup, ngram_join, suffix_dedup, token_count, toxicity
+from . import bpe, ctw, decontaminate, exact_dedup, ngram_join, pii, suffix_dedup, token_count, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,6 +37,11 @@ WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.replace(docs, key="documents")
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
@@ -81,6 +86,7 @@ QUERIES: dict[str, Query] = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_token_counts": op3_token_counts,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_pii_surrogates": op5_pii_surrogates,
     "op6_toxicity": op6_toxicity,
     "op7_language_model": op7_language_model,
     "op8_decontamination": op8_decontamination,
