@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import gc
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +37,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stage_folder(spark: SparkSession) -> str:
+    """A folder of its own for written tables, inside the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/tables-{uuid.uuid4().hex}"
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each holds about `limit` bytes of the text column, or one row."""
     for batch in batches:
