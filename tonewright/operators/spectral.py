@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +25,11 @@ def power(samples: str) -> Column:
     return F.transform(samples, lambda v: v.cast("double") * v.cast("double"))
 
 
+def _inside(low: float, high: float | None) -> Callable[[Column, Column], Column]:
+    """Power of a bin in [low, high), 0 elsewhere."""
+    return lambda f, p: F.when((f >= low) & ((f < high) if high is not None else F.lit(True)), p).otherwise(0.0)
+
+
 def level_features(df: DataFrame, samples: str) -> DataFrame:
     """rms, peak and zero-crossing rate of each row's samples."""
     x = F.transform(samples, lambda v: v.cast("double"))
@@ -48,8 +55,7 @@ def spectral_features(df: DataFrame, magnitudes: str, size: int, rate: float) ->
     logs = total(F.transform("_p", lambda p: F.log(p + EPS))) / size
     out = {"bandwidth": F.sqrt(spread / F.col("_sum")), "rolloff": F.try_element_at("_f", F.when(at >= 0, at + 1).otherwise(size)), "flatness": F.exp(logs) / (F.col("_sum") / size + EPS)}
     for name, low, high in COARSE_BANDS:
-        inside = F.filter(F.arrays_zip("_f", "_p"), lambda z, low=low, high=high: (z["_f"] >= low) & ((z["_f"] < high) if high is not None else F.lit(True)))
-        out[name] = F.aggregate(inside, F.lit(0.0), lambda a, z: a + z["_p"]) / F.col("_sum")
+        out[name] = total(F.zip_with("_f", "_p", _inside(low, high))) / F.col("_sum")
     return df.withColumns(out).drop("_p", "_f", "_sum")
 
 
