@@ -62,7 +62,7 @@ SQL = {
           CASE WHEN sqrt(sum(l * l) * sum(r * r)) > 1e-12 THEN sum(l * r) / sqrt(sum(l * l) * sum(r * r)) ELSE 0 END AS phase FROM pair GROUP BY vec_id)""",
     "fl": """fl AS (SELECT vec_id, sqrt(sum(CASE WHEN b IS NULL THEN 0 ELSE greatest(a - b, 0) * greatest(a - b, 0) END) / 64) AS flux FROM (
         SELECT vec_id, abs(v) AS a, lag(abs(v)) OVER (PARTITION BY track, k ORDER BY frame_idx) AS b FROM s) GROUP BY vec_id)""",
-    "feat": "feat AS (SELECT level.*, level.frame_idx * 0.1 AS t, shape.* EXCLUDE (vec_id), ms.* EXCLUDE (vec_id), flux FROM level JOIN shape USING (vec_id) JOIN ms USING (vec_id) JOIN fl USING (vec_id))",
+    "feat": "feat AS (SELECT level.*, CAST(level.frame_idx AS DOUBLE) * 0.1 AS t, shape.* EXCLUDE (vec_id), ms.* EXCLUDE (vec_id), flux FROM level JOIN shape USING (vec_id) JOIN ms USING (vec_id) JOIN fl USING (vec_id))",
 }
 
 

@@ -66,7 +66,7 @@ def j05_best_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {IV}, g AS (SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY cust ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 7 THEN 0 ELSE 1 END AS apart FROM iv),
-    p AS (SELECT *, sum(apart) OVER (PARTITION BY cust ORDER BY a, b) AS part FROM g) SELECT cust, part, min(a) AS a, max(b) AS b, count(*) AS n FROM p GROUP BY cust, part""")
+    p AS (SELECT *, sum(apart) OVER (PARTITION BY cust ORDER BY a, b) AS part FROM g) SELECT cust, CAST(part AS BIGINT) AS part, min(a) AS a, max(b) AS b, count(*) AS n FROM p GROUP BY ALL""")
 def w15_merged_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W-15: a customer's orders merged where they lie within seven days."""
     return windows.merged_intervals(_intervals(spark, sf_dir), "cust", "a", "b", 7.0)

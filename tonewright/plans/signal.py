@@ -92,7 +92,7 @@ def a15_unrounded(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(B.with_sql("ser", """, q AS (SELECT track, greatest(avg(onset), quantile_cont(onset, 0.7)) AS least, max(t) AS last FROM ser GROUP BY track),
     f AS (SELECT ser.track, min(t) FILTER (onset >= least AND t <= least_t) AS first_beat, any_value(last) AS last FROM ser JOIN (SELECT *, least(last, 1.0) AS least_t FROM q) USING (track) GROUP BY ser.track),
     b AS (SELECT track, coalesce(first_beat, 0) AS first_beat, last, unnest(range(0, CAST(floor((last - coalesce(first_beat, 0)) / 0.5 + 1e-9) AS BIGINT) + 1)) AS i FROM f)
-    SELECT track, CAST(i AS INTEGER) AS beat, round(first_beat + i * 0.5, 6) AS t, i % 4 = 0 AS is_bar FROM b"""))
+    SELECT track, CAST(i AS INTEGER) AS beat, round(CAST(first_beat + i * 0.5 AS DOUBLE), 6) AS t, i % 4 = 0 AS is_bar FROM b"""))
 def a19_beat_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A-18, A-19: first strong onset within a second, and the grid of beats at 120 a minute from it; every fourth opens a bar."""
     df = B.series(spark, sf_dir).select("track", "t", "onset")
@@ -162,7 +162,7 @@ def g08_stream_support(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(B.with_sql("seg", f""", x AS ({scorers.SPACE_SQL.format(source="seg")}), b AS (SELECT track, segment, CASE WHEN pressure >= 0.78 THEN 'dominant' WHEN pressure >= 0.58 THEN 'pronounced' WHEN pressure >= 0.38 THEN 'moderate' WHEN pressure >= 0.18 THEN 'restrained' ELSE 'reduced' END AS band FROM x),
     c AS (SELECT *, sum(ch) OVER (PARTITION BY track ORDER BY segment) AS run FROM (SELECT *, CASE WHEN lag(band) OVER (PARTITION BY track ORDER BY segment) IS NOT DISTINCT FROM band THEN 0 ELSE 1 END AS ch FROM b))
-    SELECT track, run, band, min(segment) AS first, max(segment) AS last, count(*) AS n FROM c GROUP BY track, run, band"""))
+    SELECT track, CAST(run AS BIGINT) AS run, band, min(segment) AS first, max(segment) AS last, count(*) AS n FROM c GROUP BY ALL"""))
 def w06_run_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W-06: runs of segments with the same pressure band."""
     df = scorers.space(B.segments(spark, sf_dir)).withColumn("band", S.band(F.col("pressure"), S.SUPPORT_BANDS))
