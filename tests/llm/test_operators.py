@@ -1,0 +1,386 @@
+"""Each operator against brute force, a library or SQL, and on empty, null, odd and repeated rows."""
+
+from __future__ import annotations
+
+import collections
+import hashlib
+import math
+import random
+import re
+from zlib import crc32
+
+import pytest
+from pyspark.sql import functions as F
+
+from tonewright.llm import bpe, ctw, decontaminate, exact_dedup, html_text, ngram_join, pii, queries, suffix_dedup, token_count, toxicity
+
+SCHEMA = "doc_id long, text string, _id int, _text string, spans string, score string, n_words string, h int"
+ODD = ["", None, " \t\n ", "a", "word", "x " * 3000, "ÀÉß 日本語 🎉 \x00\x1c end", "it's 12.5% <|endoftext|> don't!", "same text here now", "same text here now", "'re 'x 're' 　　 y z"]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    rows = [(i, t, i, "clash", "clash", "clash", "clash", 7) for i, t in enumerate(ODD)]
+    rows += [(None, "no id", 0, "", "", "", "", 0), (3, "a", 0, "", "", "", "", 0)]
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def docs(spark, small):
+    return spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+
+
+def low(text: str | None) -> str:
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+
+
+def test_registry():
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 11)}
+
+
+# 1 HTML extraction
+
+
+def test_html_layout():
+    page = """<title>t</title><p>one<p>two <b>bold</b>text<ul><li>a<li>b<ol start=3><li>x</ol></ul><table><tr><th>Name<th>Qty<tr><td>apple<td>12<tr><td colspan=2>日本</table>
+    <pre>
+ a
+   b</pre><div hidden>no</div><i style="display: none">no</i><details><summary>S</summary>no</details>x &amp; y<br>z<script>no</script><!-- no -->"""
+    assert html_text.visible_text(page).split("\n") == ["one", "", "two boldtext", "", "- a", "- b", "  3. x", "", "Name   Qty", "apple  12", "日本", "", "", " a", "   b", "", "S", "x & y", "z"]
+
+
+@pytest.mark.parametrize("page", [None, "", "<", "<a", "</", "<!--", "<div" * 500, "<div>" * 5000 + "deep", "<table>" * 200 + "x", "<td>x</td>", "a</p>b", "<script>x", "&#xFFFFFFF;", "<ol start=99999999999><li>x"])
+def test_html_never_fails(page):
+    assert "no such" not in html_text.visible_text(page)
+
+
+def test_html_query(spark, small):
+    out = queries.op1_html_text(spark, small)
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{small}/pages.parquet").collect()}
+    rows = out.collect()
+    assert len(rows) == len(pages)
+    for r in rows:
+        shown = re.sub(r"(?s)<(head)>.*?</\1>|<!--.*?-->|<[^>]*>", " ", re.sub(r"(?s)<head>.*?</head>", "", pages[r["page_id"]]))
+        import html
+
+        assert "".join(html.unescape(shown).split()) == "".join(re.sub(r"(?m)^- ", "", r["text"]).split())
+
+
+# 2 n-gram Jaccard join
+
+
+def brute_groups(texts: dict, size: int, percent: int) -> dict:
+    sets = {}
+    for d, t in texts.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", low(t))
+        sets[d] = frozenset(tuple(w[i : i + size]) for i in range(len(w) - size + 1)) if len(w) >= size else frozenset([tuple(w)] if w else [])
+    group = {d: d for d in sets}
+
+    def root(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            met = len(sets[a] & sets[b])
+            if met and 100 * met >= percent * (len(sets[a]) + len(sets[b]) - met):
+                x, y = sorted((root(a), root(b)))
+                group[y] = x
+    return {d: (len(sets[d]), root(d)) for d in sets}
+
+
+def variants(n: int) -> dict:
+    """A large group of near copies around one text, some pairs of which are linked only through others."""
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(200)}" for _ in range(80)]
+    out = {}
+    for d in range(n):
+        words = list(base)
+        for _ in range(rng.randrange(8)):
+            words[rng.randrange(len(words))] = f"z{rng.randrange(10**6)}"
+        out[d] = " ".join(words) if d % 9 else " ".join(base)
+    return out
+
+
+@pytest.mark.parametrize(("size", "percent"), [(3, 90), (5, 80)])
+def test_ngram_join_by_brute_force(spark, docs, size, percent):
+    texts = {r[0]: r[1] for r in docs.collect()} | {10**6 + d: t for d, t in variants(150).items()}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = {r[0]: (r[1], r[2]) for r in ngram_join.groups(df, size=size, percent=percent).collect()}
+    assert got == brute_groups(texts, size, percent)
+
+
+def test_ngram_join_odd_rows(odd, empty):
+    got = ngram_join.groups(odd, size=3, percent=90).collect()
+    assert len(got) == len(ODD) + 2
+    by_id = {r["doc_id"]: r for r in got}
+    assert by_id[9]["component_id"] == 8 and by_id[0]["n_shingles"] == 0 and by_id[1]["component_id"] == 1 and by_id[None]["n_shingles"] == 1
+    assert ngram_join.groups(empty).count() == 0
+    assert ngram_join.one_of_each(odd).columns == odd.columns
+
+
+# 3 token counts
+
+
+def test_token_counts_as_the_library(spark, odd, empty, docs):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(bpe.vocabulary_path("word_bpe_49k.json"))
+    rng = random.Random(5)
+    parts = [*"abc  '''\n\tstrevmld1é<|>!Σ", "<|endoftext|>", "<|startoftext|>", "ll", "re", "日", "'re"]
+    fuzz = ["".join(rng.choice(parts) for _ in range(rng.randrange(40))) for _ in range(2000)]
+    machine = token_count.CountTransducer(bpe.vocabulary_path("word_bpe_49k.json"))
+    texts = [t or "" for t in ODD] + fuzz + [r[1] or "" for r in docs.collect()]
+    assert machine.count(texts).tolist() == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    rows = token_count.count_tokens(odd).collect()
+    assert len(rows) == len(ODD) + 2 and all(r["n_bytes"] == len((r["text"] or "").encode()) for r in rows)
+    assert token_count.count_tokens(empty).count() == 0
+
+
+def test_entry_states_compose():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    classes = rng.integers(0, token_count.N_CLASSES, (37, 64))
+    table, state, expected = token_count.transitions(), token_count.FRESH, []
+    for row in classes:
+        expected.append(state)
+        for c in row:
+            state = table[state, c]
+    assert token_count.entry_states(classes, table).tolist() == expected
+
+
+# 4 exact duplicates
+
+
+def test_exact_dedup(spark, odd, empty, docs, duck):
+    got = sorted(tuple(r) for r in exact_dedup.groups(docs, block_bytes=100).select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect())
+    assert got == sorted(duck.execute(f"select doc_id, keep_id, group_size, kept, text_sha256 from ({queries.OP4_SQL})").fetchall())
+    rows = exact_dedup.groups(odd).collect()
+    assert len(rows) == len(ODD) + 2
+    by_id = {r["doc_id"]: r for r in rows}
+    assert by_id[8]["keep_id"] == 9 and not by_id[8]["kept"] and by_id[0]["keep_id"] == 1 and by_id[3]["group_size"] == 2
+    left = exact_dedup.deduplicate(odd)
+    assert left.columns == odd.columns and sorted(str(r["doc_id"]) for r in left.collect()) == sorted(map(str, [None, 1, 2, 3, 4, 5, 6, 7, 9, 10]))
+    assert exact_dedup.groups(empty).count() == 0
+
+
+# 5 personal data
+
+
+def test_pii(spark, odd, empty, docs):
+    text = "Bob.Li@Mail.COM bob.li@mail.com 4539 1488 0343 6467 4539148803436467 10.1.2.3 +1 (017) 555-7713 Mrs. Anna Kay met Mr. Lee. x = 04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    df = spark.createDataFrame([(1, text), (2, "10.1.2.3"), (3, "10.1.2.4")], "doc_id long, text string")
+    out = {r["doc_id"]: r for r in pii.replace(df, "k").collect()}
+    new = out[1]["text"].split(" ")
+    assert out[1]["n_entities"] == 9 and new[7] == out[2]["text"] != out[3]["text"]
+    assert new[0].lower() == new[1] != "bob.li@mail.com" and new[0] != new[1] and "".join(new[2:6]) == new[6] != "4539148803436467"
+    assert "Mrs." in out[1]["text"] and "Anna" not in out[1]["text"] and "+1 (" in out[1]["text"]
+    digits = "".join(new[2:6])
+    assert sum(sum(map(int, str(int(c) * (1 + i % 2)))) for i, c in enumerate(reversed(digits))) % 10 == 0
+    assert {r["doc_id"]: r["text"] for r in pii.replace(df, "k").collect()} == {d: r["text"] for d, r in out.items()}
+    assert {r["doc_id"]: r["text"] for r in pii.replace(df, "other").collect()}[2] != out[2]["text"]
+    rows = {r["doc_id"]: r for r in pii.replace(docs, "k").collect()}
+    seen = re.compile(r"[\w.]+@[\w.]+\w|\d+\.\d+\.\d+\.\d+|\d{16}|\b[0-9a-f]{40}\b")
+    for r in docs.collect():
+        if rows[r[0]]["n_entities"] == 0:
+            assert rows[r[0]]["text"] == r[1]
+        assert not any(x in (rows[r[0]]["text"] or "") for x in seen.findall(r[1] or ""))
+    assert pii.replace(odd, "k").count() == len(ODD) + 2 and pii.replace(empty, "k").count() == 0
+
+
+def test_pii_keeps_entities_apart(spark):
+    df = spark.createDataFrame([(i, f"a{i}@b.co or Mr. N{chr(97 + i // 26)}{chr(97 + i % 26)}") for i in range(300)], "doc_id long, text string")
+    out = [r["text"] for r in pii.replace(df, "k").collect()]
+    assert len({t.split(" ")[0] for t in out}) == 300 and len({t.split("Mr. ")[1] for t in out}) == 300
+
+
+# 6 toxicity
+
+
+def test_toxicity_held_out(spark):
+    base = "/root/testdata/sf0.01"
+    scored = queries.op6_toxicity(spark, base).where("held_out").join(spark.read.parquet(f"{base}/labels.parquet"), "doc_id").collect()
+    good = sum((r["predicted"] == 1) == (r["toxic"] == 1) for r in scored)
+    assert all(0 <= r["score"] <= 1 for r in scored) and good / len(scored) > 0.9
+
+
+def test_machine_learns_pairs():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    texts, labels = [], []
+    for _ in range(1200):
+        a, b = rng.random(2) < 0.5
+        texts.append(" ".join(["hello", *(["slur"] if a else []), *(["group"] if b else []), f"x{rng.integers(30)}"]).encode())
+        labels.append(bool(a == b))  # no additive model can tell this
+    slots, sizes = toxicity.term_slots(texts)
+    m = toxicity.fit_arrays(slots, sizes, np.array(labels), 0.5, rounds=300)
+    assert ((m.scores(texts) > 0.5) == np.array(labels)).mean() > 0.95
+
+
+def test_toxicity_odd_rows(spark, odd, empty):
+    labels = spark.createDataFrame([(3, 1), (4, 0), (5, None), (None, 1)], "doc_id long, toxic int")
+    for l in (labels, labels.limit(0)):
+        model = toxicity.fit(odd, l)
+        assert toxicity.score(odd, model).count() == len(ODD) + 2
+    assert toxicity.score(empty, toxicity.fit(empty, labels.limit(0))).count() == 0
+
+
+# 7 language model
+
+
+def test_language_model(spark, docs):
+    got = {r[0]: r for r in ctw.score(docs, max_words=200).collect()}
+    texts = [(r[0], (r[1] or "").encode()) for r in docs.collect()]
+    learn = [x for d, x in texts if crc32(str(d).encode()) % 10]
+    counts = collections.Counter()
+    for x in learn:
+        counts.update([*x.translate(ctw.LOWER).split(), None])
+    total, distinct = sum(counts.values()), len(counts)
+    import numpy as np
+
+    keys, n = np.unique(ctw.gram_keys(learn, ctw.DEPTH)[0], return_counts=True)
+    rows = ctw.tree(keys, n, ctw.DEPTH, 0)[::-1]
+    model = ctw.ContextTree(ctw.DEPTH, [x[1] for x in rows], [(x[3] + 0.5) / (x[2] + x[3] + 1) for x in rows], [x[4] for x in rows])
+    scores = ctw.Scorer(model).scores([x for _, x in texts])
+    for (d, x), s in zip(texts, scores, strict=True):
+        words = [*x.translate(ctw.LOWER).split(), None]
+        r = got[d]
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(words), sum(counts[w] > 0 for w in words), total)
+        assert r["base_score"] == pytest.approx(sum(math.log10((counts[w] + 0.1) / (total + 0.1 * (distinct + 1))) for w in words), rel=1e-9)
+        assert r["score"] == pytest.approx(s, rel=1e-4)
+
+
+def test_tree_mixes_all_depths():
+    """The weighted probability of the root is that of the recursion written out."""
+    import numpy as np
+
+    text = b"abracadabra"
+    keys, n = np.unique(ctw.gram_keys([text], 1)[0], return_counts=True)
+    levels = ctw.tree(keys, n, 1, 0)
+    data = [(0, text[0]), *zip(text, text[1:], strict=False), (text[-1], 255)]
+
+    def kt(bits):
+        p, c = 1.0, [0.5, 0.5]
+        for b in bits:
+            p *= c[b] / sum(c)
+            c[b] += 1
+        return p
+
+    expected = 1.0
+    for level in range(8):
+        for prefix in {y >> (8 - level) for _, y in data}:
+            here = [(x, y >> (7 - level) & 1) for x, y in data if y >> (8 - level) == prefix]
+            children = math.prod(kt([b for x, b in here if x == c]) for c in {x for x, _ in here})
+            expected *= 0.5 * kt([b for _, b in here]) + 0.5 * children
+    assert math.exp(levels[-1][5].sum()) == pytest.approx(expected, rel=1e-9)
+
+
+def test_language_model_odd_rows(odd, empty):
+    rows = ctw.score(odd).collect()
+    assert len(rows) == len(ODD) + 2 and all(math.isfinite(r["score"]) and math.isfinite(r["base_score"]) for r in rows)
+    assert ctw.score(odd, learn=F.lit(False)).where("base_score = 0 and score < 0").count() == len(ODD) + 2
+    assert ctw.score(empty).count() == 0
+
+
+# 8 decontamination
+
+
+def brute_hits(text: str | None, items: dict, window: int = 10):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(text))
+    hit, found = set(), set()
+    for name, item in items.items():
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(item))
+        k = min(window, len(w))
+        phrases = {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if w else set()
+        for i in range(len(words) - k + 1):
+            if tuple(words[i : i + k]) in phrases:
+                hit.update(range(i, i + k))
+                found.add(name)
+    return len(words), len(hit), sorted(found)
+
+
+def test_decontamination_by_brute_force(spark, docs, small, odd, empty):
+    bench = spark.read.parquet(f"{small}/benchmark.parquet")
+    extra = spark.createDataFrame([(900, "the of"), (901, None), (902, ""), (903, "The of"), (904, "end"), (None, "word")], "item_id long, text string")
+    bench = bench.select("item_id", "text").union(extra)
+    items = {"" if r[0] is None else str(r[0]): r[1] for r in bench.collect()}
+    some = docs.limit(60).union(odd.select("doc_id", "text"))
+    one, many = decontaminate.find(some, bench).collect(), decontaminate.find(some, bench, block_bytes=2000).collect()
+    key = lambda r: (str(r["doc_id"]), r["text"] or "", r["n_hit"])
+    for r, q in zip(sorted(one, key=key), sorted(many, key=key), strict=True):
+        assert (r["n_words"], r["n_hit"], r["item_ids"]) == (q["n_words"], q["n_hit"], q["item_ids"]) == brute_hits(r["text"], items)
+        assert r["spans"] == q["spans"]
+    assert decontaminate.find(odd, bench.limit(0)).where("n_hit > 0").count() == 0
+    assert decontaminate.find(empty, bench).count() == 0
+    left = decontaminate.cut(decontaminate.find(docs, bench)).drop("n_hit")
+    assert "n_hit" not in left.columns
+
+
+def test_fm_index_counts_and_locates():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    s = np.r_[rng.integers(1, 4, 300), 0]
+    index = decontaminate.FmIndex(s)
+    for size in (1, 2, 5):
+        for pattern in {tuple(s[i : i + size]) for i in range(0, 290, 17)}:
+            low_, high = index.search(np.array([pattern]))
+            expected = [i for i in range(len(s) - size) if tuple(s[i : i + size]) == pattern]
+            assert sorted(index.locate(np.arange(low_[0], high[0])).tolist()) == expected
+
+
+# 9 repeated strings
+
+
+def test_repeats_by_brute_force(spark, docs):
+    rng = random.Random(8)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(260))
+    extra = [(10**6 + i, t) for i, t in enumerate(["ab" * 300, "ab" * 50, None, "a" * 99, "a" * 100, "x" * 40 + "a" * 100, "é" * 120, "zz" + "é" * 60, passage, "q" + passage[:150], passage[100:] + "!", passage, passage[:99], "w" + passage[30:131] + "v"])]
+    df = docs.union(spark.createDataFrame([*extra, extra[8]], "doc_id long, text string")).repartition(5)
+    got = {r[0]: tuple(r)[1:] for r in suffix_dedup.digests(df).collect()}
+    seen: set[bytes] = set()
+    for d, t in sorted({(r[0], r[1] or "") for r in df.collect()}):
+        data = t.encode()
+        gone = bytearray(len(data))
+        for p in range(len(data) - 99):
+            key = data[p : p + 100]
+            if key in seen:
+                gone[p : p + 100] = b"\1" * 100
+            seen.add(key)
+        kept = bytes(b for b, g in zip(data, gone, strict=True) if not g)
+        runs = sum(1 for i, g in enumerate(gone) if g and (i == 0 or not gone[i - 1]))
+        assert got[d] == (len(data), sum(gone), runs, hashlib.sha256(kept).hexdigest()), d
+
+
+def test_repeats_odd_rows(odd, empty):
+    assert suffix_dedup.digests(odd).count() == len(ODD) + 2
+    assert suffix_dedup.digests(empty).count() == 0
+
+
+# 10 byte-pair encoding
+
+
+def test_bpe_as_the_library(spark, odd, empty, docs):
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(bpe.vocabulary_path())
+    rng = random.Random(6)
+    parts = [*"ab '\n\t  s1é<|>", "<|endoftext|>", "ll", "re", "日", "aaaa", "　", "\x1c"]
+    fuzz = ["".join(rng.choice(parts) for _ in range(rng.randrange(40))) for _ in range(2000)]
+    texts = [t or "" for t in ODD] + fuzz + [r[1] or "" for r in docs.collect()]
+    machine = bpe.PairIndexBpe(bpe.vocabulary_path())
+    for got, e in zip(machine.encode_batch(texts), library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == e.ids and machine.decode(got) == library.decode(e.ids, skip_special_tokens=False)
+    both = bpe.decode(bpe.encode(odd)).collect()
+    assert len(both) == len(ODD) + 2 and all((r["text"] or "") == r["decoded"] for r in both)
+    assert bpe.encode_decode(empty).count() == 0 and bpe.encode(odd).columns == [*odd.columns, "ids_le"]

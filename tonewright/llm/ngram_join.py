@@ -138,15 +138,15 @@ def _postings(batches: Iterator[pa.RecordBatch], size: int, percent: int, sketch
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["token", "f", "n", "at"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch], size: int, percent: int, sketch, wanted) -> Iterator[pa.RecordBatch]:
-    """Whole sets, and prefixes under the other orders, of the documents whose hash is marked."""
+def _sets(batches: Iterator[pa.RecordBatch], size: int, percent: int, sketch, wanted, whole: bool) -> Iterator[pa.RecordBatch]:
+    """Whole sets, or else prefixes under the other orders, of the documents whose hash is marked."""
     for b in batches:
         kept = np.flatnonzero(marked(wanted.value, np.asarray(b.column(1))))
         for part in slices(iter([b.take(pa.array(kept))]), "_text"):
             sets = [x for x in (tokens_of(t, size) for t in byte_texts(part, "_text")) if len(x)]
             if sets:
-                columns = [[prefix(x, sketch.value, percent, 1).view(np.int64) for x in sets], [prefix(x, sketch.value, percent, 2).view(np.int64) for x in sets], [x.view(np.int64) for x in sets]]
-                yield pa.RecordBatch.from_arrays([pa.array(map(identity, sets), pa.int64()), *[pa.array(x, pa.list_(pa.int64())) for x in columns]], names=["f", "p1", "p2", "tokens"])
+                columns = [sets] if whole else [[prefix(x, sketch.value, percent, order) for x in sets] for order in (1, 2)]
+                yield pa.RecordBatch.from_arrays([pa.array(map(identity, sets), pa.int64()), *[pa.array([x.view(np.int64) for x in c], pa.list_(pa.int64())) for c in columns]], names=["f", *(["tokens"] if whole else ["p1", "p2"])])
 
 
 def possible(na: Column, nb: Column, ia: Column, ib: Column, percent: int) -> Column:
@@ -177,20 +177,23 @@ class NgramJoin:
         self.sketch = self.spark.sparkContext.broadcast(sketch.reshape(SKETCH_ROWS, -1))
         self.nodes = self.sets.where("n > 0").groupBy("f").agg(F.min("_id").alias("rep"))
 
-    def fetch(self, names: DataFrame) -> DataFrame:
-        """(f, p1, p2, tokens) of at least the named sets, each once."""
+    def fetch(self, names: DataFrame, whole: bool) -> DataFrame:
+        """(f, tokens), or else (f, p1, p2), of at least the named sets, each once."""
         ids = names.join(self.nodes, "f").select(F.xxhash64("rep").alias("h"))
         docs = self.docs.select("_id", F.xxhash64("_id").alias("h"), "_text")
-        run = partial(_sets, size=self.size, percent=self.percent, sketch=self.sketch, wanted=self.spark.sparkContext.broadcast(marks(ids)))
-        return docs.mapInArrow(run, "f long, p1 array<long>, p2 array<long>, tokens array<long>").dropDuplicates(["f"])
+        run = partial(_sets, size=self.size, percent=self.percent, sketch=self.sketch, wanted=self.spark.sparkContext.broadcast(marks(ids)), whole=whole)
+        return docs.mapInArrow(run, "f long, tokens array<long>" if whole else "f long, p1 array<long>, p2 array<long>").dropDuplicates(["f"])
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Of candidate pairs (a, b), those that pass the other orders' filters and are similar enough."""
+        side = lambda x, sets, *columns: sets.select(F.col("f").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns])
+        names = lambda links: links.select(F.col("a").alias("f")).union(links.select(F.col("b").alias("f"))).distinct()
         pairs = checkpointed(pairs)
-        sets = checkpointed(self.fetch(pairs.select(F.col("a").alias("f")).union(pairs.select(F.col("b").alias("f"))).distinct()))
-        side = lambda x, *columns: sets.select(F.col("f").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns])
-        near = pairs.join(side("a", "p1", "p2"), "a").join(side("b", "p1", "p2"), "b").where(F.arrays_overlap("p1_a", "p1_b") & F.arrays_overlap("p2_a", "p2_b")).select("a", "b")
-        full = near.join(side("a", "tokens"), "a").join(side("b", "tokens"), "b")
+        first = checkpointed(self.fetch(names(pairs), whole=False))
+        near = pairs.join(side("a", first, "p1", "p2"), "a").join(side("b", first, "p1", "p2"), "b")
+        near = checkpointed(near.where(F.arrays_overlap("p1_a", "p1_b") & F.arrays_overlap("p2_a", "p2_b")).select("a", "b"))
+        sets = checkpointed(self.fetch(names(near), whole=True))  # whole sets move only for pairs that have passed
+        full = near.join(side("a", sets, "tokens"), "a").join(side("b", sets, "tokens"), "b")
         met = F.size(F.array_intersect("tokens_a", "tokens_b"))
         return checkpointed(full.where(100 * met >= self.percent * (F.size("tokens_a") + F.size("tokens_b") - met)).select("a", "b"))
 

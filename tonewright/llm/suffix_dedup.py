@@ -3,6 +3,8 @@
 A byte goes if a string of `size` bytes (100) that covers it also starts earlier: in a
 document with a smaller id, or earlier in the same document.
 
+* Copies. Of equal texts, named by their SHA-256, all but the one with the smallest id
+  lose everything; only that one takes part in what follows.
 * Anchors. Of the 32-byte strings in each window of `size` bytes, the one with the least
   hash is the window's anchor. Equal windows have equal anchors at the same place, so a
   window whose anchor string stands nowhere else cannot repeat. Anchors are one position
@@ -103,19 +105,23 @@ def _laid(batch: pa.RecordBatch, text: str, size: int) -> tuple[np.ndarray, np.n
 
 
 def _anchors(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """(h, name of the text), once for each text that a task reads; an anchor that a text repeats comes under a second name too."""
+    seen: set[int] = set()
     for b in slices(batches, "_text", SLICE):
-        ids, data, first, length = _laid(b, "_text", size)
-        if len(ids):
+        fresh = [i for i, x in enumerate(b.column(0).to_pylist()) if not (x in seen or seen.add(x))]
+        names, data, first, length = _laid(b.take(pa.array(fresh, pa.int64())), "_text", size)
+        if len(names):
             at, gram, _, _ = windows(data, first, length, size)
-            owner = np.searchsorted(first, at, side="right") - 1
-            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(ids[owner])], names=["h", "_id"])
+            h, owner = gram.view(np.int64), np.searchsorted(first, at, side="right") - 1
+            order = np.lexsort((h, owner))
+            again = order[1:][(h[order[1:]] == h[order[:-1]]) & (owner[order[1:]] == owner[order[:-1]])]
+            yield pa.RecordBatch.from_arrays([pa.array(np.r_[h, h[again]]), pa.array(np.r_[names[owner], ~names[owner[again]]])], names=["h", "f"])
 
 
 def _flagged(batches: Iterator[pa.RecordBatch], table) -> Iterator[pa.RecordBatch]:
-    """(id, text) of the rows that the map may hold."""
+    """The rows whose last column the map may hold."""
     for b in batches:
-        kept = marked(table.value, np.asarray(b.column(2)))
-        yield pa.RecordBatch.from_arrays([c.filter(pa.array(kept)) for c in b.columns[:2]], names=["_id", "_text"])
+        yield b.filter(pa.array(marked(table.value, np.asarray(b.column(2)))))
 
 
 def _contexts(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -154,7 +160,7 @@ def _contexts(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
         n = len(spans)
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(key[both], mask=np.r_[np.zeros(len(rows), bool), np.ones(n, bool)]),
+                pa.array(key[both]),
                 pa.array(ids[owner[both]]),
                 pa.array(begin[both]),
                 pa.array((high - low)[both] + size + begin[both]),
@@ -203,8 +209,11 @@ class IndexFamily:
 def _repeats(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     family = IndexFamily()
     for whole in batches:
-        for b in slices(iter([whole]), "body", SLICE):
-            bodies = b.column(3).to_pylist()
+        settled = whole.filter(whole.column(4).is_null())
+        if settled.num_rows:
+            yield pa.RecordBatch.from_arrays(settled.columns[1:4], names=["_id", "start", "stop"])
+        for b in slices(iter([whole.filter(whole.column(4).is_valid())]), "body", SLICE):
+            bodies = b.column(4).to_pylist()
             length = np.array([len(x) for x in bodies], np.int64)
             first = np.cumsum(length) - length
             count = length - size + 1
@@ -251,32 +260,39 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(columns[0], pa.string()), spans, pa.array(columns[2], pa.binary())], names=["_id", "text_sha256", "spans", "kept"])
 
 
-def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 100) -> DataFrame:
-    """(_id, start, stop) of bytes to remove; spans of a document may overlap. A null id is given as the least number."""
+def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(_id, _text, _sha, _f): _sha names the whole text, _f is a short name for grouping."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_id"), text.alias("_text"), F.sha2(text.cast("binary"), 256).alias("_sha"), F.xxhash64(text).alias("_f"))
+
+
+def spans(docs: DataFrame, firsts: DataFrame, size: int = 100) -> DataFrame:
+    """(_id, start, stop) of bytes to remove from the first document of each text; spans of a document may overlap."""
     if size < SHARED + GRAM:
         raise ValueError(f"size must be {SHARED + GRAM} or more")
-    docs = df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    anchors = docs.mapInArrow(partial(_anchors, size=size), "h long, _id long")
-    twice = anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    lists = checkpointed(anchors.join(twice, "h").groupBy("_id").agg(F.collect_set("h").alias("hs")))
-    named = F.coalesce(F.col("_id"), F.lit(NO_ID))
-    table = df.sparkSession.sparkContext.broadcast(marks(lists.select(F.xxhash64("_id"))))
-    near = docs.select(named.alias("_id"), "_text", F.xxhash64(named)).mapInArrow(partial(_flagged, table=table), "_id long, _text string")
-    bodies = near.join(lists, "_id").select("_id", "_text", "hs").mapInArrow(partial(_contexts, size=size), "key long, _id long, start long, stop long, body binary")
-    bodies = checkpointed(bodies)
-    family = bodies.where("key is not null").repartition("key").select("key", "_id", "start", "body").mapInArrow(partial(_repeats, size=size), "_id long, start long, stop long")
-    return checkpointed(family.unionByName(bodies.where("key is null").select("_id", "start", "stop")))
+    anchors = docs.select("_f", "_text").mapInArrow(partial(_anchors, size=size), "h long, f long")
+    twice = anchors.groupBy("h").agg(F.min("f").alias("f0"), F.max("f").alias("f1")).where("f0 <> f1").select("h")
+    lists = checkpointed(anchors.join(twice, "h").groupBy(F.col("f").alias("_f")).agg(F.collect_set("h").alias("hs")))
+    table = docs.sparkSession.sparkContext.broadcast(marks(lists.select("_f")))
+    near = docs.select("_id", "_text", "_f").mapInArrow(partial(_flagged, table=table), "_id long, _text string, _f long")
+    bodies = near.join(lists.join(firsts.select("_f", "_id"), "_f"), ["_f", "_id"]).select("_id", "_text", "hs")
+    bodies = bodies.mapInArrow(partial(_contexts, size=size), "key long, _id long, start long, stop long, body binary")
+    return bodies.repartition("key").mapInArrow(partial(_repeats, size=size), "_id long, start long, stop long")
 
 
 def cut(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 100) -> DataFrame:
     """Of documents that lose bytes: id, text_sha256 (of the whole text), spans (removed, in bytes) and kept (the other bytes)."""
-    gone = spans(df, id_col, text_col, size).groupBy("_id").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
+    docs = _texts(df, id_col, text_col)
+    firsts = checkpointed(docs.groupBy("_sha", "_f").agg(F.min("_id").alias("_id")))
+    gone = spans(docs, firsts, size).groupBy("_id").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
     gone = checkpointed(gone)
-    named = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
-    docs = df.select(named.alias("_id"), F.col(text_col).cast("string").alias("_text"))
     table = df.sparkSession.sparkContext.broadcast(marks(gone.select(F.xxhash64("_id"))))
-    near = docs.select("_id", "_text", F.xxhash64("_id")).mapInArrow(partial(_flagged, table=table), "_id long, _text string")
+    near = docs.select("_id", "_text", F.xxhash64("_id").alias("h")).mapInArrow(partial(_flagged, table=table), "_id long, _text string, h long")
     changed = near.join(gone, "_id").select("_id", "_text", "starts", "stops").mapInArrow(_cut, "_id long, text_sha256 string, spans array<struct<start:long,stop:long>>, kept binary")
+    sized = docs.select("_id", "_sha", F.octet_length("_text").cast("long").alias("n")).where(F.col("n") >= size)
+    copies = sized.join(firsts.select("_sha", F.col("_id").alias("first")), "_sha").where(F.col("_id") > F.col("first"))
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n").alias("stop")))
+    changed = changed.unionByName(copies.select("_id", F.col("_sha").alias("text_sha256"), whole.alias("spans"), F.lit(b"").alias("kept")))
     return changed.withColumn("_id", F.when(F.col("_id") != NO_ID, F.col("_id"))).withColumnRenamed("_id", id_col)
 
 
