@@ -2,9 +2,12 @@
 
 A text's terms are its distinct words (ASCII letters lower-cased, split at ASCII
 characters that are neither letters nor digits) and the beginnings of its longer
-words, hashed into a fixed number of slots. A factorization machine learns a weight for each slot and a short vector
-whose inner products weigh pairs of terms, so that an insult that stands beside
-a mention of people counts for more than both weights added up.
+words, hashed into a fixed number of slots. A factorization machine learns a weight
+for each slot and a short vector whose inner products weigh pairs of terms, so that
+an insult that stands beside a mention of people counts for more than both weights
+added up. Terms enter the model that the labels clearly depend on, by the chi-square
+statistic, or that are frequent enough to be learned about in pairs; among rare terms
+that are neither, chance would choose.
 
 The model is fitted on a bounded sample of labelled rows: at most
 `max_positive` toxic and `max_negative` other rows, those with the smallest hash
@@ -34,8 +37,8 @@ from pyspark.sql import types as T
 from .common import WORD_BYTES, byte_texts, slices
 
 SLOT_BITS = 20
-#: Bytes of a word's beginning that count as a term of their own, for inflected forms.
-STEM = 6
+#: Bytes of a word's beginning that count as terms of their own, for inflected forms.
+STEMS = (4, 6)
 
 
 def term_slots(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -43,8 +46,7 @@ def term_slots(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     terms = []
     for t in texts:
         words = set(t.translate(WORD_BYTES).split())
-        words.update([b"^" + w[:STEM] for w in words if len(w) >= STEM])
-        terms.append(words)
+        terms.append(words.union(*[[b"^" + w[:k] for w in words if len(w) >= k] for k in STEMS]))
     sizes = np.fromiter(map(len, terms), np.int64, len(terms))
     slots = np.fromiter(map(crc32, chain.from_iterable(terms)), np.int64, int(sizes.sum()))
     return slots & ((1 << SLOT_BITS) - 1), sizes
@@ -82,7 +84,7 @@ class FactorizationMachine:
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def fit_arrays(slots: np.ndarray, sizes: np.ndarray, toxic: np.ndarray, prior: float, max_terms: int = 1 << 12, rank: int = 4, rounds: int = 80, rate: float = 0.08, decay: float = 2e-4, seed: int = 7) -> FactorizationMachine:
+def fit_arrays(slots: np.ndarray, sizes: np.ndarray, toxic: np.ndarray, prior: float, max_terms: int = 1 << 12, least_chi: float = 30.0, frequent: float = 0.3, rank: int = 4, rounds: int = 80, rate: float = 0.08, decay: float = 2e-4, seed: int = 7) -> FactorizationMachine:
     """Fit by Adam on whole-batch gradients of the log loss, with the rows of both kinds weighted to the prior."""
     width = 1 << SLOT_BITS
     index = np.full(width, -1, np.int32)
@@ -95,8 +97,9 @@ def fit_arrays(slots: np.ndarray, sizes: np.ndarray, toxic: np.ndarray, prior: f
     hits = np.bincount(slots[toxic[owner]], minlength=width)
     expected = both * (n1 / n)
     chi = np.where(both >= 3, (hits - expected) ** 2 / np.maximum(expected * (1 - n1 / n) * (1 - both / (n + 1)), 1e-9), 0)
-    chosen = np.argsort(-chi, kind="stable")[:max_terms]
-    chosen = np.sort(chosen[both[chosen] >= 3])
+    told = (chi >= least_chi) | (both >= max(frequent * n, 50))
+    chosen = np.argsort(np.where(told, -chi, np.inf), kind="stable")[:max_terms]
+    chosen = np.sort(chosen[told[chosen]])
     index[chosen] = np.arange(len(chosen))
     ids = index[slots]
     known = ids >= 0
