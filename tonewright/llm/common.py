@@ -31,11 +31,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(configured)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared checkpoint folder; shuffle files of steps that nothing refers to any more go first."""
+    """Cut the lineage through the shared checkpoint folder; what earlier steps have left goes first."""
     ensure_checkpoint_dir(df.sparkSession)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    release(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -30,14 +30,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_texts, checkpointed, marked, marks, slices
+from .common import byte_texts, checkpointed, marked, marks, release, slices
 
 GRAM = 32
 SHARED = 64
@@ -48,36 +48,45 @@ NO_ID = -(1 << 63)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    """The numbers of x shuffled, one to one, in their own place."""
+    x ^= x >> np.uint64(30)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 BYTE_CODES = np.random.default_rng(4057).integers(1, 2**63, 256, np.uint64)
+RADIX = 0x9E3779B97F4A7C15
+INVERSE = pow(RADIX, -1, 1 << 64)
 
 
-def fingerprints(data: np.ndarray, size: int) -> np.ndarray:
-    """64-bit fingerprints of all strings of `size` bytes, by doubling; the place is that of the first byte."""
-    with np.errstate(over="ignore"):
-        power, at, step = BYTE_CODES[data], 0, 1
-        total = None
-        while True:
-            if size & step:
-                if total is None:
-                    total, at = power, step
-                else:
-                    n = len(data) - at - step + 1
-                    total = total[:n] * np.uint64(0x9E3779B97F4A7C15 + 2 * step) + power[at : at + n]
-                    at += step
-            if step * 2 > size:
-                return _mixed(total[: max(len(data) - size + 1, 0)])
-            power = _mixed(power[:-step]) * np.uint64(0xD1342543DE82EF95) + power[step:]
-            step *= 2
-
-
-def windows(data: np.ndarray, first: np.ndarray, length: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors of documents laid end to end: position, gram hash, first and last window."""
-    grams = fingerprints(data, GRAM)
+@lru_cache(1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of RADIX and of its inverse, modulo 2 ** 64."""
+    return tuple(np.cumprod(np.r_[np.uint64(1), np.full(n, x, np.uint64)]) for x in (RADIX, INVERSE))
+
+
+def sums(data: np.ndarray) -> np.ndarray:
+    """Running sums of byte codes times powers, from which strings() reads fingerprints."""
+    out = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(BYTE_CODES[data] * _powers(1 << len(data).bit_length())[0][: len(data)], out=out[1:])
+    return out
+
+
+def strings(total: np.ndarray, size: int, at: np.ndarray | None = None) -> np.ndarray:
+    """64-bit fingerprints of the strings of `size` bytes that begin at each place, or at the places `at`."""
+    inverse = _powers(1 << (len(total) - 1).bit_length())[1]
+    if at is not None:
+        return _mixed((total[at + size] - total[at]) * inverse[at])
+    n = max(len(total) - size, 0)
+    return _mixed((total[size:] - total[:n]) * inverse[:n])
+
+
+def windows(total: np.ndarray, first: np.ndarray, length: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors of documents laid end to end, from their running sums: position, gram hash, first and last window."""
+    grams = strings(total, GRAM)
     wide = size - GRAM + 1
     key = (grams >> np.uint64(64 - CHOICE_BITS) << np.uint64(64 - CHOICE_BITS)) | np.arange(len(grams), dtype=np.uint64)
     span = 1
@@ -105,17 +114,26 @@ def _laid(batch: pa.RecordBatch, text: str, size: int) -> tuple[np.ndarray, np.n
 
 
 def _anchors(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """(h, name of the text), once for each text that a task reads; an anchor that a text repeats comes under a second name too."""
+    """(d, h, f, twice): each anchor of a text, f, once for each text that a task reads.
+
+    An anchor that stands twice in a slice is known to repeat: one of its rows goes by its
+    hash to tell the other tasks, the others are spread, so that a hot one is a row for each slice.
+    """
     seen: set[int] = set()
     for b in slices(batches, "_text", SLICE):
         fresh = [i for i, x in enumerate(b.column(0).to_pylist()) if not (x in seen or seen.add(x))]
         names, data, first, length = _laid(b.take(pa.array(fresh, pa.int64())), "_text", size)
-        if len(names):
-            at, gram, _, _ = windows(data, first, length, size)
-            h, owner = gram.view(np.int64), np.searchsorted(first, at, side="right") - 1
-            order = np.lexsort((h, owner))
-            again = order[1:][(h[order[1:]] == h[order[:-1]]) & (owner[order[1:]] == owner[order[:-1]])]
-            yield pa.RecordBatch.from_arrays([pa.array(np.r_[h, h[again]]), pa.array(np.r_[names[owner], ~names[owner[again]]])], names=["h", "f"])
+        if not len(names):
+            continue
+        at, h, _, _ = windows(sums(data), first, length, size)
+        f = names[np.searchsorted(first, at, side="right") - 1]
+        order = np.argsort(h, kind="stable")
+        h, f = h[order], f[order]
+        new = np.r_[True, h[1:] != h[:-1]]
+        twice = ~new | ~np.r_[new[1:], True]
+        kept = new | np.r_[True, f[1:] != f[:-1]]
+        spread = np.where(new, h, _mixed(h ^ f.view(np.uint64)))
+        yield pa.RecordBatch.from_arrays([pa.array(x[kept]) for x in (spread.view(np.int64), h.view(np.int64), f, twice)], names=["d", "h", "f", "twice"])
 
 
 def _flagged(batches: Iterator[pa.RecordBatch], table) -> Iterator[pa.RecordBatch]:
@@ -132,16 +150,17 @@ def _contexts(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
         twice = np.unique(np.asarray(lists.flatten(), np.int64))
         if not len(ids) or not len(twice):
             continue
-        at, gram, low, high = windows(data, first, length, size)
+        total = sums(data)
+        at, gram, low, high = windows(total, first, length, size)
         hit = np.isin(gram.view(np.int64), twice)
         at, low, high = at[hit], low[hit], high[hit]
         owner = np.searchsorted(first, at, side="right") - 1
-        common = fingerprints(data, SHARED).view(np.int64)
+        common = lambda place: strings(total, SHARED, np.clip(place, 0, len(data) - SHARED)).view(np.int64)
         # Windows that begin far before the anchor share the 64 bytes around its start, the others those from it on.
         edge = at - (size - SHARED)
         before = low < edge
         after = high >= edge
-        halves = [(owner[before], low[before], np.minimum(high, edge - 1)[before], common[np.maximum(at - (SHARED - GRAM), 0)][before]), (owner[after], np.maximum(low, edge)[after], high[after], common[np.minimum(at, len(common) - 1)][after])]
+        halves = [(owner[before], low[before], np.minimum(high, edge - 1)[before], common(at[before] - (SHARED - GRAM))), (owner[after], np.maximum(low, edge)[after], high[after], common(at[after]))]
         owner, low, high, key = (np.concatenate(x) for x in zip(*halves, strict=True))
         text = data.tobytes()
         seen: dict[bytes, int] = {}
@@ -218,7 +237,7 @@ def _repeats(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Record
             first = np.cumsum(length) - length
             count = length - size + 1
             inner = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-            mark = fingerprints(np.frombuffer(b"".join(bodies), np.uint8), size)[np.repeat(first, count) + inner]
+            mark = strings(sums(np.frombuffer(b"".join(bodies), np.uint8)), size, np.repeat(first, count) + inner)
             ids = np.repeat(np.asarray(b.column(1), np.int64), count)
             at = np.repeat(np.asarray(b.column(2), np.int64), count) + inner
             found = family.add(mark, ids, at)
@@ -270,9 +289,10 @@ def spans(docs: DataFrame, firsts: DataFrame, size: int = 100) -> DataFrame:
     """(_id, start, stop) of bytes to remove from the first document of each text; spans of a document may overlap."""
     if size < SHARED + GRAM:
         raise ValueError(f"size must be {SHARED + GRAM} or more")
-    anchors = docs.select("_f", "_text").mapInArrow(partial(_anchors, size=size), "h long, f long")
-    twice = anchors.groupBy("h").agg(F.min("f").alias("f0"), F.max("f").alias("f1")).where("f0 <> f1").select("h")
-    lists = checkpointed(anchors.join(twice, "h").groupBy(F.col("f").alias("_f")).agg(F.collect_set("h").alias("hs")))
+    anchors = docs.select("_f", "_text").mapInArrow(partial(_anchors, size=size), "d long, h long, f long, twice boolean")
+    alike = Window.partitionBy("d")
+    again = anchors.withColumns({"f0": F.min("f").over(alike), "f1": F.max("f").over(alike), "known": F.max("twice").over(alike)}).where("known or f0 <> f1")
+    lists = checkpointed(again.groupBy(F.col("f").alias("_f")).agg(F.collect_set("h").alias("hs")))
     table = docs.sparkSession.sparkContext.broadcast(marks(lists.select("_f")))
     near = docs.select("_id", "_text", "_f").mapInArrow(partial(_flagged, table=table), "_id long, _text string, _f long")
     bodies = near.join(lists.join(firsts.select("_f", "_id"), "_f"), ["_f", "_id"]).select("_id", "_text", "hs")
@@ -286,6 +306,7 @@ def cut(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int
     firsts = checkpointed(docs.groupBy("_sha", "_f").agg(F.min("_id").alias("_id")))
     gone = spans(docs, firsts, size).groupBy("_id").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
     gone = checkpointed(gone)
+    release(df.sparkSession)
     table = df.sparkSession.sparkContext.broadcast(marks(gone.select(F.xxhash64("_id"))))
     near = docs.select("_id", "_text", F.xxhash64("_id").alias("h")).mapInArrow(partial(_flagged, table=table), "_id long, _text string, h long")
     changed = near.join(gone, "_id").select("_id", "_text", "starts", "stops").mapInArrow(_cut, "_id long, text_sha256 string, spans array<struct<start:long,stop:long>>, kept binary")
