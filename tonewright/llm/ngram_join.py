@@ -7,7 +7,8 @@ n - ceil(t n) + 1 tokens of each. Several orders give several such tests:
 * Order 0 puts rare tokens first. It generates candidates: sets that share a prefix
   token are compared by length and by the place of that token in both.
 * Order 1 breaks ties between equally rare tokens otherwise, order 2 ignores
-  frequency. A candidate pair must share prefix tokens under these as well.
+  frequency. A candidate pair must share prefix tokens under these as well. Under order
+  2 the prefix is longer by `least_shared` - 1 tokens, and then as many must be shared.
 * Only then is the whole intersection counted.
 
 Frequencies come from a count-min sketch over all documents; its size is fixed, and it
@@ -76,10 +77,18 @@ def cells(tokens: np.ndarray) -> list[np.ndarray]:
     return [((tokens >> np.uint64(SKETCH_BITS * i)) & mask).astype(np.int64) for i in range(SKETCH_ROWS)]
 
 
+def least_shared(n: int, percent: int) -> int:
+    """How many tokens of its longer prefix under order 2 a set of n tokens shares with any that is similar enough."""
+    return max(1, -(-percent * n // 100) // 4)
+
+
+def prefix_size(n: int, percent: int, order: int) -> int:
+    return n - -(-percent * n // 100) + (least_shared(n, percent) if order == 2 else 1)
+
+
 def prefix(tokens: np.ndarray, sketch: np.ndarray, percent: int, order: int) -> np.ndarray:
     """The tokens that come first under an order, as many as the threshold asks for."""
-    n = len(tokens)
-    size = n - -(-percent * n // 100) + 1
+    size = prefix_size(len(tokens), percent, order)
     with np.errstate(over="ignore"):
         mixed = (tokens ^ np.uint64(0x5851F42D4C957F2D * order & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xD6E8FEB86659FD93 if order else 1)
     if order == 2:
@@ -146,7 +155,13 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int, percent: int, sketch, wa
             sets = [x for x in (tokens_of(t, size) for t in byte_texts(part, "_text")) if len(x)]
             if sets:
                 columns = [sets] if whole else [[prefix(x, sketch.value, percent, order) for x in sets] for order in (1, 2)]
-                yield pa.RecordBatch.from_arrays([pa.array(map(identity, sets), pa.int64()), *[pa.array([x.view(np.int64) for x in c], pa.list_(pa.int64())) for c in columns]], names=["f", *(["tokens"] if whole else ["p1", "p2"])])
+                if whole:
+                    lists, least = [pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], []
+                else:  # half of a token's bits do for a filter; tokens that agree in them count once
+                    columns = [[np.unique(x.astype(np.uint32).view(np.int32)) for x in c] for c in columns]
+                    lists = [pa.array(c, pa.list_(pa.int32())) for c in columns]
+                    least = [pa.array([least_shared(len(x), percent) - (prefix_size(len(x), percent, 2) - len(c)) for x, c in zip(sets, columns[1], strict=True)], pa.int32())]
+                yield pa.RecordBatch.from_arrays([pa.array(map(identity, sets), pa.int64()), *lists, *least], names=["f", *(["tokens"] if whole else ["p1", "p2", "k"])])
 
 
 def possible(na: Column, nb: Column, ia: Column, ib: Column, percent: int) -> Column:
@@ -178,11 +193,11 @@ class NgramJoin:
         self.nodes = self.sets.where("n > 0").groupBy("f").agg(F.min("_id").alias("rep"))
 
     def fetch(self, names: DataFrame, whole: bool) -> DataFrame:
-        """(f, tokens), or else (f, p1, p2), of at least the named sets, each once."""
+        """(f, tokens), or else (f, p1, p2, k), of at least the named sets, each once."""
         ids = names.join(self.nodes, "f").select(F.xxhash64("rep").alias("h"))
         docs = self.docs.select("_id", F.xxhash64("_id").alias("h"), "_text")
         run = partial(_sets, size=self.size, percent=self.percent, sketch=self.sketch, wanted=self.spark.sparkContext.broadcast(marks(ids)), whole=whole)
-        return docs.mapInArrow(run, "f long, tokens array<long>" if whole else "f long, p1 array<long>, p2 array<long>").dropDuplicates(["f"])
+        return docs.mapInArrow(run, "f long, tokens array<long>" if whole else "f long, p1 array<int>, p2 array<int>, k int").dropDuplicates(["f"])
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Of candidate pairs (a, b), those that pass the other orders' filters and are similar enough."""
@@ -190,8 +205,9 @@ class NgramJoin:
         names = lambda links: links.select(F.col("a").alias("f")).union(links.select(F.col("b").alias("f"))).distinct()
         pairs = checkpointed(pairs)
         first = checkpointed(self.fetch(names(pairs), whole=False))
-        near = pairs.join(side("a", first, "p1", "p2"), "a").join(side("b", first, "p1", "p2"), "b")
-        near = checkpointed(near.where(F.arrays_overlap("p1_a", "p1_b") & F.arrays_overlap("p2_a", "p2_b")).select("a", "b"))
+        near = pairs.join(side("a", first, "p1", "p2", "k"), "a").join(side("b", first, "p1", "p2", "k"), "b")
+        enough = F.size(F.array_intersect("p2_a", "p2_b")) >= F.least("k_a", "k_b")
+        near = checkpointed(near.where(F.arrays_overlap("p1_a", "p1_b") & enough).select("a", "b"))
         sets = checkpointed(self.fetch(names(near), whole=True))  # whole sets move only for pairs that have passed
         full = near.join(side("a", sets, "tokens"), "a").join(side("b", sets, "tokens"), "b")
         met = F.size(F.array_intersect("tokens_a", "tokens_b"))
