@@ -79,7 +79,7 @@ def cells(tokens: np.ndarray) -> list[np.ndarray]:
 
 def least_shared(n: int, percent: int) -> int:
     """How many tokens of its longer prefix under order 2 a set of n tokens shares with any that is similar enough."""
-    return max(1, -(-percent * n // 100) // 4)
+    return max(1, -(-percent * n // 100) // 2)
 
 
 def prefix_size(n: int, percent: int, order: int) -> int:
@@ -157,9 +157,9 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int, percent: int, sketch, wa
                 columns = [sets] if whole else [[prefix(x, sketch.value, percent, order) for x in sets] for order in (1, 2)]
                 if whole:
                     lists, least = [pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], []
-                else:  # half of a token's bits do for a filter; tokens that agree in them count once
-                    columns = [[np.unique(x.astype(np.uint32).view(np.int32)) for x in c] for c in columns]
-                    lists = [pa.array(c, pa.list_(pa.int32())) for c in columns]
+                else:  # 16 of a token's bits do for a filter; tokens that agree in them count once
+                    columns = [[np.unique(x.astype(np.uint16).view(np.int16)) for x in c] for c in columns]
+                    lists = [pa.array(c, pa.list_(pa.int16())) for c in columns]
                     least = [pa.array([least_shared(len(x), percent) - (prefix_size(len(x), percent, 2) - len(c)) for x, c in zip(sets, columns[1], strict=True)], pa.int32())]
                 yield pa.RecordBatch.from_arrays([pa.array(map(identity, sets), pa.int64()), *lists, *least], names=["f", *(["tokens"] if whole else ["p1", "p2", "k"])])
 
@@ -197,7 +197,7 @@ class NgramJoin:
         ids = names.join(self.nodes, "f").select(F.xxhash64("rep").alias("h"))
         docs = self.docs.select("_id", F.xxhash64("_id").alias("h"), "_text")
         run = partial(_sets, size=self.size, percent=self.percent, sketch=self.sketch, wanted=self.spark.sparkContext.broadcast(marks(ids)), whole=whole)
-        return docs.mapInArrow(run, "f long, tokens array<long>" if whole else "f long, p1 array<int>, p2 array<int>, k int").dropDuplicates(["f"])
+        return docs.mapInArrow(run, "f long, tokens array<long>" if whole else "f long, p1 array<smallint>, p2 array<smallint>, k int").dropDuplicates(["f"])
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Of candidate pairs (a, b), those that pass the other orders' filters and are similar enough."""
