@@ -259,6 +259,13 @@ def test_language_model(spark, docs):
         assert r["score"] == pytest.approx(s, rel=1e-4)
 
 
+def test_language_model_cuts_no_node(docs):
+    """However few strings are sent to all tasks, the scores are those of the whole tree."""
+    whole = {r["doc_id"]: r["score"] for r in ctw.score(docs).collect()}
+    for r in ctw.score(docs, max_grams=2000, max_words=200).collect():
+        assert r["score"] == pytest.approx(whole[r["doc_id"]], rel=1e-9)
+
+
 def test_tree_mixes_all_depths():
     """The weighted probability of the root is that of the recursion written out."""
     import numpy as np

@@ -9,13 +9,15 @@ own estimate is the weight with which a prediction stops there. A text's score i
 sum of the mixed log10 probabilities of its bytes and of an end mark; divided by its
 bytes it is a code length.
 
-Spark counts byte strings of depth + 1 in all training texts: each task reduces its texts
-to distinct strings with counts before the shuffle. The tree is built in groups that share
-the two bytes next to the predicted one, of which there are 65,536 at most; only the
-topmost levels, of proven size, are combined elsewhere. The model that is sent to all
-tasks has at most `max_nodes` nodes. A larger tree is pruned to the nodes with the
-largest counts, for which one threshold on the count is read from a table of counts over
-all nodes. Where a context has no node, all that is left of the prediction stops at the
+Spark counts byte strings of depth + 1 in all texts, and how many of each are in training
+texts: each task reduces its texts to distinct strings with counts before the shuffle. The
+tree is built in groups that share the two bytes next to the predicted one, of which there
+are 65,536 at most; only the topmost levels, of proven size, are combined elsewhere and
+sent to all groups. No node is left out: each group scores its own strings with its whole
+part of the tree, which gives a table of log probabilities with a row for each different
+string of the corpus. The `max_grams` most frequent strings go to all tasks as a cache; the
+others of each document are joined to the table by a shuffle. Where a context has no node
+because training texts do not have it, all that is left of the prediction stops at the
 deepest node that it has; without any node it is one half.
 
 The base score is an additive-smoothing word model: words split at ASCII white space,
@@ -39,14 +41,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, checkpointed, slices
+from .common import byte_texts, checkpointed, slices, stage_folder
 from .ngram_join import LOWER
 
 DEPTH = 5
 END = b"\xff"  # never in UTF-8
 SLICE = 2 << 20
-#: Nodes of the model that is sent to all tasks, at 16 bytes each.
-MAX_NODES = 4_000_000
+#: Frequent byte strings whose log probabilities are sent to all tasks, at 16 bytes each; others are joined.
+MAX_GRAMS = 4_000_000
 #: Scores of strings that a worker keeps from batch to batch.
 REMEMBERED = 3_000_000
 
@@ -211,48 +213,53 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _counts(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
-    """Distinct words (kind 0) and byte strings (kind 1) of a task's texts with their counts."""
-    held: list[list] = [[np.empty(0, np.int64), np.empty(0, np.int64)] for _ in range(2)]
+    """Distinct training words (kind 0) and byte strings (kind 1) of a task's texts with their counts n in training texts and m in all."""
+    held: list[list] = [[np.empty(0, np.int64)] * 3 for _ in range(2)]
 
     def out(kind: int) -> pa.RecordBatch:
-        keys, counts = held[kind]
-        held[kind] = [np.empty(0, np.int64), np.empty(0, np.int64)]
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys), pa.array(counts)], names=["kind", "key", "n"])
+        keys, n, m = held[kind]
+        held[kind] = [np.empty(0, np.int64)] * 3
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys), pa.array(n), pa.array(m)], names=["kind", "key", "n", "m"])
 
     for b in slices(batches, "_text", 2 * SLICE):
-        texts = byte_texts(b, "_text")
-        for kind, keys in enumerate((word_hashes(texts)[0], gram_keys(texts, depth)[0])):
-            new, n = np.unique(keys, return_counts=True)
-            held[kind] = list(summed(np.r_[held[kind][0], new], np.r_[held[kind][1], n]))
-            if len(held[kind][0]) > 2_000_000:
-                yield out(kind)
+        texts, learned = byte_texts(b, "_text"), b.column(b.schema.get_field_index("_learn")).to_pylist()
+        for learn in (True, False):
+            part = [t for t, x in zip(texts, learned, strict=True) if x == learn]
+            if not part:
+                continue
+            for kind, keys in enumerate((word_hashes(part)[0] if learn else None, gram_keys(part, depth)[0])):
+                if keys is None:
+                    continue
+                new, m = np.unique(keys, return_counts=True)
+                both = [np.r_[x, y] for x, y in zip(held[kind], (new, m * learn, m), strict=True)]
+                order = np.argsort(both[0], kind="stable")
+                keys, n, m = (x[order] for x in both)
+                starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+                held[kind] = [keys[starts], np.add.reduceat(n, starts), np.add.reduceat(m, starts)]
+                if len(starts) > 2_000_000:
+                    yield out(kind)
     for kind in range(2):
         if len(held[kind][0]):
             yield out(kind)
 
 
-def _levels(table: pa.Table, depth: int, least: int | None) -> pa.Table:
-    """Of the byte strings that share two context bytes: a table of node counts (least None), or nodes and the sums for depth 1."""
+def _sums(table: pa.Table, depth: int) -> pa.Table:
+    """Of the byte strings that share two context bytes: what they add to the nodes of depth 1."""
     keys, counts = summed(np.asarray(table["key"]), np.asarray(table["n"]))
-    if least is None:
-        sizes = []
-        for d in range(depth, 1, -1):
-            keys, counts = summed(keys & ((1 << (8 * (d + 1))) - 1), counts)
-            _, n0, n1 = bit_nodes(keys, counts)
-            sizes.append(n0 + n1)
-        n, times = np.unique(np.concatenate(sizes), return_counts=True)
-        return pa.table({"n": n, "times": times.astype(np.int64)})
-    rows = tree(keys, counts, depth, 2)
-    _, node, n0, n1, _, log = rows[-1]
+    _, node, n0, n1, _, log = tree(keys, counts, depth, 2)[-1]
     order = np.argsort(up := parent(node, 2), kind="stable")
     starts = np.flatnonzero(np.r_[True, up[order][1:] != up[order][:-1]])
-    top = [np.add.reduceat(x[order], starts) for x in (n0, n1, log)]
-    out = [(np.full(len(starts), 1), up[order][starts], top[0], top[1], np.zeros(len(starts)), top[2])]
-    for d, node, n0, n1, share, log in rows:
-        keep = n0 + n1 >= least
-        out.append((np.full(int(keep.sum()), d), node[keep], n0[keep], n1[keep], share[keep], log[keep]))
-    d, node, n0, n1, share, log = (np.concatenate(x) for x in zip(*out, strict=True))
-    return pa.table({"d": d.astype(np.int32), "node": node, "n0": n0, "n1": n1, "share": share, "log": log})
+    return pa.table({"node": up[order][starts], **{k: np.add.reduceat(x[order], starts) for k, x in (("n0", n0), ("n1", n1), ("log", log))}})
+
+
+def _logs(table: pa.Table, depth: int, top) -> pa.Table:
+    """Log10 probabilities of the byte strings that share two context bytes, by the whole tree below those bytes and the top."""
+    keys, n, m = (np.asarray(table[c]) for c in ("key", "n", "m"))
+    levels = list(top.value)
+    if (n > 0).any():
+        levels += [(node, (n1 + 0.5) / (n0 + n1 + 1), share) for _, node, n0, n1, share, _ in tree(*summed(keys[n > 0], n[n > 0]), depth, 2)[::-1]]
+    model = ContextTree(len(levels) - 1, *[[x[i] for x in levels] for i in range(3)])
+    return pa.table({"key": keys, "m": m, "log": model.log10(keys)})
 
 
 def _threshold(sizes: DataFrame, times: str, bound: int) -> int:
@@ -265,28 +272,27 @@ def _threshold(sizes: DataFrame, times: str, bound: int) -> int:
     return 1
 
 
-def fit_tree(grams: DataFrame, depth: int = DEPTH, max_nodes: int = MAX_NODES) -> ContextTree:
-    """The weighted tree from counts (key, n) of byte strings of depth + 1."""
-    grouped = grams.withColumn("g", F.shiftright("key", 8).bitwiseAND(F.lit(65535))).groupBy("g")
-    sizes = grouped.applyInArrow(lambda t: _levels(t, depth, None), "n long, times long")
-    least = _threshold(sizes, "times", max_nodes - (257 * 256))
-    nodes = checkpointed(grouped.applyInArrow(lambda t: _levels(t, depth, least), "d int, node long, n0 long, n1 long, share double, log double"))
-    top = nodes.where("d = 1").groupBy("node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("log").alias("log")).orderBy("node").toArrow()  # 256 * 255 rows at most
-    out: list[tuple] = [()] * (depth + 1)
+def fit_top(grams: DataFrame, depth: int = DEPTH) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(nodes, estimates of a 1, own shares) of depths 0 and 1, from counts (g, key, n) of byte strings of depth + 1."""
+    sums = grams.where("n > 0").groupBy("g").applyInArrow(lambda t: _sums(t, depth), "node long, n0 long, n1 long, log double")
+    top = sums.groupBy("node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("log").alias("log")).orderBy("node").toArrow()  # 256 * 255 rows at most
+    out = []
     node, n0, n1, log = (np.asarray(top[c]) for c in ("node", "n0", "n1", "log"))
-    for d in (1, 0):
+    for _ in (1, 0):
         total, share = weighted(node, n0, n1, (node, log))
-        out[d] = (node, ((n1 + 0.5) / (n0 + n1 + 1)).astype(np.float32), share.astype(np.float32))
+        out.append((node, (n1 + 0.5) / (n0 + n1 + 1), share))
         up = parent(node, 1)
         order = np.argsort(up, kind="stable")
         starts = np.flatnonzero(np.r_[True, up[order][1:] != up[order][:-1]]) if len(up) else np.empty(0, np.int64)
         node, n0, n1, log = [up[order][starts], *[np.add.reduceat(x[order], starts) if len(starts) else x for x in (n0, n1, total)]]
-    for d in range(2, depth + 1):
-        got = nodes.where(F.col("d") == d).select("node", ((F.col("n1") + 0.5) / (F.col("n0") + F.col("n1") + 1)).cast("float").alias("p"), F.col("share").cast("float").alias("s")).toArrow()
-        key = np.asarray(got["node"])
-        order = np.argsort(key, kind="stable")
-        out[d] = (key[order], np.asarray(got["p"])[order], np.asarray(got["s"])[order])
-    return ContextTree(depth, [x[0] for x in out], [x[1] for x in out], [x[2] for x in out])
+    return out[::-1]
+
+
+def gram_logs(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(key, m, log) of each byte string of (key, n, m): its log10 probability by the whole tree of the strings that have n."""
+    grams = grams.withColumn("g", F.shiftright("key", 8).bitwiseAND(F.lit(65535)).cast("int"))
+    top = grams.sparkSession.sparkContext.broadcast(fit_top(grams, depth))
+    return checkpointed(grams.groupBy("g").applyInArrow(lambda t: _logs(t, depth, top), "key long, m long, log double"))
 
 
 @dataclass
@@ -302,11 +308,19 @@ class WordModel:
         return np.log10((c + 0.1) / (self.tokens + 0.1 * (self.distinct + 1)))
 
 
-def _scored(batches: Iterator[pa.RecordBatch], model, words) -> Iterator[pa.RecordBatch]:
-    """A row for each text with what frequent words and the tree give; then one for each other word of it, with h."""
+def _rest(keys: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, key, how often) of different keys of each owner."""
+    order = np.lexsort((keys, owner))
+    owner, keys = owner[order], keys[order]
+    starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])]) if len(keys) else np.empty(0, np.int64)
+    return owner[starts], keys[starts], np.diff(np.r_[starts, len(keys)])
+
+
+def _scored(batches: Iterator[pa.RecordBatch], depth: int, grams, words) -> Iterator[pa.RecordBatch]:
+    """A row for each text (kind 0) with what frequent words and byte strings give; then one for each other word (1) and byte string (2) of it, with h."""
     from pyspark import TaskContext
 
-    scorer, vocabulary = Scorer(model.value), words.value
+    (frequent, logs), vocabulary = grams.value, words.value
     row = TaskContext.get().partitionId() << 33
     for b in slices(batches, "_text", SLICE):
         texts = byte_texts(b, "_text")
@@ -317,60 +331,79 @@ def _scored(batches: Iterator[pa.RecordBatch], model, words) -> Iterator[pa.Reco
         owner = np.repeat(np.arange(n), size)
         base = np.bincount(owner[known], vocabulary.log10(vocabulary.counts[at[known]]) if known.any() else None, n)
         hits = np.bincount(owner[known], minlength=n)
-        order = np.lexsort((keys[~known], owner[~known]))
-        rare_owner, rare = owner[~known][order], keys[~known][order]
-        starts = np.flatnonzero(np.r_[True, (rare[1:] != rare[:-1]) | (rare_owner[1:] != rare_owner[:-1])]) if len(rare) else np.empty(0, np.int64)
-        times = np.diff(np.r_[starts, len(rare)])
-        m = len(starts)
-        none = pa.nulls(m, b.schema.field(0).type)
+        rest = [_rest(keys[~known], owner[~known])]
+        strings, length = gram_keys(texts, depth)
+        owner = np.repeat(np.arange(n), length)
+        distinct, back = np.unique(strings, return_inverse=True)
+        at = np.minimum(np.searchsorted(frequent, distinct), max(len(frequent) - 1, 0))
+        known = frequent[at] == distinct if len(frequent) else np.zeros(len(distinct), bool)
+        log = np.zeros(len(distinct))
+        log[known] = logs[at[known]]
+        score = np.bincount(owner, log[back], n)
+        rest.append(_rest(strings[~known[back]], owner[~known[back]]))
+        m = [len(x[0]) for x in rest]
+        more = np.zeros(sum(m), np.int64)
         yield pa.RecordBatch.from_arrays(
             [
-                pa.concat_arrays([b.column(0), none]),
-                pa.array(np.r_[row + np.arange(n), row + rare_owner[starts]]),
-                pa.array(np.r_[np.zeros(n, np.int64), rare[starts]], mask=np.r_[np.ones(n, bool), np.zeros(m, bool)]),
-                pa.array(np.r_[size, times]),
-                pa.array(np.r_[hits, np.zeros(m, np.int64)]),
-                pa.array(np.r_[base, np.zeros(m)]),
-                pa.array(np.r_[scorer.scores(texts), np.zeros(m)]),
-                pa.array(np.r_[np.fromiter(map(len, texts), np.int64, n), np.zeros(m, np.int64)]),
+                pa.concat_arrays([b.column(0), pa.nulls(sum(m), b.schema.field(0).type)]),
+                pa.array(row + np.r_[np.arange(n), rest[0][0], rest[1][0]]),
+                pa.array(np.repeat(np.arange(3, dtype=np.int32), [n, *m])),
+                pa.array(np.r_[np.zeros(n, np.int64), rest[0][1], rest[1][1]]),
+                pa.array(np.r_[size, rest[0][2], rest[1][2]]),
+                pa.array(np.r_[hits, more]),
+                pa.array(np.r_[base, more].astype(float)),
+                pa.array(np.r_[score, more].astype(float)),
+                pa.array(np.r_[np.fromiter(map(len, texts), np.int64, n), more]),
             ],
-            names=["_id", "row", "h", "n", "known", "base", "score", "bytes"],
+            names=["_id", "row", "kind", "h", "n", "known", "base", "score", "bytes"],
         )
         row += n
 
 
-def score(df: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, max_nodes: int = MAX_NODES, max_words: int = MAX_WORDS) -> DataFrame:
+def score(df: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, max_grams: int = MAX_GRAMS, max_words: int = MAX_WORDS) -> DataFrame:
     """One row for each row of df: id, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte; learns from rows where `learn` holds."""
     from pyspark.sql import types as T
 
+    spark = df.sparkSession
     learn = ~held_out(id_col) if learn is None else learn
     text = F.col(text_col).cast("string").alias("_text")
-    counts = df.where(learn).select(text).mapInArrow(partial(_counts, depth=depth), "kind int, key long, n long")
-    counts = checkpointed(counts.groupBy("kind", "key").agg(F.sum("n").alias("n")))
+    counts = df.select(text, F.coalesce(learn, F.lit(False)).alias("_learn")).mapInArrow(partial(_counts, depth=depth), "kind int, key long, n long, m long")
+    counts = checkpointed(counts.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("m").alias("m")))
     vocabulary = counts.where("kind = 0").select(F.col("key").alias("h"), F.col("n").alias("c"))
     totals = vocabulary.agg(F.sum("c").alias("tokens"), F.count("*").alias("distinct")).first()
     least = _threshold(vocabulary.select(F.col("c").alias("n"), F.lit(1).alias("times")), "times", max_words)
     often = vocabulary.where(F.col("c") >= least).toArrow()
     order = np.argsort(np.asarray(often["h"]), kind="stable")
     words = WordModel(np.asarray(often["h"])[order], np.asarray(often["c"])[order], totals["tokens"] or 0, totals["distinct"])
-    model = fit_tree(counts.where("kind = 1").select("key", "n"), depth, max_nodes)
-    sc = df.sparkSession.sparkContext
-    fields = [("row", T.LongType()), ("h", T.LongType()), ("n", T.LongType()), ("known", T.LongType()), ("base", T.DoubleType()), ("score", T.DoubleType()), ("bytes", T.LongType())]
+    logs = gram_logs(counts.where("kind = 1").select("key", "n", "m"), depth)
+    least_m = _threshold(logs.select(F.col("m").alias("n"), F.lit(1).alias("times")), "times", max_grams)
+    often = logs.where(F.col("m") >= least_m).select("key", "log").toArrow()  # max_grams rows at most
+    order = np.argsort(np.asarray(often["key"]), kind="stable")
+    frequent = np.asarray(often["key"])[order], np.asarray(often["log"])[order]
+    del often
+    sc = spark.sparkContext
+    fields = [("row", T.LongType()), ("kind", T.IntegerType()), ("h", T.LongType()), ("n", T.LongType()), ("known", T.LongType()), ("base", T.DoubleType()), ("score", T.DoubleType()), ("bytes", T.LongType())]
     docs = df.select(F.col(id_col).alias("_id"), text)
     schema = T.StructType([docs.schema["_id"], *[T.StructField(a, b) for a, b in fields]])
-    rows = checkpointed(docs.mapInArrow(partial(_scored, model=sc.broadcast(model), words=sc.broadcast(words)), schema))
+    path = f"{stage_folder(spark)}/rows"  # as Parquet: there may be many rare strings
+    docs.mapInArrow(partial(_scored, depth=depth, grams=sc.broadcast(frequent), words=sc.broadcast(words)), schema).write.parquet(path)
+    rows = spark.read.schema(schema).parquet(path)
     c = F.coalesce(F.col("c"), F.lit(0))
     log = F.log10((c + 0.1) / F.lit(words.tokens + 0.1 * (words.distinct + 1)))
-    rare = rows.where("h is not null").join(vocabulary.where(F.col("c") < least), "h", "left")
-    rare = rare.groupBy("row").agg(F.sum(F.col("n") * log).alias("more"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("also"))
-    out = rows.where("h is null").join(rare, "row", "left")
+    rare = rows.where("kind = 1").select("row", "h", "n").join(vocabulary.where(F.col("c") < least), "h", "left")
+    rare = rare.select("row", (F.col("n") * log).alias("more"), F.when(c > 0, F.col("n")).otherwise(0).alias("also"), F.lit(0.0).alias("gram"))
+    strings = rows.where("kind = 2").select("row", F.col("h").alias("key"), "n").join(logs.where(F.col("m") < least_m), "key")
+    rare = rare.unionByName(strings.select("row", F.lit(0.0).alias("more"), F.lit(0).cast("long").alias("also"), (F.col("n") * F.col("log")).alias("gram")))
+    rare = rare.groupBy("row").agg(*[F.sum(x).alias(x) for x in ("more", "also", "gram")])
+    total = F.col("score") + F.coalesce("gram", F.lit(0.0))
+    out = rows.where("kind = 0").drop("kind", "h").join(rare, "row", "left")
     return out.select(
         F.col("_id").alias(id_col),
         F.col("n").alias("n_tokens"),
         (F.col("known") + F.coalesce("also", F.lit(0))).cast("long").alias("n_known"),
         F.lit(words.tokens).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
-        "score",
+        total.alias("score"),
         F.col("bytes").alias("n_bytes"),
-        (-F.col("score") / math.log10(2) / F.greatest("bytes", F.lit(1))).alias("bits_per_byte"),
+        (-total / math.log10(2) / F.greatest("bytes", F.lit(1))).alias("bits_per_byte"),
     )
