@@ -157,6 +157,14 @@ def test_entry_states_compose():
     assert token_count.entry_states(classes, table).tolist() == expected
 
 
+def test_one_of_each_goes_by_row(spark):
+    one, two = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40))
+    rows = [(5, one), (5, two), (9, two + " end"), (3, two + " more"), (None, one + " end"), (None, "a text of its own"), (None, "another text of its own"), (None, "another text of its own"), (7, None), (7, "")]
+    left = ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), size=5, percent=80).collect()
+    expected = [(5, one), (3, two + " more"), (None, "a text of its own"), (None, "another text of its own"), (7, None), (7, "")]
+    assert sorted(map(str, map(tuple, left))) == sorted(map(str, expected))
+
+
 # 4 exact duplicates
 
 
@@ -172,6 +180,15 @@ def test_exact_dedup(spark, odd, empty, docs, duck):
     assert exact_dedup.groups(empty).count() == 0
 
 
+def test_deduplicate_goes_by_row(spark):
+    rows = [(5, "A", 1), (5, "B", 2), (9, "B", 3), (None, "B", 4), (None, "C", 5), (None, "D", 6), (None, "D", 7), (7, "E", 8), (7, "E", 9), (7, "F", 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, x int")
+    left = [tuple(r) for r in exact_dedup.deduplicate(df).collect()]
+    assert sorted(str(r[:2]) for r in left) == sorted(map(str, [(5, "A"), (9, "B"), (None, "C"), (None, "D"), (7, "E"), (7, "F")]))
+    again = [tuple(r) for r in exact_dedup.deduplicate(df.repartition(5)).collect()]
+    assert sorted(map(str, left)) == sorted(map(str, again))
+
+
 # 5 personal data
 
 

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -50,6 +50,24 @@ def stage_folder(spark: SparkSession) -> str:
     return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/tables-{uuid.uuid4().hex}"
 
 
+def thinned(df: DataFrame, keys: list[Column], gone: DataFrame, repeated: DataFrame) -> DataFrame:
+    """df without the rows whose keys are rows of `gone`, and with one row for each row of keys in `repeated`; null keys agree.
+
+    Of rows with a repeated key, the one whose columns have the smallest hash stays, however the rows are dealt.
+    """
+    names = [f"_thinned_{i}" for i in range(len(keys))]
+    marks = [f"{n}_x" for n in names]
+    keyed = df.withColumns(dict(zip(names, keys, strict=True)))
+    same = [F.col(n).eqNullSafe(F.col(m)) for n, m in zip(names, marks, strict=True)]
+    left = keyed.join(gone.toDF(*marks), same, "left_anti")
+    if repeated.limit(1).count():
+        more = repeated.toDF(*marks)
+        row = F.struct(*df.columns)
+        first = left.join(more, same, "left_semi").groupBy(*names).agg(F.min_by(row, F.sha2(F.to_json(row), 256)).alias("_thinned_row"))
+        left = left.join(more, same, "left_anti").select(*df.columns).unionByName(first.select("_thinned_row.*"))
+    return left.select(*df.columns)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each holds about `limit` bytes of the text column, or one row."""
     for batch in batches:

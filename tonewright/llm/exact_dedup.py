@@ -30,7 +30,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, thinned
 
 BLOCK_BYTES = 4096
 HEAD_BYTES = 64
@@ -44,11 +44,15 @@ def named(distinct: DataFrame, *keys: str) -> DataFrame:
     return distinct.withColumn("_bucket", bucket).withColumn("_name", F.col("_bucket") + F.lit(BUCKETS) * place).drop("_bucket")
 
 
+def text_bytes(text_col: str, normalise: Callable[[Column], Column] | None) -> Column:
+    """What is compared of a text."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return (normalise(text) if normalise else text).cast("binary")
+
+
 def identities(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", normalise: Callable[[Column], Column] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(id, _sha, _size, _name, _alone) of each row: rows with equal texts, and only those, agree in the last three."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    whole = (normalise(text) if normalise else text).cast("binary")
-    base = df.select(F.col(id_col).alias("_id"), whole.alias("_bytes")).select("_id", "_bytes", F.octet_length("_bytes").cast("long").alias("_size"), F.substring("_bytes", 1, HEAD_BYTES).alias("_head"))
+    base = df.select(F.col(id_col).alias("_id"), text_bytes(text_col, normalise).alias("_bytes")).select("_id", "_bytes", F.octet_length("_bytes").cast("long").alias("_size"), F.substring("_bytes", 1, HEAD_BYTES).alias("_head"))
     row_key = F.struct("_id", F.sha2("_bytes", 256).alias("_sha"))
     shared = base.groupBy("_size", "_head").agg(F.count("*").alias("_n")).where("_n > 1").select("_size", "_head")
     open_rows = base.join(shared, ["_size", "_head"], "left_semi")
@@ -90,9 +94,9 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", normal
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", normalise: Callable[[Column], Column] | None = None) -> DataFrame:
     """The rows of df that stay, one for each distinct text, with df's columns.
 
-    Rows that repeat the id of a row that stays come down to one.
+    A row goes by its id and text together: other texts under the same id, or under a null id, stay.
     """
-    verdict = groups(df, id_col, text_col, normalise).where(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct()
-    left = df.join(verdict, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
-    repeated = df.groupBy(id_col).agg(F.count("*").alias("_n")).where("_n > 1").limit(1).count()
-    return left.dropDuplicates([id_col]) if repeated else left
+    found = groups(df, id_col, text_col, normalise).select(id_col, "text_sha256", "kept")
+    gone = found.where(~F.col("kept")).select(id_col, "text_sha256").distinct()
+    repeated = found.where("kept").groupBy(id_col, "text_sha256").agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    return thinned(df, [F.col(id_col), F.sha2(text_bytes(text_col, normalise), 256)], gone, repeated)

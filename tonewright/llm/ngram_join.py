@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_texts, checkpointed, marked, marks, slices
+from .common import byte_texts, checkpointed, marked, marks, slices, thinned
 from .graph import components
 
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -254,7 +254,14 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of df, with its columns, whose document names its component."""
-    found = groups(df, id_col, text_col, size, percent)
-    gone = found.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_gone")).distinct()
-    return df.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+    """One row of df, with its columns, of each component: that of the least id, and of its texts the one with the least hash; rows without words all stay.
+
+    A row goes by its id and text together, so that other texts under the same id, or under a null id, are not lost with it.
+    """
+    hashed = F.xxhash64(F.col(text_col).cast("string"))
+    row = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), hashed.alias("h"))  # ids before nulls
+    found = groups(df.select(row.alias("_row"), F.col(text_col).alias("_text")), "_row", "_text", size, percent)
+    kept = F.col("_row") == F.col("component_id")
+    gone = found.where(~kept).select("_row.id", "_row.h").distinct()
+    repeated = found.where(kept & (F.col("n_shingles") > 0)).groupBy("_row").agg(F.count("*").alias("_n")).where("_n > 1").select("_row.id", "_row.h")
+    return thinned(df, [F.col(id_col), hashed], gone, repeated)
