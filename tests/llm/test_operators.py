@@ -157,6 +157,16 @@ def test_entry_states_compose():
     assert token_count.entry_states(classes, table).tolist() == expected
 
 
+def test_all_links_by_brute_force(spark):
+    texts = variants(60) | {1000: "", 1001: None, 1002: "alone"}
+    sets = {d: {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if (w := (t or "").split()) else set() for d, t in texts.items()}
+    similar = lambda a, b: bool(a & b) and 100 * len(a & b) >= 80 * len(a | b)
+    expected = {d: sum(similar(a, b) for e, b in sets.items() if e != d) for d, a in sets.items()}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    assert {r["doc_id"]: r["n_links"] for r in ngram_join.link_counts(df).collect()} == expected
+    assert sum(expected.values()) > 2 * len(texts)
+
+
 def test_one_of_each_goes_by_row(spark):
     one, two = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40))
     rows = [(5, one), (5, two), (9, two + " end"), (3, two + " more"), (None, one + " end"), (None, "a text of its own"), (None, "another text of its own"), (None, "another text of its own"), (7, None), (7, "")]

@@ -16,7 +16,11 @@ only decides the orders, never which pairs are found. Equal sets are one node fr
 start. In a group of near copies, each set is first verified against one leader; what is
 linked then needs no further comparison within its component, so that only pairs from
 different components are generated afterwards. No link between different components is
-missed, and a large group costs a row for each member instead of all pairs.
+missed, and a large group costs a row for each member instead of all pairs. These are the
+spanning links, which are enough for `groups`. `links` gives all links between different
+sets, also those inside a component, and `link_counts` how many rows each row is linked
+with. Their candidates come from the same prefixes; copies are one node with a weight. Their
+number is that of the links, so it grows with the square of a group of near copies.
 
 Words are split at ASCII white space and ASCII letters lower-cased. A text with fewer
 words than a shingle has one token, the whole sequence; null texts, empty texts and texts
@@ -171,7 +175,7 @@ def possible(na: Column, nb: Column, ia: Column, ib: Column, percent: int) -> Co
 
 
 class NgramJoin:
-    """One run of the join: `sets` has (id, n, f) of each row; `links()` and `groups()` do the rest."""
+    """One run of the join: `sets` has (id, n, f) of each row; `groups()`, `links()` and `link_counts()` do the rest."""
 
     def __init__(self, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80):
         self.spark, self.size, self.percent = df.sparkSession, size, percent
@@ -213,12 +217,34 @@ class NgramJoin:
         met = F.size(F.array_intersect("tokens_a", "tokens_b"))
         return checkpointed(full.where(100 * met >= self.percent * (F.size("tokens_a") + F.size("tokens_b") - met)).select("a", "b"))
 
-    def links(self) -> tuple[DataFrame, DataFrame]:
-        """Links (a, b) between different sets that give the same components as all links, and (node, component)."""
+    def hits(self) -> DataFrame:
+        """(token, f, n, at) of the prefix tokens that several sets have."""
         run = partial(_postings, size=self.size, percent=self.percent, sketch=self.sketch)
         postings = self.docs.select("_text").mapInArrow(run, "token long, f long, n int, at int")
         shared = postings.groupBy("token").agg(F.min("f").alias("f0"), F.max("f").alias("f1")).where("f0 <> f1").select("token")
-        hits = checkpointed(postings.join(shared, "token").dropDuplicates(["token", "f"]))
+        return checkpointed(postings.join(shared, "token").dropDuplicates(["token", "f"]))
+
+    def links(self) -> DataFrame:
+        """All links (a, b), a < b, between different sets."""
+        hits = self.hits()
+        a, b = (hits.select("token", *[F.col(x).alias(f"{x}_{side}") for x in ("f", "n", "at")]) for side in "ab")
+        fits = possible(F.col("n_a"), F.col("n_b"), F.col("at_a"), F.col("at_b"), self.percent)
+        pairs = a.join(b, "token").where((F.col("f_a") < F.col("f_b")) & fits)
+        return self.verified(pairs.select(F.col("f_a").alias("a"), F.col("f_b").alias("b")).distinct())
+
+    def link_counts(self) -> DataFrame:
+        """One row for each document: id, n_shingles, n_links, the number of other rows that it is linked with, copies among them."""
+        copies = self.sets.where("n > 0").groupBy("f").agg(F.count("*").alias("k"))
+        links = self.links()
+        ends = links.select(F.col("a").alias("to"), F.col("b").alias("f")).unionByName(links.select(F.col("b").alias("to"), F.col("a").alias("f")))
+        more = ends.join(copies, "f").groupBy(F.col("to").alias("f")).agg(F.sum("k").alias("more"))
+        out = self.sets.join(copies, "f", "left").join(more, "f", "left")
+        n_links = F.coalesce(F.col("k") - 1, F.lit(0)) + F.coalesce("more", F.lit(0))
+        return out.select(F.col("_id").alias(self.id_col), F.col("n").cast("long").alias("n_shingles"), n_links.cast("long").alias("n_links"))
+
+    def spanning_links(self) -> tuple[DataFrame, DataFrame]:
+        """Links (a, b) between different sets that give the same components as all links, and (node, component)."""
+        hits = self.hits()
         lead = hits.groupBy("token").agg(F.min(F.struct("at", "f", "n")).alias("l"))
         star = hits.join(lead, "token").where(F.col("f") != F.col("l.f")).where(possible(F.col("n"), F.col("l.n"), F.col("at"), F.col("l.at"), self.percent))
         star = star.groupBy("f", F.col("l.f").alias("b")).agg(F.count("*").alias("k")).groupBy("f").agg(F.max_by("b", F.struct("k", "b")).alias("b"))
@@ -239,7 +265,7 @@ class NgramJoin:
 
     def groups(self) -> DataFrame:
         """One row for each document: id, n_shingles, component_id."""
-        _, label = self.links()
+        _, label = self.spanning_links()
         named = self.sets.join(label.select(F.col("node").alias("f"), "component"), "f", "left")
         # Nodes have 64-bit names of their own; documents without words stand alone.
         named = checkpointed(named.withColumn("component", F.when(F.col("n") > 0, F.coalesce("component", "f"))))
@@ -253,6 +279,11 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     return NgramJoin(df, id_col, text_col, size, percent).groups()
 
 
+def link_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """How many other rows each document is similar to, by all links and not only those that give the components."""
+    return NgramJoin(df, id_col, text_col, size, percent).link_counts()
+
+
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """One row of df, with its columns, of each component: that of the least id, and of its texts the one with the least hash; rows without words all stay.
 
