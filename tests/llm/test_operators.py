@@ -59,6 +59,14 @@ def test_html_never_fails(page):
     assert "no such" not in html_text.visible_text(page)
 
 
+def test_html_loses_no_visible_text():
+    assert html_text.visible_text("<p>İİİİİİİİİİ<script>no</script>yes<p>more") == "İİİİİİİİİİyes\n\nmore"
+    svg = "a<svg><title>no</title><defs/><path d='M0 0'/><defs><text>no</text></defs><text x=1>b</text><text>c</text><style/><text>d</text></svg>e"
+    assert html_text.visible_text(svg).split() == ["a", "b", "c", "d", "e"]
+    assert html_text.visible_text("<math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></math> and <map name=m>link<area></map>") == "x=2 and link"
+    assert html_text.visible_text("<table><caption>Top<tr><td colspan=1000>a<td>b<tr><td colspan=5000>c<td>d</table>").split() == ["Top", "a", "b", "c", "d"]
+
+
 def test_html_query(spark, small):
     out = queries.op1_html_text(spark, small)
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{small}/pages.parquet").collect()}

@@ -7,7 +7,8 @@ that a browser would show.
 
 Not shown: head, scripts, styles, templates, frames' fallbacks, comments, elements with
 `hidden`, `display:none` or `visibility:hidden`, closed details but for their summary, and
-data-only elements. Blocks begin on lines of their own, paragraphs, headings, lists, tables
+data-only elements. Text of svg and math is shown but for their descriptions, definitions
+and annotations, and so is what a map holds. Blocks begin on lines of their own, paragraphs, headings, lists, tables
 and quotes stand between blank lines, list items get their bullet or number and are
 indented by depth, and the cells of a table are padded so that columns line up. Runs of
 white space become one space, except in pre and textarea.
@@ -35,7 +36,8 @@ from .common import slices, texts_of
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes".split())
 RAW_WITH_ENTITIES = frozenset("title textarea".split())
-UNSEEN = frozenset("head script style title template noscript iframe noembed noframes datalist audio video canvas object svg math param source track meta link base area map".split())
+RAW_ENDS = {name: re.compile(f"</{name}", re.IGNORECASE | re.ASCII) for name in RAW | RAW_WITH_ENTITIES}
+UNSEEN = frozenset("head script style title template noscript iframe noembed noframes datalist audio video canvas object param source track meta link base area".split())
 HEAD_ONLY = frozenset("base link meta title style script template noscript".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table ul".split())
 SPACED = frozenset("blockquote dir dl fieldset figure h1 h2 h3 h4 h5 h6 hr menu ol p pre table ul".split())
@@ -56,6 +58,12 @@ ENDS = {
     "rt": (frozenset(["rt", "rp"]), frozenset(["ruby"])),
     "rp": (frozenset(["rt", "rp"]), frozenset(["ruby"])),
 }
+#: Not shown inside svg or math; elsewhere these names mean nothing.
+FOREIGN_UNSEEN = frozenset("annotation annotation-xml clippath defs desc lineargradient marker mask metadata pattern radialgradient symbol".split())
+#: A slash at a tag's end that belongs to a value.
+VALUE_SLASH = re.compile(r"=\s*(?:[^\s\"'=][^\s\"']*)?/$")
+#: Stands for the span of a caption; cells span 1 column or more.
+CAPTION = 0
 #: An end tag of a name does not close elements outside of these.
 WALLS = frozenset("table td th caption button html body".split())
 
@@ -87,6 +95,10 @@ class Builder:
         self.open: list[Node] = [self.root]
         self.body: Node | None = None
 
+    def foreign(self) -> bool:
+        """Whether the open element is part of svg or math."""
+        return next((x.name != "foreignobject" for x in reversed(self.open) if x.name in ("svg", "math", "foreignobject")), False)
+
     def add(self, name: str, given: dict[str, str]) -> Node:
         node = Node(name, given)
         self.open[-1].children.append(node)
@@ -172,7 +184,7 @@ class Builder:
 
 
 def parse(page: str) -> Node:
-    build, at, low = Builder(), 0, None
+    build, at = Builder(), 0
     while at < len(page):
         m = TOKEN.search(page, at)
         if m is None:
@@ -188,11 +200,16 @@ def parse(page: str) -> Node:
         if m[1]:
             build.end(name)
             continue
-        build.start(name, attributes(m[3]) if m[3] and not m[3].isspace() else {})
+        given = attributes(m[3]) if m[3] and not m[3].isspace() else {}
+        if name in FOREIGN_UNSEEN and build.foreign():
+            given["hidden"] = ""
+        build.start(name, given)
+        if m[3].endswith("/") and name not in VOID and not VALUE_SLASH.search(m[3]) and build.foreign():
+            build.end(name)
+            continue
         if name in RAW or name in RAW_WITH_ENTITIES:
-            low = page.lower() if low is None else low
-            stop = low.find(f"</{name}", at)
-            stop = len(page) if stop < 0 else stop
+            m = RAW_ENDS[name].search(page, at)
+            stop = m.start() if m else len(page)
             raw = page[at:stop]
             build.text(html.unescape(raw) if name in RAW_WITH_ENTITIES else raw)
             at = stop
@@ -327,7 +344,7 @@ def render(root: Node) -> str:
             elif name == "table":
                 w.block(2)
                 tables.append([])
-            elif name in BLOCKS:
+            elif name in BLOCKS or name == "text":  # each text of an svg stands apart
                 w.block(2 if name in SPACED and not (name in ("ul", "ol") and lists) else 1)
             if name in ("ul", "ol", "menu", "dir"):
                 lists.append([name == "ol", number(node.attributes.get("start", ""), 0, 1)])
@@ -353,14 +370,14 @@ def render(root: Node) -> str:
         if name in ("td", "th", "caption") and tables:
             lines = writers.pop().done()
             if name == "caption":
-                tables[-1].append([(1000, lines)])
+                tables[-1].append([(CAPTION, lines)])
             else:
                 if not tables[-1]:
                     tables[-1].append([])
                 tables[-1][-1].append((number(node.attributes.get("colspan", ""), 1, 1), lines))
         elif name == "table":
-            captions = [row[0][1] for row in tables[-1] if row and row[0][0] == 1000]
-            rows = [row for row in tables.pop() if row and row[0][0] != 1000]
+            captions = [row[0][1] for row in tables[-1] if row and row[0][0] == CAPTION]
+            rows = [row for row in tables.pop() if row and row[0][0] != CAPTION]
             for lines in [*captions, table_lines(rows) if rows else []]:
                 for line in lines:
                     w.line = [line]
@@ -369,7 +386,7 @@ def render(root: Node) -> str:
         elif name in ("pre", "textarea", "xmp"):
             exact -= 1
             w.block(2 if name == "pre" else 1)
-        elif name in BLOCKS:
+        elif name in BLOCKS or name == "text":
             w.block(2 if name in SPACED and not (name in ("ul", "ol") and len(lists) > 1) else 1)
         if name in ("ul", "ol", "menu", "dir") and lists:
             lists.pop()
