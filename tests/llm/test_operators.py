@@ -240,6 +240,16 @@ def test_pii_keeps_entities_apart(spark):
 # 6 toxicity
 
 
+def test_pii_names_never_run_out(spark):
+    """Another round has more surrogates than the 12 ** 3 that three parts give."""
+    names = spark.range(6000).select(F.lit("name").alias("kind"), F.concat(F.lit("m:Ж"), F.col("id").cast("string")).alias("entity"), "id")
+    names = names.withColumn("entity", F.translate("entity", "0123456789", "абвгдежзик"))
+    later = [names.select(pii.proposal(F.col("kind"), F.col("entity"), "k", F.lit(a)).alias("s")).distinct().count() for a in (4, 5, 6)]
+    assert later[0] <= 12**3 < later[1] < later[2]
+    got = pii.surrogates(names.select("kind", "entity"), "k")
+    assert got.count() == got.select("surrogate").distinct().count() == 6000
+
+
 def test_toxicity_held_out(spark):
     base = "/root/testdata/sf0.01"
     scored = queries.op6_toxicity(spark, base).where("held_out").join(spark.read.parquet(f"{base}/labels.parquet"), "doc_id").collect()

@@ -13,7 +13,9 @@ gender of the form of address, which stays, and the script.
 Collision checks run over the whole corpus in rounds: a surrogate is refused if another
 entity was given it, if two entities ask for it (the smaller one keeps it), or if it is
 itself an entity of the corpus. Refused entities ask again with another hash; after some
-rounds surrogates of names and addresses grow longer, so that the rounds end.
+rounds surrogates of names and addresses grow longer with each round, so that there are
+enough however many the corpus has. Numbers keep their length: of a kind and length there
+must be fewer entities than half of all such numbers.
 
 Only rows with entities are shuffled; all other rows pass. Texts: null stays null and
 empty stays empty; very long texts are read whole; repeated rows are treated alike. An
@@ -59,9 +61,9 @@ def _value(h: Column, i: Column, of: int) -> Column:
     return (F.conv(F.substr(h, at, F.lit(4)), 16, 10).cast("int") % of).cast("int")
 
 
-def _pick(h: Column, i: int, words: str) -> Column:
+def _pick(h: Column, i: int | Column, words: str) -> Column:
     all_words = words.split(" ")
-    return F.element_at(F.array(*map(F.lit, all_words)), _value(h, F.lit(i), len(all_words)) + 1)
+    return F.element_at(F.array(*map(F.lit, all_words)), _value(h, F.lit(i) if isinstance(i, int) else i, len(all_words)) + 1)
 
 
 def _letters(text: Column, h: Column) -> Column:
@@ -111,7 +113,7 @@ def proposal(kind: Column, entity: Column, key: str, attempt: Column) -> Column:
     top = F.substring_index(domain, ".", -1)
     site = F.substr(domain, F.lit(1), F.length(domain) - F.length(top))
     of_site = F.sha2(F.concat_ws("\u0001", F.lit(key), F.lit("domain"), domain), 512)
-    email = F.concat(_letters(local, h), F.when(longer, _digits(F.reverse(h), F.lit(6))).otherwise(""), F.lit("@"), _letters(site, of_site), top)
+    email = F.concat(_letters(local, h), F.when(longer, _digits(F.reverse(h), attempt - LENGTHEN_AFTER + 6)).otherwise(""), F.lit("@"), _letters(site, of_site), top)
     octets = F.concat_ws(".", *[(_value(h, F.lit(i), 254) + 1).cast("string") for i in range(4)])
     code, number = F.regexp_extract(entity, r"^(\d+\+)?", 0), F.regexp_replace(entity, r"^\d+\+", "")
     phone = F.concat(code, _digits(h, F.length(number)))
@@ -122,8 +124,9 @@ def proposal(kind: Column, entity: Column, key: str, attempt: Column) -> Column:
     cyrillic = entity.rlike(r"\p{IsCyrillic}")
     female = entity.startswith("f:")
     given = F.when(cyrillic & female, _pick(h, 0, GIVEN["cyrillic", "f"])).when(cyrillic, _pick(h, 0, GIVEN["cyrillic", "m"])).when(female, _pick(h, 0, GIVEN["latin", "f"])).otherwise(_pick(h, 0, GIVEN["latin", "m"]))
-    family = [F.when(cyrillic, _pick(h, i, FAMILY["cyrillic"])).otherwise(_pick(h, i, FAMILY["latin"])) for i in (1, 2, 3)]
-    double = F.when(longer, F.concat(family[0], F.lit("-"), family[1], F.lit("-"), family[2])).when(attempt > 0, F.concat(family[0], F.lit("-"), family[1])).otherwise(family[0])
+    parts = F.when(longer, attempt - LENGTHEN_AFTER + 3).when(attempt > 0, 2).otherwise(1)
+    family = F.transform(F.sequence(F.lit(1), parts), lambda i: F.when(cyrillic, _pick(h, i, FAMILY["cyrillic"])).otherwise(_pick(h, i, FAMILY["latin"])))
+    double = F.array_join(family, "-")
     name = F.concat(F.substr(entity, F.lit(1), F.lit(2)), F.when(entity.contains(" "), F.concat(given, F.lit(" "), double)).otherwise(double))
     return F.when(kind == "email", email).when(kind == "ipv4", octets).when(kind == "phone", phone).when(kind == "card", card).when(kind == "secret", secret).when(kind == "name", name).otherwise(_digits(h, F.length(entity)))
 
