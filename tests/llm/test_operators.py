@@ -436,3 +436,16 @@ def test_bpe_as_the_library(spark, odd, empty, docs):
     both = bpe.decode(bpe.encode(odd)).collect()
     assert len(both) == len(ODD) + 2 and all((r["text"] or "") == r["decoded"] for r in both)
     assert bpe.encode_decode(empty).count() == 0 and bpe.encode(odd).columns == [*odd.columns, "ids_le"]
+
+
+@pytest.mark.parametrize("texts", [[" hello"], [" "], [""], ["  "], ["", ""], [" a", " "], ["\n"], ["a  b"], [" <|endoftext|> x"], [], ["ab " * 700_000], [" é1" * 400_000]])
+def test_bpe_of_lone_batches(texts):
+    """Batches that a fresh worker may meet first, and texts of more than one section."""
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    path = bpe.vocabulary_path()
+    library, own = Tokenizer.from_file(path), bpe.PairIndexBpe(path)
+    for t, ids in zip(texts, own.encode_batch(texts), strict=True):
+        expected = library.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(ids, "<u4").tolist() == expected and own.decode(ids) == library.decode(expected, skip_special_tokens=False)

@@ -33,8 +33,14 @@ SPLIT = regex.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
-#: Distinct pieces whose ids a worker remembers from batch to batch.
+#: Distinct pieces whose ids a worker remembers from batch to batch, and their characters in all.
 REMEMBERED = 250_000
+REMEMBERED_CHARS = 8 << 20
+#: Longer texts are encoded in sections of about so many characters, cut between a letter and a space before a letter.
+SECTION = 1 << 20
+#: Positions that enter the pair index at once.
+WIDE = 1 << 20
+SAFE_CUT = regex.compile(r"\p{L}(?= \p{L})")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -44,6 +50,15 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def sections(text: str) -> Iterator[str]:
+    """Parts of a long text that can be encoded apart: no piece of SPLIT goes from a letter over a space."""
+    at = 0
+    while len(text) - at > SECTION and (cut := SAFE_CUT.search(text, at + SECTION)):
+        yield text[at : cut.end()]
+        at = cut.end()
+    yield text[at:] if at else text
+
+
 class PairIndexBpe:
     """Merges and vocabulary of a byte-level tokenizer file."""
 
@@ -60,7 +75,7 @@ class PairIndexBpe:
             self.bytes_of[i] = bytes(alphabet[c] for c in (token.removesuffix(end) if end else token))
         for token, i in self.special.items():
             self.bytes_of[i] = token.encode()
-        self.of_byte, self.of_last_byte = np.empty(256, np.int64), np.empty(256, np.int64)
+        self.of_byte, self.of_last_byte = np.empty(256, np.int32), np.empty(256, np.int32)
         for c, b in alphabet.items():
             self.of_byte[b], self.of_last_byte[b] = vocab[c], vocab[c + end]
         pairs = [m if isinstance(m, list) else m.split(" ") for m in merges]
@@ -72,10 +87,11 @@ class PairIndexBpe:
         self.keys = keys[self.by_key]
         self.first: dict[str, bytes | None] = {}
         self.later: dict[str, bytes | None] = {}
+        self.held = 0  # characters of remembered pieces
 
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of each pair of symbols, -1 where there is none."""
-        keys = a << 32 | b
+        keys = a.astype(np.int64) << 32 | b
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return np.where((self.keys[at] == keys) & (a >= 0) & (b >= 0), self.by_key[at], -1)
 
@@ -87,7 +103,7 @@ class PairIndexBpe:
         sym[ends - 1] = self.of_last_byte[flat[ends - 1]]
         sym[ends] = -1  # a wall behind each word
         n = len(sym)
-        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         index: dict[int, list[np.ndarray]] = {}
         active: list[int] = []
 
@@ -108,8 +124,8 @@ class PairIndexBpe:
                     index[r] = [at[i:j]]
                     heapq.heappush(active, r)
 
-        if n > 1:
-            enter(np.flatnonzero(sym[:-1] >= 0))
+        for i in range(0, n - 1, WIDE):
+            enter(np.flatnonzero(sym[i : min(i + WIDE, n - 1)] >= 0) + i)
         while active:
             r = heapq.heappop(active)
             lists = index.pop(r)
@@ -145,9 +161,9 @@ class PairIndexBpe:
         for memo, keys, before in ((self.first, list(first), ""), (self.later, free, " ")):
             parts = [SPLIT.findall(before + x) for x in keys]
             words = list(set(chain.from_iterable(parts)))
-            if words:
-                ids = dict(zip(words, self.merge_words([w.encode("utf-8", "surrogatepass") for w in words]), strict=True))
-                memo.update(zip(keys, [ids[p[0]] if len(p) == 1 else b"".join([ids[w] for w in p]) for p in parts], strict=True))
+            ids = dict(zip(words, self.merge_words([w.encode("utf-8", "surrogatepass") for w in words]), strict=True)) if words else {}
+            memo.update(zip(keys, [ids[p[0]] if len(p) == 1 else b"".join([ids[w] for w in p]) for p in parts], strict=True))
+            self.held += sum(map(len, keys))
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
@@ -155,12 +171,12 @@ class PairIndexBpe:
             return self._encode(texts)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.first) + len(self.later) > REMEMBERED:
-            self.first, self.later = {}, {}
+        if len(self.first) + len(self.later) > REMEMBERED or self.held > REMEMBERED_CHARS:
+            self.first, self.later, self.held = {}, {}, 0
         rows: list[list[list]] = []
         for t in texts:
             parts = self.special_split.split(t) if self.special and any(s in t for s in self.special) else [t]
-            rows.append([[self.special[s].to_bytes(4, "little")] if s in self.special else self._look(s.split(" "), s) for s in parts if s])
+            rows.append([[self.special[s].to_bytes(4, "little")] if s in self.special else self._look(x.split(" "), x) for s in parts if s for x in ([s] if s in self.special else sections(s))])
         self._fill(rows, careful=True)
         return [b"".join(chain.from_iterable(row)) for row in rows]
 
