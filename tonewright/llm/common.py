@@ -68,6 +68,28 @@ def thinned(df: DataFrame, keys: list[Column], gone: DataFrame, repeated: DataFr
     return left.select(*df.columns)
 
 
+#: A key with more than this share of a table's rows is hot: there are fewer than 1 / HOT_SHARE of them.
+HOT_SHARE = 0.001
+HOT_LEAST = 1_000
+SALTS = 64
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, salt: Column) -> DataFrame:
+    """Inner join on `key`, which `right` has once: the left rows of a hot key are dealt over SALTS parts by `salt`.
+
+    Both are read twice, so they should be cheap to read; the hashes of hot keys, under 1 / HOT_SHARE of them, come to the driver.
+    """
+    mark = F.xxhash64(key)
+    counts = left.groupBy(key).agg(F.count("*").alias("_rows"))
+    least = max(HOT_LEAST, int((left.count() or 0) * HOT_SHARE))
+    hot = [r[0] for r in counts.where(F.col("_rows") > least).select(mark).collect()]
+    if not hot:
+        return left.join(right, key)
+    parts = F.when(mark.isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    dealt = left.withColumn("_salt", F.when(mark.isin(hot), F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int")).otherwise(F.lit(0)))
+    return dealt.join(right.withColumn("_salt", F.explode(parts)), [key, "_salt"]).drop("_salt")
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each holds about `limit` bytes of the text column, or one row."""
     for batch in batches:

@@ -44,7 +44,7 @@ WINDOW same AS (PARTITION BY coalesce(text, ''))
 
 def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.replace(docs, key="documents")
+    return pii.replace(docs, key=spark.conf.get("spark.tonewright.surrogate.key", "documents"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
