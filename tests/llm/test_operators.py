@@ -67,6 +67,25 @@ def test_html_loses_no_visible_text():
     assert html_text.visible_text("<table><caption>Top<tr><td colspan=1000>a<td>b<tr><td colspan=5000>c<td>d</table>").split() == ["Top", "a", "b", "c", "d"]
 
 
+def test_html_spans_visibility_and_depth(spark):
+    import time
+
+    page = "<table><tr><td rowspan=2>A<td>b1<td>z<tr><td>b2<td>y<tr><td colspan=2>a wide one<td>c<tr><td>1<td rowspan=9>2<td>3</table>"
+    lines = html_text.visible_text(page).split("\n")
+    assert [x.split() for x in lines] == [["A", "b1", "z"], ["b2", "y"], ["a", "wide", "one", "c"], ["1", "2", "3"]]
+    assert lines[0].index("b1") == lines[1].index("b2") == lines[3].index("2") and len({lines[0].index("z"), lines[1].index("y"), lines[2].index("c"), lines[3].index("3")}) == 1
+    assert html_text.visible_text("<div style='visibility:hidden'>no<b style='visibility: visible'>yes</b><q>n</q><ul><li>no</ul></div>") == "yes"
+    start = time.time()
+    for source in ("<div>" * 60_000 + "deep", "<div><p>x<li>" * 20_000, "<p>" + "<b>" * 60_000 + "</i>" * 60_000, "<td>" * 20_000, "x " * 3_000_000):
+        html_text.visible_text(source)
+    assert time.time() - start < 60
+    rows = [(1, "<p>a", "old"), (2, None, None), (3, "", "x"), (3, "", "x")]
+    df = spark.createDataFrame(rows, "page_id long, html string, text string")
+    out = html_text.extract(df)
+    assert out.columns == ["page_id", "html", "text"] and sorted((r["page_id"], r["text"]) for r in out.collect()) == [(1, "a"), (2, ""), (3, ""), (3, "")]
+    assert html_text.extract(df.limit(0)).count() == 0
+
+
 def test_html_query(spark, small):
     out = queries.op1_html_text(spark, small)
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{small}/pages.parquet").collect()}

@@ -6,11 +6,12 @@ table parts and more); a renderer walks the tree without recursion and writes al
 that a browser would show.
 
 Not shown: head, scripts, styles, templates, frames' fallbacks, comments, elements with
-`hidden`, `display:none` or `visibility:hidden`, closed details but for their summary, and
+`hidden`, `display:none` or `visibility:hidden` (but for what is `visible` inside), closed details but for their summary, and
 data-only elements. Text of svg and math is shown but for their descriptions, definitions
 and annotations, and so is what a map holds. Blocks begin on lines of their own, paragraphs, headings, lists, tables
 and quotes stand between blank lines, list items get their bullet or number and are
-indented by depth, and the cells of a table are padded so that columns line up. Runs of
+indented by depth, and the cells of a table are padded so that columns line up; a cell that
+spans columns or rows keeps them from the cells beside and below it. Runs of
 white space become one space, except in pre and textarea.
 
 Null and empty pages give an empty text; broken markup is repaired as above and never
@@ -25,6 +26,8 @@ import html
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import accumulate
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -69,7 +72,8 @@ WALLS = frozenset("table td th caption button html body".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?")
-UNSEEN_STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+UNSEEN_STYLE = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
+VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(visible|hidden|collapse)", re.I)
 BLANK = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -93,34 +97,45 @@ class Builder:
     def __init__(self):
         self.root = Node("html", {})
         self.open: list[Node] = [self.root]
+        self.count: dict[str, int] = {"html": 1}  # open elements by name, so that no search is made for what is not there
         self.body: Node | None = None
 
     def foreign(self) -> bool:
         """Whether the open element is part of svg or math."""
+        if not (self.count.get("svg") or self.count.get("math")):
+            return False
         return next((x.name != "foreignobject" for x in reversed(self.open) if x.name in ("svg", "math", "foreignobject")), False)
 
+    def cut(self, at: int) -> None:
+        """Close the open elements from this place on."""
+        for x in self.open[at:]:
+            self.count[x.name] -= 1
+        del self.open[at:]
+
     def add(self, name: str, given: dict[str, str]) -> Node:
         node = Node(name, given)
         self.open[-1].children.append(node)
         self.open.append(node)
+        self.count[name] = self.count.get(name, 0) + 1
         return node
 
     def ensure_body(self) -> None:
         if self.body is None:
-            del self.open[1:]
+            self.cut(1)
             self.body = self.add("body", {})
 
     def end_nearest(self, names: frozenset[str], walls: frozenset[str]) -> None:
         """Close everything from the outermost of these names inside the nearest wall."""
+        left = sum([self.count.get(x, 0) for x in names])
         cut = None
         for i in range(len(self.open) - 1, 0, -1):
             name = self.open[i].name
-            if name in walls:
+            if not left or name in walls:
                 break
             if name in names:
-                cut = i
+                cut, left = i, left - 1
         if cut is not None:
-            del self.open[cut:]
+            self.cut(cut)
 
     def text(self, value: str) -> None:
         if not value:
@@ -160,24 +175,26 @@ class Builder:
             self.add("tbody", {})
         self.add(name, given)
         if name in VOID:
-            self.open.pop()
+            self.cut(-1)
 
     def end(self, name: str) -> None:
         if name in ("html", "body"):
             return
         if name == "head":
             if self.body is None:
-                del self.open[1:]
+                self.cut(1)
             return
         if name == "br":
             self.start("br", {})
             return
-        if name == "p" and not any(x.name == "p" for x in self.open):
+        if name == "p" and not self.count.get("p"):
             self.start("p", {})
+        if not self.count.get(name):
+            return
         for i in range(len(self.open) - 1, 0, -1):
             at = self.open[i].name
             if at == name:
-                del self.open[i:]
+                self.cut(i)
                 return
             if at in WALLS and name not in ("table", "tr", "tbody", "thead", "tfoot", "td", "th", "caption"):
                 return
@@ -281,26 +298,58 @@ class Writer:
         return self.lines
 
 
-def table_lines(rows: list[list[tuple[int, list[str]]]]) -> list[str]:
-    """Rows of (columns spanned, lines) with padded cells."""
-    wide: list[int] = []
-    for row in rows:
-        at = 0
-        for span, lines in row:
-            wide += [0] * (at + span - len(wide))
-            if span == 1:
-                wide[at] = max([wide[at], *map(width, lines)])
-            at += span
+class Cell(NamedTuple):
+    """A cell's columns, rows and lines."""
+
+    columns: int
+    rows: int
+    lines: list[str]
+
+
+def placed(rows: list[list[Cell]]) -> list[list[tuple[int, Cell]]]:
+    """The column of each cell: those that cells of earlier rows reach down into are taken."""
+    taken: dict[int, int] = {}  # column: rows from here on that it is taken in
     out = []
     for row in rows:
-        for k in range(max([1, *(len(lines) for _, lines in row)])):
-            cells, at = [], 0
-            for span, lines in row:
-                room = sum(wide[at : at + span]) + 2 * (span - 1)
-                cell = lines[k] if k < len(lines) else ""
-                cells.append(cell + " " * max(room - width(cell), 0))
-                at += span
-            out.append("  ".join(cells).rstrip())
+        at, places = 0, []
+        for cell in row:
+            while taken.get(at, 0):
+                at += 1
+            places.append((at, cell))
+            at += cell.columns
+        taken = {c: n - 1 for c, n in taken.items() if n > 1}
+        for c, cell in places:
+            if cell.rows > 1:
+                taken.update(dict.fromkeys(range(c, c + cell.columns), cell.rows - 1))
+        out.append(places)
+    return out
+
+
+def table_lines(rows: list[list[Cell]]) -> list[str]:
+    """Lines of a table with padded cells; a cell that spans rows is written in the first of them."""
+    grid = placed(rows)
+    wide: list[int] = []
+    for row in grid:
+        for at, cell in row:
+            wide += [0] * (at + cell.columns - len(wide))
+            if cell.columns == 1:
+                wide[at] = max([wide[at], *map(width, cell.lines)])
+    for row in grid:
+        for at, cell in row:
+            if cell.columns > 1:  # what a wide cell needs beyond its columns goes to the last of them
+                need = max([0, *map(width, cell.lines)]) - sum(wide[at : at + cell.columns]) - 2 * (cell.columns - 1)
+                wide[at + cell.columns - 1] += max(need, 0)
+    begin = list(accumulate([w + 2 for w in wide], initial=0))
+    out = []
+    for row in grid:
+        for k in range(max([1, *(len(cell.lines) for _, cell in row)])):
+            parts, used = [], 0
+            for at, cell in row:
+                line = cell.lines[k] if k < len(cell.lines) else ""
+                gap = max(begin[at] - used, 2 if at else 0)
+                parts.append(" " * gap + line)
+                used += gap + width(line)
+            out.append("".join(parts).rstrip())
     return out
 
 
@@ -318,15 +367,17 @@ def number(value: str, least: int, default: int) -> int:
 def render(root: Node) -> str:
     """Text of the visible nodes, walked with a stack of steps."""
     writers = [Writer()]
-    tables: list[list[list[tuple[int, list[str]]]]] = []
+    tables: list[list[list[Cell]]] = []
     lists: list[list] = []
     exact = 0
+    hidden: list[bool] = [False]  # visibility, which children may turn on again
     todo: list[tuple[Node | str, bool]] = [(root, False)]
     while todo:
         node, leaving = todo.pop()
         w = writers[-1]
         if isinstance(node, str):
-            w.text(node, exact > 0)
+            if not hidden[-1]:
+                w.text(node, exact > 0)
             continue
         name = node.name
         if not leaving:
@@ -337,6 +388,8 @@ def render(root: Node) -> str:
                 continue
             if name == "wbr" or name in VOID - {"hr"}:
                 continue
+            told = VISIBILITY.findall(node.attributes["style"]) if "style" in node.attributes else []
+            hidden.append(told[-1].lower() != "visible" if told else hidden[-1])
             if name in ("td", "th", "caption") and tables:
                 writers.append(Writer())
             elif name == "tr" and tables:
@@ -353,13 +406,13 @@ def render(root: Node) -> str:
                 mark = f"{n}. " if numbered else "- "
                 if lists:
                     lists[-1][1] += 1
-                w.mark = mark
+                w.mark = None if hidden[-1] else mark
                 w.indent.append(len(mark))
             elif name in ("dd", "blockquote"):
                 w.indent.append(2)
             elif name in ("pre", "textarea", "xmp"):
                 exact += 1
-            elif name == "q":
+            elif name == "q" and not hidden[-1]:
                 w.text('"', False)
             todo.append((node, True))
             inner = node.children
@@ -367,18 +420,19 @@ def render(root: Node) -> str:
                 inner = [x for x in inner if isinstance(x, Node) and x.name == "summary"][:1]
             todo.extend((x, False) for x in reversed(inner))
             continue
+        unshown = hidden.pop()
         if name in ("td", "th", "caption") and tables:
             lines = writers.pop().done()
             if name == "caption":
-                tables[-1].append([(CAPTION, lines)])
+                tables[-1].append([Cell(CAPTION, 1, lines)])
             else:
                 if not tables[-1]:
                     tables[-1].append([])
-                tables[-1][-1].append((number(node.attributes.get("colspan", ""), 1, 1), lines))
+                tables[-1][-1].append(Cell(number(node.attributes.get("colspan", ""), 1, 1), number(node.attributes.get("rowspan", ""), 1, 1), lines))
         elif name == "table":
-            captions = [row[0][1] for row in tables[-1] if row and row[0][0] == CAPTION]
-            rows = [row for row in tables.pop() if row and row[0][0] != CAPTION]
-            for lines in [*captions, table_lines(rows) if rows else []]:
+            captions = [row[0].lines for row in tables[-1] if row and row[0].columns == CAPTION]
+            rows = [row for row in tables.pop() if not row or row[0].columns != CAPTION]
+            for lines in [*captions, [x for x in table_lines(rows) if x]]:
                 for line in lines:
                     w.line = [line]
                     w.flush()
@@ -395,7 +449,7 @@ def render(root: Node) -> str:
             w.mark = None
         elif name in ("dd", "blockquote"):
             w.indent.pop()
-        elif name == "q":
+        elif name == "q" and not unshown:
             w.text('"', False)
     return "\n".join(writers[0].done())
 
