@@ -166,9 +166,18 @@ def test_token_counts_as_the_library(spark, odd, empty, docs):
     machine = token_count.CountTransducer(bpe.vocabulary_path("word_bpe_49k.json"))
     texts = [t or "" for t in ODD] + fuzz + [r[1] or "" for r in docs.collect()]
     assert machine.count(texts).tolist() == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    one, other, words = "t", "h", []
+    for _ in range(11):  # words on which polynomial hashes modulo a power of two collide
+        one, other = one + other, other + one
+    words = [one, other, one.replace("t", "x"), "aꟋb", "\U00032808b", "x" * 64 + " " + "y" * 65, "İ Σ ΑΣ", *("a" + chr(c) + "b 1" + chr(c) for c in range(0x80, 0x3000))]
+    long = "it's the 3rd café\n" * 400_000
+    for batch in (words, [long], [""], [" "]):
+        assert machine.count(batch).tolist() == [len(e.ids) for e in library.encode_batch(batch, add_special_tokens=False)]
     rows = token_count.count_tokens(odd).collect()
     assert len(rows) == len(ODD) + 2 and all(r["n_bytes"] == len((r["text"] or "").encode()) for r in rows)
     assert token_count.count_tokens(empty).count() == 0
+    clash = token_count.count_tokens(odd.withColumns({"n_tokens": F.lit("x"), "n_bytes": F.lit("y")}))
+    assert [r["n_tokens"] for r in clash.orderBy("doc_id", "_id").collect()] == [r["n_tokens"] for r in sorted(rows, key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["_id"]))]
 
 
 def test_entry_states_compose():

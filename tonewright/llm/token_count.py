@@ -4,9 +4,10 @@ The pre-tokenizer is a deterministic transducer over character classes. Text is
 cut into fixed-size chunks; each chunk gives a map from every entry state to its
 exit state, and a parallel prefix scan composes these maps, so that each chunk
 learns its true entry state without reading what stands before it. The second
-half is the word transducer: closing a word is a transition that is annotated
-with the number of tokens it emits. Its annotations are compiled once for each
-distinct word and kept, as sorted arrays, from batch to batch.
+half is the word transducer, whose states are the beginnings of words: closing a
+word is a transition that is annotated with the number of tokens it emits. Its
+transitions and annotations are compiled when first asked for and kept, as sorted
+arrays, from batch to batch. Words share a state only if all their characters agree.
 
 Texts: null counts as empty and has 0 tokens; very long texts are read whole;
 repeated rows are counted alike; an empty table gives an empty table. Other
@@ -38,8 +39,10 @@ N_CLASSES = 5 + len(SHORT)
 FRESH, IN_WORD, IN_OTHER, IN_QUOTE, QUOTE_R, QUOTE_V, QUOTE_L = range(7)
 N_STATES = 7
 CHUNK = 64
-#: Distinct words whose counts a worker keeps.
+#: States that a worker keeps from batch to batch.
 REMEMBERED = 3_000_000
+#: Longer words are merged at once, without states of their own.
+LONG = 64
 
 
 def transitions() -> np.ndarray:
@@ -59,8 +62,8 @@ def transitions() -> np.ndarray:
     return table
 
 
-@lru_cache(maxsize=1)
-def character_classes() -> np.ndarray:
+def character_classes(pre_tokenizer) -> np.ndarray:
+    """The class of each code point; letters that this Python does not know are letters only if the tokenizer's splitter says so."""
     points = "".join(map(chr, [x for x in range(sys.maxunicode + 1) if not 0xD800 <= x < 0xE000]))
     classes = np.full(sys.maxunicode + 1, OTHER, np.uint8)
     for name, code in ((r"\p{L}+", LETTER), (r"\p{N}+", DIGIT), (r"\p{White_Space}+", WHITE)):
@@ -73,9 +76,25 @@ def character_classes() -> np.ndarray:
     classes[ord("'")] = QUOTE
     for c, code in SHORT.items():
         classes[ord(c)] = code
+    unsure = [chr(x) for x in np.flatnonzero(classes == LETTER).tolist() if unicodedata.category(chr(x)) == "Cn"]
+    pieces = {span for _, span in pre_tokenizer.pre_tokenize_str("".join(f"\na{c}" for c in unsure))}
+    classes[[ord(c) for i, c in enumerate(unsure) if (3 * i + 1, 3 * i + 3) not in pieces]] = OTHER
     return classes
 
 
+def odd_characters(normalizer) -> np.ndarray:
+    """By code point, whether this is a character that this Python's Unicode tables treat otherwise than the tokenizer's normalizer, or do not know."""
+    points = [chr(x) for x in range(0x80, sys.maxunicode + 1) if not 0xD800 <= x < 0xE000]
+    points = [c for c in points if (k := unicodedata.category(c)) != "Co" and k != "Cc" and not c.isspace() and (k != "Lo" or unicodedata.decomposition(c))]
+    known = [c for c in points if unicodedata.category(c) != "Cn"]
+    theirs = normalizer.normalize_str("\n".join(known)).split()
+    ours = [unicodedata.normalize("NFC", c).lower() for c in known]
+    odd = {c for c, x, y in zip(known, ours, theirs, strict=True) if x != y} | set(points).difference(known)
+    table = np.zeros(sys.maxunicode + 1, bool)
+    table[[ord(c) for c in odd]] = True
+    return table
+
+
 def entry_states(classes: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Of chunks, one in each row of classes: maps of all entry states, composed by a prefix scan from FRESH."""
     flat = table.ravel().astype(np.intp)
@@ -90,9 +109,9 @@ def entry_states(classes: np.ndarray, table: np.ndarray) -> np.ndarray:
     return np.r_[FRESH, maps[:-1, FRESH]]
 
 
-def word_starts(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the words (pre-tokens) in an array of code points."""
-    classes, table = character_classes()[points], transitions()
+def word_starts(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words (pre-tokens) in an array of character classes."""
+    table = transitions()
     n = len(classes)
     padded = np.full(-(-max(n, 1) // CHUNK) * CHUNK, WHITE, np.uint8)
     padded[:n] = classes
@@ -122,72 +141,97 @@ def word_starts(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class CountTransducer:
-    """Counts the tokens of texts; the annotations of word-closing transitions are compiled when first met."""
+    """Counts the tokens of texts by a deterministic transducer over the characters of words.
+
+    States are the beginnings of words, one level for each number of characters, so that two
+    words share a state only if they share all characters. Transitions inside a word emit
+    nothing; the one that closes a word is annotated with the number of tokens that the word
+    gives. Transitions and annotations are compiled when a word first asks for them.
+    """
 
     def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
         self.bpe = PairIndexBpe(path)
         special = sorted(self.bpe.special, key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
-        self.keys, self.emits = np.empty(0, np.uint64), np.empty(0, np.int32)
-        rng = np.random.default_rng(20240817)
-        self.mix = rng.integers(1, 2**63, sys.maxunicode + 1, np.uint64)
-        self.base = np.uint64(0x9E3779B97F4A7C15)
+        library = Tokenizer.from_file(path)  # its tables of letters and of lower case are asked, not its model
+        self.normalizer = library.normalizer
+        self.classes = character_classes(library.pre_tokenizer)
+        self.odd = odd_characters(self.normalizer)
+        self.forget()
+
+    def forget(self) -> None:
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+        self.emits = np.full(1, -1, np.int32)  # by state: tokens on closing the word there, -1 where not compiled
 
     def normal(self, text: str) -> tuple[str, int]:
         """The text as the tokenizer's normalizer leaves it, with its special strings cut out and counted."""
-        n = 0
-        if self.special is not None and "<|" in text:
-            parts = self.special.split(text)
-            n = len(parts) - 1
-            return "\n".join(self.normal(p)[0] if "<|" not in p else self.lower(p) for p in parts), n
-        return self.lower(text), n
-
-    @staticmethod
-    def lower(text: str) -> str:
+        if self.special is None or not any(x in text for x in self.bpe.special):
+            return self.lower(text), 0
+        parts = self.special.split(text)
+        return "\n".join(map(self.lower, parts)), len(parts) - 1
+
+    def lower(self, text: str) -> str:
         if not text.isascii():
+            if self.odd[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].any():
+                return self.normalizer.normalize_str(text)
             text = unicodedata.normalize("NFC", text)
             if "Σ" in text:  # the normalizer has no final sigma
                 return "".join(map(str.lower, text))
         return text.lower()
 
-    def fingerprints(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """64-bit fingerprints of words by a prefix polynomial."""
-        powers = np.empty(len(points) + 1, np.uint64)
-        powers[0] = 1
-        with np.errstate(over="ignore"):
-            powers[1:] = self.base
-            np.multiply.accumulate(powers, out=powers)
-            sums = np.r_[np.uint64(0), np.cumsum(self.mix[points] * powers[:-1], dtype=np.uint64)]
-            size = len(points) - starts  # scale all to one power
-            key = (sums[ends] - sums[starts]) * powers[size]
-            key ^= key >> np.uint64(29)
-            key *= np.uint64(0xBF58476D1CE4E5B9)
-            return key ^ key >> np.uint64(32)
+    def closing_states(self, points: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The state in which each word ends; all words take a step at a time."""
+        order = np.argsort(-sizes, kind="stable")
+        first, falling = starts[order], -sizes[order]
+        state = np.zeros(len(order), np.int64)
+        for k in range(int(sizes.max(initial=0))):
+            m = int(np.searchsorted(falling, -k))  # words of more than k characters
+            key = state[:m] << 21 | points[first[:m] + k]
+            if k == len(self.levels):
+                self.levels.append((np.empty(0, np.int64), np.empty(0, np.int64)))
+            keys, to = self.levels[k]
+            at = np.searchsorted(keys, key)
+            at[at == len(keys)] = 0
+            missing = keys[at] != key if len(keys) else np.ones(m, bool)
+            if missing.any():
+                new = np.unique(key[missing])
+                both, more = np.r_[keys, new], np.r_[to, len(self.emits) + np.arange(len(new))]
+                again = np.argsort(both, kind="stable")
+                self.levels[k] = keys, to = both[again], more[again]
+                self.emits = np.r_[self.emits, np.full(len(new), -1, np.int32)]
+                at = np.searchsorted(keys, key)
+            state[:m] = to[at]
+        out = np.empty(len(order), np.int64)
+        out[order] = state
+        return out
 
     def emitted(self, text: str, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        keys, where, back = np.unique(self.fingerprints(points, starts, ends), return_index=True, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
-        known = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
-        counts = np.empty(len(keys), np.int32)
-        counts[known] = self.emits[at[known]]
-        new = np.flatnonzero(~known)
-        if len(new):
-            words = [text[i:j].encode("utf-8", "surrogatepass") for i, j in zip(starts[where[new]].tolist(), ends[where[new]].tolist(), strict=True)]
-            counts[new] = [len(x) // 4 for x in self.bpe.merge_words(words)]
-            if len(self.keys) > REMEMBERED:
-                self.keys, self.emits = keys, counts
-            else:
-                both = np.r_[self.keys, keys[new]]
-                order = np.argsort(both, kind="stable")
-                self.keys, self.emits = both[order], np.r_[self.emits, counts[new]][order]
-        return counts[back]
+        """Tokens of each word."""
+        sizes = ends - starts
+        counts = np.empty(len(starts), np.int32)
+        encoded = lambda which: [text[i:j].encode("utf-8", "surrogatepass") for i, j in zip(starts[which].tolist(), ends[which].tolist(), strict=True)]
+        long = np.flatnonzero(sizes > LONG)
+        if len(long):
+            counts[long] = [len(x) // 4 for x in self.bpe.merge_words(encoded(long))]
+        short = np.flatnonzero(sizes <= LONG)
+        if len(self.emits) > REMEMBERED:
+            self.forget()
+        state = self.closing_states(points, starts[short], sizes[short])
+        open_ = np.flatnonzero(self.emits[state] < 0)
+        if len(open_):
+            new, where = np.unique(state[open_], return_index=True)
+            self.emits[new] = [len(x) // 4 for x in self.bpe.merge_words(encoded(short[open_[where]]))]
+        counts[short] = self.emits[state]
+        return counts
 
     def count(self, texts: list[str]) -> np.ndarray:
         with no_cycles():
             normal = [self.normal(t) for t in texts]
             text = "\n".join(x for x, _ in normal) + "\n"
             points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-            starts, ends = word_starts(points)
+            starts, ends = word_starts(self.classes[points])
             total = np.r_[0, np.cumsum(self.emitted(text, points, starts, ends), dtype=np.int64)] if len(starts) else np.zeros(1, np.int64)
             stops = np.cumsum([len(x) + 1 for x, _ in normal])
             upto = total[np.searchsorted(starts, stops)]
