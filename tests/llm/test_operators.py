@@ -502,3 +502,32 @@ def test_bpe_of_lone_batches(texts):
     for t, ids in zip(texts, own.encode_batch(texts), strict=True):
         expected = library.encode(t, add_special_tokens=False).ids
         assert np.frombuffer(ids, "<u4").tolist() == expected and own.decode(ids) == library.decode(expected, skip_special_tokens=False)
+
+
+@pytest.mark.parametrize("batch", [200, 1000, 10**6])
+def test_index_family_by_brute_force(monkeypatch, batch):
+    """Contexts of hot and cold keys in small batches: all repeats but the earliest are reported, whatever the batches."""
+    import pyarrow as pa
+
+    rng, size = random.Random(batch), 20
+    monkeypatch.setattr(suffix_dedup, "BATCH", batch)
+    monkeypatch.setattr(suffix_dedup, "SCAN", 7)
+    rows = []
+    for key in range(6):
+        base = bytes(rng.choice(b"ab\x00") for _ in range(60))
+        for _ in range(60 if key == 2 else 3):
+            i, j = sorted(rng.sample(range(61), 2))
+            if j - i >= size:
+                rows.append((key, rng.randrange(40), rng.randrange(3) * 100 + i, base[i:j]))
+    seen = {}
+    for key, d, start, body in rows:
+        for k in range(len(body) - size + 1):
+            seen.setdefault((key, body[k : k + size]), set()).add((d, start + k))
+    expected = {x for places in seen.values() for x in sorted(places)[1:]}
+    table = pa.table([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows]), pa.array([r[2] + len(r[3]) for r in rows]), pa.array([r[3] for r in rows], pa.binary())], names=["key", "_id", "start", "stop", "body"])
+    got = set()
+    for b in suffix_dedup._repeats(iter(table.to_batches(max_chunksize=11)), size):
+        for d, start, stop in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            got.add((d, start, stop))
+    covered = lambda spans: {(d, x) for d, a, z in spans for x in range(a, z)}
+    assert covered(got) == covered({(d, p, p + size) for d, p in expected})

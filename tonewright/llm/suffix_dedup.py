@@ -12,11 +12,13 @@ document with a smaller id, or earlier in the same document.
 * Contexts. For anchors that stand elsewhere too, the stretch of text that holds all
   their windows is sent on, dealt out by a hash of 64 bytes that all those windows share,
   so that a line that very many documents share does not gather them in one task.
-* Index family. A task takes its contexts batch by batch. Each batch gets its suffixes
-  in order of the fingerprint of their first `size` bytes, since only matches of that
-  length count. The batch is merge-scanned against all existing levels; of equal
-  suffixes the earliest stays in the index and the others are reported. Then the batch
-  becomes a level, and levels of equal size merge, each twice as large as the one before.
+* Index family. A task takes its contexts in the order of that hash, batch by batch. Each
+  batch gets a suffix array: its suffixes in the order of their bytes, to the depth of
+  `size`, since only matches of that length count. It is merge-scanned against all existing
+  levels, bytes with bytes; of equal suffixes the earliest stays in the index and the others
+  are reported. Then the batch becomes a level, and levels of equal size merge, each twice as
+  large as the one before. Contexts under different hashes cannot match, so that the family
+  is let go where the hash changes and holds no more than the batches of one hash.
 * Spans are merged for each document and cut from its bytes.
 
 Null texts count as empty; texts shorter than `size` lose nothing; very long texts are
@@ -34,6 +36,7 @@ from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,6 +47,9 @@ SHARED = 64
 #: Bits of the hash that choose anchors; the others hold the position, so that the leftmost of equals is taken.
 CHOICE_BITS = 36
 SLICE = 2 << 20
+#: Bytes of contexts that get one suffix array, and suffixes of a level that are compared at once.
+BATCH = 1 << 20
+SCAN = 1 << 16
 NO_ID = -(1 << 63)
 
 
@@ -189,67 +195,123 @@ def _contexts(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
         )
 
 
-class IndexFamily:
-    """Levels of ordered suffixes, each with the earliest place of every fingerprint."""
+class Level:
+    """A suffix array: texts end to end, and the places of their different suffixes in the order of the first `size` bytes, each with the document and place where it stands earliest."""
+
+    def __init__(self, text: np.ndarray, at: np.ndarray, ids: np.ndarray, place: np.ndarray):
+        self.text, self.at, self.ids, self.place = text, at, ids, place
+
+
+def suffixes(text: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """The first `size` bytes of the suffixes at these places, as strings that NumPy orders by bytes."""
+    return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(text, size)[at]).view(f"S{size}").ravel()
 
-    def __init__(self):
-        self.levels: list[list[np.ndarray]] = []
 
-    def add(self, mark: np.ndarray, ids: np.ndarray, at: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Index a batch; the places (ids, positions) that turn out to be repeats."""
-        order = np.lexsort((at, ids, mark))
-        mark, ids, at = mark[order], ids[order], at[order]
-        again = np.r_[False, mark[1:] == mark[:-1]]
+class IndexFamily:
+    """Levels of suffix arrays of geometrically growing sizes; all comparisons are of bytes."""
+
+    def __init__(self, size: int):
+        self.size = size
+        self.levels: list[Level] = []
+
+    def scan(self, level: Level, mine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Merge-scan of sorted suffixes against a level, block by block: how many of the level's are smaller, and whether the next one is equal."""
+        before, met = np.zeros(len(mine), np.int64), np.zeros(len(mine), bool)
+        for start in range(0, len(level.at), SCAN):
+            block = suffixes(level.text, level.at[start : start + SCAN], self.size)
+            low, high = np.searchsorted(mine, block[0]), np.searchsorted(mine, block[-1], side="right")
+            place = np.searchsorted(block, mine[low:high])
+            before[low:high], before[high:] = start + place, start + len(block)
+            met[low:high] = block[np.minimum(place, len(block) - 1)] == mine[low:high]
+        return before, met
+
+    def merged(self, a: Level, b: Level) -> Level:
+        """One level of both, which share no suffix."""
+        before, _ = self.scan(a, suffixes(b.text, b.at, self.size))
+        put = lambda x, y: np.insert(x, before, y)
+        return Level(np.r_[a.text, b.text], put(a.at, b.at + len(a.text)), put(a.ids, b.ids), put(a.place, b.place))
+
+    def add(self, text: np.ndarray, at: np.ndarray, ids: np.ndarray, place: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Index a batch of suffixes; the places (ids, positions) that turn out to be repeats."""
+        order = np.lexsort((place, ids))
+        order = order[np.argsort(suffixes(text, at[order], self.size), kind="stable")]  # of equal ones the earliest comes first
+        at, ids, place = at[order], ids[order], place[order]
+        mine = suffixes(text, at, self.size)
+        again = np.r_[False, mine[1:] == mine[:-1]]
         head = np.flatnonzero(~again)[np.cumsum(~again) - 1]  # a row that repeats its own place is no repeat
-        other = again & ((ids != ids[head]) | (at != at[head]))
-        repeats = [(ids[other], at[other])]
-        mark, ids, at = mark[~again], ids[~again], at[~again]
+        other = again & ((ids != ids[head]) | (place != place[head]))
+        repeats = [(ids[other], place[other])]
+        mine, at, ids, place = mine[~again], at[~again], ids[~again], place[~again]
         for level in self.levels:
-            place = np.minimum(np.searchsorted(level[0], mark), len(level[0]) - 1)
-            met = level[0][place] == mark
-            there = place[met]
-            earlier = (level[1][there] < ids[met]) | (level[1][there] == ids[met]) & (level[2][there] < at[met])
-            later = (level[1][there] > ids[met]) | (level[1][there] == ids[met]) & (level[2][there] > at[met])
-            mine = np.flatnonzero(met)
-            repeats.append((ids[mine[earlier]], at[mine[earlier]]))
+            before, met = self.scan(level, mine)
+            there, new = before[met], np.flatnonzero(met)
+            earlier = (level.ids[there] < ids[new]) | (level.ids[there] == ids[new]) & (level.place[there] < place[new])
+            later = (level.ids[there] > ids[new]) | (level.ids[there] == ids[new]) & (level.place[there] > place[new])
+            repeats.append((ids[new[earlier]], place[new[earlier]]))
             old = there[later]
-            repeats.append((level[1][old], level[2][old]))
-            level[1][old], level[2][old] = ids[mine[later]], at[mine[later]]
-            mark, ids, at = mark[~met], ids[~met], at[~met]
-        self.levels.append([mark, ids, at])
-        while len(self.levels) > 1 and len(self.levels[-1][0]) * 2 > len(self.levels[-2][0]):
+            repeats.append((level.ids[old], level.place[old]))
+            level.ids[old], level.place[old] = ids[new[later]], place[new[later]]
+            mine, at, ids, place = mine[~met], at[~met], ids[~met], place[~met]
+        del mine
+        if len(at):
+            self.levels.append(Level(text, at, ids, place))
+        while len(self.levels) > 1 and len(self.levels[-1].at) * 2 > len(self.levels[-2].at):
             b, a = self.levels.pop(), self.levels.pop()
-            order = np.argsort(np.r_[a[0], b[0]], kind="stable")
-            self.levels.append([np.r_[x, y][order] for x, y in zip(a, b, strict=True)])
-        self.levels = [x for x in self.levels if len(x[0])]
+            self.levels.append(self.merged(a, b))
         return repeats
 
 
+def _indexed(batch: pa.RecordBatch, family: IndexFamily) -> Iterator[pa.RecordBatch]:
+    """Index the suffixes of a batch of contexts; spans of what repeats."""
+    size = family.size
+    length = np.asarray(pc.binary_length(batch.column(4)), np.int64)
+    text = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8)
+    count = length - size + 1
+    inner = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    at = np.repeat(np.cumsum(length) - length, count) + inner
+    ids = np.repeat(np.asarray(batch.column(1), np.int64), count)
+    place = np.repeat(np.asarray(batch.column(2), np.int64), count) + inner
+    found = family.add(text, at, ids, place)
+    ids, at = np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+    if not len(ids):
+        return
+    order = np.lexsort((at, ids))
+    ids, at = ids[order], at[order]
+    opens = np.r_[True, (ids[1:] != ids[:-1]) | (at[1:] > at[:-1] + size)]
+    starts = np.flatnonzero(opens)
+    stops = np.r_[starts[1:] - 1, len(at) - 1]
+    yield pa.RecordBatch.from_arrays([pa.array(ids[starts]), pa.array(at[starts]), pa.array(at[stops] + size)], names=["_id", "start", "stop"])
+
+
 def _repeats(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    family = IndexFamily()
+    """Spans of repeated windows from contexts in the order of their keys; an index lives as long as its keys go on."""
+    family, current, carry = IndexFamily(size), None, None
     for whole in batches:
         settled = whole.filter(whole.column(4).is_null())
         if settled.num_rows:
             yield pa.RecordBatch.from_arrays(settled.columns[1:4], names=["_id", "start", "stop"])
-        for b in slices(iter([whole.filter(whole.column(4).is_valid())]), "body", SLICE):
-            bodies = b.column(4).to_pylist()
-            length = np.array([len(x) for x in bodies], np.int64)
-            first = np.cumsum(length) - length
-            count = length - size + 1
-            inner = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-            mark = strings(sums(np.frombuffer(b"".join(bodies), np.uint8)), size, np.repeat(first, count) + inner)
-            ids = np.repeat(np.asarray(b.column(1), np.int64), count)
-            at = np.repeat(np.asarray(b.column(2), np.int64), count) + inner
-            found = family.add(mark, ids, at)
-            ids, at = np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
-            if not len(ids):
-                continue
-            order = np.lexsort((at, ids))
-            ids, at = ids[order], at[order]
-            opens = np.r_[True, (ids[1:] != ids[:-1]) | (at[1:] > at[:-1] + size)]
-            starts = np.flatnonzero(opens)
-            stops = np.r_[starts[1:] - 1, len(at) - 1]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[starts]), pa.array(at[starts]), pa.array(at[stops] + size)], names=["_id", "start", "stop"])
+        for b in slices(iter([whole.filter(whole.column(4).is_valid())]), "body", BATCH):
+            if carry is not None:
+                b, carry = pa.concat_batches([carry, b]), None
+            key = np.asarray(b.column(0))
+            if current is not None:  # a key of several batches: they meet in the levels
+                n = int(np.searchsorted(key, current, side="right"))
+                if n:
+                    yield from _indexed(b.slice(0, n), family)
+                if n == len(key):
+                    continue
+                b, key, family, current = b.slice(n), key[n:], IndexFamily(size), None
+            last = int(np.searchsorted(key, key[-1]))
+            if last:
+                yield from _indexed(b.slice(0, last), IndexFamily(size))
+            b = b.slice(last)
+            if pc.sum(pc.binary_length(b.column(4))).as_py() >= BATCH:
+                yield from _indexed(b, family)
+                current = key[-1]
+            else:
+                carry = b
+    if carry is not None:
+        yield from _indexed(carry, family)
 
 
 def joined(starts: list[int], stops: list[int]) -> list[tuple[int, int]]:
@@ -297,7 +359,7 @@ def spans(docs: DataFrame, firsts: DataFrame, size: int = 100) -> DataFrame:
     near = docs.select("_id", "_text", "_f").mapInArrow(partial(_flagged, table=table), "_id long, _text string, _f long")
     bodies = near.join(lists.join(firsts.select("_f", "_id"), "_f"), ["_f", "_id"]).select("_id", "_text", "hs")
     bodies = bodies.mapInArrow(partial(_contexts, size=size), "key long, _id long, start long, stop long, body binary")
-    return bodies.repartition("key").mapInArrow(partial(_repeats, size=size), "_id long, start long, stop long")
+    return bodies.repartition("key").sortWithinPartitions("key").mapInArrow(partial(_repeats, size=size), "_id long, start long, stop long")
 
 
 def cut(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 100) -> DataFrame:
