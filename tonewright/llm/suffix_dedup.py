@@ -180,16 +180,25 @@ def _contexts(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
             else:
                 seen[body] = i
                 rows.append(i)
-        begin = low - first[owner]
-        both = np.array(rows + spans, np.int64)
-        n = len(spans)
+        settled = np.array(spans, np.int64)
+        edges = np.zeros(len(data) + 1, np.int64)
+        np.add.at(edges, low[settled], 1)
+        np.add.at(edges, high[settled] + size, -1)
+        covered = np.cumsum(edges[:-1]) > 0
+        fresh = np.zeros(len(data), bool)
+        fresh[first] = True
+        start = np.flatnonzero(covered & (fresh | ~np.r_[False, covered[:-1]]))  # runs end with their document
+        stop = np.flatnonzero(covered & (np.r_[fresh[1:], True] | ~np.r_[covered[1:], False])) + 1
+        of = np.searchsorted(first, start, side="right") - 1
+        both = np.array(rows, np.int64)
+        begin = low[both] - first[owner[both]]
         yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(key[both]),
-                pa.array(ids[owner[both]]),
-                pa.array(begin[both]),
-                pa.array((high - low)[both] + size + begin[both]),
-                pa.array([*seen, *[None] * n], pa.binary()),
+            [  # what is settled is spread, so that a hot key gets no more than its different contexts
+                pa.array(np.r_[key[both], _mixed(ids[of].view(np.uint64) ^ _mixed(start.astype(np.uint64))).view(np.int64)]),
+                pa.array(np.r_[ids[owner[both]], ids[of]]),
+                pa.array(np.r_[begin, start - first[of]]),
+                pa.array(np.r_[(high - low)[both] + size + begin, stop - first[of]]),
+                pa.array([*seen, *[None] * len(start)], pa.binary()),
             ],
             names=["key", "_id", "start", "stop", "body"],
         )
