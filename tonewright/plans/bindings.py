@@ -38,11 +38,32 @@ def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spectral.novelty(df, ["rms", "centroid", "bandwidth", "flatness", "low", "mid", "high", "side_ratio", "onset"], "track", "frame_idx")
 
 
+MEANS = ["rms", "peak", "zcr", "centroid", "bandwidth", "rolloff", "flatness", "low", "mid", "high", "side_ratio", "balance", "phase", "flux", "onset", "percussive", "harmonic", "novelty"]
+HIGHEST = {"rms_max": "rms", "peak_max": "peak", "side_max": "side_ratio", "flux_max": "flux", "onset_max": "onset"}
+RANGES = {"dynamic": "rms", "lr_motion": "balance"}
+#: Features whose means over the first and last fifth of a segment are kept.
+EDGES = ["rms", "centroid", "low"]
+
+
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Means of the series over stretches of SEGMENT_FRAMES frames."""
+    """The profile of each stretch of SEGMENT_FRAMES frames: means, extremes, edges and their change, onset density, and its track's duration.
+
+    One pass: a segment's few edge values are kept as a sorted list, which a segment's length bounds.
+    """
     df = series(spark, sf_dir).withColumn("segment", F.floor(F.col("frame_idx") / SEGMENT_FRAMES).cast("int"))
-    means = ["rms", "peak", "zcr", "centroid", "bandwidth", "flatness", "low", "mid", "high", "side_ratio", "balance", "phase", "flux", "onset", "percussive", "harmonic", "novelty"]
-    return df.groupBy("track", "segment").agg(F.min("t").alias("start_s"), (F.max("t") + HOP).alias("end_s"), F.count("*").alias("frames"), *[F.avg(c).alias(c) for c in means])
+    listed = F.sort_array(F.collect_list(F.struct("frame_idx", *EDGES, "onset")))
+    out = df.groupBy("track", "segment").agg(
+        F.min("t").alias("start_s"), (F.max("t") + HOP).alias("end_s"), F.count("*").alias("frames"), *[F.avg(c).alias(c) for c in MEANS],
+        *[F.max(c).alias(n) for n, c in HIGHEST.items()], *[(F.max(c) - F.min(c)).alias(n) for n, c in RANGES.items()],
+        F.percentile("onset", F.lit(0.75)).alias("_q"), listed.alias("_f"),
+    )
+    edge = F.greatest(F.lit(1), F.ceil(F.col("frames") * 0.2).cast("int"))
+    mean = lambda part, c: F.aggregate(part, F.lit(0.0), lambda s, x: s + x[c]) / F.size(part)
+    out = out.withColumns({"_a": F.slice("_f", F.lit(1), edge), "_b": F.slice("_f", -edge, edge)})
+    out = out.withColumns({f"{c}_start": mean("_a", c) for c in EDGES} | {f"{c}_end": mean("_b", c) for c in EDGES})
+    out = out.withColumns({f"{c}_delta": F.col(f"{c}_end") - F.col(f"{c}_start") for c in EDGES})
+    dense = F.size(F.filter("_f", lambda x: x["onset"] > F.greatest(F.lit(0.45), F.col("_q")))) / F.col("frames")
+    return out.withColumn("density", dense).withColumn("duration", F.max("end_s").over(Window.partitionBy("track"))).drop("_q", "_f", "_a", "_b")
 
 
 #: The same relations for the SQL of the queries.
@@ -75,9 +96,12 @@ SQL["ser"] = f"""ser0 AS (SELECT *, 0.7 * {norm_sql("flux")} + 0.3 * {norm_sql("
         FROM feat WINDOW tr AS (PARTITION BY track)),
     ser1 AS (SELECT *, {", ".join(f"{norm_sql(c)} AS n_{c}" for c in _NOVEL)} FROM ser0 WINDOW tr AS (PARTITION BY track)),
     ser AS (SELECT * EXCLUDE ({", ".join(f"n_{c}" for c in _NOVEL)}), coalesce(({" + ".join(f"abs(n_{c} - lag(n_{c}) OVER o)" for c in _NOVEL)}) / 9, 0) AS novelty FROM ser1 WINDOW o AS (PARTITION BY track ORDER BY frame_idx))"""
-_MEANS = ["rms", "peak", "zcr", "centroid", "bandwidth", "flatness", "low", "mid", "high", "side_ratio", "balance", "phase", "flux", "onset", "percussive", "harmonic", "novelty"]
-SQL["seg"] = f"""seg AS (SELECT track, CAST(floor(frame_idx / 10) AS INTEGER) AS segment, min(t) AS start_s, max(t) + 0.1 AS end_s, count(*) AS frames, {", ".join(f"avg({c}) AS {c}" for c in _MEANS)}
-        FROM ser GROUP BY track, CAST(floor(frame_idx / 10) AS INTEGER))"""
+_KEPT = ", ".join([f"avg({c}) AS {c}" for c in MEANS] + [f"max({c}) AS {n}" for n, c in HIGHEST.items()] + [f"max({c}) - min({c}) AS {n}" for n, c in RANGES.items()])
+_EDGED = ", ".join(f"avg({c}) FILTER (i <= e) AS {c}_start, avg({c}) FILTER (i > n - e) AS {c}_end" for c in EDGES)
+SQL["seg"] = f"""cut AS (SELECT ser.*, rolloff, CAST(floor(frame_idx / 10) AS INTEGER) AS segment FROM ser JOIN roll USING (vec_id)),
+    edged AS (SELECT *, greatest(1, ceil(n * 0.2)) AS e FROM (SELECT *, row_number() OVER (PARTITION BY track, segment ORDER BY frame_idx) AS i, count(*) OVER (PARTITION BY track, segment) AS n, quantile_cont(onset, 0.75) OVER (PARTITION BY track, segment) AS q FROM cut)),
+    seg0 AS (SELECT track, segment, min(t) AS start_s, max(t) + 0.1 AS end_s, count(*) AS frames, {_KEPT}, {_EDGED}, avg(CASE WHEN onset > greatest(0.45, q) THEN 1.0 ELSE 0.0 END) AS density FROM edged GROUP BY track, segment),
+    seg AS (SELECT *, {", ".join(f"{c}_end - {c}_start AS {c}_delta" for c in EDGES)}, max(end_s) OVER (PARTITION BY track) AS duration FROM seg0)"""
 CHAIN = ["e", "s", "level", "shape", "ms", "fl", "feat", "ser", "seg"]
 
 

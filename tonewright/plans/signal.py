@@ -60,12 +60,15 @@ def a13_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT track, CAST(lag AS INTEGER) AS lag, round(r / first_value(r) OVER (PARTITION BY track ORDER BY lag), 6) AS corr FROM r"""))
 def a15_autocorrelation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A-15: autocorrelation of the centred onset series, relative to lag 0; lags by leads, without a self-join."""
+    return B.rounded(a15_unrounded(spark, sf_dir).where("corr is not null"))
+
+
+def a15_unrounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     w, o = Window.partitionBy("track"), Window.partitionBy("track").orderBy("frame_idx")
     df = B.series(spark, sf_dir).withColumn("x", F.col("onset") - F.avg("onset").over(w))
     df = df.select("track", *[(F.col("x") * F.lead("x", k).over(o)).alias(f"r{k}") for k in range(21)])
     sums = df.groupBy("track").agg(*[F.sum(f"r{k}").alias(f"r{k}") for k in range(21)])
-    long = sums.select("track", F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), (F.col(f"r{k}") / F.col("r0")).alias("corr")) for k in range(21)])).alias("z"))
-    return B.rounded(long.select("track", "z.lag", "z.corr").where("corr is not null"))
+    return sums.select("track", F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), (F.col(f"r{k}") / F.col("r0")).alias("corr")) for k in range(21)])).alias("z")).select("track", "z.lag", "z.corr")
 
 
 @query(B.with_sql("ser", """, c AS (SELECT track, frame_idx, onset - avg(onset) OVER (PARTITION BY track) AS x FROM ser),
@@ -81,14 +84,6 @@ def a16_tempo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.rounded(best.select("track", "lag", bpm.alias("bpm"), F.when(F.abs(bpm - F.round(bpm)) < 0.35, F.round(bpm)).otherwise(bpm).alias("snapped"), F.greatest("corr", F.lit(0.0)).alias("confidence")))
 
 
-def a15_unrounded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w, o = Window.partitionBy("track"), Window.partitionBy("track").orderBy("frame_idx")
-    df = B.series(spark, sf_dir).withColumn("x", F.col("onset") - F.avg("onset").over(w))
-    df = df.select("track", *[(F.col("x") * F.lead("x", k).over(o)).alias(f"r{k}") for k in range(21)])
-    sums = df.groupBy("track").agg(*[F.sum(f"r{k}").alias(f"r{k}") for k in range(21)])
-    return sums.select("track", F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), (F.col(f"r{k}") / F.col("r0")).alias("corr")) for k in range(21)])).alias("z")).select("track", "z.lag", "z.corr")
-
-
 @query(B.with_sql("ser", """, q AS (SELECT track, greatest(avg(onset), quantile_cont(onset, 0.7)) AS least, max(t) AS last FROM ser GROUP BY track),
     f AS (SELECT ser.track, min(t) FILTER (onset >= least AND t <= least_t) AS first_beat, any_value(last) AS last FROM ser JOIN (SELECT *, least(last, 1.0) AS least_t FROM q) USING (track) GROUP BY ser.track),
     b AS (SELECT track, coalesce(first_beat, 0) AS first_beat, last, unnest(range(0, CAST(floor((last - coalesce(first_beat, 0)) / 0.5 + 1e-9) AS BIGINT) + 1)) AS i FROM f)
@@ -201,11 +196,14 @@ def a35_median_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.rounded(df.groupBy("track").agg(F.percentile("d", F.lit(0.5)).alias("hop")))
 
 
-@query(B.with_sql("seg", f""", x AS ({scorers.SPACE_SQL.format(source="seg")}), o AS ({scorers.OBJECTS_SQL.format(source="x")}) {scorers.RULES_SQL.format(source="o")}"""))
+_STRENGTHS = [f"strength_of_{n}" for n in scorers.RELATIONS]
+
+
+@query(B.with_sql("seg", f""", x AS ({scorers.applied_sql([*scorers.SPACE_STAGES, scorers.OBJECT_SCORES, scorers.RULES], "seg")}) SELECT track, segment, relations, {_r(*_STRENGTHS)}, tags, role, round(role_confidence, 6) AS role_confidence FROM x"""))
 def x07_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """X-05 to X-09: relation, style and hypothesis rules as filtered arrays, and the role cascade."""
+    """X-05 to X-07: relations with strengths, style tags, section role and its confidence."""
     df = scorers.rules(scorers.objects(scorers.space(B.segments(spark, sf_dir))))
-    return df.select("track", "segment", F.array_join("relations", ",").alias("relations"), F.array_join("tags", ",").alias("tags"), "role", "event")
+    return B.rounded(df.select("track", "segment", "relations", *_STRENGTHS, "tags", "role", "role_confidence"))
 
 
 @query(B.with_sql("seg", f""", x AS ({scorers.SPACE_SQL.format(source="seg")}), o AS ({scorers.OBJECTS_SQL.format(source="x")}), l AS (UNPIVOT (SELECT track, segment, {", ".join(scorers.OBJECTS)} FROM o) ON {", ".join(scorers.OBJECTS)} INTO NAME lane VALUE v),
