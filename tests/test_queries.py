@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import pytest
 
-from tonewright.plans import relational, signal
+from tonewright.plans import evidence, relational, signal
 
-QUERIES = signal.QUERIES | relational.QUERIES
-ORACLES = signal.ORACLES | relational.ORACLES
+QUERIES = signal.QUERIES | relational.QUERIES | evidence.QUERIES
+ORACLES = signal.ORACLES | relational.ORACLES | evidence.ORACLES
 
 
 def plain(rows, columns):
