@@ -25,23 +25,6 @@ def test_against_sql(spark, small, duck, name):
     assert plain([r.asDict() for r in df.collect()], columns) == plain(expected, columns)
 
 
-def test_spaced_boundaries_by_brute_force(spark, small):
-    import numpy as np
-
-    rows = signal.B.series(spark, small).select("track", "frame_idx", "t", "novelty").collect()
-    got = {(r["track"], r["frame_idx"]) for r in QUERIES["w03_spaced_boundaries"](spark, small).collect()}
-    expected = set()
-    for track in {r["track"] for r in rows}:
-        mine = sorted((r for r in rows if r["track"] == track), key=lambda r: r["frame_idx"])
-        peaks = [b for a, b, c in zip(mine, mine[1:], mine[2:], strict=False) if b["novelty"] >= a["novelty"] and b["novelty"] >= c["novelty"]]
-        kept = []
-        for p in sorted(peaks, key=lambda r: (-r["novelty"], r["t"])):
-            if all(abs(p["t"] - k["t"]) >= 0.8 for k in kept):
-                kept.append(p)
-        expected |= {(track, p["frame_idx"]) for p in kept}
-    assert np.array_equal(sorted(got), sorted(expected))
-
-
 def test_entry_and_registry(spark):
     import __spark_entry__ as e
 

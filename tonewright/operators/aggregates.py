@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -22,7 +22,10 @@ def first_mode(df: DataFrame, keys: list[str], value: str, order: str) -> DataFr
 def term_summary(hits: DataFrame, term: str, row: str, weight: str, section: str, examples: int) -> DataFrame:
     """(term, n, weighted, sections, examples): counts of hits and the rows with the smallest ids."""
     counts = hits.groupBy(term).agg(F.count("*").alias("n"), F.sum(weight).cast("long").alias("weighted"), F.countDistinct(section).alias("sections"))
-    # The smallest ids of each partial group are enough, so that no list grows with the input.
-    part = hits.groupBy(term, F.pmod(F.xxhash64(row), F.lit(64)).alias("_part")).agg(F.slice(F.array_sort(F.collect_set(row)), 1, examples).alias("_ids"))
-    ids = part.groupBy(term).agg(F.array_join(F.slice(F.array_sort(F.flatten(F.collect_list("_ids"))), 1, examples), ",").alias("examples"))
+    # Ranks keep `examples` ids of each part, then of each term, so that no list grows with the input.
+    part = F.pmod(F.xxhash64(row), F.lit(64))
+    ids = hits.select(term, row, part.alias("_part")).distinct()
+    for keys in ((term, "_part"), (term,)):
+        ids = ids.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(row))).where(F.col("_k") <= examples)
+    ids = ids.groupBy(term).agg(F.array_join(F.array_sort(F.collect_list(row)), ",").alias("examples"))
     return counts.join(ids, term)

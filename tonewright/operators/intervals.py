@@ -36,9 +36,9 @@ def nearest_before_and_after(points: DataFrame, marks: DataFrame, keys: list[str
     Both sides are laid in one time line, and each point takes the last mark before and the first mark behind it.
     """
     rows = points.withColumns({"_t": F.col(time), "_mark": F.lit(None).cast("double")}).unionByName(marks.select(*keys, F.col(mark).alias("_t"), F.col(mark).cast("double").alias("_mark")), allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy("_t")
-    before = F.last("_mark", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0))
-    behind = F.first("_mark", ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing))
+    so_far = lambda order: Window.partitionBy(*keys).orderBy(order).rangeBetween(Window.unboundedPreceding, 0)
+    before = F.last("_mark", ignorenulls=True).over(so_far(F.asc("_t")))
+    behind = F.last("_mark", ignorenulls=True).over(so_far(F.desc("_t")))  # a growing frame too, from the other end
     rows = rows.withColumns({"_before": before, "_behind": behind}).where(F.col("_mark").isNull())
     near = F.when(F.col("_before").isNull(), F.col("_behind")).when(F.col("_behind").isNull(), F.col("_before")).when(F.col("_t") - F.col("_before") <= F.col("_behind") - F.col("_t"), F.col("_before")).otherwise(F.col("_behind"))
     return rows.withColumn("nearest", near).drop("_t", "_mark", "_before", "_behind")

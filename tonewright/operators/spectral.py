@@ -110,9 +110,15 @@ def erb_bank(channels: int, low: float, high: float) -> Column:
 
 
 def erb_envelopes(df: DataFrame, magnitudes: str, size: int, rate: float, channels: int = 16, low: float = 50.0, high: float = 8000.0) -> DataFrame:
-    """Rows (.., channel, centre, envelope): power weighted by 1 / (1 + (distance / 1.5 bandwidths) ** 4), weights of a channel summing to one."""
+    """Rows (.., channel, centre, envelope): power weighted by 1 / (1 + (distance / 1.5 bandwidths) ** 4), weights of a channel summing to one.
+
+    The bin at 0 Hz has no weight; a channel without any weight takes the bin nearest to its centre.
+    """
     df = df.withColumn("_p", power(magnitudes)).withColumn("_f", frequencies(size, rate)).withColumn("_c", F.explode(erb_bank(channels, low, high)))
-    weight = F.transform("_f", lambda f: 1 / (1 + F.pow((f - F.col("_c.centre")) / (1.5 * F.col("_c.bandwidth")), F.lit(4))))
+    weight = F.transform("_f", lambda f: F.when(f <= 0, 0.0).otherwise(1 / (1 + F.pow((f - F.col("_c.centre")) / (1.5 * F.col("_c.bandwidth")), F.lit(4)))))
     df = df.withColumn("_w", weight)
+    away = F.transform("_f", lambda f: F.abs(f - F.col("_c.centre")))
+    nearest = F.transform("_f", lambda f: F.when(F.abs(f - F.col("_c.centre")) == F.array_min(away), 1.0).otherwise(0.0))
+    df = df.withColumn("_w", F.when(total(F.col("_w")) > EPS, F.col("_w")).otherwise(nearest))
     envelope = total(F.zip_with("_w", "_p", lambda w, p: w * p)) / total(F.col("_w"))
     return df.withColumns({"channel": F.col("_c.channel"), "centre": F.col("_c.centre"), "envelope": envelope}).drop("_p", "_f", "_c", "_w")

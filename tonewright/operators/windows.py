@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,18 +41,22 @@ def local_maxima(value: str, track: str, order: str) -> Column:
     return F.coalesce((F.col(value) >= F.lag(value).over(w)) & (F.col(value) >= F.lead(value).over(w)), F.lit(False))
 
 
-def spaced_peaks(df: DataFrame, track: str, time: str, score: str, distance: float) -> DataFrame:
-    """Greedy choice within each track: best score first, kept if no kept one is nearer than `distance`; ties go to the earlier.
+def spaced_peaks(df: DataFrame, track: str, time: str, score: str, distance: float, last: str) -> DataFrame:
+    """Greedy choice within each track: best score first, kept if no kept one, nor the start or the end (`last`), is nearer than `distance`; ties go to the earlier.
 
     Each pick depends on all picks before it, so a track is one group; it holds a track's candidate peaks, not its frames.
+    Kept times stay sorted, so that a candidate is compared with its two neighbours only.
     """
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[int] = []
-        for i in pdf.sort_values([score, time], ascending=[False, True]).index:
-            if all(abs(pdf.at[i, time] - pdf.at[j, time]) >= distance for j in kept):
-                kept.append(i)
-        return pdf.loc[sorted(kept)]
+        kept = [0.0, float(pdf[last].iloc[0])]
+        chosen = []
+        for i, t in pdf.sort_values([score, time], ascending=[False, True])[time].items():
+            at = bisect.bisect(kept, t)
+            if t - kept[max(at - 1, 0)] >= distance and kept[min(at, len(kept) - 1)] - t >= distance:
+                kept.insert(at, t)
+                chosen.append(i)
+        return pdf.loc[sorted(chosen)]
 
     return df.groupBy(track).applyInPandas(pick, df.schema)
 

@@ -189,15 +189,24 @@ def p05_active_or_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.where("(c_acctbal >= 9000 or (best < 9000 and rank = 1)) and rank <= 8").select("c_nationkey", "c_custkey", "c_acctbal", "rank")
 
 
-@query("""WITH c AS (SELECT s_nationkey, s_suppkey, s_acctbal FROM supplier) SELECT a.s_suppkey, count(b.s_suppkey) AS rivals, coalesce(array_to_string(list_sort(list(b.s_suppkey))[1:4], ','), '') AS first_rivals
+@query("""WITH c AS (SELECT s_nationkey, s_suppkey, s_acctbal FROM supplier) SELECT a.s_suppkey, count(b.s_suppkey) AS rivals, coalesce(array_to_string(list(b.s_suppkey ORDER BY b.s_acctbal DESC, b.s_suppkey)[1:4], ','), '') AS strongest
     FROM c a LEFT JOIN c b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey AND b.s_acctbal >= greatest(2800, a.s_acctbal - 1600) GROUP BY a.s_suppkey""")
 def j16_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J-16: others of the same group that come close to a member; ranks inside the group, not pairs, where only counts are asked."""
-    s = table(spark, sf_dir, "supplier")
-    a = s.select("s_nationkey", "s_suppkey", F.greatest(F.lit(2800.0), F.col("s_acctbal") - 1600).alias("least"))
-    b = s.select("s_nationkey", F.col("s_suppkey").alias("other"), "s_acctbal")
-    on = (a["s_nationkey"] == b["s_nationkey"]) & (a["s_suppkey"] != b["other"]) & (b["s_acctbal"] >= a["least"])
-    return a.join(b, on, "left").groupBy("s_suppkey").agg(F.count("other").alias("rivals"), F.array_join(F.slice(F.array_sort(F.collect_list("other")), 1, 4), ",").alias("first_rivals"))
+    """J-16: how many others of the same group come close to a member, and the four strongest of them.
+
+    No pairs are made: a running count over the members from the strongest down tells how many come close,
+    and the four are among the group's five strongest, which every member is shown.
+    """
+    s = table(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey", F.col("s_acctbal").cast("double").alias("own"))
+    group = Window.partitionBy("s_nationkey")
+    down = group.orderBy(F.desc("own"))
+    close = F.count("*").over(down.rangeBetween(Window.unboundedPreceding, 1600))
+    s = s.withColumns({"close": close, "able": F.count_if(F.col("own") >= 2800).over(group), "place": F.row_number().over(group.orderBy(F.desc("own"), "s_suppkey"))})
+    least = F.greatest(F.lit(2800.0), F.col("own") - 1600)
+    rivals = F.when(F.col("own") - 1600 >= 2800, F.col("close")).otherwise(F.col("able")) - (F.col("own") >= least).cast("int")
+    top = s.where("place <= 5").groupBy("s_nationkey").agg(F.sort_array(F.collect_list(F.struct("place", F.col("s_suppkey").alias("other"), F.col("own").alias("theirs")))).alias("top"))
+    near = F.filter("top", lambda x: (x["other"] != F.col("s_suppkey")) & (x["theirs"] >= least))
+    return s.join(top, "s_nationkey").select("s_suppkey", rivals.alias("rivals"), F.array_join(F.transform(F.slice(near, 1, 4), lambda x: x["other"]), ",").alias("strongest"))
 
 
 @query("""SELECT o_orderkey, CASE WHEN x >= 0.78 THEN 'dominant' WHEN x >= 0.58 THEN 'pronounced' WHEN x >= 0.38 THEN 'moderate' WHEN x >= 0.18 THEN 'restrained' ELSE 'reduced' END AS support, CASE WHEN x >= 0.75 THEN 'very_high' WHEN x >= 0.5 THEN 'high' WHEN x >= 0.25 THEN 'moderate' ELSE 'low' END AS state,

@@ -100,7 +100,7 @@ def a19_beat_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(B.with_sql("s", """, c AS (SELECT i AS channel, (power(10, (21.4 * log10(1 + 0.00437 * 50) + (21.4 * log10(1 + 0.00437 * 8000) - 21.4 * log10(1 + 0.00437 * 50)) * i / 15) / 21.4) - 1) / 0.00437 AS centre FROM range(16) t(i)),
     w AS (SELECT channel, centre, k, 1 / (1 + power((f - centre) / (1.5 * 24.7 * (4.37 * centre / 1000 + 1)), 4)) AS w FROM c, (SELECT DISTINCT k, f FROM s))
-    SELECT vec_id, CAST(channel AS INTEGER) AS channel, round(any_value(centre), 6) AS centre, round(sum(w * p) / sum(w), 9) AS envelope FROM s JOIN w USING (k) GROUP BY vec_id, channel"""))
+    SELECT vec_id, CAST(channel AS INTEGER) AS channel, round(any_value(centre), 6) AS centre, round(sum(CASE WHEN f <= 0 THEN 0 ELSE w END * p) / sum(CASE WHEN f <= 0 THEN 0 ELSE w END), 9) AS envelope FROM s JOIN w USING (k) GROUP BY vec_id, channel"""))
 def a28_erb_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A-27, A-28: auditory bank of 16 channels and its envelopes, by array folds in each row."""
     df = spectral.erb_envelopes(B.frames(spark, sf_dir), "samples", B.BINS, B.RATE)
@@ -182,12 +182,22 @@ def w02_local_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.rounded(peaks.select("track", "frame_idx", "onset", rank.alias("rank")).where("rank <= 16"))
 
 
-@query()
+@query("WITH RECURSIVE" + B.with_sql("ser", f""", m AS (SELECT track, frame_idx, t, sum(novelty) OVER (PARTITION BY track ORDER BY frame_idx ROWS BETWEEN 7 PRECEDING AND 7 FOLLOWING) / 15 AS ma FROM ser),
+    n AS (SELECT *, {B.norm_sql("ma")} AS nov, max(t) OVER tr + 0.1 AS duration FROM m WINDOW tr AS (PARTITION BY track)),
+    q AS (SELECT *, quantile_cont(nov, 0.82) OVER (PARTITION BY track) AS q82, lag(nov) OVER o AS a, lead(nov) OVER o AS b FROM n WINDOW o AS (PARTITION BY track ORDER BY frame_idx)),
+    c AS (SELECT track, frame_idx, t, duration, nov, row_number() OVER (PARTITION BY track ORDER BY round(nov, 9) DESC, t) AS i FROM q WHERE nov >= a AND nov >= b AND nov >= greatest(0.38, q82)),
+    g AS (SELECT DISTINCT track, CAST(0 AS BIGINT) AS i, [0.0::DOUBLE, duration] AS kept FROM c UNION ALL
+      SELECT g.track, c.i, CASE WHEN list_min(list_transform(kept, lambda x: abs(x - c.t))) >= 0.8 THEN list_append(kept, c.t) ELSE kept END FROM g JOIN c ON c.track = g.track AND c.i = g.i + 1)
+    SELECT c.track, CAST(c.frame_idx AS INTEGER) AS frame_idx, round(c.t, 6) AS t, round(nov, 6) AS score FROM c JOIN (SELECT track, kept FROM g QUALIFY row_number() OVER (PARTITION BY track ORDER BY i DESC) = 1) l ON l.track = c.track AND list_contains(l.kept, c.t)""").removeprefix("WITH"))
 def w03_spaced_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """W-02 to W-05: novelty peaks, thinned to at least 0.8 s apart; tests compare it with brute force."""
-    df = B.series(spark, sf_dir).select("track", "frame_idx", "t", "novelty")
-    peaks = df.withColumn("_peak", windows.local_maxima("novelty", "track", "frame_idx")).where("_peak").drop("_peak")
-    return B.rounded(windows.spaced_peaks(peaks, "track", "t", "novelty", 0.8))
+    """W-02, W-03, H-01: peaks of the smoothed, normalised novelty from max(0.38, its 82 % quantile), thinned to at least 0.8 s from each other and both ends."""
+    track = Window.partitionBy("track")
+    df = B.series(spark, sf_dir).select("track", "frame_idx", "t", spectral.moving_average("novelty", 15, "track", "frame_idx").alias("_ma"), (F.max("t").over(track) + B.HOP).alias("duration"))
+    df = df.withColumn("score", spectral.normalised(F.col("_ma"), "track"))
+    df = df.withColumn("_least", F.greatest(F.lit(0.38), F.percentile("score", F.lit(0.82)).over(track)))
+    peaks = df.withColumn("_peak", windows.local_maxima("score", "track", "frame_idx")).where("_peak AND score >= _least")
+    peaks = peaks.select("track", "frame_idx", "t", F.round("score", 9).alias("score"), "duration")
+    return B.rounded(windows.spaced_peaks(peaks, "track", "t", "score", 0.8, "duration").drop("duration"))
 
 
 @query(B.with_sql("ser", "SELECT track, round(quantile_cont(d, 0.5), 6) AS hop FROM (SELECT track, t - lag(t) OVER (PARTITION BY track ORDER BY frame_idx) AS d FROM ser) GROUP BY track"))

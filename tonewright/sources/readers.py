@@ -15,7 +15,8 @@ from ..functions import scalars as S
 
 # Alias keys of packets, suffixes and tokens of stem files.
 DETECTION_LISTS = ("detections", "tracks", "events", "time_ranges", "stems", "classes", "recognitions")
-LABEL_KEYS = ("family_hint", "label", "family", "name", "class", "track_family", "instrument", "stem", "tag")
+LABEL_KEYS = ("family_hint", "label", "family", "name", "class", "track_family", "instrument_family", "instrument", "stem", "source", "class_name", "tag")
+TOP_LABEL_KEYS = ("family_hint", "track_family", "instrument_family", "instrument", "stem", "source", "class_name", "label")
 CONFIDENCE_KEYS = ("confidence", "score", "probability", "support")
 STEM_SUFFIXES = ("wav", "flac", "mp3", "ogg", "m4a", "aif", "aiff")
 STEM_FAMILIES = {"vocals": "voice_like", "vocal": "voice_like", "voice": "voice_like", "drums": "drum_like", "drum": "drum_like", "bass": "bass_like", "guitar": "guitar_like", "piano": "piano_like", "keys": "piano_like", "other": "mixed_bed"}
@@ -92,15 +93,19 @@ def first_field(packet: Column, keys: tuple[str, ...], kind: str) -> Column:
 
 
 def detections(packets: DataFrame) -> DataFrame:
-    """(path, family, confidence, start_s, end_s) from all alias lists of adapter packets."""
+    """(path, family, confidence, start_s, end_s) from all alias lists of adapter packets and their own top-level label.
+
+    Without a confidence that is a number a detection counts as sure.
+    """
     parts = None
     for name in DETECTION_LISTS:
         items = packets.select("path", F.explode(F.try_variant_get("packet", f"$.{name}", "array<variant>")).alias("item"))
         parts = items if parts is None else parts.unionByName(items)
+    parts = parts.unionByName(packets.select("path", F.col("packet").alias("item")).where(first_field(F.col("item"), TOP_LABEL_KEYS, "string").isNotNull()))
     item = F.col("item")
     times = F.try_variant_get(item, "$.time_range", "array<double>")
     return parts.select(
-        "path", S.label(first_field(item, LABEL_KEYS, "string")).alias("family"), F.coalesce(first_field(item, CONFIDENCE_KEYS, "double"), F.lit(0.0)).alias("confidence"),
+        "path", S.label(first_field(item, LABEL_KEYS, "string")).alias("family"), S.clamp(F.coalesce(first_field(item, CONFIDENCE_KEYS, "double"), F.lit(1.0))).alias("confidence"),
         F.coalesce(F.try_element_at(times, F.lit(1)), F.try_variant_get(item, "$.start_seconds", "double")).alias("start_s"),
         F.coalesce(F.try_element_at(times, F.lit(2)), F.try_variant_get(item, "$.end_seconds", "double")).alias("end_s"),
     ).where("family is not null")

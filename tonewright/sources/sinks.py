@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -21,5 +21,7 @@ def markdown_lines(df: DataFrame, track: str, order: str, columns: list[str], li
     """(track, report): one Markdown table for each track over its first `limit` rows, assembled by Spark."""
     cell = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), F.lit(" |"))
     top = f"| {' | '.join(columns)} |\n|{'---|' * len(columns)}"
-    rows = df.select(track, F.struct(F.col(order).alias("o"), cell.alias("line")).alias("r")).groupBy(track).agg(F.slice(F.array_sort(F.collect_list("r")), 1, limit).alias("rs"))
+    rank = F.row_number().over(Window.partitionBy(track).orderBy(order, cell))
+    rows = df.select(track, cell.alias("line"), rank.alias("k")).where(F.col("k") <= limit)  # ranked before any list is made
+    rows = rows.groupBy(track).agg(F.array_sort(F.collect_list(F.struct("k", "line"))).alias("rs"))
     return rows.select(track, F.concat(F.lit(top + "\n"), F.array_join(F.transform("rs", lambda r: r["line"]), "\n")).alias("report"))

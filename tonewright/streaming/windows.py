@@ -1,4 +1,4 @@
-"""Streaming twins of the rolling windows: bounded state by watermark and window."""
+"""Streaming twins of the rolling windows: state bounded by watermark and window, or one number for each key."""
 
 from __future__ import annotations
 
@@ -25,7 +25,7 @@ def sessions(events: DataFrame, ts: str, key: str, gap: str = "30 minutes", late
 
 
 def relative_contrast(events: DataFrame, key: str, order: str, value: str) -> DataFrame:
-    """Change of each value against the last one of its key, across micro-batches; the state is one number for each key."""
+    """Change of each value against the last one of its key, across micro-batches; the state is one number for each key, for good, so keys must be bounded."""
 
     def step(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
