@@ -438,7 +438,8 @@ def test_fm_index_counts_and_locates():
     index = decontaminate.FmIndex(s)
     for size in (1, 2, 5):
         for pattern in {tuple(s[i : i + size]) for i in range(0, 290, 17)}:
-            low_, high = index.search(np.array([pattern]))
+            found, low_, high = index.search(np.array([pattern]))
+            assert found.tolist() == [0]
             expected = [i for i in range(len(s) - size) if tuple(s[i : i + size]) == pattern]
             assert sorted(index.locate(np.arange(low_[0], high[0])).tolist()) == expected
 
@@ -531,3 +532,31 @@ def test_index_family_by_brute_force(monkeypatch, batch):
             got.add((d, start, stop))
     covered = lambda spans: {(d, x) for d, a, z in spans for x in range(a, z)}
     assert covered(got) == covered({(d, p, p + size) for d, p in expected})
+
+
+def test_query_columns_of_decontamination(spark, small):
+    """The query's own columns, by brute force over whole tables."""
+    items = {str(r["item_id"]): r["text"] for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()}
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    rows = queries.op8_decontamination(spark, small).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        n, hit, names = brute_hits(texts[r["doc_id"]], items)
+        expected = (n, hit, len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), hit > 0)
+        assert (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) == expected
+
+
+def test_query_columns_of_tokens(spark, small):
+    """The queries' own columns as the library gives them."""
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    word, byte = (Tokenizer.from_file(bpe.vocabulary_path(x)) for x in ("word_bpe_49k.json", "byte_bpe_50k.json"))
+    for r in queries.op3_token_counts(spark, small).collect():
+        n = len(word.encode(texts[r["doc_id"]], add_special_tokens=False).ids)
+        assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len(texts[r["doc_id"]].encode()), n, n > 2048)
+    for r in queries.op10_bpe_round_trip(spark, small).collect():
+        ids = byte.encode(texts[r["doc_id"]], add_special_tokens=False).ids
+        decoded = byte.decode(ids, skip_special_tokens=False)
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())

@@ -19,12 +19,14 @@ WORD_BYTES = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the cluster's spark.checkpoint.dir; set one only where none is set, as in tests."""
+    """Keep the cluster's spark.checkpoint.dir; set one only where none is set and Spark runs in one machine, as in tests."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         import tempfile
 
         configured = tempfile.mkdtemp(prefix="tonewright-checkpoint-")

@@ -1,14 +1,13 @@
 """Benchmark decontamination with an FM-index for each shard of the corpus.
 
 Test items give phrases: each run of `window` consecutive words, or the whole item
-where it has fewer. The items are sent to all tasks in blocks of bounded size; each
-block makes one pass over the documents. A task reads its documents shard by shard.
-Words that no phrase of the block holds, and neighbours that never stand together
-in a phrase, cannot be part of an occurrence, so a shard's index covers only the
-stretches between them that are as long as a phrase. The index is the shard's
-Burrows-Wheeler transform in a wavelet matrix; all phrases are searched backward at
-once through its ranks, occurrences are located by walking to sampled suffix
-positions, and the located spans are merged for each document.
+where it has fewer. The items are sent to all tasks in blocks of bounded size, as
+packed word numbers; each block makes one pass over the documents. A task reads its
+documents shard by shard, and numbers a shard's words among themselves. The index is
+the Burrows-Wheeler transform of the whole shard in a wavelet matrix, whatever the
+phrases are; all phrases whose words the shard has are searched backward at once
+through its ranks, occurrences are located by walking to sampled suffix positions,
+and the located spans are merged for each document.
 
 Words: UTF-8 text, ASCII letters lower-cased, split at ASCII characters that are
 neither letters nor digits. Null and empty texts have no words, as documents and as
@@ -23,8 +22,8 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterator
-from itertools import repeat
+from collections.abc import Iterable, Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,45 +35,48 @@ from .common import WORD_BYTES, byte_texts, slices
 
 WINDOW = 10
 SAMPLE_RATE = 8
-#: Bytes of item text that are sent to all tasks at once.
+#: Bytes of item text that are sent to all tasks at once, and bytes of documents that make a shard.
 BLOCK_BYTES = 16 << 20
+SHARD_BYTES = 4 << 20
+#: Phrases that are searched at once.
+SEARCHED = 1 << 18
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
 class Phrases:
-    """The phrases of a block of items as word numbers, longest stretches first by length."""
+    """A block of items as packed word numbers; a phrase is a place in them, so that none is spelled out."""
 
-    def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW):
-        self.number: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[str]] = defaultdict(set)
+    def __init__(self, items: Iterable[tuple[str, str | None]], window: int = WINDOW):
+        number: dict[bytes, int] = {}
+        names, rows = [], []
         for name, text in items:
-            words = (text or "").encode().translate(WORD_BYTES).split()
-            ids = [self.number.setdefault(w, len(self.number) + 1) for w in words]
+            ids = [number.setdefault(w, len(number)) for w in (text or "").encode().translate(WORD_BYTES).split()]
             if ids:
-                size = min(window, len(ids))
-                for i in range(len(ids) - size + 1):
-                    owners[tuple(ids[i : i + size])].add(name)
-        phrases = sorted(owners, key=len)
-        self.items = [sorted(owners[p]) for p in phrases]
-        self.sizes = np.array([len(p) for p in phrases], np.int64)
-        self.words = np.zeros((len(phrases), window), np.int64)
-        for i, p in enumerate(phrases):
-            self.words[i, : len(p)] = p
-        self.shortest = int(self.sizes[0]) if phrases else 0
-        self.radix = len(self.number) + 1
-        pairs = {a * self.radix + b for p in phrases for a, b in zip(p, p[1:], strict=False)}
-        self.pairs = np.array(sorted(pairs), np.int64)
+                names.append(name)
+                rows.append(np.array(ids, np.int32))
+        length = np.array([len(x) for x in rows], np.int64)
+        self.names = names
+        self.vocabulary = b" ".join(number)
+        self.words = np.concatenate(rows) if rows else np.empty(0, np.int32)
+        size = np.minimum(length, window)
+        count = length - size + 1
+        first = np.cumsum(length) - length
+        self.item = np.repeat(np.arange(len(rows), dtype=np.int32), count)
+        self.size = np.repeat(size, count).astype(np.int32)
+        self.start = np.repeat(first, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
     """Order of all suffixes by prefix doubling."""
     n, step = len(s), 1
-    rank = np.unique(s, return_inverse=True)[1].astype(np.int64) + 1
+    rank = s.astype(np.int64) + 1
     while True:
-        key = rank * (n + 2) + np.r_[rank[step:], np.zeros(min(step, n), np.int64)][:n]
-        order = np.argsort(key, kind="stable")
+        key = rank * (max(n, int(rank.max())) + 2)
+        key[: max(n - step, 0)] += rank[step:]
+        order = np.argsort(key)
+        key = key[order]
         fresh = np.empty(n, np.int64)
-        fresh[order] = np.cumsum(np.r_[1, key[order][1:] != key[order][:-1]])
+        fresh[order] = np.cumsum(np.r_[1, key[1:] != key[:-1]])
         rank, step = fresh, step * 2
         if rank[order[-1]] == n or step >= 2 * n:
             return order
@@ -93,11 +95,11 @@ class FmIndex:
         row = self.last
         for level in reversed(range(self.bits)):
             bit = (row >> level) & 1
-            self.levels.append(np.r_[0, np.cumsum(bit)])
+            self.levels.append(np.r_[0, np.cumsum(bit)].astype(np.int32))
             self.zeros.append(int(len(bit) - bit.sum()))
             row = np.r_[row[bit == 0], row[bit == 1]]
         self.sampled = order % SAMPLE_RATE == 0
-        self.place = np.cumsum(self.sampled) - 1
+        self.place = (np.cumsum(self.sampled) - 1).astype(np.int32)
         self.positions = order[self.sampled]
 
     def rank(self, c: np.ndarray, i: np.ndarray) -> np.ndarray:
@@ -109,16 +111,16 @@ class FmIndex:
             i = np.where(bit == 1, self.zeros[depth] + ones[i], i - ones[i])
         return i - start
 
-    def search(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Row ranges of the patterns, one in each row of words."""
+    def search(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the patterns, one in each row of words, those that occur, and their row ranges."""
+        which = np.arange(len(words))
         low, high = np.zeros(len(words), np.int64), np.full(len(words), self.n, np.int64)
-        for c in words.T[::-1]:
-            seen = c < len(self.below) - 1
-            c = np.where(seen, c, 0)
+        for k in reversed(range(words.shape[1])):
+            c = words[which, k]
             low, high = self.below[c] + self.rank(c, low), self.below[c] + self.rank(c, high)
-            low = np.where(seen, low, 0)
-            high = np.where(seen, high, 0)
-        return low, np.maximum(low, high)
+            left = high > low
+            which, low, high = which[left], low[left], high[left]
+        return which, low, high
 
     def locate(self, rows: np.ndarray) -> np.ndarray:
         """Positions of rows: walk back to a sampled one, and count the steps."""
@@ -132,44 +134,37 @@ class FmIndex:
         return out
 
 
-def occurrences(ids: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:
-    """(position, phrase) of all occurrences in an array of word numbers, where 0 stands for any other word or a border."""
-    none = np.empty(0, np.int64), np.empty(0, np.int64)
-    if not len(phrases.sizes) or not len(ids):
-        return none
-    inside = ids > 0
-    if phrases.shortest > 1:
-        pair = ids[:-1] * phrases.radix + ids[1:]
-        at = np.minimum(np.searchsorted(phrases.pairs, pair), len(phrases.pairs) - 1)
-        joined = inside[:-1] & inside[1:] & (phrases.pairs[at] == pair)
-        start = inside & ~np.r_[False, joined]
-    else:
-        start = inside & ~np.r_[False, inside[:-1]]
-        joined = inside[:-1] & inside[1:]
-    stop = inside & ~np.r_[joined, False]
-    starts, stops = np.flatnonzero(start), np.flatnonzero(stop) + 1
-    long = stops - starts >= phrases.shortest
-    starts, sizes = starts[long], (stops - starts)[long]
-    if not len(starts):
-        return none
-    ends = np.cumsum(sizes + 1)  # a border of its own kind stands behind each stretch
-    border = len(phrases.number) + 1
-    shard = np.full(int(ends[-1]) + 1, border, np.int64)
-    back = np.full(len(shard), -1, np.int64)
-    first = ends - sizes - 1
-    step = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    back[np.repeat(first, sizes) + step] = np.repeat(starts, sizes) + step
-    shard[back >= 0] = ids[back[back >= 0]]
-    shard[-1] = 0
-    index = FmIndex(shard)
-    found = []
-    for size in np.unique(phrases.sizes):
-        which = np.flatnonzero(phrases.sizes == size)
-        low, high = index.search(phrases.words[which, :size])
-        n = high - low
-        rows = np.repeat(low, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        found.append((back[index.locate(rows)], np.repeat(which, n)))
-    return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+class Shard:
+    """Documents whose words are numbered among themselves, with an FM-index over all of them."""
+
+    def __init__(self, texts: list[bytes]):
+        words = [t.translate(WORD_BYTES).split() for t in texts]
+        self.sizes = np.fromiter(map(len, words), np.int64, len(words))
+        self.firsts = np.cumsum(self.sizes + 1) - self.sizes - 1
+        number = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(words)), 2)}
+        ids = np.ones(int(self.sizes.sum()) + len(words) + 1, np.int64)  # 1 is the border behind each document, 0 the end
+        for f, w in zip(self.firsts.tolist(), words, strict=True):
+            ids[f : f + len(w)] = np.fromiter(map(number.__getitem__, w), np.int64, len(w))
+        ids[-1] = 0
+        self.number, self.length = number, len(ids) - 1
+        self.index = FmIndex(ids) if number else None
+
+    def occurrences(self, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:
+        """(position, phrase) of all occurrences."""
+        found: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+        known = phrases.vocabulary.split(b" ") if phrases.vocabulary else []
+        words = np.fromiter(map(self.number.get, known, repeat(0)), np.int64, len(known))[phrases.words]
+        unknown = np.r_[0, np.cumsum(words == 0)]
+        able = np.flatnonzero(unknown[phrases.start + phrases.size] == unknown[phrases.start])  # the shard has all their words
+        for size in np.unique(phrases.size[able]).tolist():
+            mine = able[phrases.size[able] == size]
+            for k in range(0, len(mine), SEARCHED):
+                part = mine[k : k + SEARCHED]
+                hit, low, high = self.index.search(words[phrases.start[part][:, None] + np.arange(size)])
+                n = high - low
+                rows = np.repeat(low, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                found.append((self.index.locate(rows), np.repeat(part[hit], n)))
+        return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
 
 
 def runs(covered: np.ndarray) -> list[tuple[int, int]]:
@@ -179,30 +174,24 @@ def runs(covered: np.ndarray) -> list[tuple[int, int]]:
 
 def scan(texts: list[bytes], phrases: Phrases) -> list[tuple[int, int, list[str], list[dict]]]:
     """Of each text: words, hit words, names of occurring items, merged spans in bytes."""
-    words = [t.translate(WORD_BYTES).split() for t in texts]
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    firsts = np.cumsum(sizes + 1) - sizes - 1
-    ids = np.zeros(int(sizes.sum()) + len(words), np.int64)
-    for f, w in zip(firsts.tolist(), words, strict=True):
-        ids[f : f + len(w)] = np.fromiter(map(phrases.number.get, w, repeat(0)), np.int64, len(w))
-    at, which = occurrences(ids, phrases)
-    out = [(n, 0, [], []) for n in sizes.tolist()]
+    shard = Shard(texts)
+    at, which = shard.occurrences(phrases)
+    out = [(n, 0, [], []) for n in shard.sizes.tolist()]
     if not len(at):
         return out
-    edges = np.zeros(len(ids) + 1, np.int64)
+    edges = np.zeros(shard.length + 1, np.int64)
     np.add.at(edges, at, 1)
-    np.add.at(edges, at + phrases.sizes[which], -1)
+    np.add.at(edges, at + phrases.size[which], -1)
     covered = np.cumsum(edges[:-1]) > 0
-    owner = np.searchsorted(firsts, at, side="right") - 1
-    of_doc: dict[int, set[int]] = defaultdict(set)
-    for d, p in set(zip(owner.tolist(), which.tolist(), strict=True)):
-        of_doc[d].add(p)
-    for d, hit in of_doc.items():
-        mine = covered[firsts[d] : firsts[d] + sizes[d]]
+    owner = np.searchsorted(shard.firsts, at, side="right") - 1
+    of_doc: dict[int, set[str]] = defaultdict(set)
+    for d, i in np.unique(np.stack([owner, phrases.item[which]]), axis=1).T.tolist():
+        of_doc[d].add(phrases.names[i])
+    for d, names in of_doc.items():
+        mine = covered[shard.firsts[d] : shard.firsts[d] + shard.sizes[d]]
         place = [m.span() for m in WORD.finditer(texts[d].translate(WORD_BYTES))]
         spans = [{"first": a, "stop": b, "start": place[a][0], "end": place[b - 1][1]} for a, b in runs(mine)]
-        names = sorted({x for p in hit for x in phrases.items[p]})
-        out[d] = (int(sizes[d]), int(mine.sum()), names, spans)
+        out[d] = (int(shard.sizes[d]), int(mine.sum()), sorted(names), spans)
     return out
 
 
@@ -211,13 +200,13 @@ ADDED = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongTy
 ARROW = pa.schema([("n_words", pa.int64()), ("n_hit", pa.int64()), ("item_ids", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([(x, pa.int64()) for x in SPAN.names])))])
 
 
-def _pass(df: DataFrame, items: list[tuple[str, str | None]], text_col: str, window: int) -> DataFrame:
+def _pass(df: DataFrame, items: Iterable[tuple[str, str | None]], text_col: str, window: int) -> DataFrame:
     """Search one block of items in all documents."""
     sent = df.sparkSession.sparkContext.broadcast(Phrases(items, window))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = sent.value
-        for b in slices(batches, text_col):
+        for b in slices(batches, text_col, SHARD_BYTES):
             rows = scan(byte_texts(b, text_col), phrases)
             added = [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(ARROW)]
             yield pa.RecordBatch.from_arrays([*b.columns, *added], names=[*b.schema.names, *ARROW.names])
@@ -246,7 +235,7 @@ def find(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col:
     out = df.drop(*[x for x in names if x != text_col])
     for k in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("name", "item"), F.lit(blocks)) == k)
-        found = _pass(out, [(r["name"], r["item"]) for r in part.toLocalIterator()], text_col, window)
+        found = _pass(out, ((r["name"], r["item"]) for r in part.toLocalIterator()), text_col, window)
         if k:  # what the blocks before have found waits under other names
             spans = merged(F.concat("_spans", "spans"))
             found = found.withColumn("spans", spans).withColumn("item_ids", F.array_sort(F.array_union("_items", "item_ids")))

@@ -103,14 +103,14 @@ def fit_arrays(slots: np.ndarray, sizes: np.ndarray, toxic: np.ndarray, prior: f
     index[chosen] = np.arange(len(chosen))
     ids = index[slots]
     known = ids >= 0
-    ids, owner = ids[known].astype(np.int64), owner[known]
+    ids, owner = ids[known], owner[known].astype(np.int32)
     sizes = np.bincount(owner, minlength=n)
-    order = np.argsort(ids, kind="stable")
-    by_term, term_sizes = owner[order], np.bincount(ids, minlength=len(chosen))
+    by_term, term_sizes = owner[np.argsort(ids, kind="stable")], np.bincount(ids, minlength=len(chosen))
+    del slots, known, owner, both, hits, expected, chi, told
     y = toxic.astype(float)
     row_weight = np.where(toxic, prior / n1, (1 - prior) / (n - n1)) * n
     rng = np.random.default_rng(seed)
-    m = FactorizationMachine(index, float(np.log(prior / (1 - prior))), np.zeros(max(len(chosen), 1)), rng.normal(0, 0.02, (max(len(chosen), 1), rank)))
+    m = FactorizationMachine(index, float(np.log(prior / (1 - prior))), np.zeros(max(len(chosen), 1)), rng.normal(0, 0.02, (max(len(chosen), 1), rank)).astype(np.float32))
     if not len(chosen):
         return m
     momentum: list = [0.0, np.zeros_like(m.weights), np.zeros_like(m.factors)]
@@ -121,7 +121,7 @@ def fit_arrays(slots: np.ndarray, sizes: np.ndarray, toxic: np.ndarray, prior: f
         z = m.bias + row_sums(m.weights[ids], sizes) + 0.5 * (s**2 - row_sums(v**2, sizes)).sum(axis=1)
         g = row_weight * (1 / (1 + np.exp(-np.clip(z, -60, 60))) - y) / n
         of_term = row_sums(g[by_term], term_sizes)
-        of_factor = row_sums(g[by_term, None] * s[by_term], term_sizes) - of_term[:, None] * m.factors
+        of_factor = row_sums((g[:, None] * s).astype(np.float32)[by_term], term_sizes) - of_term[:, None] * m.factors
         grads = [g.sum(), of_term + decay * m.weights, of_factor + decay * m.factors]
         steps = []
         for i, grad in enumerate(grads):
@@ -130,7 +130,7 @@ def fit_arrays(slots: np.ndarray, sizes: np.ndarray, toxic: np.ndarray, prior: f
             steps.append(rate * (momentum[i] / (1 - 0.9**t)) / (np.sqrt(scale[i] / (1 - 0.99**t)) + 1e-8))
         m.bias -= float(steps[0])
         m.weights -= steps[1]
-        m.factors -= steps[2]
+        m.factors -= steps[2].astype(np.float32)
     m.weights, m.factors = m.weights.astype(np.float32), m.factors.astype(np.float32)
     return m
 
