@@ -11,7 +11,8 @@ that are neither, chance would choose.
 
 The model is fitted on a bounded sample of labelled rows: at most
 `max_positive` toxic and `max_negative` other rows, those with the smallest hash
-of doc_id. Its size is fixed by `max_terms`, so that it can be sent to all tasks.
+of doc_id. It has no more terms than there are slots, 2 ** SLOT_BITS, so that it can be
+sent to all tasks.
 
 Texts: null and empty texts have no terms and get the score of the bias alone;
 very long texts count whole; repeated rows get the same score. Labels that are
@@ -84,7 +85,7 @@ class FactorizationMachine:
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def fit_arrays(slots: np.ndarray, sizes: np.ndarray, toxic: np.ndarray, prior: float, max_terms: int = 1 << 12, least_chi: float = 30.0, frequent: float = 0.3, rank: int = 4, rounds: int = 80, rate: float = 0.08, decay: float = 2e-4, seed: int = 7) -> FactorizationMachine:
+def fit_arrays(slots: np.ndarray, sizes: np.ndarray, toxic: np.ndarray, prior: float, least_chi: float = 30.0, frequent: float = 0.3, rank: int = 4, rounds: int = 80, rate: float = 0.08, decay: float = 2e-4, seed: int = 7) -> FactorizationMachine:
     """Fit by Adam on whole-batch gradients of the log loss, with the rows of both kinds weighted to the prior."""
     width = 1 << SLOT_BITS
     index = np.full(width, -1, np.int32)
@@ -98,8 +99,7 @@ def fit_arrays(slots: np.ndarray, sizes: np.ndarray, toxic: np.ndarray, prior: f
     expected = both * (n1 / n)
     chi = np.where(both >= 3, (hits - expected) ** 2 / np.maximum(expected * (1 - n1 / n) * (1 - both / (n + 1)), 1e-9), 0)
     told = (chi >= least_chi) | (both >= max(frequent * n, 50))
-    chosen = np.argsort(np.where(told, -chi, np.inf), kind="stable")[:max_terms]
-    chosen = np.sort(chosen[told[chosen]])
+    chosen = np.flatnonzero(told)
     index[chosen] = np.arange(len(chosen))
     ids = index[slots]
     known = ids >= 0
