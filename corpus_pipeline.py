@@ -9,6 +9,12 @@ Toxicity learns from `labels` and the documents that reach the stage, exact dupl
 the row with the largest doc_id, near duplicates (five-word shingles, similarity 0.8 or
 more) keep the smallest doc_id of each group, and documents that hold any stretch of ten
 words of a benchmark item go.
+
+Null texts count as empty: they pass toxicity by the score of no terms, and of all empty
+texts one stays. A row goes by its id and text together, so that different texts under one
+id, or under null ids, stay; rows that repeat an id and a text come down to one. Other
+columns pass through all stages. An empty table of documents gives an empty table; without
+labels nothing is toxic, and without a benchmark nothing is contaminated.
 """
 
 from __future__ import annotations
