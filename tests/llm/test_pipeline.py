@@ -41,3 +41,21 @@ def test_stages_and_run(spark, small, tmp_path):
             assert all(r["decoded"] == (r["text"] or "") and r["n_tokens"] == len(np.frombuffer(r["ids_le"], "<u4")) for r in docs.collect())
         before = name
     assert sorted(map(str, corpus_pipeline.run(spark, small).collect())) == sorted(map(str, docs.collect()))
+
+
+def test_odd_rows(spark, tmp_path):
+    """Nulls, empty texts, repeated ids and rows, and extra columns go through all stages; no text that nobody else holds is lost."""
+    import corpus_pipeline
+
+    plain = " ".join(f"w{i}" for i in range(30))
+    item = " ".join(f"q{i}" for i in range(12))
+    rows = [(1, "only here", "a"), (1, "same text", "b"), (5, "same text", "c"), (None, "null one", "d"), (None, "null two", "e"), (7, None, "f"), (8, "", "g"), (9, plain, "h"), (10, plain + " end", "i"), (11, "x " + item, "j"), (12, "k " * 20_000, "k")]
+    spark.createDataFrame(rows, "doc_id long, text string, _score string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([("b", item)], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    got = sorted((str(r["doc_id"]), r["text"] or "") for r in out.collect())
+    expected = [(1, "only here"), (5, "same text"), (None, "null one"), (None, "null two"), (8, ""), (9, plain), (12, "k " * 20_000)]
+    assert got == sorted((str(d), t) for d, t in expected)
+    spark.createDataFrame([], "doc_id long, text string, _score string").write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
