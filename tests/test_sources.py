@@ -52,7 +52,7 @@ def test_packets(spark, tmp_path):
     (tmp_path / "c.json").write_text("{broken")
     found = readers.detections(readers.read_packets(spark, str(tmp_path)))
     (tmp_path / "top").mkdir()
-    (tmp_path / "top" / "b.json").write_text(json.dumps({"instrument": "Piano", "events": [{"label": "bass"}, {"label": "drums", "score": 7}]}), encoding="utf-8")
+    (tmp_path / "top" / "b.json").write_text(json.dumps({"instrument": "Piano", "events": [{"label": "bass"}, {"label": "drums", "score": 7}]}, indent=2), encoding="utf-8")
     own = readers.detections(readers.read_packets(spark, str(tmp_path / "top")))
     assert sorted((r["family"], r["confidence"]) for r in own.collect()) == [("bass", 1.0), ("drums", 1.0), ("piano", 1.0)]
     assert sorted((r["family"], r["confidence"], r["start_s"]) for r in found.collect()) == [("bass", 0.3, None), ("lead vocal", 0.9, 1.0)]

@@ -18,6 +18,7 @@ DETECTION_LISTS = ("detections", "tracks", "events", "time_ranges", "stems", "cl
 LABEL_KEYS = ("family_hint", "label", "family", "name", "class", "track_family", "instrument_family", "instrument", "stem", "source", "class_name", "tag")
 TOP_LABEL_KEYS = ("family_hint", "track_family", "instrument_family", "instrument", "stem", "source", "class_name", "label")
 CONFIDENCE_KEYS = ("confidence", "score", "probability", "support")
+NOTE_LISTS = ("notes", "events", "tracks", "segments", "detections")
 STEM_SUFFIXES = ("wav", "flac", "mp3", "ogg", "m4a", "aif", "aiff")
 STEM_FAMILIES = {"vocals": "voice_like", "vocal": "voice_like", "voice": "voice_like", "drums": "drum_like", "drum": "drum_like", "bass": "bass_like", "guitar": "guitar_like", "piano": "piano_like", "keys": "piano_like", "other": "mixed_bed"}
 #: Seconds of audio in a row; long files become many rows.
@@ -80,9 +81,14 @@ def channel_diagnostics(chunks: DataFrame) -> DataFrame:
     return out.withColumn("side_ratio", ratio).withColumn("identical", (ratio <= 1e-6) | (F.col("max_gap") <= 1e-7)).withColumn("near_zero_side", ratio <= 0.003)
 
 
+def _whole(spark: SparkSession, path: str) -> DataFrame:
+    """(path, value): whole text files without a leading byte-order mark."""
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "^\ufeff", "").alias("value"))
+
+
 def read_packets(spark: SparkSession, path: str) -> DataFrame:
     """(path, packet variant): whole JSON files whose root is an object; a leading byte-order mark is ignored, other files are left out."""
-    text = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "^﻿", "").alias("value"))
+    text = _whole(spark, path)
     packet = F.try_parse_json("value")
     return text.withColumn("packet", packet).where(F.schema_of_variant("packet").startswith("OBJECT")).select("path", "packet")
 
@@ -129,6 +135,26 @@ def read_notes(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(pick("pitch", "pitch_midi", "midi", "note").alias("pitch"), pick("start_s", "start_time_s", "start", "start_seconds").alias("start_s"), pick("end_s", "end_time_s", "end", "end_seconds").alias("end_s"), pick("confidence", "amplitude", "velocity").alias("confidence"))
 
 
+def read_note_items(spark: SparkSession, path: str) -> DataFrame:
+    """(path, item variant) from JSON notes: the objects of the first of the usual lists that is there, or of a root list, else a root object itself."""
+    root = _whole(spark, path).select("path", F.try_parse_json("value").alias("root"))
+    lists = [F.try_variant_get("root", f"$.{n}", "array<variant>") for n in NOTE_LISTS]
+    own = F.when(F.schema_of_variant("root").startswith("OBJECT"), F.array("root"))
+    items = root.select("path", F.explode(F.coalesce(*lists, F.try_variant_get("root", "$", "array<variant>"), own)).alias("item"))
+    return items.where(F.schema_of_variant("item").startswith("OBJECT"))
+
+
+def read_fields(spark: SparkSession, path: str) -> DataFrame:
+    """(path, fields map): the fields of a JSON object as texts, or the lines KEY=VALUE of a file that is no JSON; of repeated keys the last counts."""
+    text = _whole(spark, path).select("path", F.trim("value").alias("value"))
+    pairs = F.transform(F.filter(F.split("value", r"\R"), lambda x: F.contains(x, F.lit("="))), lambda x: F.struct(F.trim(F.substring_index(x, "=", 1)).alias("key"), F.trim(F.regexp_replace(x, "^[^=]*=", "")).alias("value")))
+    keys = F.transform(pairs, lambda p: p["key"])
+    last = F.filter(pairs, lambda p, i: F.array_position(F.slice(keys, i + 2, F.size(pairs)), p["key"]) == 0)
+    kind = F.schema_of_variant(F.try_parse_json("value"))
+    json = F.coalesce(F.when(kind.startswith("OBJECT"), F.from_json("value", "map<string,string>")), F.create_map().cast("map<string,string>"))
+    return text.select("path", F.when(kind.isNotNull(), json).otherwise(F.map_from_entries(last)).alias("fields"))
+
+
 def lyric_lines(spark: SparkSession, path: str) -> DataFrame:
     """(path, lines): lines that are not blank; their text is not kept."""
     return spark.read.text(path).groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count(F.when(F.trim("value") != "", 1)).alias("lines"))
