@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import pytest
 
-from tonewright.plans import evidence, relational, signal
+from tonewright.plans import audio, evidence, relational, signal
 
-QUERIES = signal.QUERIES | relational.QUERIES | evidence.QUERIES
-ORACLES = signal.ORACLES | relational.ORACLES | evidence.ORACLES
+QUERIES = signal.QUERIES | relational.QUERIES | evidence.QUERIES | audio.QUERIES
+ORACLES = signal.ORACLES | relational.ORACLES | evidence.ORACLES | audio.ORACLES
 
 
 def plain(rows, columns):

@@ -13,6 +13,14 @@ QUARTER_STATES = ((0.75, "very_high"), (0.5, "high"), (0.25, "moderate"), (None,
 EXTERNAL_CONFIDENCE = ((0.85, "very_high"), (0.75, "high"), (0.55, "medium"), (0.35, "low"), (None, "very_low"))
 PRIOR_CONFIDENCE = ((0.60, "strong"), (0.36, "moderate"), (None, "weak"))
 REPORT_CONFIDENCE = ((0.72, "high"), (0.48, "medium"), (0.28, "low"), (None, "trace"))
+# Bands of signed measures; of two steps with one sign the outer one comes first.
+BRIGHTNESS_ABOVE = ((0.45, "upper-weighted / bright"), (0.18, "slightly upper-weighted"))
+BRIGHTNESS_BELOW = ((-0.45, "low-weighted / dark"), (-0.18, "slightly low-weighted"))
+DISTANCE_ABOVE, DISTANCE_BELOW = ((0.55, "close / strongly present"), (0.25, "near-to-mid presence")), ((-0.35, "recessed or distant"),)
+LATERAL_ABOVE, LATERAL_BELOW = ((0.45, "right-leaning"), (0.15, "slightly right-leaning")), ((-0.45, "left-leaning"), (-0.15, "slightly left-leaning"))
+PHASE_ABOVE, PHASE_BELOW = ((0.65, "coherent center support"), (0.25, "moderately coherent")), ((-0.15, "decorrelated / phase-opposed"),)
+LEVEL_ABOVE = ((-6.0, "near-full-scale digital level"), (-14.0, "high digital level"), (-28.0, "moderate digital level"))
+LEVEL_BELOW = ((-90.0, "digital level unavailable or near silence"),)
 NOTE_DENSITY = ((4.0, "dense"), (1.0, "medium"), (None, "sparse"))
 
 
@@ -34,6 +42,36 @@ def band(x: Column, steps: Sequence[tuple[float | None, str]]) -> Column:
     return out
 
 
+def signed_band(x: Column, above: Sequence[tuple[float, str]], below: Sequence[tuple[float, str]], between: str) -> Column:
+    """Name of the first step that the value reaches upwards or downwards, else the name between them; null has no band."""
+    out = F.when(x.isNull(), F.lit(None).cast("string"))
+    for least, name in above:
+        out = out.when(x >= least, name)
+    for most, name in below:
+        out = out.when(x <= most, name)
+    return out.otherwise(between)
+
+
+def brightness_band(x: Column) -> Column:
+    return signed_band(x, BRIGHTNESS_ABOVE, BRIGHTNESS_BELOW, "balanced spectral weight")
+
+
+def distance_band(x: Column) -> Column:
+    return signed_band(x, DISTANCE_ABOVE, DISTANCE_BELOW, "mid-field / neutral distance")
+
+
+def lateral_band(x: Column) -> Column:
+    return signed_band(x, LATERAL_ABOVE, LATERAL_BELOW, "centered / balanced")
+
+
+def phase_band(x: Column) -> Column:
+    return signed_band(x, PHASE_ABOVE, PHASE_BELOW, "partly diffuse / weakly coherent")
+
+
+def level_band(x: Column) -> Column:
+    return signed_band(x, LEVEL_ABOVE, LEVEL_BELOW, "low digital level")
+
+
 def comparative_band(delta: Column, step: float = 0.12) -> Column:
     return F.when(delta >= step, "higher").when(delta <= -step, "lower").when(delta.isNotNull(), "similar")
 
