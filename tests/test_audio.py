@@ -93,6 +93,14 @@ def test_boundaries_move_to_near_bars(spark):
     assert grid(spark, [(0, 0)], [("boundary", t) for t in (0, 12, 72)] + [("bar", 41), ("bar", 45)], most=60.0) == [(0, 12), (12, 72)]
 
 
+def test_grid_covers_each_track(spark, small):
+    from tonewright.plans import audio as plans
+
+    rows = plans.w05_segment_grid(spark, small).orderBy("track", "segment").collect()
+    assert rows and all(r["end_s"] > r["start_s"] for r in rows)
+    assert all(b["start_s"] == (a["end_s"] if a["track"] == b["track"] else 0) for a, b in zip(rows, rows[1:], strict=False))
+
+
 def test_preview_is_linspace(spark):
     for n in (1, 19, 20, 21, 50, 333):
         df = spark.range(n).select(F.col("id").alias("i"))

@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FloatType
+from pyspark.sql.types import ArrayType, DoubleType
 
 from . import spectral
 from .spectral import EPS, total
@@ -53,15 +53,15 @@ def framed(chunks: DataFrame, track: str, start: str, last: str, samples: list[s
     return df.withColumns(cut | {"first_sample": at, "frame_size": F.col("_size")}).drop("_size", "_hop", "_end", *[f"_{c}" for c in samples])
 
 
-@F.pandas_udf(ArrayType(FloatType()))
+@F.pandas_udf(ArrayType(DoubleType()))
 def magnitudes(samples: pd.Series, size: pd.Series) -> pd.Series:
     """Magnitudes of the real Fourier transform of each row's samples, padded with zeros to `size`, under a Hann window."""
     out: list = [None] * len(samples)
     for n, rows in size.groupby(size):
-        block = np.zeros((len(rows), int(n)), np.float32)
+        block = np.zeros((len(rows), int(n)))
         for k, at in enumerate(rows.index):
             block[k, : len(samples[at])] = samples[at]
-        found = np.abs(np.fft.rfft(block * np.hanning(int(n)).astype(np.float32), axis=1)).astype(np.float32)
+        found = np.abs(np.fft.rfft(block * np.hanning(int(n)), axis=1))
         for k, at in enumerate(rows.index):
             out[at] = found[k]
     return pd.Series(out)
@@ -149,7 +149,7 @@ def split_and_snap(frames: DataFrame, marks: DataFrame, least: float, most: floa
     enough, and is left out if it comes too close to another; what is too long after that is cut at the bar nearest to its
     middle. Every cut depends on the cuts before it, so a track is one group of its frames' two numbers.
     """
-    schema = "track string, segment int, start_s double, end_s double"
+    schema = f"track {dict(frames.dtypes)['track']}, segment int, start_s double, end_s double"
 
     def cuts(start: float, end: float, place) -> list[float]:
         """Places between start and end, until no part is too long or has a place left."""
@@ -188,7 +188,9 @@ def split_and_snap(frames: DataFrame, marks: DataFrame, least: float, most: floa
             bounds = refined(sorted({round(x, 3) for x in kept}), middle_bar)
         return pd.DataFrame({"track": key[0], "segment": range(len(bounds) - 1), "start_s": bounds[:-1], "end_s": bounds[1:]})
 
-    return frames.select("track", "t", "novelty").groupBy("track").cogroup(marks.select("track", "kind", "t").groupBy("track")).applyInPandas(one, schema)
+    # New names, as both sides may come from one table.
+    marks = marks.select(F.col("track").alias("_of"), F.col("kind").alias("kind"), F.col("t").alias("t"))
+    return frames.select("track", "t", "novelty").groupBy("track").cogroup(marks.groupBy("_of")).applyInPandas(one, schema)
 
 
 def matrix_level(value: str, track: str) -> Column:

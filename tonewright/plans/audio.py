@@ -42,13 +42,13 @@ def a01_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.rounded(df.select("track", "frame_idx", "first_sample", F.size("x").alias("n"), level.alias("rms")))
 
 
-@query(B.with_sql("s", """SELECT vec_id, CAST(b AS INTEGER) AS bin, round(sqrt(power(sum(x * cos(2 * pi() * k * b / 64)), 2) + power(sum(x * sin(2 * pi() * k * b / 64)), 2)), 3) AS magnitude
+@query(B.with_sql("s", """SELECT vec_id, CAST(b AS INTEGER) AS bin, round(sqrt(power(sum(x * cos(2 * pi() * k * b / 64)), 2) + power(sum(x * sin(2 * pi() * k * b / 64)), 2)), 6) AS magnitude
     FROM (SELECT vec_id, k, v * (0.5 - 0.5 * cos(2 * pi() * k / 63)) AS x FROM s), range(33) t(b) GROUP BY vec_id, b"""))
 def a02_spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A-02: magnitudes of each vector's samples under a Hann window."""
     x = F.transform("samples", lambda v: v.cast("float"))
     df = B.frames(spark, sf_dir).select("vec_id", x.alias("x")).select("vec_id", audio.magnitudes("x", F.size("x")).alias("m"))
-    return df.select("vec_id", F.posexplode("m").alias("bin", "m")).select("vec_id", "bin", F.round(F.col("m").cast("double"), 3).alias("magnitude"))
+    return df.select("vec_id", F.posexplode("m").alias("bin", "m")).select("vec_id", "bin", F.round("m", 6).alias("magnitude"))
 
 
 _N = B.norm_sql
@@ -84,7 +84,7 @@ def a20_onset_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     o AS (SELECT track, CASE WHEN abs(raw - round_even(raw, 0)) < 0.35 THEN round_even(raw, 0) ELSE raw END AS raw_bpm, CASE WHEN abs(bpm - round_even(bpm, 0)) < 0.35 THEN round_even(bpm, 0) ELSE bpm END AS bpm, abs(bpm - raw) > 1 AS folded, greatest(0, least(1, c / (high + 1e-12))) AS confidence FROM d),
     fb AS (SELECT track, min(frame_idx) * {HOP} AS first_beat FROM (SELECT *, greatest(avg(envelope) OVER (PARTITION BY track), quantile_cont(envelope, 0.7) OVER (PARTITION BY track)) AS th FROM (
       SELECT env.* FROM env JOIN o USING (track) JOIN z USING (track) WHERE frame_idx < greatest(1, round_even(least(greatest(90 / bpm, 1.0), n * {HOP}) / {HOP}, 0)))) WHERE round(envelope, 9) >= round(th, 9) GROUP BY track)
-    SELECT z.track, CASE WHEN ok THEN round(raw_bpm, 6) END AS raw_bpm, CASE WHEN ok THEN round(bpm, 6) END AS bpm, CASE WHEN ok THEN folded END AS folded, CASE WHEN ok THEN round(confidence, 6) ELSE 0 END AS confidence, CASE WHEN ok THEN round(first_beat, 6) END AS first_beat
+    SELECT z.track, CASE WHEN ok THEN round(raw_bpm, 6) END AS raw_bpm, CASE WHEN ok THEN round(bpm, 6) END AS bpm, CASE WHEN ok THEN folded END AS folded, CASE WHEN ok THEN round(confidence, 6) ELSE 0 END AS confidence, CASE WHEN ok THEN round(CAST(first_beat AS DOUBLE), 6) END AS first_beat
     FROM (SELECT *, n >= 16 AND top > 1e-12 AND n > {HIGH} AS ok FROM z) z LEFT JOIN o USING (track) LEFT JOIN fb USING (track)"""))
 def a23_refined_tempo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A-21 to A-23: lags of the highest peaks, folded to a slower pulse where that is sound, with confidence and first beat."""
