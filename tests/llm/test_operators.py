@@ -40,7 +40,7 @@ def low(text: str | None) -> str:
 
 
 def test_registry():
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 14)}
 
 
 # 1 HTML extraction
