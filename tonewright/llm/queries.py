@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_windows, ctw, decontaminate, exact_dedup, hard_negatives, html_text, ngram_join, pii, suffix_dedup, token_count, toxicity
+from . import bpe, chat_windows, ctw, decontaminate, exact_dedup, hard_negatives, html_text, ngram_join, pii, suffix_dedup, token_count, toxicity, turn_repair
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -148,6 +148,24 @@ FROM ends GROUP BY conv_id
 """
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Conversations with one row in four damaged in one of five ways."""
+    null = F.lit(" ")
+    kind = F.crc32(F.concat(F.coalesce(F.col("conv_id").cast("string"), null), F.lit(":"), F.coalesce(F.col("turn").cast("string"), null)).cast("binary")) % 20
+    role, text = F.coalesce("role", null), F.coalesce("text", null)
+    text = F.when(kind == 1, "").when(kind == 2, F.translate(text, ".!?", "")).otherwise(text)
+    rows = conversations.where(kind != 0).select("conv_id", "turn", F.when(kind == 4, "user").otherwise(role).alias("role"), text.alias("text"), F.array_repeat(F.lit(0), F.when(kind == 3, 2).otherwise(1)).alias("times"))
+    return rows.withColumn("times", F.explode("times")).drop("times")
+
+
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found = turn_repair.digests(damaged(rows)).withColumnRenamed("conv_id", "_conv")
+    out = rows.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("_conv")), "left")
+    none = {"audit": F.lit(""), "repaired_sha256": F.sha2(F.lit("").cast("binary"), 256)}
+    return out.select("conv_id", *[F.coalesce(c, none.get(c, F.lit(0).cast("long"))).alias(c) for c in found.columns if c != "_conv"])
+
+
 QUERIES: dict[str, Query] = {
     "op1_html_text": op1_html_text,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -161,6 +179,7 @@ QUERIES: dict[str, Query] = {
     "op10_bpe_round_trip": op10_bpe_round_trip,
     "op11_hard_negatives": op11_hard_negatives,
     "op12_chat_windows": op12_chat_windows,
+    "op13_turn_repair": op13_turn_repair,
 }
 
 ORACLES: dict[str, str] = {
