@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import laid_out, running
+from .ordered import laid_out, running, split_groups, stretch, written
 
 BUDGET, HISTORY, HISTORY_TURNS = 2048, 256, 4
 #: Tokens of a turn's marks, and the least width of a window's span.
@@ -55,44 +55,61 @@ def _role_in(role: Column) -> Column:
     return F.array_join(F.transform(plain, lambda x: F.replace(x, F.lit("\\n"), F.lit("\n"))), "\\")
 
 
-def _turns(parts: Column, repeated: bool) -> Column:
-    return F.transform(parts, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"), t["tokens"].alias("tokens"), F.lit(repeated).alias("repeated")))
-
-
 def windows(conversations: DataFrame, tokens: str | None = None, budget: int = BUDGET, history: int = HISTORY, history_turns: int = HISTORY_TURNS) -> DataFrame:
-    """conv_id, start, turns, formatted, mask, n_repeated, n_tokens, over_budget; `start` orders a conversation's windows."""
+    """conv_id, start, total, turns, formatted, mask, n_repeated, n_tokens, over_budget.
+
+    `start` is the number of a conversation's tokens before the window's own and orders its windows, `total` all its tokens.
+    """
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     count = F.ceil(F.octet_length(text) / 4) + MARKS if tokens is None else F.greatest(F.coalesce(F.col(tokens).cast("long"), F.lit(1)), F.lit(1))
     rows = conversations.select("conv_id", "turn", role.alias("role"), text.alias("text"), count.cast("long").alias("tokens"))
-    rows = laid_out(rows.withColumn("_lead", F.substring("text", 1, 64)), ["conv_id", "turn", "role", "_lead"])
-    first = F.struct("turn", "role", F.when(F.col("role") == "system", F.col("text")).alias("text"), "tokens")  # the first row, if that is a system turn
-    placed = running(rows, "conv_id", ["turn", "role", "text"], F.col("tokens"), first)
+    order = ["turn", "role", "text"]
+    rows = laid_out(rows.withColumn("_lead", F.substring("text", 1, 64)), ["conv_id", "turn", "role", "_lead"]).drop("_lead")
+    placed = running(rows, "conv_id", order, F.col("tokens"))
+    # the system turn's tokens, from the first row of a conversation; of those in several parts there is at most one a part
+    here = F.first(F.when((F.col("_before") == 0) & (F.col("role") == "system"), F.col("tokens"))).over(stretch("conv_id", order))
+    heads = running(rows, "conv_id", order, F.col("tokens")).where("_split AND _before = 0 AND role = 'system'").select(F.col("conv_id").alias("_c"), F.col("tokens").alias("_there"))
+    placed = placed.join(F.broadcast(heads), placed["_split"] & placed["conv_id"].eqNullSafe(heads["_c"]), "left").withColumn("_held", F.coalesce("_there", here))
+    width = F.greatest(F.floor((budget - history - F.coalesce("_held", F.lit(0))) / 2), F.lit(LEAST))
+    placed = placed.withColumn("_width", width).withColumns({"_window": F.floor(F.col("_before") / F.col("_width")), "_wide": F.col("tokens") > F.col("_width")})
 
-    system = F.when(F.col("_least.role") == "system", F.struct("_least.role", "_least.text", "_least.tokens"))
-    width = F.greatest(F.floor((budget - history - F.coalesce(system["tokens"], F.lit(0))) / 2), F.lit(LEAST))
-    placed = placed.withColumns({"_system": system, "_width": width}).withColumns({"_window": F.floor(F.col("_before") / F.col("_width")), "_wide": F.col("tokens") > F.col("_width")})
     turn = F.struct(F.col("_before").alias("at"), "role", "text", "tokens")
-    spans = placed.groupBy("conv_id", "_window", "_wide").agg(
-        F.sort_array(F.collect_list(turn)).alias("own"), F.first("_system").alias("_system"), F.first("_total").alias("_total"), F.min("_before").alias("start"), F.max(F.col("_before") + F.col("tokens")).alias("end")
-    )
-
-    # the last turns of each window, for the window that starts where it ends
-    retained = F.col("_system").isNotNull()
-    last = F.filter(F.slice("own", F.greatest(F.size("own") - history_turns + 1, F.lit(1)), history_turns), lambda t: (F.col("end") - t["at"] <= history) & ~(retained & (t["at"] == 0)))
-    before = spans.where(F.col("end") < F.col("_total")).select(F.col("conv_id").alias("_c"), F.col("end").alias("_s"), last.alias("past")).where(F.size("past") > 0)
-    joined = spans.join(before, spans["conv_id"].eqNullSafe(before["_c"]) & (spans["start"] == before["_s"]), "left")
-
-    again = F.when(retained & (F.col("start") > 0), F.array("_system")).otherwise(F.array().cast("array<struct<role:string,text:string,tokens:bigint>>"))
-    empty = F.array().cast("array<struct<at:bigint,role:string,text:string,tokens:bigint>>")
-    turns = F.concat(_turns(again, True), _turns(F.coalesce("past", empty), True), _turns(F.col("own"), False))
-    out = joined.select("conv_id", "start", turns.alias("turns"))
-    return _written(out).withColumn("over_budget", F.col("n_tokens") > budget)
+    spans = placed.groupBy("conv_id", "_part", "_window", "_wide").agg(F.sort_array(F.collect_list(turn)).alias("own"), F.max("_held").alias("_held"), F.max("_total").alias("total"), F.max("_split").alias("_split"))
+    spans = written(spans)
+    cut = spans.where("_split").groupBy("conv_id", "_window", "_wide").agg(F.sort_array(F.flatten(F.collect_list("own"))).alias("own"), F.max("_held").alias("_held"), F.max("total").alias("total"), F.min("_part").alias("_part"))
+    last = F.element_at("own", -1)
+    spans = spans.where("NOT _split").drop("_split").unionByName(cut).withColumns({"start": F.col("own")[0]["at"], "end": last["at"] + last["tokens"]})
+    return _written(spans.where("start = 0").withColumn("again", _none()).unionByName(_followed(spans, split_groups(rows, "conv_id", F.col("tokens")), history, history_turns), True)).withColumn("over_budget", F.col("n_tokens") > budget)
+
+
+def _none() -> Column:
+    return F.array().cast("array<struct<role:string,text:string,tokens:bigint>>")
+
+
+def _followed(spans: DataFrame, split: DataFrame, history: int, history_turns: int) -> DataFrame:
+    """The spans behind the first of their conversation, with what they repeat: the system turn and the last turns before."""
+    plain = lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"), t["tokens"].alias("tokens"))
+    first, later = spans.where((F.col("start") == 0) & F.col("_held").isNotNull() & (F.col("end") < F.col("total"))), spans.where("start > 0")
+    # the system turn goes to each part in which its conversation has spans
+    parts = split.select("_g", F.col("_p").alias("_to"))
+    system = first.select(F.col("conv_id").alias("_c"), "_part", plain(F.col("own")[0]).alias("_system"))
+    system = system.join(F.broadcast(parts), system["_c"].eqNullSafe(parts["_g"]), "left").select("_c", F.coalesce("_to", "_part").alias("_p"), "_system")
+    later = later.join(system, later["conv_id"].eqNullSafe(system["_c"]) & (later["_part"] == system["_p"]), "left").drop("_c", "_p")
+    # the last turns of each span, for the span that starts where it ends
+    tail = F.filter(F.slice("own", F.greatest(F.size("own") - history_turns + 1, F.lit(1)), history_turns), lambda t: (F.col("end") - t["at"] <= history) & ~(F.col("_held").isNotNull() & (t["at"] == 0)))
+    before = spans.where(F.col("end") < F.col("total")).select(F.col("conv_id").alias("_c"), F.col("end").alias("_s"), F.transform(tail, plain).alias("past")).where(F.size("past") > 0)
+    later = later.join(before, later["conv_id"].eqNullSafe(before["_c"]) & (later["start"] == before["_s"]), "left").drop("_c", "_s")
+    system = F.when(F.col("_system").isNotNull(), F.array("_system")).otherwise(_none())
+    return later.withColumn("again", F.concat(system, F.coalesce("past", _none()))).drop("_system", "past")
 
 
 def _written(spans: DataFrame) -> DataFrame:
     """The text of each window's turns, and the places of the assistant texts that are not repeated."""
+    own = F.transform("own", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"), t["tokens"].alias("tokens"), F.lit(False).alias("repeated")))
+    again = F.transform("again", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"), t["tokens"].alias("tokens"), F.lit(True).alias("repeated")))
+    spans = spans.select("conv_id", "start", "total", F.concat(again, own).alias("turns"))
     head = lambda t: F.concat(F.lit(OPEN), _role_out(t["role"]), F.lit("\n"))
-    written = spans.withColumn("_parts", F.transform("turns", lambda t: F.struct(head(t).alias("head"), escaped(t["text"]).alias("body"), ((t["role"] == "assistant") & ~t["repeated"]).alias("learnt"))))
+    marked = spans.withColumn("_parts", F.transform("turns", lambda t: F.struct(head(t).alias("head"), escaped(t["text"]).alias("body"), ((t["role"] == "assistant") & ~t["repeated"]).alias("learnt"))))
     place = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("mask"))
 
     def step(done: Column, t: Column) -> Column:
@@ -100,9 +117,10 @@ def _written(spans: DataFrame) -> DataFrame:
         mask = F.when(t["learnt"], F.concat(done["mask"], F.array(F.struct(start.alias("start"), length.alias("length"))))).otherwise(done["mask"])
         return F.struct((start + length + len(CLOSE)).alias("at"), mask.alias("mask"))
 
-    return written.select(
+    return marked.select(
         "conv_id",
         "start",
+        "total",
         "turns",
         F.array_join(F.transform("_parts", lambda t: F.concat(t["head"], t["body"], F.lit(CLOSE))), "").alias("formatted"),
         F.aggregate("_parts", place, step)["mask"].alias("mask"),
@@ -134,15 +152,20 @@ def digests(made: DataFrame) -> DataFrame:
     read = made.select(
         "conv_id",
         "start",
+        "total",
         F.size(turns).cast("long").alias("n_turns"),
         F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "").alias("told"),
         read_learnt(F.col("formatted"), F.col("mask")).alias("learnt"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
-    for piece in (F.floor(F.col("start") / PIECE), F.lit(0)):
-        texts = F.sort_array(F.collect_list(F.struct("start", "told", "learnt")))
-        read = read.groupBy("conv_id", piece.alias("_piece")).agg(F.sum("n_turns").alias("n_turns"), F.min("start").alias("start"), texts.alias("_texts"), F.sum("formatted_chars").alias("formatted_chars"))
-        read = read.withColumns({c: F.array_join(f"_texts.{c}", "") for c in ("told", "learnt")}).drop("_texts", "_piece")
+
+    def together(rows: DataFrame, *keys: Column) -> DataFrame:
+        texts = F.sort_array(F.collect_list(F.struct("start", "told", "learnt"))).alias("_texts")
+        rows = rows.groupBy("conv_id", *keys).agg(F.sum("n_turns").alias("n_turns"), F.min("start").alias("start"), texts, F.sum("formatted_chars").alias("formatted_chars"))
+        return rows.withColumns({c: F.array_join(f"_texts.{c}", "") for c in ("told", "learnt")}).drop("_texts")
+
+    long = together(read.where(F.col("total") > PIECE), F.floor(F.col("start") / PIECE).alias("_piece"))
+    read = together(read.where(F.col("total") <= PIECE)).unionByName(together(long))
     return read.select(
         "conv_id",
         "n_turns",
