@@ -38,8 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
-from .ordered import laid_out, running
+from .ordered import laid_out, running, written
 
 REROLE, DELETE, INSERT, TRUNCATED = 2, 3, 2, 1
 BLANKS = " \t\n\x0b\x0c\r"
@@ -144,73 +143,81 @@ def _edits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
 
-def _code() -> Column:
-    initial = F.substring("role", 1, 1)
-    fault = F.when(F.col("blank"), "b").when(F.col("duplicate"), "d").when(F.col("truncated"), "t").otherwise("-")
-    return F.concat(F.when(initial.isin("s", "u", "a"), initial).otherwise("o"), fault)
-
-
 def numbered(conversations: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text, nth and the three faults of every row."""
+    """conv_id, turn, role, text, nth and total (the conversation's rows) of every row, as a written table."""
     null = F.lit(" ")
     rows = conversations.select("conv_id", "turn", F.coalesce("role", null).alias("role"), F.coalesce("text", null).alias("text"))
     rows = laid_out(rows.withColumn("_lead", F.substring("text", 1, 64)), ["conv_id", "turn", "role", "_lead"])
-    rows = running(rows, "conv_id", ["turn", "role", "text"], F.lit(1).cast("long")).withColumnRenamed("_before", "nth")
-    rows = checkpointed(rows.select("conv_id", "turn", "role", "text", "nth"))
-    first = rows.groupBy("conv_id", "role", F.sha2("text", 256)).agg(F.min("nth").alias("_n")).select(F.col("conv_id").alias("_c"), "_n")
-    joined = rows.join(first, rows["conv_id"].eqNullSafe(first["_c"]) & (rows["nth"] == first["_n"]), "left")
+    rows = running(rows, "conv_id", ["turn", "role", "text"], F.lit(1).cast("long"))
+    return written(rows.select("conv_id", "turn", "role", "text", F.col("_before").alias("nth"), F.col("_total").alias("total")))
+
+
+def faulty(rows: DataFrame) -> DataFrame:
+    """conv_id, turn, nth, total, initial and the three faults of numbered() rows; no text is shuffled."""
     solid = F.rtrim("text", F.lit(BLANKS))
-    blank, again = solid == "", F.col("_n").isNull()
-    truncated = ~F.substring(solid, -1, 1).isin(".", "!", "?")
-    return joined.select("conv_id", "turn", "role", "text", "nth", blank.alias("blank"), (~blank & again).alias("duplicate"), (~blank & ~again & truncated).alias("truncated"))
+    rows = rows.select("conv_id", "turn", "nth", "total", "role", F.sha2("text", 256).alias("_sha"), (solid == "").alias("blank"), (~F.substring(solid, -1, 1).isin(".", "!", "?")).alias("_open"))
+    first = rows.groupBy("conv_id", "role", "_sha").agg(F.min("nth").alias("_n")).select(F.col("conv_id").alias("_c"), "_n")
+    joined = rows.drop("_sha").join(first, rows["conv_id"].eqNullSafe(first["_c"]) & (rows["nth"] == first["_n"]), "left")
+    initial, again = F.substring("role", 1, 1), F.col("_n").isNull()
+    return joined.select(
+        "conv_id", "turn", "nth", "total",
+        F.when(initial.isin("s", "u", "a"), initial).otherwise("o").alias("initial"),
+        "blank",
+        (~F.col("blank") & again).alias("duplicate"),
+        (~F.col("blank") & ~again & F.col("_open")).alias("truncated"),
+    )
 
 
 def _together(df: DataFrame, text: Column, between: str) -> DataFrame:
-    """One text for each conversation out of its rows' texts, by stretches first."""
-    df = df.select("conv_id", "nth", text.alias("_text"))
-    for piece in (F.floor(F.col("nth") / PIECE), F.lit(0)):
-        held = F.sort_array(F.collect_list(F.struct("nth", "_text")))
-        df = df.groupBy("conv_id", piece.alias("_piece")).agg(F.min("nth").alias("nth"), held.alias("_held"))
-        df = df.select("conv_id", "nth", F.array_join("_held._text", between).alias("_text"))
-    return df.select("conv_id", "_text")
+    """One text for each conversation out of its rows' texts; those of long ones by stretches first."""
+    df = df.select("conv_id", "nth", text.alias("_text"), "total")
+
+    def held(rows: DataFrame, *keys: Column) -> DataFrame:
+        rows = rows.groupBy("conv_id", *keys).agg(F.min("nth").alias("nth"), F.sort_array(F.collect_list(F.struct("nth", "_text"))).alias("_held"))
+        return rows.select("conv_id", "nth", F.array_join("_held._text", between).alias("_text"))
+
+    long = held(df.where(F.col("total") > PIECE), F.floor(F.col("nth") / PIECE).alias("_piece"))
+    return held(df.where(F.col("total") <= PIECE)).unionByName(held(long)).select("conv_id", "_text")
 
 
 def edits(rows: DataFrame) -> DataFrame:
-    """conv_id, nth, edit, role, before, cost, of numbered() rows.
+    """conv_id, nth, edit, role, before, cost, out of faulty() rows, as a written table.
 
     Row -1 of a conversation has its audit as edit, its cost and its rows' initials as role; the others
     say what becomes of row nth, its new role, and the initials of the turns that go in before it.
     """
-    codes = _together(rows, _code(), "")
+    fault = F.when(F.col("blank"), "b").when(F.col("duplicate"), "d").when(F.col("truncated"), "t").otherwise("-")
+    codes = _together(rows, F.concat("initial", fault), "").repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)
     kind = dict(rows.dtypes)["conv_id"]
-    return checkpointed(codes.mapInArrow(_edits, f"conv_id {kind}, nth long, edit string, role string, before string, cost long"))
+    return written(codes.mapInArrow(_edits, f"conv_id {kind}, nth long, edit string, role string, before string, cost long"))
 
 
 def repaired(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """conv_id, nth, turns: what row nth becomes, array<struct<role, text, edit>>; `nth` orders a conversation's rows."""
+    """conv_id, nth, total, turns: what row nth of numbered() becomes, array<struct<role, text, edit>>; `nth` orders a conversation's rows."""
     found = found.where("nth >= 0").select(F.col("conv_id").alias("_c"), F.col("nth").alias("_n"), "edit", F.col("role").alias("given"), "before")
     joined = found.join(rows, rows["conv_id"].eqNullSafe(found["_c"]) & (rows["nth"] == found["_n"]), "left")
     initials = F.filter(F.split("before", ""), lambda x: x != "")
     put = F.transform(initials, lambda x: F.struct(F.when(x == "u", ROLES["u"]).otherwise(ROLES["a"]).alias("role"), F.lit("").alias("text"), F.lit("I").alias("edit")))
     own = F.array(F.struct(F.coalesce("given", "role").alias("role"), "text", "edit"))
     turns = F.when(F.col("edit").isin("K", "R"), F.concat(put, own)).otherwise(put)
-    return joined.select(F.col("_c").alias("conv_id"), F.col("_n").alias("nth"), turns.alias("turns")).where(F.size("turns") > 0)
+    return joined.select(F.col("_c").alias("conv_id"), F.col("_n").alias("nth"), F.coalesce("total", "_n").alias("total"), turns.alias("turns")).where(F.size("turns") > 0)
 
 
 def repair(conversations: DataFrame) -> DataFrame:
     """conv_id, turn, role, text, edit: the repaired conversations; `turn` is a struct that orders a conversation's rows."""
     rows = numbered(conversations)
-    out = repaired(rows, edits(rows)).select("conv_id", "nth", F.posexplode("turns").alias("k", "t"))
+    out = repaired(rows, edits(faulty(rows))).select("conv_id", "nth", F.posexplode("turns").alias("k", "t"))
     return out.select("conv_id", F.struct("nth", "k").alias("turn"), "t.role", "t.text", "t.edit")
 
 
 def digests(conversations: DataFrame) -> DataFrame:
     """Each conversation's faults, the cost and audit of its edits, and a digest of the repaired text."""
     rows = numbered(conversations)
-    found = edits(rows)
+    kinds = faulty(rows)
+    found = edits(kinds)
     count = lambda c: F.sum(F.col(c).cast("long")).alias(c)
     gaps = F.coalesce(F.max("turn") - F.min("turn") + 1 - F.count_distinct("turn"), F.lit(0)).cast("long")
-    faults = rows.groupBy("conv_id").agg(gaps.alias("gaps"), *map(count, ("blank", "duplicate", "truncated")))
+    faults = kinds.groupBy("conv_id").agg(gaps.alias("gaps"), *map(count, ("blank", "duplicate", "truncated")))
     legal = F.regexp_count("role", F.lit("(?=su|ua|au)"))
     told = found.where("nth = -1").select(F.col("conv_id").alias("_a"), (F.length("role") - 1 - legal).cast("long").alias("illegal"), "cost", F.col("edit").alias("audit"))
     line = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit(":"), t["text"])), "\n")
