@@ -39,6 +39,17 @@ def low(text: str | None) -> str:
     return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
 
 
+def test_decontamination_in_blocks_with_clashing_columns(spark):
+    """A benchmark of several blocks gives the same finds whatever the other columns are called."""
+    items = [(f"i{k}", " ".join(f"t{k}x{j}" for j in range(14))) for k in range(6)]
+    texts = [" ".join(["lead", items[k][1], "tail", items[(k + 1) % 6][1]]) for k in range(6)] + ["nothing here", None]
+    names = "_spans _items _item_ids n_words _n_words found _found".split()
+    df = spark.createDataFrame([(i, t, *["mine"] * len(names)) for i, t in enumerate(texts)], "doc_id long, text string, " + ", ".join(f"{c} string" for c in names))
+    benchmark = spark.createDataFrame(items, "item_id string, text string")
+    one, many = (sorted(map(str, decontaminate.find(df, benchmark, block_bytes=b).collect())) for b in (1 << 20, 60))
+    assert one == many and all(x.count("'mine'") == len(names) - 1 for x in one)
+
+
 def test_registry():
     assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 14)}
 
@@ -86,6 +97,24 @@ def test_html_spans_visibility_and_depth(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_html_text_in_tables_lists_and_dialogs():
+    assert html_text.visible_text("<table>lost text<tr><td>x</table>").split("\n") == ["lost text", "x"]
+    assert html_text.visible_text("<table><tr>lost<td>x</tr>also</table>tail").split() == ["lostalso", "x", "tail"]
+    assert html_text.visible_text("<p>a<table><tbody><b>bold</b><tr><td>x<td>y</table>").split("\n") == ["a", "", "bold", "x  y"]
+    assert html_text.visible_text("<table><tr><td>1<table>in<tr><td>2</table><td>3</table>").split() == ["1", "3", "in", "2"]
+    assert html_text.visible_text("<ol><li value=5>e<li>f<li value=-2>g<li>h</ol><ol reversed><li>c<li>b<li>a</ol><ol reversed start=9><li>i</ol>").split() == "5. e 6. f -2. g -1. h 3. c 2. b 1. a 9. i".split()
+    assert html_text.visible_text("a<dialog>no</dialog><dialog open>yes</dialog>") == "a\nyes"
+
+
+@pytest.mark.parametrize("page", ["<table>" + "<tr>" + "<td colspan=1000 rowspan=1000>x" * 40 * 30, "<table>" + ("<tr>" + "<td colspan=1000 rowspan=1000>x" * 8) * 190, "<table>" + "<tr><td rowspan=1000>x<td>y" * 1800, "<table><tr>" + "<td>a" * 5000 + "<tr><td colspan=999>b" * 900])
+def test_html_spans_cost_little(page):
+    import time
+
+    start = time.time()
+    text = html_text.visible_text(page)
+    assert time.time() - start < 2 and text.count("x") + text.count("a") >= 900
+
+
 def test_html_query(spark, small):
     out = queries.op1_html_text(spark, small)
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{small}/pages.parquet").collect()}

@@ -6,12 +6,14 @@ table parts and more); a renderer walks the tree without recursion and writes al
 that a browser would show.
 
 Not shown: head, scripts, styles, templates, frames' fallbacks, comments, elements with
-`hidden`, `display:none` or `visibility:hidden` (but for what is `visible` inside), closed details but for their summary, and
-data-only elements. Text of svg and math is shown but for their descriptions, definitions
+`hidden`, `display:none` or `visibility:hidden` (but for what is `visible` inside), closed details but for their summary,
+closed dialogs, data-only elements, and what stands in attributes only, as the alternative text of images and the labels of input
+buttons do. Text of svg and math is shown but for their descriptions, definitions
 and annotations, and so is what a map holds. Blocks begin on lines of their own, paragraphs, headings, lists, tables
 and quotes stand between blank lines, list items get their bullet or number and are
 indented by depth, and the cells of a table are padded so that columns line up; a cell that
-spans columns or rows keeps them from the cells beside and below it. Runs of
+spans columns or rows keeps them from the cells beside and below it. Text that stands in a table but in no cell
+comes before the table. Items count as `start`, `value` and `reversed` say. Runs of
 white space become one space, except in pre and textarea.
 
 Null and empty pages give an empty text; broken markup is repaired as above and never
@@ -25,6 +27,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import accumulate
 from typing import NamedTuple
@@ -75,6 +78,7 @@ ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^
 UNSEEN_STYLE = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
 VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(visible|hidden|collapse)", re.I)
 BLANK = re.compile(r"[ \t\n\r\f]+")
+ORDINAL = re.compile(r"[ \t\n\r\f]*[+-]?[0-9]{1,9}")
 
 
 class Node:
@@ -307,38 +311,48 @@ class Cell(NamedTuple):
 
 
 def placed(rows: list[list[Cell]]) -> list[list[tuple[int, Cell]]]:
-    """The column of each cell: those that cells of earlier rows reach down into are taken."""
-    taken: dict[int, int] = {}  # column: rows from here on that it is taken in
+    """The column of each cell: those that cells of earlier rows reach down into are taken.
+
+    Taken columns are kept as (first, end, rows left), in order, however wide they are.
+    """
+    taken: list[tuple[int, int, int]] = []
     out = []
     for row in rows:
-        at, places = 0, []
+        at, places, new, k = 0, [], [], 0
         for cell in row:
-            while taken.get(at, 0):
-                at += 1
+            while k < len(taken) and taken[k][0] <= at:
+                at = max(at, taken[k][1])
+                k += 1
             places.append((at, cell))
-            at += cell.columns
-        taken = {c: n - 1 for c, n in taken.items() if n > 1}
-        for c, cell in places:
+            end = at + cell.columns
             if cell.rows > 1:
-                taken.update(dict.fromkeys(range(c, c + cell.columns), cell.rows - 1))
+                new.append((at, end, cell.rows - 1))
+            at = end
+        taken = sorted([(a, b, n - 1) for a, b, n in taken if n > 1] + new)
         out.append(places)
     return out
 
 
 def table_lines(rows: list[list[Cell]]) -> list[str]:
-    """Lines of a table with padded cells; a cell that spans rows is written in the first of them."""
+    """Lines of a table with padded cells; a cell that spans rows is written in the first of them.
+
+    Columns in which no cell begins have no width of their own.
+    """
     grid = placed(rows)
-    wide: list[int] = []
-    for row in grid:
-        for at, cell in row:
-            wide += [0] * (at + cell.columns - len(wide))
-            if cell.columns == 1:
-                wide[at] = max([wide[at], *map(width, cell.lines)])
+    starts = sorted({at for row in grid for at, _ in row})
+    order = {at: k for k, at in enumerate(starts)}
+    wide = [0] * len(starts)
+    broad = []
     for row in grid:
         for at, cell in row:
-            if cell.columns > 1:  # what a wide cell needs beyond its columns goes to the last of them
-                need = max([0, *map(width, cell.lines)]) - sum(wide[at : at + cell.columns]) - 2 * (cell.columns - 1)
-                wide[at + cell.columns - 1] += max(need, 0)
+            first, end = order[at], bisect_left(starts, at + cell.columns)
+            need = max([0, *map(width, cell.lines)])
+            if end - first == 1:
+                wide[first] = max(wide[first], need)
+            else:
+                broad.append((first, end, need))
+    for first, end, need in broad:  # what a wide cell needs beyond its columns goes to the last of them
+        wide[end - 1] += max(need - sum(wide[first:end]) - 2 * (end - first - 1), 0)
     begin = list(accumulate([w + 2 for w in wide], initial=0))
     out = []
     for row in grid:
@@ -346,7 +360,7 @@ def table_lines(rows: list[list[Cell]]) -> list[str]:
             parts, used = [], 0
             for at, cell in row:
                 line = cell.lines[k] if k < len(cell.lines) else ""
-                gap = max(begin[at] - used, 2 if at else 0)
+                gap = max(begin[order[at]] - used, 2 if at else 0)
                 parts.append(" " * gap + line)
                 used += gap + width(line)
             out.append("".join(parts).rstrip())
@@ -356,6 +370,8 @@ def table_lines(rows: list[list[Cell]]) -> list[str]:
 def unseen(node: Node) -> bool:
     if node.name in UNSEEN or "hidden" in node.attributes:
         return True
+    if node.name == "dialog" and "open" not in node.attributes:
+        return True
     return "style" in node.attributes and bool(UNSEEN_STYLE.search(node.attributes["style"]))
 
 
@@ -364,6 +380,12 @@ def number(value: str, least: int, default: int) -> int:
     return max(least, min(int(digits[:6]), 1000)) if digits.isdecimal() else default
 
 
+def ordinal(value: str, default: int) -> int:
+    """A list item's number: an integer of any sign, of nine digits at most."""
+    m = ORDINAL.match(value)
+    return int(m[0]) if m else default
+
+
 def render(root: Node) -> str:
     """Text of the visible nodes, walked with a stack of steps."""
     writers = [Writer()]
@@ -400,12 +422,15 @@ def render(root: Node) -> str:
             elif name in BLOCKS or name == "text":  # each text of an svg stands apart
                 w.block(2 if name in SPACED and not (name in ("ul", "ol") and lists) else 1)
             if name in ("ul", "ol", "menu", "dir"):
-                lists.append([name == "ol", number(node.attributes.get("start", ""), 0, 1)])
+                back = name == "ol" and "reversed" in node.attributes
+                default = sum(isinstance(x, Node) and x.name == "li" for x in node.children) if back else 1
+                lists.append([name == "ol", ordinal(node.attributes.get("start", ""), default), -1 if back else 1])
             elif name == "li":
-                numbered, n = lists[-1] if lists else (False, 0)
+                numbered, n, step = lists[-1] if lists else (False, 0, 1)
+                n = ordinal(node.attributes.get("value", ""), n) if numbered else n
                 mark = f"{n}. " if numbered else "- "
                 if lists:
-                    lists[-1][1] += 1
+                    lists[-1][1] = n + step
                 w.mark = None if hidden[-1] else mark
                 w.indent.append(len(mark))
             elif name in ("dd", "blockquote"):
@@ -432,6 +457,7 @@ def render(root: Node) -> str:
         elif name == "table":
             captions = [row[0].lines for row in tables[-1] if row and row[0].columns == CAPTION]
             rows = [row for row in tables.pop() if not row or row[0].columns != CAPTION]
+            w.flush()  # text that stands in the table but in no cell comes before it
             for lines in [*captions, [x for x in table_lines(rows) if x]]:
                 for line in lines:
                     w.line = [line]
