@@ -5,7 +5,7 @@ from __future__ import annotations
 import contextlib
 import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -52,13 +52,21 @@ def stage_folder(spark: SparkSession) -> str:
     return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/tables-{uuid.uuid4().hex}"
 
 
+def free(columns: Iterable[str], name: str) -> str:
+    """The name, with underscores behind it until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def thinned(df: DataFrame, keys: list[Column], gone: DataFrame, repeated: DataFrame) -> DataFrame:
     """df without the rows whose keys are rows of `gone`, and with one row for each row of keys in `repeated`; null keys agree.
 
     Of rows with a repeated key, the one whose columns have the smallest hash stays, however the rows are dealt.
     """
-    names = [f"_thinned_{i}" for i in range(len(keys))]
-    marks = [f"{n}_x" for n in names]
+    names = [free(df.columns, f"_thinned_{i}") for i in range(len(keys))]
+    marks = [free([*df.columns, *names], f"{n}_x") for n in names]
     keyed = df.withColumns(dict(zip(names, keys, strict=True)))
     same = [F.col(n).eqNullSafe(F.col(m)) for n, m in zip(names, marks, strict=True)]
     left = keyed.join(gone.toDF(*marks), same, "left_anti")

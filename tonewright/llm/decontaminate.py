@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD_BYTES, byte_texts, slices
+from .common import WORD_BYTES, byte_texts, free, slices
 
 WINDOW = 10
 SAMPLE_RATE = 8
@@ -233,15 +233,16 @@ def find(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col:
     blocks = max(1, -(-total // block_bytes))
     names = [f.name for f in ADDED]
     out = df.drop(*[x for x in names if x != text_col])
+    held = {c: free([*df.columns, *names], f"_{c}") for c in ("spans", "item_ids")}  # names under which the finds of earlier blocks wait
     for k in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("name", "item"), F.lit(blocks)) == k)
         found = _pass(out, ((r["name"], r["item"]) for r in part.toLocalIterator()), text_col, window)
-        if k:  # what the blocks before have found waits under other names
-            spans = merged(F.concat("_spans", "spans"))
-            found = found.withColumn("spans", spans).withColumn("item_ids", F.array_sort(F.array_union("_items", "item_ids")))
-            found = found.withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["first"])).drop("_spans", "_items")
+        if k:
+            spans = merged(F.concat(held["spans"], "spans"))
+            found = found.withColumn("spans", spans).withColumn("item_ids", F.array_sort(F.array_union(held["item_ids"], "item_ids")))
+            found = found.withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["first"])).drop(*held.values())
         if k < blocks - 1:
-            found = found.withColumnsRenamed({"spans": "_spans", "item_ids": "_items"}).drop("n_words", "n_hit")
+            found = found.withColumnsRenamed(held).drop("n_words", "n_hit")
         out = found
     return out
 
