@@ -13,7 +13,8 @@ words of a benchmark item go.
 Null texts count as empty: they pass toxicity by the score of no terms, and of all empty
 texts one stays. A row goes by its id and text together, so that different texts under one
 id, or under null ids, stay; rows that repeat an id and a text come down to one. Other
-columns pass through all stages. An empty table of documents gives an empty table; without
+columns pass through all stages as they are, whatever their names: a stage sees a row's id and text, and the row itself in one
+struct. Where documents has a column named like one that the last stage adds, the added one gets underscores behind its name. An empty table of documents gives an empty table; without
 labels nothing is toxic, and without a benchmark nothing is contaminated.
 """
 
@@ -23,32 +24,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonewright.llm import bpe, decontaminate, exact_dedup, ngram_join, toxicity
-from tonewright.llm.common import stage_folder
+from tonewright.llm.common import free, stage_folder
 
 TOXIC_FROM = 0.3
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """_row, doc_id and text: no column of the table can meet one that an operator makes."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "text")
+
+
 def _clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model, score_col="_score").where(F.col("_score") < TOXIC_FROM).drop("_score")
+    model = toxicity.fit(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(_packed(docs), model).where(F.col("score") < TOXIC_FROM).select("_row.*")
 
 
 def _distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return exact_dedup.deduplicate(docs)
+    return exact_dedup.deduplicate(_packed(docs)).select("_row.*")
 
 
 def _dissimilar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return ngram_join.one_of_each(docs, size=5, percent=80)
+    return ngram_join.one_of_each(_packed(docs), size=5, percent=80).select("_row.*")
 
 
 def _unseen(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.where(F.col("n_hit") == 0).select(*docs.columns)
+    found = decontaminate.find(_packed(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.where(F.col("n_hit") == 0).select("_row.*")
 
 
 def _encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = bpe.encode_decode(docs)
-    return out.select(*docs.columns, (F.octet_length("ids_le") / 4).cast("long").alias("n_tokens"), "ids_le", "decoded")
+    out = bpe.encode_decode(_packed(docs))
+    added = {"n_tokens": (F.octet_length("ids_le") / 4).cast("long"), "ids_le": F.col("ids_le"), "decoded": F.col("decoded")}
+    return out.select("_row.*", *[e.alias(free(docs.columns, name)) for name, e in added.items()])
 
 
 STAGES = [
