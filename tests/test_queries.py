@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import pytest
 
-from tonewright.plans import audio, evidence, relational, signal
+from tonewright.plans import audio, evidence, relational, rolling, signal
 
-QUERIES = signal.QUERIES | relational.QUERIES | evidence.QUERIES | audio.QUERIES
-ORACLES = signal.ORACLES | relational.ORACLES | evidence.ORACLES | audio.ORACLES
+PARTS = (signal, relational, evidence, audio, rolling)
+QUERIES = {n: f for part in PARTS for n, f in part.QUERIES.items()}
+ORACLES = {n: sql for part in PARTS for n, sql in part.ORACLES.items()}
 
 
 def plain(rows, columns):

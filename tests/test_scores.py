@@ -56,6 +56,76 @@ def test_lanes_and_families(row):
     assert row["guitar_like_plucked_melodic_layer"] == pytest.approx(0.28 * 0.7 + 0.16 * 0.6 + 0.12 * 0.5 + 0.16 + 0.1 * best)
 
 
+def test_larger_of_spread_and_width(row):
+    """Lanes and regions take the larger of the two, whichever that is."""
+    wide = max(row["spread"], row["width"])
+    apart, around = row["m_decorrelation"], row["envelopment"]
+    assert row["m_spread"] == pytest.approx(wide)
+    assert row["spatial_spread_lane"] == row["spatial_spread_region"] == pytest.approx(0.3 * 0.2 + 0.28 * wide + 0.24 * apart + 0.18 * around)
+    assert row["diffuse_tail_lane"] == pytest.approx(0.34 * wide + 0.25 * around + 0.22 * apart + 0.11 * 0.4 + 0.08 * 0.2)
+    assert row["diffuse_tail_region"] == pytest.approx(0.34 * wide + 0.24 * around + 0.22 * apart + 0.12 * 0.4 + 0.08 * 0.2)
+    assert row["noise_texture_lane"] == pytest.approx(0.35 * 0.2 + 0.22 * row["m_centroid"] + 0.2 * 0.3 + 0.13 * wide + 0.1 * apart)
+    assert row["foreground_contour_region"] == pytest.approx(0.3 * 0.5 + 0.24 * 0.7 + 0.22 * 0.9 + 0.16 * row["pressure"] + 0.08 * (1 - wide))
+
+
+@pytest.mark.parametrize(("spread", "width", "larger"), [(0.2, 0.7, 0.7), (0.6, 0.1, 0.6)])
+def test_metrics_of_wide_and_spread_segments(spark, spread, width, larger):
+    df = spark.createDataFrame([(1000.0, 0.1, 0.2, spread, width, "dense")], "centroid double, rms double, phase double, spread double, width double, note_density string")
+    assert scorers.applied(df, [evidence.METRICS]).first()["m_spread"] == larger
+
+
+CANDIDATE = {"active_mean": 0.9, "mean_support": 0.9, "max_support": 0.95, "coverage": 0.9, "longest": 6, "active": 6, "variation": 0.05, "hinted": True, "low_mean": 0.2, "mid_mean": 0.5, "high_mean": 0.3, "harmonic_mean": 0.7, "percussive_mean": 0.2, "width_mean": 0.3, "spread_mean": 0.5}
+
+
+@pytest.mark.parametrize(
+    ("group", "prior", "pitch", "packets", "external", "claim"),
+    [
+        (evidence.INSTRUMENT, True, False, 0, "reduced", "medium"),
+        (evidence.EFFECT, True, False, 0, "restrained", "medium"),
+        (evidence.FUNCTIONAL, True, False, 0, "reduced", "strong"),
+        (evidence.INSTRUMENT, False, False, 0, "reduced", "strong"),
+        (evidence.INSTRUMENT, True, True, 0, "reduced", "strong"),
+        (evidence.INSTRUMENT, True, False, 1, "reduced", "strong"),
+        (evidence.INSTRUMENT, True, False, 0, "moderate", "strong"),
+    ],
+)
+def test_claims_are_capped_only_beside_priors_without_pitch_and_packets(spark, group, prior, pitch, packets, external, claim):
+    told = CANDIDATE | {"family_group": group, "prior_available": prior, "pitch_matched": pitch, "packets": packets, "external_support": external}
+    row = scorers.applied(spark.createDataFrame([tuple(told.values())], list(told)), evidence.CLAIMS).first()
+    assert row["claim_score"] == pytest.approx(0.55 * 0.9 + 0.2 * 0.9 + 0.15 + 0.05 + 0.05)
+    assert (row["raw_claim"], row["claim"], row["calibration"]) == ("strong", claim, "capped_without_pitch_or_external_evidence" if claim == "medium" else "not_capped")
+    assert row["openness"] == 0.5
+
+
+@pytest.mark.parametrize(
+    ("openness", "lean", "pressure", "motion", "spatial"),
+    [
+        (0.6, 0.5, 0.7, 0.2, "wide_diffuse"),
+        (0.1, -0.3, 0.7, 0.2, "side_opening"),
+        (0.1, 0.1, 0.6, 0.2, "pressure_forward_center"),
+        (0.1, 0.1, 0.1, 0.2, "motion_restrained"),
+        (0.1, 0.1, 0.3, 0.9, "motion_restrained"),
+        (0.3, 0.1, 0.1, 0.9, "motion_restrained"),
+        (0.5, 0.1, 0.4, 0.1, "center_bound"),
+    ],
+)
+def test_spatial_behaviour(spark, openness, lean, pressure, motion, spatial):
+    df = spark.createDataFrame([(openness, lean, pressure, motion)], "openness double, left_right_mean double, pressure_mean double, motion_mean double")
+    assert df.selectExpr(f"{evidence.BEHAVIOUR['spatial']} AS s").first()["s"] == spatial
+
+
+def test_profile_lanes_are_their_scores(spark):
+    """In a profile a lane's score is the plain score of its segment, and active from its own threshold on."""
+    from tonewright.plans import evidence as plans
+
+    names = ["low", "pressure", "harmonic", "high", "percussive", "density", "motion", "mid", "m_contour", "m_spread", "envelopment", "m_decorrelation", "m_centroid", "side_ratio", "m_rms"]
+    df = spark.createDataFrame([(0, 0, 0.0, 1.0, *[0.9] * len(names)), (0, 1, 1.0, 2.0, *[0.5] * len(names))], "track int, segment int, start_s double, end_s double, " + ", ".join(f"{n} double" for n in names))
+    got = {(r["segment"], r["lane"]): r for r in plans.lanes(df).collect()}
+    assert got[0, "low_body_lane"]["score"] == pytest.approx(0.9 * 0.88 + 0.12 * 0.1) and got[0, "low_body_lane"]["active"]
+    assert got[1, "low_body_lane"]["score"] == pytest.approx(0.5) and got[1, "low_body_lane"]["unsure"] and not got[1, "low_body_lane"]["active"]
+    assert got[1, "pressure_peak_lane"]["unsure"] and not got[1, "pressure_peak_lane"]["active"]
+
+
 def test_descriptors(row):
     height = (200 / 2600 + 1) / 2
     assert row["p_phase"] == pytest.approx(0.75) and row["p_height"] == pytest.approx(height) and row["p_stable"] == pytest.approx(0.8)

@@ -9,17 +9,18 @@ METRICS: Stage = {
     "m_centroid": f"CASE WHEN centroid <= 0 THEN 0.0 ELSE {clamp('(centroid - 500) / 5500')} END",
     "m_rms": f"CASE WHEN rms > 1e-12 THEN {clamp('(20 * log10(rms) + 60) / 60')} ELSE 0.0 END",
     "m_decorrelation": f"CASE WHEN phase < 0 THEN {clamp('1 - (phase + 1) / 2')} ELSE {clamp('1 - phase')} END",
+    "m_spread": clamp("greatest(spread, width)"),
     "m_contour": clamp("CAST(0.45 + 0.25 AS double) + CASE WHEN note_density IN ('medium', 'dense', 'high') THEN 0.20 WHEN note_density IN ('sparse', 'low') THEN 0.10 ELSE 0.0 END"),
 }
 # Weights of lanes and regions, and the scores from which they count as active or ambiguous.
 LANES: Stage = {
     "low_body_lane": weighted("0.46 low, 0.25 pressure, 0.17 harmonic, 0.12 -high"),
     "transient_plane_lane": weighted("0.42 percussive, 0.33 density, 0.16 motion, 0.09 pressure"),
-    "foreground_contour_lane": weighted("0.30 mid, 0.22 harmonic, 0.22 m_contour, 0.16 pressure, 0.10 -spread"),
+    "foreground_contour_lane": weighted("0.30 mid, 0.22 harmonic, 0.22 m_contour, 0.16 pressure, 0.10 -m_spread"),
     "harmonic_ridge_lane": weighted("0.48 harmonic, 0.24 mid, 0.16 -density, 0.12 -percussive"),
-    "diffuse_tail_lane": weighted("0.34 spread, 0.25 envelopment, 0.22 m_decorrelation, 0.11 -percussive, 0.08 high"),
-    "noise_texture_lane": weighted("0.35 high, 0.22 m_centroid, 0.20 -harmonic, 0.13 spread, 0.10 m_decorrelation"),
-    "spatial_spread_lane": weighted("0.30 side_ratio, 0.28 spread, 0.24 m_decorrelation, 0.18 envelopment"),
+    "diffuse_tail_lane": weighted("0.34 m_spread, 0.25 envelopment, 0.22 m_decorrelation, 0.11 -percussive, 0.08 high"),
+    "noise_texture_lane": weighted("0.35 high, 0.22 m_centroid, 0.20 -harmonic, 0.13 m_spread, 0.10 m_decorrelation"),
+    "spatial_spread_lane": weighted("0.30 side_ratio, 0.28 m_spread, 0.24 m_decorrelation, 0.18 envelopment"),
     "pressure_peak_lane": weighted("0.35 pressure, 0.25 m_rms, 0.18 low, 0.14 density, 0.08 percussive"),
 }
 LANE_LEAST = {
@@ -32,14 +33,24 @@ LANE_LEAST = {
     "spatial_spread_lane": (0.60, 0.46),
     "pressure_peak_lane": (0.64, 0.50),
 }
+LANE_LABELS = {
+    "low_body_lane": "low-frequency grounding/body support",
+    "transient_plane_lane": "attacks, pulses, transient plane",
+    "foreground_contour_lane": "mid-band foreground line or contour",
+    "harmonic_ridge_lane": "sustained harmonic support",
+    "diffuse_tail_lane": "decay/reverb-like diffuse field",
+    "noise_texture_lane": "high-band texture/air/noise field",
+    "spatial_spread_lane": "wide/decorrelated receiver-side spread",
+    "pressure_peak_lane": "pressure-forward energy peak",
+}
 REGIONS: Stage = {
     "low_body_region": weighted("0.48 low, 0.24 pressure, 0.18 harmonic, 0.10 -high"),
     "transient_plane_region": weighted("0.42 percussive, 0.34 density, 0.14 motion, 0.10 pressure"),
-    "foreground_contour_region": weighted("0.30 mid, 0.24 harmonic, 0.22 m_contour, 0.16 pressure, 0.08 -spread"),
+    "foreground_contour_region": weighted("0.30 mid, 0.24 harmonic, 0.22 m_contour, 0.16 pressure, 0.08 -m_spread"),
     "harmonic_ridge_region": weighted("0.48 harmonic, 0.24 mid, 0.16 -density, 0.12 -percussive"),
-    "diffuse_tail_region": weighted("0.34 spread, 0.24 envelopment, 0.22 m_decorrelation, 0.12 -percussive, 0.08 high"),
-    "noise_texture_region": weighted("0.34 high, 0.22 m_centroid, 0.22 -harmonic, 0.12 spread, 0.10 m_decorrelation"),
-    "spatial_spread_region": weighted("0.30 side_ratio, 0.28 spread, 0.24 m_decorrelation, 0.18 envelopment"),
+    "diffuse_tail_region": weighted("0.34 m_spread, 0.24 envelopment, 0.22 m_decorrelation, 0.12 -percussive, 0.08 high"),
+    "noise_texture_region": weighted("0.34 high, 0.22 m_centroid, 0.22 -harmonic, 0.12 m_spread, 0.10 m_decorrelation"),
+    "spatial_spread_region": weighted("0.30 side_ratio, 0.28 m_spread, 0.24 m_decorrelation, 0.18 envelopment"),
     "pressure_peak_region": weighted("0.34 pressure, 0.26 m_rms, 0.18 low, 0.14 density, 0.08 percussive"),
 }
 REGION_LEAST = {
@@ -201,7 +212,9 @@ def family_hints() -> Stage:
     return {f"hint_{name}": hint(words) for name, (_, _, words) in FAMILIES.items()}
 
 
-#: Claims on a candidate with active_mean, coverage, longest (run), variation (of timbre), hinted and its group.
+#: What a claim's cap asks of a track: whether a layer of priors stands beside it and matched a pitch, external packets, and the band of their support.
+UNTOLD = {"prior_available": "false", "pitch_matched": "false", "packets": "0", "external_support": "'reduced'"}
+#: Claims on a candidate with active_mean, coverage, longest (run), variation (of timbre), hinted, its group and the columns of UNTOLD.
 CLAIMS: list[Stage] = [
     {
         "continuity": cases(("longest >= 4 OR coverage >= 0.62", "persistent_track_like"), ("longest >= 2 OR coverage >= 0.32", "intermittent_but_trackable"), ("active > 0", "local_or_fragmentary"), otherwise="not_trackable"),
@@ -218,10 +231,12 @@ CLAIMS: list[Stage] = [
         f" - CASE WHEN family_group <> '{FUNCTIONAL}' AND NOT hinted THEN 0.08 ELSE 0.0 END",
     },
     {"raw_claim": cases(("claim_score >= 0.68", "strong"), ("claim_score >= 0.46", "medium"), otherwise="weak")},
+    {"capped": f"raw_claim = 'strong' AND family_group <> '{FUNCTIONAL}' AND prior_available AND packets = 0 AND external_support NOT IN ('moderate', 'pronounced', 'dominant') AND NOT pitch_matched"},
     {
-        "claim": f"CASE WHEN raw_claim = 'strong' AND family_group <> '{FUNCTIONAL}' THEN 'medium' ELSE raw_claim END",
-        "calibration": cases((f"raw_claim = 'strong' AND family_group <> '{FUNCTIONAL}'", "capped_without_pitch_or_external_evidence"), otherwise="not_capped"),
+        "claim": "CASE WHEN capped THEN 'medium' ELSE raw_claim END",
+        "calibration": cases(("capped", "capped_without_pitch_or_external_evidence"), otherwise="not_capped"),
         "support_band": band("mean_support"),
+        "openness": "greatest(width_mean, spread_mean)",
     },
     {
         "candidate_score": clamp("greatest(CASE claim WHEN 'strong' THEN 0.82 WHEN 'medium' THEN 0.58 ELSE 0.30 END, 0.52 * active_mean + 0.28 * max_support + 0.20 * coverage)"),
@@ -282,7 +297,8 @@ BEHAVIOUR: Stage = {
     ),
     "release_shape": cases(("active = 0", "unresolved"), ("last_end >= song_end - 1.0", "continues_to_end"), ("family = 'impact_fx_like_transient_burst' OR coverage <= 0.25", "local_decay"), ("exits > 0", "clear_release"), otherwise="gradual_release"),
     "recurrence": cases(("recurrences > 0", "section_recurrent"), ("ranges >= 3", "repeated_return"), ("longest <= 1", "local_echo"), otherwise="single_pass"),
-    "spatial": cases(("openness >= 0.58", "wide_diffuse"), ("abs(left_right_mean) >= 0.25", "side_opening"), ("pressure_mean >= 0.58", "pressure_forward_center"), ("motion_mean >= 0.18 AND motion_mean < 0.38", "motion_restrained"), otherwise="center_bound"),
+    # a word for restraint anywhere in the spatial sentence counts, be it of motion, pressure or width
+    "spatial": cases(("openness >= 0.58", "wide_diffuse"), ("abs(left_right_mean) >= 0.25", "side_opening"), ("pressure_mean >= 0.58", "pressure_forward_center"), ("(motion_mean >= 0.18 AND motion_mean < 0.38) OR (pressure_mean >= 0.18 AND pressure_mean < 0.38) OR (openness >= 0.18 AND openness < 0.38)", "motion_restrained"), otherwise="center_bound"),
 }
 
 

@@ -172,6 +172,8 @@ STREAM_EVENTS: Stage = {
     "harmonic_bed": cases(("harmony LIKE '%wide%'", "wide_harmonic_field_event"), ("harmony LIKE '%upper%' OR harmony LIKE '%brighter%'", "upper_residue_or_release_event"), otherwise="chordal_support_event"),
     "texture": cases(("flatness >= 0.42", "noise_texture_or_fx_event"), ("phrase LIKE '%release%'", "tail_or_release_event"), otherwise="diffuse_texture_event"),
 }
+#: Beats a minute from which a track counts as fast.
+FAST_BPM = 105
 STYLES: Stage = {
     "electronic_or_beat_driven": weighted("0.35 percussive, 0.30 onset, 0.22 low, 0.13 fast"),
     "rock_or_band_driven": weighted("0.32 mid, 0.23 percussive, 0.25 harmonic, 0.20 centroid / 4500"),

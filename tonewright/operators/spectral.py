@@ -122,3 +122,14 @@ def erb_envelopes(df: DataFrame, magnitudes: str, size: int, rate: float, channe
     df = df.withColumn("_w", F.when(total(F.col("_w")) > EPS, F.col("_w")).otherwise(nearest))
     envelope = total(F.zip_with("_w", "_p", lambda w, p: w * p)) / total(F.col("_w"))
     return df.withColumns({"channel": F.col("_c.channel"), "centre": F.col("_c.centre"), "envelope": envelope}).drop("_p", "_f", "_c", "_w")
+
+
+def erb_envelope_pairs(df: DataFrame, spectra: dict[str, str], size: int, rate: float, channels: int = 16, low: float = 50.0, high: float = 8000.0) -> DataFrame:
+    """erb_envelopes() of several spectra at once: a column for each name in `spectra`, with the weights worked out once a row and channel."""
+    df = df.withColumns({f"_p_{n}": power(c) for n, c in spectra.items()}).withColumn("_f", frequencies(size, rate)).withColumn("_c", F.explode(erb_bank(channels, low, high)))
+    weight = F.transform("_f", lambda f: F.when(f <= 0, 0.0).otherwise(1 / (1 + F.pow((f - F.col("_c.centre")) / (1.5 * F.col("_c.bandwidth")), F.lit(4)))))
+    away = F.transform("_f", lambda f: F.abs(f - F.col("_c.centre")))
+    nearest = F.transform("_f", lambda f: F.when(F.abs(f - F.col("_c.centre")) == F.array_min(away), 1.0).otherwise(0.0))
+    df = df.withColumn("_w", weight).withColumn("_w", F.when(total(F.col("_w")) > EPS, F.col("_w")).otherwise(nearest))
+    sums = {n: total(F.zip_with("_w", f"_p_{n}", lambda w, p: w * p)) / total(F.col("_w")) for n in spectra}
+    return df.withColumns({"channel": F.col("_c.channel"), "centre": F.col("_c.centre"), **sums}).drop("_f", "_c", "_w", *[f"_p_{n}" for n in spectra])

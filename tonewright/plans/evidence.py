@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..operators import evidence as E
 from ..operators import scorers as S
+from ..storage import stored
 from . import bindings as B
+from . import signal
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -121,13 +123,14 @@ def g04_role_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _STYLE_MEANS = ["rms", "low", "mid", "high", "centroid", "side_ratio", "flatness", "onset", "harmonic", "percussive"]
-_STYLED = f"(SELECT track, {', '.join(f'avg({c}) AS {c}' for c in _STYLE_MEANS)}, 0.0 AS fast FROM ser GROUP BY track)"
+_STYLED = f"(SELECT track, {', '.join(f'avg({c}) AS {c}' for c in _STYLE_MEANS)}, CASE WHEN any_value(snapped) >= {S.FAST_BPM} THEN 1.0 ELSE 0.0 END AS fast FROM ser LEFT JOIN ({signal.ORACLES['a16_tempo']}) tempo USING (track) GROUP BY track)"
 
 
 @query(B.with_sql("ser", f"""SELECT track, style, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY track ORDER BY round(score, 9) DESC, style) AS rank FROM ({unpivoted(list(S.STYLES), f"({S.applied_sql([S.STYLES], _STYLED)})", "style", "score")})) WHERE rank <= 3"""))
 def g05_style_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G-05: three best of five styles from a track's mean features; without a tempo none is fast."""
-    df = B.series(spark, sf_dir).groupBy("track").agg(*[F.avg(c).alias(c) for c in _STYLE_MEANS]).withColumn("fast", F.lit(0.0))
+    """G-05: three best of five styles from a track's mean features and its estimated tempo; without a tempo none is fast."""
+    df = B.series(spark, sf_dir).groupBy("track").agg(*[F.avg(c).alias(c) for c in _STYLE_MEANS]).join(signal.a16_tempo(spark, sf_dir), "track", "left")
+    df = df.withColumn("fast", F.when(F.col("snapped") >= S.FAST_BPM, 1.0).otherwise(0.0))
     long = S.applied(df, [S.STYLES]).select("track", pairs(list(S.STYLES), "style", "score")).select("track", "z.*")
     return B.rounded(long.withColumn("rank", F.row_number().over(Window.partitionBy("track").orderBy(F.round("score", 9).desc(), "style"))).where("rank <= 3"))
 
@@ -164,26 +167,41 @@ def t05_key_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _LEAST = " ".join(f"WHEN '{n}' THEN {a}" for n, (a, _) in E.LANE_LEAST.items())
 _UNSURE = " ".join(f"WHEN '{n}' THEN {b}" for n, (_, b) in E.LANE_LEAST.items())
-LANE_SQL = f""", l AS (SELECT track, segment, start_s, end_s, lane, v FROM ({unpivoted(list(E.LANES), f"({S.applied_sql([E.LANES], 'p')})", "lane", "v")})),
+_FLAGS: S.Stage = {"active": f"score >= CASE lane {_LEAST} END", "unsure": f"score >= CASE lane {_UNSURE} END AND score < CASE lane {_LEAST} END"}
+_AGAINST: list[S.Stage] = [
+    {"relative": S.clamp("0.5 + CASE WHEN sd > 0.0001 THEN (v - mean) / sd ELSE 0 END / 3"), "entry": "greatest(0.0, v - before)", "leave": "greatest(0.0, before - v)"},
+    {"score": S.clamp("0.40 * v + 0.42 * relative + 0.18 * least(1.0, entry * 2)")},
+    _FLAGS,
+]
+LANE_SQL = f""", l AS (SELECT track, segment, start_s, end_s, lane, v, v AS score FROM ({unpivoted(list(E.LANES), f"({S.applied_sql([E.LANES], 'p')})", "lane", "v")})), lane AS ({S.applied_sql([_FLAGS], "l")})"""
+
+
+def long_lanes(df: DataFrame) -> DataFrame:
+    return df.select("track", "segment", "start_s", "end_s", pairs(list(E.LANES), "lane", "v")).select("track", "segment", "start_s", "end_s", "z.*")
+
+
+def lanes(profile: DataFrame) -> DataFrame:
+    """Eight lanes of each segment of a scored profile: score, and whether it is active or ambiguous."""
+    return S.applied(long_lanes(S.applied(profile, [E.LANES])).withColumn("score", F.col("v")), [_FLAGS])
+
+
+def rolling_sql(source: str) -> str:
+    return f""", l AS (SELECT track, segment, start_s, end_s, lane, v FROM ({unpivoted(list(E.LANES), source, "lane", "v")})),
     l1 AS (SELECT *, avg(v) OVER w AS mean, stddev_pop(v) OVER w AS sd, lag(v, 1, 0.0) OVER (PARTITION BY track, lane ORDER BY segment) AS before FROM l WINDOW w AS (PARTITION BY track, lane)),
-    l2 AS (SELECT *, {S.clamp("0.5 + CASE WHEN sd > 0.0001 THEN (v - mean) / sd ELSE 0 END / 3")} AS relative, greatest(0.0, v - before) AS entry, greatest(0.0, before - v) AS leave FROM l1),
-    l3 AS (SELECT *, {S.clamp("0.40 * v + 0.42 * relative + 0.18 * least(1.0, entry * 2)")} AS score FROM l2),
-    lane AS (SELECT *, score >= CASE lane {_LEAST} END AS active, score >= CASE lane {_UNSURE} END AND score < CASE lane {_LEAST} END AS unsure FROM l3)"""
+    lane AS ({S.applied_sql(_AGAINST, "l1")})"""
 
 
-def lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Eight lanes of each segment: level, level against the track's own, entry, exit, score, and whether it is active or ambiguous."""
-    df = S.applied(scored(spark, sf_dir), [E.LANES]).select("track", "segment", "start_s", "end_s", pairs(list(E.LANES), "lane", "v")).select("track", "segment", "start_s", "end_s", "z.*")
+def rolling(windows: DataFrame) -> DataFrame:
+    """Lanes of rolling windows with a support column for each: support against the track's own, entry, exit, score, and whether it is active or ambiguous."""
     w = Window.partitionBy("track", "lane")
-    df = df.withColumns({"mean": F.avg("v").over(w), "sd": F.stddev_pop("v").over(w), "before": F.lag("v", 1, 0.0).over(w.orderBy("segment"))})
-    df = S.applied(df, [{"relative": S.clamp("0.5 + CASE WHEN sd > 0.0001 THEN (v - mean) / sd ELSE 0 END / 3"), "entry": "greatest(0.0, v - before)", "leave": "greatest(0.0, before - v)"}, {"score": S.clamp("0.40 * v + 0.42 * relative + 0.18 * least(1.0, entry * 2)")}])
-    return S.applied(df, [{"active": f"score >= CASE lane {_LEAST} END", "unsure": f"score >= CASE lane {_UNSURE} END AND score < CASE lane {_LEAST} END"}])
+    df = long_lanes(windows).withColumns({"mean": F.avg("v").over(w), "sd": F.stddev_pop("v").over(w), "before": F.lag("v", 1, 0.0).over(w.orderBy("segment"))})
+    return S.applied(df, _AGAINST)
 
 
-@query(on_scored(LANE_SQL + f"SELECT track, segment, lane, {_r('v', 'relative', 'entry', 'leave', 'score')}, active, unsure FROM lane"))
+@query(on_scored(LANE_SQL + f"SELECT track, segment, lane, {_r('score')}, active, unsure FROM lane"))
 def x16_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """X-16, J-10, F-10, H-28, H-29, W-11: lane scores of each segment."""
-    return B.rounded(lanes(spark, sf_dir).select("track", "segment", "lane", "v", "relative", "entry", "leave", "score", "active", "unsure"))
+    """X-16, J-10, F-10, H-28, H-29: lane scores of each segment of the profile."""
+    return B.rounded(lanes(scored(spark, sf_dir)).select("track", "segment", "lane", "score", "active", "unsure"))
 
 
 LANE_STATUS_SQL = """, status AS (SELECT track, lane, avg(score) AS mean_support, max(score) AS max_support, avg(CASE WHEN active THEN 1.0 ELSE 0.0 END) AS coverage,
@@ -199,7 +217,7 @@ def lane_status(rows: DataFrame) -> DataFrame:
 @query(on_scored(LANE_SQL + LANE_STATUS_SQL + f" SELECT track, lane, {_r('mean_support', 'max_support', 'coverage')}, status FROM status"))
 def g23_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G-23, G-30: support, coverage and status of each lane of a track."""
-    return B.rounded(lane_status(lanes(spark, sf_dir)))
+    return B.rounded(lane_status(lanes(scored(spark, sf_dir))))
 
 
 STATE_SQL = f"""{LANE_STATUS_SQL}, s0 AS (SELECT track, segment, min(start_s) AS start_s, min(end_s) AS end_s, count(*) FILTER (active) AS n_active, count(*) FILTER (unsure) AS n_unsure,
@@ -225,48 +243,70 @@ def states(rows: DataFrame, status: DataFrame) -> DataFrame:
 @query(on_scored(LANE_SQL + STATE_SQL + "SELECT track, segment, n_active, n_unsure, dominant, signature, round(mixedness, 6) AS mixedness, state FROM state"))
 def x18_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X-18, G-24, H-30: mixedness and state of the arrangement."""
-    rows = lanes(spark, sf_dir)
+    rows = stored(lanes(scored(spark, sf_dir)))
     return B.rounded(states(rows, lane_status(rows)).drop("start_s", "end_s"))
 
 
+_ORDER = " ".join(f"WHEN '{n}' THEN {2 * i}" for i, n in enumerate(E.LANES))
+_CHANGED = "state <> state_before AND state IN ('mixed_arrangement_zone', 'contrast_peak_zone', 'single_lane_focus')"
+_NAMED = "concat({}, '_', CASE WHEN n < 1000 THEN lpad(CAST(n AS string), 3, '0') ELSE CAST(n AS string) END)"
+_RANGE_SQL = """rg AS (SELECT track, lane, min(segment) AS segment, min(start_s) AS start_s, max(end_s) AS end_s, avg(score) AS mean
+      FROM (SELECT *, segment - row_number() OVER (PARTITION BY track, lane, active ORDER BY segment) AS island FROM lane) WHERE active GROUP BY track, lane, island)"""
 EVENT_SQL = f"""{STATE_SQL}, c AS (SELECT *, lag(state) OVER (PARTITION BY track ORDER BY segment) AS state_before, lag(segment) OVER (PARTITION BY track, signature ORDER BY segment) AS seen FROM state),
-    own AS (SELECT lane.* FROM lane JOIN status USING (track, lane) WHERE status <> 'background_continuous_support'),
-    event AS (SELECT track, segment, start_s, end_s, 'lane_entry_or_growth' AS kind, lane, greatest(score, entry) AS strength FROM own WHERE entry >= 0.16 AND v >= 0.34
-      UNION ALL SELECT track, segment, start_s, end_s, 'lane_exit_or_reduction', lane, leave FROM own WHERE leave >= 0.16
-      UNION ALL SELECT track, segment, start_s, end_s, 'mixed_state_change', 'multi_lane_contrast', mixedness FROM c WHERE state <> state_before AND state IN ('mixed_arrangement_zone', 'contrast_peak_zone', 'single_lane_focus')
-      UNION ALL SELECT track, segment, start_s, end_s, 'recurrence_of_prior_signature', 'multi_lane_contrast', mixedness FROM c WHERE signature IS NOT NULL AND segment - seen > 1)"""
-
-
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contrast events: lanes that enter or leave, changes of state, and signatures that come back."""
-    rows = lanes(spark, sf_dir)
-    status = lane_status(rows)
-    own = rows.join(status.where("status <> 'background_continuous_support'").select("track", "lane"), ["track", "lane"])
-    w = Window.partitionBy("track").orderBy("segment")
-    c = states(rows, status).withColumns({"state_before": F.lag("state").over(w), "seen": F.lag("segment").over(Window.partitionBy("track", "signature").orderBy("segment"))})
-    made = lambda df, kind, lane, strength: df.selectExpr("track", "segment", "start_s", "end_s", f"'{kind}' AS kind", f"{lane} AS lane", f"{strength} AS strength")
-    out = made(own.where("entry >= 0.16 AND v >= 0.34"), "lane_entry_or_growth", "lane", "greatest(score, entry)")
-    out = out.unionByName(made(own.where("leave >= 0.16"), "lane_exit_or_reduction", "lane", "leave"))
-    out = out.unionByName(made(c.where("state <> state_before AND state IN ('mixed_arrangement_zone', 'contrast_peak_zone', 'single_lane_focus')"), "mixed_state_change", "'multi_lane_contrast'", "mixedness"))
-    return out.unionByName(made(c.where("signature IS NOT NULL AND segment - seen > 1"), "recurrence_of_prior_signature", "'multi_lane_contrast'", "mixedness"))
+    own AS (SELECT lane.* FROM lane JOIN status USING (track, lane) WHERE status <> 'background_continuous_support'), {_RANGE_SQL},
+    ev0 AS (SELECT track, segment, start_s, end_s, 'lane_entry_or_growth' AS kind, lane, greatest(score, entry) AS strength, CASE lane {_ORDER} END AS ord FROM own WHERE entry >= 0.16 AND v >= 0.34
+      UNION ALL SELECT track, segment, start_s, end_s, 'lane_exit_or_reduction', lane, leave, CASE lane {_ORDER} END + 1 FROM own WHERE leave >= 0.16
+      UNION ALL SELECT track, segment, start_s, end_s, 'mixed_state_change', 'multi_lane_contrast', mixedness, 16 FROM c WHERE {_CHANGED}
+      UNION ALL SELECT track, segment, start_s, end_s, 'recurrence_of_prior_signature', 'multi_lane_contrast', mixedness, 17 FROM c WHERE signature IS NOT NULL AND segment - seen > 1),
+    ev1 AS (SELECT * EXCLUDE (ord), row_number() OVER (PARTITION BY track ORDER BY segment, ord) AS n FROM ev0
+      UNION ALL SELECT track, segment, start_s, end_s, 'lane_presence_without_clear_delta', lane, mean, row_number() OVER (PARTITION BY track ORDER BY CASE lane {_ORDER} END) FROM
+        (SELECT rg.* FROM rg JOIN status USING (track, lane) WHERE status = 'tracked' AND track NOT IN (SELECT track FROM ev0) QUALIFY row_number() OVER (PARTITION BY track, lane ORDER BY segment) = 1)),
+    event AS (SELECT *, {_NAMED.format("kind").replace("string", "VARCHAR")} AS event_id FROM ev1)"""
 
 
-@query(on_scored(LANE_SQL + EVENT_SQL + "SELECT track, segment, kind, lane, round(strength, 6) AS strength, CAST(row_number() OVER (PARTITION BY track ORDER BY round(start_s, 6), kind, lane) AS INTEGER) AS ordinal FROM event"))
-def x19_contrast_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """X-19, W-12, W-13, T-14: contrast events of a track in order."""
-    number = F.row_number().over(Window.partitionBy("track").orderBy(F.round("start_s", 6), "kind", "lane"))
-    return B.rounded(events(spark, sf_dir).withColumn("ordinal", number).drop("start_s", "end_s"))
+def active_ranges(rows: DataFrame) -> DataFrame:
+    """Runs of segments in which a lane is active, with their mean score."""
+    island = F.col("segment") - F.row_number().over(Window.partitionBy("track", "lane").orderBy("segment"))
+    runs = rows.where("active").withColumn("island", island).groupBy("track", "lane", "island")
+    return runs.agg(F.min("segment").alias("segment"), F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"), F.avg("score").alias("mean")).drop("island")
 
 
-_MAJOR = " ".join(f"WHEN '{k}' THEN {x}" for k, x in E.MAJOR.items())
+def _made(df: DataFrame, kind: str, lane: str, strength: str, order: str) -> DataFrame:
+    return df.selectExpr("track", "segment", "start_s", "end_s", f"{kind} AS kind", f"{lane} AS lane", f"{strength} AS strength", f"{order} AS ord")
 
 
-@query(on_scored(LANE_SQL + EVENT_SQL + f"SELECT track, segment, kind, lane, round(strength, 6) AS strength FROM event WHERE strength >= CASE kind {_MAJOR} END QUALIFY row_number() OVER (PARTITION BY track ORDER BY round(strength, 9) DESC, start_s, kind, lane) <= 24"))
-def p14_major_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P-14: events above the threshold of their kind, the 24 strongest of a track."""
-    df = events(spark, sf_dir).where(f"strength >= CASE kind {_MAJOR} END")
-    rank = F.row_number().over(Window.partitionBy("track").orderBy(F.round("strength", 9).desc(), "start_s", "kind", "lane"))
-    return B.rounded(df.withColumn("_k", rank).where("_k <= 24").drop("_k", "start_s", "end_s"))
+def events(rows: DataFrame) -> DataFrame:
+    """Contrast events of rolling lanes: lanes that enter or leave, changes of state, signatures that come back; where a track has none, the lanes that it tracks."""
+    status = stored(lane_status(rows))
+    own = rows.join(status.where("status <> 'background_continuous_support'").select("track", "lane"), ["track", "lane"])
+    w = Window.partitionBy("track").orderBy("segment")
+    c = stored(states(rows, status)).withColumns({"state_before": F.lag("state").over(w), "seen": F.lag("segment").over(Window.partitionBy("track", "signature").orderBy("segment"))})
+    out = _made(own.where("entry >= 0.16 AND v >= 0.34"), "'lane_entry_or_growth'", "lane", "greatest(score, entry)", f"CASE lane {_ORDER} END")
+    out = out.unionByName(_made(own.where("leave >= 0.16"), "'lane_exit_or_reduction'", "lane", "leave", f"CASE lane {_ORDER} END + 1"))
+    out = out.unionByName(_made(c.where(_CHANGED), "'mixed_state_change'", "'multi_lane_contrast'", "mixedness", "16"))
+    out = stored(out.unionByName(_made(c.where("signature IS NOT NULL AND segment - seen > 1"), "'recurrence_of_prior_signature'", "'multi_lane_contrast'", "mixedness", "17")))
+    first = active_ranges(rows).join(status.where("status = 'tracked'").select("track", "lane"), ["track", "lane"]).join(out.select("track"), "track", "left_anti")
+    first = first.withColumn("_k", F.row_number().over(Window.partitionBy("track", "lane").orderBy("segment"))).where("_k = 1")
+    last = _made(first, "'lane_presence_without_clear_delta'", "lane", "mean", f"CASE lane {_ORDER} END").withColumn("n", F.row_number().over(Window.partitionBy("track").orderBy("ord")))
+    out = out.withColumn("n", F.row_number().over(Window.partitionBy("track").orderBy("segment", "ord"))).unionByName(last)
+    return out.withColumn("event_id", F.expr(_NAMED.format("kind"))).drop("ord", "n")
+
+
+@query(on_scored(LANE_SQL + STATE_SQL + f""", {_RANGE_SQL},
+    pe AS (SELECT rg.*, 'lane_entry_or_presence' AS kind, mean AS strength, lane AS named, 'entry' AS word, 0 AS part, CASE lane {_ORDER} END AS ord FROM rg JOIN status USING (track, lane) WHERE status <> 'background_continuous_support'
+      UNION ALL SELECT track, 'multi_lane_contrast', segment, start_s, end_s, mixedness, state, mixedness, 'mixed', 'state', 1, 0 FROM state WHERE state IN ('mixed_arrangement_zone', 'contrast_peak_zone')),
+    pn AS (SELECT *, row_number() OVER (PARTITION BY track ORDER BY part, ord, segment) AS n FROM pe)
+    SELECT track, round(start_s, 6) AS start_s, round(end_s, 6) AS end_s, kind, lane, round(strength, 6) AS strength, {_NAMED.format("named || '_' || word").replace("string", "VARCHAR")} AS event_id FROM pn"""))
+def x19_profile_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X-19 where no rolling windows are at hand: one event for each active range of a lane that is not in the background, and one for each mixed segment."""
+    rows = stored(lanes(scored(spark, sf_dir)))
+    status = lane_status(rows)
+    kept = active_ranges(rows).join(status.where("status <> 'background_continuous_support'").select("track", "lane"), ["track", "lane"])
+    out = _made(kept, "'lane_entry_or_presence'", "lane", "mean", f"CASE lane {_ORDER} END").withColumns({"name": F.concat("lane", F.lit("_entry")), "part": F.lit(0)})
+    mixed = states(rows, status).where("state IN ('mixed_arrangement_zone', 'contrast_peak_zone')")
+    out = out.unionByName(_made(mixed, "state", "'multi_lane_contrast'", "mixedness", "0").withColumns({"name": F.lit("mixed_state"), "part": F.lit(1)}))
+    out = out.withColumn("n", F.row_number().over(Window.partitionBy("track").orderBy("part", "ord", "segment")))
+    return B.rounded(out.select("track", "start_s", "end_s", "kind", "lane", "strength", F.expr(_NAMED.format("name")).alias("event_id")))
 
 
 # Listening regions
@@ -329,20 +369,20 @@ _AGGREGATES = {
     "song_start": "min(start_s)",
     "song_end": "max(end_s)",
     **{f"{c}_mean": f"avg({c}) FILTER (WHERE on_)" for c in ("low", "mid", "high", "harmonic", "percussive")},
-    **{n: f"sum(greatest(0.05, support) * {c}) FILTER (WHERE on_) / sum(greatest(0.05, support)) FILTER (WHERE on_)" for n, c in {"pressure_mean": "pressure", "motion_mean": "motion", "left_right_mean": "left_right", "openness": "greatest(width, spread)"}.items()},
+    **{n: f"sum(greatest(0.05, support) * {c}) FILTER (WHERE on_) / sum(greatest(0.05, support)) FILTER (WHERE on_)" for n, c in {"pressure_mean": "pressure", "motion_mean": "motion", "left_right_mean": "left_right", "width_mean": "width", "spread_mean": "spread"}.items()},
 }
 FAMILY_SQL = f""", fam AS ({" UNION ALL ".join(f"SELECT track, segment, {', '.join(_KEPT)}, '{n}' AS family, {n} AS support, hint_{n} AS hint FROM ff" for n in _NAMES)})""".replace(", fam AS", f", ff AS ({S.applied_sql(_FAMILY_STAGES, 'p')}), fam AS", 1) + f""",
     act AS (SELECT *, {_GROUP} AS family_group, strong OR (NOT bool_or(strong) OVER (PARTITION BY track, family) AND row_number() OVER (PARTITION BY track, family ORDER BY round(support, 9) DESC, segment) = 1) AS on_
       FROM (SELECT *, support >= CASE WHEN family IN ({_CAREFUL}) THEN 0.42 ELSE 0.38 END AS strong FROM fam)),
     isl AS (SELECT track, family, min(start_s) AS start_s, max(end_s) AS end_s, count(*) AS n FROM (SELECT *, segment - row_number() OVER (PARTITION BY track, family, on_ ORDER BY segment) AS island FROM act) WHERE on_ GROUP BY track, family, island),
     run AS (SELECT track, family, max(n) AS longest, count(*) AS ranges FROM isl GROUP BY track, family),
-    base AS (SELECT track, family, any_value(family_group) AS family_group, {", ".join(f"{e} AS {n}" for n, e in _AGGREGATES.items())} FROM act GROUP BY track, family),
+    base AS (SELECT track, family, any_value(family_group) AS family_group, {", ".join(f"{e} AS {n}" for n, e in (_AGGREGATES | E.UNTOLD).items())} FROM act GROUP BY track, family),
     cand AS ({S.applied_sql(E.CLAIMS, "(SELECT * FROM base JOIN run USING (track, family))")})"""
 
 
-def families(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Support of each candidate family in each segment, and whether it counts as active."""
-    df = S.applied(scored(spark, sf_dir), _FAMILY_STAGES)
+def families(profile: DataFrame) -> DataFrame:
+    """Support of each candidate family in each segment of a scored profile, and whether it counts as active."""
+    df = S.applied(profile, _FAMILY_STAGES)
     rows = F.array(*[F.struct(F.lit(n).alias("family"), F.col(n).alias("support"), F.col(f"hint_{n}").alias("hint")) for n in _NAMES])
     df = df.select("track", "segment", *_KEPT, F.explode(rows).alias("z")).select("track", "segment", *_KEPT, "z.*")
     df = df.withColumns({"family_group": F.expr(_GROUP), "strong": F.expr(f"support >= CASE WHEN family IN ({_CAREFUL}) THEN 0.42 ELSE 0.38 END")})
@@ -357,17 +397,24 @@ def ranges(rows: DataFrame) -> DataFrame:
     return rows.where("on_").withColumn("island", island).groupBy("track", "family", "island").agg(F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"), F.count("*").alias("n")).drop("island")
 
 
-def candidates(rows: DataFrame, runs: DataFrame) -> DataFrame:
-    """One row for each family of a track: support, continuity, timbre, claim with its cap, and score."""
+def candidates(rows: DataFrame, runs: DataFrame, told: DataFrame | None = None) -> DataFrame:
+    """One row for each family of a track: support, continuity, timbre, claim with its cap, and score.
+
+    `told` has a row for each track with the columns of E.UNTOLD that are known; what is not told is as if no layer stood beside.
+    """
     base = rows.groupBy("track", "family").agg(F.first("family_group").alias("family_group"), *[F.expr(e).alias(n) for n, e in _AGGREGATES.items()])
     longest = runs.groupBy("track", "family").agg(F.max("n").alias("longest"), F.count("*").alias("ranges"))
-    return S.applied(base.join(longest, ["track", "family"]), E.CLAIMS)
+    df = base.join(longest, ["track", "family"])
+    df = df if told is None else df.join(told, "track", "left")
+    known = [] if told is None else told.columns
+    df = df.withColumns({c: F.coalesce(F.col(c), F.expr(e)) if c in known else F.expr(e) for c, e in E.UNTOLD.items()})
+    return S.applied(df, E.CLAIMS)
 
 
 @query(on_scored(FAMILY_SQL + "SELECT track, segment, family, round(support, 6) AS support, round(hint, 6) AS hint, on_ AS active FROM act"))
 def x12_family_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X-12, J-09, P-05, H-17: support of 17 families in each segment."""
-    return B.rounded(families(spark, sf_dir).select("track", "segment", "family", "support", "hint", F.col("on_").alias("active")))
+    return B.rounded(families(scored(spark, sf_dir)).select("track", "segment", "family", "support", "hint", F.col("on_").alias("active")))
 
 
 _CLAIMED = ["mean_support", "active_mean", "max_support", "coverage", "variation", "claim_score", "candidate_score"]
@@ -377,14 +424,14 @@ _LABELS = ["support_band", "continuity", "timbre", "dominant_band", "articulatio
 @query(on_scored(FAMILY_SQL + f"SELECT track, family, family_group, {_r(*_CLAIMED)}, longest, ranges, {', '.join(_LABELS)}, CAST(row_number() OVER (PARTITION BY track ORDER BY claim_rank DESC, round(mean_support, 9) DESC, round(max_support, 9) DESC, family) AS INTEGER) AS rank FROM cand WHERE max_support >= 0.38 OR claim <> 'weak'"))
 def x14_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X-14, X-15, X-29, P-06, T-04, G-08, G-18, G-19, W-07, W-16, H-19, Q8: candidates that are kept, in the order of their claims."""
-    rows = families(spark, sf_dir)
+    rows = stored(families(scored(spark, sf_dir)))
     df = candidates(rows, ranges(rows)).where("max_support >= 0.38 OR claim <> 'weak'")
     rank = F.row_number().over(Window.partitionBy("track").orderBy(F.desc("claim_rank"), F.round("mean_support", 9).desc(), F.round("max_support", 9).desc(), "family"))
     return B.rounded(df.select("track", "family", "family_group", *_CLAIMED, "longest", "ranges", *_LABELS, rank.alias("rank")))
 
 
-_LANE_OF = [(f, x) for f, names in E.FAMILY_LANES.items() for x in names.split(", ")]
-_EVENT_AGGREGATES = {
+LANE_OF = [(f, x) for f, names in E.FAMILY_LANES.items() for x in names.split(", ")]
+EVENT_AGGREGATES = {
     "entry_strength": "coalesce(max(strength) FILTER (WHERE kind = 'lane_entry_or_growth'), 0.0)",
     "pressure_strength": "coalesce(max(strength) FILTER (WHERE lane = 'pressure_peak_lane'), 0.0)",
     "tail_events": "count(*) FILTER (WHERE lane = 'diffuse_tail_lane')",
@@ -392,32 +439,7 @@ _EVENT_AGGREGATES = {
     "exits": "count(*) FILTER (WHERE kind = 'lane_exit_or_reduction')",
     "recurrences": "count(*) FILTER (WHERE kind = 'recurrence_of_prior_signature')",
 }
-_BEHAVIOUR = ["overlap_count", *E.BEHAVIOUR, "behaviour_group"]
-
-
-@query(on_scored(LANE_SQL + EVENT_SQL + FAMILY_SQL + f""", of(family, lane) AS (VALUES {", ".join(f"('{f}', '{x}')" for f, x in _LANE_OF)}),
-    near AS (SELECT DISTINCT isl.track, isl.family, kind, event.lane, event.segment, strength FROM isl JOIN of USING (family) JOIN event ON event.track = isl.track AND event.lane = of.lane AND event.start_s < isl.end_s AND isl.start_s < event.end_s),
-    ev AS (SELECT track, family, {", ".join(f"{e} AS {n}" for n, e in _EVENT_AGGREGATES.items())} FROM (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY track, family ORDER BY round(strength, 9) DESC, segment, kind, lane) <= 16) GROUP BY track, family),
-    kept AS (SELECT * FROM cand WHERE max_support >= 0.38 OR claim <> 'weak'),
-    ov AS (SELECT a.track, a.family, count(DISTINCT b.family) AS overlap_count FROM isl a JOIN isl b ON a.track = b.track AND a.family <> b.family AND a.start_s < b.end_s AND b.start_s < a.end_s
-      WHERE (a.track, a.family) IN (SELECT (track, family) FROM kept) AND (b.track, b.family) IN (SELECT (track, family) FROM kept) GROUP BY a.track, a.family),
-    beh AS ({S.applied_sql([E.BEHAVIOUR, {"behaviour_group": E.member("flow", E.FLOW_GROUP, "other")}], f"(SELECT kept.*, coalesce(ov.overlap_count, 0) AS overlap_count, {', '.join(f'coalesce({n}, 0) AS {n}' for n in _EVENT_AGGREGATES)} FROM kept LEFT JOIN ev USING (track, family) LEFT JOIN ov USING (track, family))")})
-    SELECT track, family, {", ".join(_BEHAVIOUR)} FROM beh"""))
-def x26_behaviour(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """X-26, J-17, J-18, G-26, Q21: how each candidate enters, goes on, masks, presses, decays and recurs; a track's runs and events are few, and meet by track and lane."""
-    rows = families(spark, sf_dir)
-    runs = ranges(rows)
-    kept = candidates(rows, runs).where("max_support >= 0.38 OR claim <> 'weak'")
-    of = spark.createDataFrame(_LANE_OF, "family string, lane string")  # a fixed table of a few dozen rows
-    found = events(spark, sf_dir).withColumnsRenamed({"start_s": "a", "end_s": "z"})
-    near = runs.join(F.broadcast(of), "family").join(found, ["track", "lane"]).where("a < end_s AND start_s < z").select("track", "family", "kind", "lane", "segment", "strength").distinct()
-    rank = F.row_number().over(Window.partitionBy("track", "family").orderBy(F.round("strength", 9).desc(), "segment", "kind", "lane"))
-    ev = near.withColumn("_k", rank).where("_k <= 16").groupBy("track", "family").agg(*[F.expr(e).alias(n) for n, e in _EVENT_AGGREGATES.items()])
-    mine = runs.join(kept.select("track", "family"), ["track", "family"], "left_semi")
-    other = mine.select("track", F.col("family").alias("other"), F.col("start_s").alias("a"), F.col("end_s").alias("z"))
-    ov = mine.join(other, "track").where("family <> other AND start_s < z AND a < end_s").groupBy("track", "family").agg(F.countDistinct("other").alias("overlap_count"))
-    df = kept.join(ev, ["track", "family"], "left").join(ov, ["track", "family"], "left").fillna(0, ["overlap_count", "tail_events", "spread_events", "exits", "recurrences"]).fillna(0.0, ["entry_strength", "pressure_strength"])
-    return S.applied(df, [E.BEHAVIOUR, {"behaviour_group": E.member("flow", E.FLOW_GROUP, "other")}]).select("track", "family", *_BEHAVIOUR)
+BEHAVIOUR = ["overlap_count", *E.BEHAVIOUR, "behaviour_group"]
 
 
 _OBJECT_OF = [(o, f, kind) for o, (main, more, _) in E.SOURCE_OBJECTS.items() for kind, names in (("primary", main), ("supporting", more)) for f in names.split(", ")]
@@ -433,7 +455,7 @@ _RIVALS = [(o, x) for o, names in E.CONFUSED.items() for x in names.split(", ")]
     SELECT track, object, {_r("primary_score", "supporting_score", "raw_score")}, visibility, confusion FROM o1 LEFT JOIN q USING (track, object)"""))
 def x28_source_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X-28, J-14, J-16, G-27, Q22: how visible each source object of a track is, and with which it may be confused."""
-    rows = families(spark, sf_dir)
+    rows = stored(families(scored(spark, sf_dir)))
     kept = candidates(rows, ranges(rows)).where("max_support >= 0.38 OR claim <> 'weak'").select("track", "family", "candidate_score")
     of = spark.createDataFrame(_OBJECT_OF, "object string, family string, part string")
     rival = spark.createDataFrame(_RIVALS, "object string, other string")
