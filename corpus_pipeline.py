@@ -13,7 +13,7 @@ words of a benchmark item go.
 Null texts count as empty: they pass toxicity by the score of no terms, and of all empty
 texts one stays. A row goes by its id and text together, so that different texts under one
 id, or under null ids, stay; rows that repeat an id and a text come down to one. Other
-columns pass through all stages as they are, whatever their names: a stage sees a row's id and text, and the row itself in one
+columns pass through all stages as they are, whatever their names: a stage sees a row's id and text, and the others in one
 struct. Where documents has a column named like one that the last stage adds, the added one gets underscores behind its name. An empty table of documents gives an empty table; without
 labels nothing is toxic, and without a benchmark nothing is contaminated.
 """
@@ -30,32 +30,40 @@ TOXIC_FROM = 0.3
 
 
 def _packed(docs: DataFrame) -> DataFrame:
-    """_row, doc_id and text: no column of the table can meet one that an operator makes."""
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "text")
+    """doc_id, text and the other columns in one struct, so that none of them can meet a column that an operator makes."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", *([F.struct(*others).alias("_row")] if others else []))
+
+
+def _unpacked(packed: DataFrame, docs: DataFrame) -> DataFrame:
+    """packed rows with the columns of docs, in their order, and the columns that packed has beside doc_id, text and the struct."""
+    own = [F.col(c) if c in ("doc_id", "text") else F.col("_row").getField(c).alias(c) for c in docs.columns]
+    added = [F.col(c).alias(free(docs.columns, c)) for c in packed.columns if c not in ("doc_id", "text", "_row")]
+    return packed.select(*own, *added)
 
 
 def _clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(_packed(docs), model).where(F.col("score") < TOXIC_FROM).select("_row.*")
+    return _unpacked(toxicity.score(_packed(docs), model).where(F.col("score") < TOXIC_FROM).drop("score"), docs)
 
 
 def _distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return exact_dedup.deduplicate(_packed(docs)).select("_row.*")
+    return _unpacked(exact_dedup.deduplicate(_packed(docs)), docs)
 
 
 def _dissimilar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return ngram_join.one_of_each(_packed(docs), size=5, percent=80).select("_row.*")
+    return _unpacked(ngram_join.one_of_each(_packed(docs), size=5, percent=80), docs)
 
 
 def _unseen(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = decontaminate.find(_packed(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.where(F.col("n_hit") == 0).select("_row.*")
+    return _unpacked(found.where(F.col("n_hit") == 0).select(*_packed(docs).columns), docs)
 
 
 def _encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = bpe.encode_decode(_packed(docs))
-    added = {"n_tokens": (F.octet_length("ids_le") / 4).cast("long"), "ids_le": F.col("ids_le"), "decoded": F.col("decoded")}
-    return out.select("_row.*", *[e.alias(free(docs.columns, name)) for name, e in added.items()])
+    tokens = (F.octet_length("ids_le") / 4).cast("long").alias("n_tokens")
+    return _unpacked(out.select(*_packed(docs).columns, tokens, "ids_le", "decoded"), docs)
 
 
 STAGES = [
