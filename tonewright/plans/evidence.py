@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -380,11 +382,12 @@ FAMILY_SQL = f""", fam AS ({" UNION ALL ".join(f"SELECT track, segment, {', '.jo
     cand AS ({S.applied_sql(E.CLAIMS, "(SELECT * FROM base JOIN run USING (track, family))")})"""
 
 
-def families(profile: DataFrame) -> DataFrame:
-    """Support of each candidate family in each segment of a scored profile, and whether it counts as active."""
+def families(profile: DataFrame, raised: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Support of each candidate family in each segment of a scored profile, and whether it counts as active; `raised` may add to the support before that."""
     df = S.applied(profile, _FAMILY_STAGES)
     rows = F.array(*[F.struct(F.lit(n).alias("family"), F.col(n).alias("support"), F.col(f"hint_{n}").alias("hint")) for n in _NAMES])
     df = df.select("track", "segment", *_KEPT, F.explode(rows).alias("z")).select("track", "segment", *_KEPT, "z.*")
+    df = df if raised is None else raised(df)
     df = df.withColumns({"family_group": F.expr(_GROUP), "strong": F.expr(f"support >= CASE WHEN family IN ({_CAREFUL}) THEN 0.42 ELSE 0.38 END")})
     w = Window.partitionBy("track", "family")
     best = F.row_number().over(w.orderBy(F.round("support", 9).desc(), "segment")) == 1
@@ -417,17 +420,17 @@ def x12_family_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.rounded(families(scored(spark, sf_dir)).select("track", "segment", "family", "support", "hint", F.col("on_").alias("active")))
 
 
-_CLAIMED = ["mean_support", "active_mean", "max_support", "coverage", "variation", "claim_score", "candidate_score"]
-_LABELS = ["support_band", "continuity", "timbre", "dominant_band", "articulation", "raw_claim", "claim", "calibration"]
+CLAIMED = ["mean_support", "active_mean", "max_support", "coverage", "variation", "claim_score", "candidate_score"]
+LABELS = ["support_band", "continuity", "timbre", "dominant_band", "articulation", "raw_claim", "claim", "calibration"]
 
 
-@query(on_scored(FAMILY_SQL + f"SELECT track, family, family_group, {_r(*_CLAIMED)}, longest, ranges, {', '.join(_LABELS)}, CAST(row_number() OVER (PARTITION BY track ORDER BY claim_rank DESC, round(mean_support, 9) DESC, round(max_support, 9) DESC, family) AS INTEGER) AS rank FROM cand WHERE max_support >= 0.38 OR claim <> 'weak'"))
+@query(on_scored(FAMILY_SQL + f"SELECT track, family, family_group, {_r(*CLAIMED)}, longest, ranges, {', '.join(LABELS)}, CAST(row_number() OVER (PARTITION BY track ORDER BY claim_rank DESC, round(mean_support, 9) DESC, round(max_support, 9) DESC, family) AS INTEGER) AS rank FROM cand WHERE max_support >= 0.38 OR claim <> 'weak'"))
 def x14_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X-14, X-15, X-29, P-06, T-04, G-08, G-18, G-19, W-07, W-16, H-19, Q8: candidates that are kept, in the order of their claims."""
     rows = stored(families(scored(spark, sf_dir)))
     df = candidates(rows, ranges(rows)).where("max_support >= 0.38 OR claim <> 'weak'")
     rank = F.row_number().over(Window.partitionBy("track").orderBy(F.desc("claim_rank"), F.round("mean_support", 9).desc(), F.round("max_support", 9).desc(), "family"))
-    return B.rounded(df.select("track", "family", "family_group", *_CLAIMED, "longest", "ranges", *_LABELS, rank.alias("rank")))
+    return B.rounded(df.select("track", "family", "family_group", *CLAIMED, "longest", "ranges", *LABELS, rank.alias("rank")))
 
 
 LANE_OF = [(f, x) for f, names in E.FAMILY_LANES.items() for x in names.split(", ")]
