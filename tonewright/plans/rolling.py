@@ -160,16 +160,17 @@ def p14_major_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.withColumn("_k", rank).where("_k <= 24").select("track", "segment", "kind", "lane", F.round("strength", 5).alias("strength"), "event_id")
 
 
-@query(V.on_scored(ROLLING_SQL + V.EVENT_SQL + V.FAMILY_SQL + f""", of(family, lane) AS (VALUES {", ".join(f"('{f}', '{x}')" for f, x in V.LANE_OF)}),
+BEHAVIOUR_SQL = ROLLING_SQL + V.EVENT_SQL + V.FAMILY_SQL + f""", of(family, lane) AS (VALUES {", ".join(f"('{f}', '{x}')" for f, x in V.LANE_OF)}),
     near AS (SELECT DISTINCT isl.track, isl.family, kind, event.lane, event.start_s, event_id, strength FROM isl JOIN of USING (family) JOIN event ON event.track = isl.track AND event.lane = of.lane AND event.start_s < isl.end_s AND isl.start_s < event.end_s),
     ev AS (SELECT track, family, {", ".join(f"{e} AS {n}" for n, e in V.EVENT_AGGREGATES.items())} FROM (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY track, family ORDER BY round(strength, 9) DESC, start_s, event_id) <= 16) GROUP BY track, family),
     kept AS (SELECT * FROM cand WHERE max_support >= 0.38 OR claim <> 'weak'),
     ov AS (SELECT a.track, a.family, count(DISTINCT b.family) AS overlap_count FROM isl a JOIN isl b ON a.track = b.track AND a.family <> b.family AND a.start_s < b.end_s AND b.start_s < a.end_s
       WHERE (a.track, a.family) IN (SELECT (track, family) FROM kept) AND (b.track, b.family) IN (SELECT (track, family) FROM kept) GROUP BY a.track, a.family),
-    beh AS ({S.applied_sql([E.BEHAVIOUR, {"behaviour_group": E.member("flow", E.FLOW_GROUP, "other")}], f"(SELECT kept.*, coalesce(ov.overlap_count, 0) AS overlap_count, {', '.join(f'coalesce({n}, 0) AS {n}' for n in V.EVENT_AGGREGATES)} FROM kept LEFT JOIN ev USING (track, family) LEFT JOIN ov USING (track, family))")})
-    SELECT track, family, {", ".join(V.BEHAVIOUR)} FROM beh"""))
-def x26_behaviour(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """X-26, J-17, J-18, G-26, Q21: how each candidate enters, goes on, masks, presses, decays and recurs; a track's runs and events are few, and meet by track and lane."""
+    beh AS ({S.applied_sql([E.BEHAVIOUR, {"behaviour_group": E.member("flow", E.FLOW_GROUP, "other")}], f"(SELECT kept.*, coalesce(ov.overlap_count, 0) AS overlap_count, {', '.join(f'coalesce({n}, 0) AS {n}' for n in V.EVENT_AGGREGATES)} FROM kept LEFT JOIN ev USING (track, family) LEFT JOIN ov USING (track, family))")})"""
+
+
+def behaviours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates that are kept, with how each enters, goes on, masks, presses, decays and recurs; a track's runs and events are few, and meet by track and lane."""
     rows = stored(V.families(V.scored(spark, sf_dir)))
     runs = stored(V.ranges(rows))
     kept = stored(V.candidates(rows, runs).where("max_support >= 0.38 OR claim <> 'weak'"))
@@ -182,7 +183,13 @@ def x26_behaviour(spark: SparkSession, sf_dir: str) -> DataFrame:
     other = mine.select("track", F.col("family").alias("other"), F.col("start_s").alias("a"), F.col("end_s").alias("z"))
     ov = mine.join(other, "track").where("family <> other AND start_s < z AND a < end_s").groupBy("track", "family").agg(F.countDistinct("other").alias("overlap_count"))
     df = kept.join(ev, ["track", "family"], "left").join(ov, ["track", "family"], "left").fillna(0, ["overlap_count", "tail_events", "spread_events", "exits", "recurrences"]).fillna(0.0, ["entry_strength", "pressure_strength"])
-    return S.applied(df, [E.BEHAVIOUR, {"behaviour_group": E.member("flow", E.FLOW_GROUP, "other")}]).select("track", "family", *V.BEHAVIOUR)
+    return S.applied(df, [E.BEHAVIOUR, {"behaviour_group": E.member("flow", E.FLOW_GROUP, "other")}])
+
+
+@query(V.on_scored(BEHAVIOUR_SQL + " SELECT track, family, " + ", ".join(V.BEHAVIOUR) + " FROM beh"))
+def x26_behaviour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X-26, J-17, J-18, G-26, Q21: how each candidate enters, goes on, masks, presses, decays and recurs."""
+    return behaviours(spark, sf_dir).select("track", "family", *V.BEHAVIOUR)
 
 
 # Readable ranges
