@@ -130,15 +130,39 @@ def a34_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.where(audio.in_preview("frame_idx", F.col("n"), 20)).select("track", "vec_id")
 
 
-@query()
+LEAST_SECONDS, MOST_SECONDS = 0.8, 4.5
+_CHANGED = f"""list_filter(f, lambda x: x.t >= a + {LEAST_SECONDS} AND x.t <= z - {LEAST_SECONDS})"""
+_MIDDLE = f"""list_filter(br, lambda x: x >= a + {LEAST_SECONDS} AND x <= z - {LEAST_SECONDS})"""
+_HALVES = "unnest([{'a': a, 'z': c}, {'a': c, 'z': z}]) AS x"
+_GRID_SQL = f"""ends AS (SELECT track, unnest([0.0::DOUBLE, max(t) + 0.1]) AS t FROM ser GROUP BY track),
+    fr AS (SELECT track, list({{'t': t, 'n': novelty}} ORDER BY t) AS f FROM ser GROUP BY track),
+    brs AS (SELECT track, list(t ORDER BY t) AS br FROM ({signal.ORACLES["a19_beat_grid"]}) WHERE is_bar GROUP BY track),
+    b0 AS (SELECT track, list_sort(list_distinct(list(round(t, 3)))) AS b FROM (SELECT track, t FROM ends UNION ALL SELECT track, t FROM ({signal.ORACLES["w03_spaced_boundaries"]})) GROUP BY track),
+    sp AS (SELECT track, b[i] AS a, b[i + 1] AS z FROM b0, range(1, 100000) r(i) WHERE i < len(b)
+      UNION ALL SELECT track, x.a, x.z FROM (SELECT track, {_HALVES} FROM (SELECT *, round(CASE WHEN len(ins) > 0 THEN ins[list_position(list_transform(ins, lambda x: x.n), list_max(list_transform(ins, lambda x: x.n)))].t ELSE (a + z) / 2 END, 3) AS c
+        FROM (SELECT track, a, z, {_CHANGED} AS ins FROM sp JOIN fr USING (track) WHERE z - a > {MOST_SECONDS})) WHERE c - a >= {LEAST_SECONDS} - 1e-9 AND z - c >= {LEAST_SECONDS} - 1e-9 AND a < c AND c < z)),
+    k0 AS (SELECT track, list_sort(list_distinct(list_concat(list(a), list(z)))) AS b FROM sp GROUP BY track),
+    kp AS (SELECT track, 2 AS i, [b[1], b[len(b)]] AS kept FROM k0 JOIN brs USING (track) WHERE len(b) > 2
+      UNION ALL SELECT track, i + 1, CASE WHEN x - b[1] >= {LEAST_SECONDS} AND b[len(b)] - x >= {LEAST_SECONDS} AND list_min(list_transform(kept, lambda y: abs(x - y))) >= {0.75 * LEAST_SECONDS} THEN list_append(kept, x) ELSE kept END
+        FROM (SELECT *, CASE WHEN abs(near - b[i]) <= {min(2.0, max(0.75, 0.2 * LEAST_SECONDS))} THEN near ELSE b[i] END AS x FROM (SELECT kp.*, b, br[list_position(list_transform(br, lambda v: abs(v - b[i])), list_min(list_transform(br, lambda v: abs(v - b[i]))))] AS near FROM kp JOIN k0 USING (track) JOIN brs USING (track) WHERE i < len(b)))),
+    b2 AS (SELECT track, true AS snapped, list_sort(list_distinct(list_transform(kept, lambda x: round(x, 3)))) AS b FROM (SELECT *, row_number() OVER (PARTITION BY track ORDER BY i DESC) AS k FROM kp) WHERE k = 1
+      UNION ALL SELECT track, false, b FROM k0 WHERE track NOT IN (SELECT track FROM kp)),
+    mp AS (SELECT track, snapped, b[i] AS a, b[i + 1] AS z FROM b2, range(1, 100000) r(i) WHERE i < len(b)
+      UNION ALL SELECT track, true, x.a, x.z FROM (SELECT track, {_HALVES} FROM (SELECT *, round(CASE WHEN len(ins) > 0 THEN ins[list_position(list_transform(ins, lambda x: abs(x - (a + z) / 2)), list_min(list_transform(ins, lambda x: abs(x - (a + z) / 2))))] ELSE (a + z) / 2 END, 3) AS c
+        FROM (SELECT track, a, z, {_MIDDLE} AS ins FROM mp JOIN brs USING (track) WHERE snapped AND z - a > {MOST_SECONDS})) WHERE a < c AND c < z)),
+    bf AS (SELECT DISTINCT track, unnest([a, z]) AS t FROM mp)"""
+
+
+@query(B.with_sql("ser", f""", {_GRID_SQL}
+    SELECT track, CAST(row_number() OVER o - 1 AS BIGINT) AS segment, round(t, 6) AS start_s, round(lead(t) OVER o, 6) AS end_s FROM bf WINDOW o AS (PARTITION BY track ORDER BY t) QUALIFY lead(t) OVER o IS NOT NULL""").replace("WITH ", "WITH RECURSIVE ", 1))
 def w05_segment_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """W-04, W-05: spaced boundaries, long stretches cut, moved to near bars; tests hold it against numbers worked out by hand."""
+    """W-04, W-05: spaced boundaries, long stretches cut, moved to near bars; the SQL cuts and moves by recursion over lists."""
     ser = B.series(spark, sf_dir)
     ends = ser.groupBy("track").agg(F.explode(F.array(F.lit(0.0), F.max("t") + B.HOP)).alias("t"))
     inner = signal.w03_spaced_boundaries(spark, sf_dir).select("track", "t")
     bars = signal.a19_beat_grid(spark, sf_dir).where("is_bar").select("track", F.lit("bar").alias("kind"), "t")
     marks = ends.unionByName(inner).select("track", F.lit("boundary").alias("kind"), "t").unionByName(bars)
-    return B.rounded(audio.split_and_snap(ser, marks, 0.8, 4.5))
+    return B.rounded(audio.split_and_snap(ser, marks, LEAST_SECONDS, MOST_SECONDS)).withColumn("segment", F.col("segment").cast("long"))
 
 
 def _case(x: str, above, below, between: str) -> str:
