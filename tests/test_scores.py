@@ -131,3 +131,28 @@ def test_descriptors(row):
     assert row["p_phase"] == pytest.approx(0.75) and row["p_height"] == pytest.approx(height) and row["p_stable"] == pytest.approx(0.8)
     assert row["d_bright"] == pytest.approx((height + max(height, 0.2) + 0.2) / 3) and row["d_focused"] == pytest.approx((row["p_mid_side"] + 0.75 + row["p_cue"]) / 3)
     assert row["p_mid_side"] == pytest.approx((0.8 + 0.8 + 0.75) / 3)
+
+
+def test_source_objects_with_all_that_may_speak(spark):
+    """Scores, caps and confusion of objects, by candidates, priors, behaviour, performance and recognised families."""
+    from tonewright.plans import evidence as plans
+
+    tracks = spark.createDataFrame([(0,), (1,)], "track int")
+    kept = spark.createDataFrame([(0, "string_like_sustained_harmonic_layer", 0.60), (0, "harmonic_bed_layer", 0.9), (0, "bass_like_low_body_layer", 0.5), (1, "voice_like_foreground_line", 0.55)], "track int, family string, candidate_score double")
+    plain = {(r["track"], r["object"]): r for r in plans.source_objects(tracks, kept).collect()}
+    assert len(plain) == 18 and plain[0, "strings_bowed_object"]["raw_score"] == pytest.approx(0.72 * 0.9) and plain[0, "strings_bowed_object"]["visibility"] == "possible"
+    assert plain[1, "drum_percussion_object"]["visibility"] == "not_supported" and plain[1, "voice_object"]["visibility"] == "possible"
+    priors = spark.createDataFrame([(0, 0, "bowed_strings", 0.4), (0, 1, "bowed_strings", 0.66), (0, 1, "voice", 0.3), (1, 0, "percussion", 0.6)], "track int, segment int, family string, score double")
+    behaviour = spark.createDataFrame([(0, "low_body_layer", "strong"), (1, "rhythmic_pulse_layer", "medium")], "track int, family string, claim string")
+    performance = spark.createDataFrame([(1, "rhythmic_pulse_layer", "strong")], "track int, family string, claim string")
+    verified = spark.createDataFrame([(1, "voice_like_foreground_line"), (0, "harmonic_bed_layer")], "track int, family string")
+    unpitched = tracks.where("track = 0")
+    full = {(r["track"], r["object"]): r for r in plans.source_objects(tracks, kept, priors, behaviour, performance, verified, unpitched).collect()}
+    strings = full[0, "strings_bowed_object"]
+    assert (strings["raw_visibility"], strings["visibility"], strings["confidence"], strings["capped"]) == ("likely_local", "possible", 0.54, True)
+    assert full[0, "voice_object"]["prior_score"] == 0 and not full[0, "voice_object"]["has_prior"]
+    assert full[0, "bass_low_register_object"]["raw_score"] == pytest.approx(0.68 * 0.82)
+    assert full[1, "drum_percussion_object"]["raw_score"] == pytest.approx(max(0.84 * 0.6, 0.68 * 0.58, 0.62 * 0.82))
+    assert full[1, "voice_object"]["verified"] and full[1, "voice_object"]["visibility"] == "externally_supported"
+    assert [k for k, r in full.items() if r["verified"]] == [(1, "voice_object")]  # a family that only supports verifies nothing
+    assert full[0, "keyboard_piano_object"]["confusion"] is None and full[0, "brass_wind_object"]["confusion"] is None

@@ -266,9 +266,34 @@ CONFUSED = {
     "brass_wind_object": "voice_object, strings_bowed_object, synth_pad_harmonic_object",
     "fx_texture_tail_object": "drum_percussion_object, synth_pad_harmonic_object",
 }
-#: No prior windows and no external packets are at hand here, so that "likely" and "externally supported" cannot be reached.
-VISIBILITY: Stage = {"raw_score": clamp("greatest(primary_score, 0.72 * supporting_score)")}
-VISIBLE: Stage = {"visibility": cases(("raw_score < 0.18", "not_supported"), ("raw_score >= 0.42", "possible"), otherwise="weak_local")}
+#: Families of priors that speak for each object.
+OBJECT_PRIORS = {
+    "voice_object": "voice",
+    "bass_low_register_object": "low_register",
+    "drum_percussion_object": "percussion",
+    "guitar_plucked_object": "plucked_strings",
+    "keyboard_piano_object": "keyboard",
+    "synth_pad_harmonic_object": "electronic_fx, keyboard",
+    "fx_texture_tail_object": "electronic_fx, percussion",
+    "strings_bowed_object": "bowed_strings",
+    "brass_wind_object": "brass, woodwinds",
+}
+#: Least score of a window's priors that counts for an object, and the cap of objects that need a pitch to be likely.
+PRIOR_LEAST, UNPITCHED_CAP = 0.34, 0.54
+
+
+def visible(score: str) -> str:
+    return cases((f"{score} < 0.18", "not_supported"), (f"verified AND {score} >= 0.52", "externally_supported"), (f"has_primary AND has_prior AND {score} >= 0.56", "likely_local"), (f"{score} >= 0.42", "possible"), otherwise="weak_local")
+
+
+#: A source object's score and visibility, out of the scores of what speaks for it, has_primary, has_prior, verified, needs_pitch and missing_pitch.
+VISIBILITY: list[Stage] = [
+    {"raw_score": clamp("greatest(primary_score, 0.72 * supporting_score, 0.84 * prior_score, 0.68 * behaviour_score, 0.62 * performance_score)")},
+    {"raw_visibility": visible("raw_score")},
+    {"capped": f"needs_pitch AND NOT verified AND missing_pitch AND raw_visibility = 'likely_local' AND raw_score > {UNPITCHED_CAP}"},
+    {"confidence": f"CASE WHEN capped THEN {UNPITCHED_CAP} ELSE raw_score END"},
+    {"visibility": f"CASE WHEN verified AND raw_visibility = 'externally_supported' THEN raw_visibility ELSE {visible('confidence')} END"},
+]
 
 BEHAVIOUR: Stage = {
     "entry": cases(

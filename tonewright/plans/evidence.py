@@ -445,32 +445,74 @@ EVENT_AGGREGATES = {
 BEHAVIOUR = ["overlap_count", *E.BEHAVIOUR, "behaviour_group"]
 
 
-_OBJECT_OF = [(o, f, kind) for o, (main, more, _) in E.SOURCE_OBJECTS.items() for kind, names in (("primary", main), ("supporting", more)) for f in names.split(", ")]
-_RIVALS = [(o, x) for o, names in E.CONFUSED.items() for x in names.split(", ")]
+OBJECT_OF = [(o, f, kind) for o, (main, more, _) in E.SOURCE_OBJECTS.items() for kind, names in (("primary", main), ("supporting", more)) for f in names.split(", ")]
+PRIOR_OF = [(o, f) for o, names in E.OBJECT_PRIORS.items() for f in names.split(", ")]
+RIVALS = [(o, x) for o, names in E.CONFUSED.items() for x in names.split(", ")]
+_PITCHED = ", ".join(f"'{o}'" for o, (_, _, needs) in E.SOURCE_OBJECTS.items() if needs)
+CLAIM_SCORE = "CASE claim WHEN 'strong' THEN 0.82 WHEN 'medium' THEN 0.58 WHEN 'weak' THEN 0.30 WHEN 'dominant' THEN 0.90 WHEN 'pronounced' THEN 0.78 WHEN 'moderate' THEN 0.55 ELSE 0.0 END"
 
 
-@query(on_scored(FAMILY_SQL + f""", of(object, family, part) AS (VALUES {", ".join(str(x) for x in _OBJECT_OF)}), rival(object, other) AS (VALUES {", ".join(str(x) for x in _RIVALS)}),
-    kept AS (SELECT * FROM cand WHERE max_support >= 0.38 OR claim <> 'weak'),
-    o0 AS (SELECT t.track, of.object, coalesce(max(candidate_score) FILTER (part = 'primary'), 0.0) AS primary_score, coalesce(max(candidate_score) FILTER (part = 'supporting'), 0.0) AS supporting_score FROM (SELECT DISTINCT track FROM seg) t CROSS JOIN of LEFT JOIN kept ON kept.track = t.track AND kept.family = of.family GROUP BY t.track, of.object),
-    o1 AS ({S.applied_sql([E.VISIBILITY, E.VISIBLE], "o0")}),
-    q AS (SELECT a.track, a.object, string_agg(b.object, ',' ORDER BY round(b.primary_score, 9) DESC, b.object) AS confusion FROM (SELECT a.track, a.object, b.object AS other FROM o1 a JOIN rival USING (object) JOIN o1 b ON a.track = b.track AND b.object = rival.other
-      WHERE b.primary_score >= greatest(0.28, a.raw_score - 0.16)) a JOIN o1 b ON a.track = b.track AND a.other = b.object GROUP BY a.track, a.object)
-    SELECT track, object, {_r("primary_score", "supporting_score", "raw_score")}, visibility, confusion FROM o1 LEFT JOIN q USING (track, object)"""))
+def source_objects(tracks: DataFrame, kept: DataFrame, priors: DataFrame | None = None, behaviour: DataFrame | None = None, performance: DataFrame | None = None, verified: DataFrame | None = None, unpitched: DataFrame | None = None) -> DataFrame:
+    """How visible each source object of a track is, and with which it may be confused (four at most).
+
+    kept: candidates (track, family, candidate_score). What else may speak: priors (track, segment, family, score) of windows, behaviour and
+    performance cards (track, family, claim), verified families (track, family), and the tracks in which a pitch is missing (track). What is
+    not given is as if there were none.
+    """
+    spark = tracks.sparkSession
+    of = F.broadcast(spark.createDataFrame(OBJECT_OF, "object string, family string, part string"))
+    prior_of = F.broadcast(spark.createDataFrame(PRIOR_OF, "object string, family string"))
+    every = F.explode(F.array(*[F.lit(o) for o in E.SOURCE_OBJECTS])).alias("object")
+    df = tracks.select("track").distinct().select("track", every)
+    part = lambda p: F.max(F.when(F.col("part") == p, F.col("candidate_score")))
+    df = df.join(kept.join(of, "family").groupBy("track", "object").agg(part("primary").alias("primary_score"), part("supporting").alias("supporting_score")), ["track", "object"], "left")
+    scored = F.lit(0.0)
+    if priors is not None:
+        found = priors.join(prior_of, "family").groupBy("track", "object").agg(F.max("score").alias("prior_score")).where(F.col("prior_score") >= E.PRIOR_LEAST)
+        df = df.join(found, ["track", "object"], "left")
+    for name, cards in (("behaviour_score", behaviour), ("performance_score", performance)):
+        if cards is not None:
+            df = df.join(cards.join(of, "family").groupBy("track", "object").agg(F.max(F.expr(CLAIM_SCORE)).alias(name)), ["track", "object"], "left")
+    if verified is not None:
+        df = df.join(verified.join(of, "family").where("part = 'primary'").select("track", "object", F.lit(True).alias("verified")).distinct(), ["track", "object"], "left")
+    if unpitched is not None:
+        df = df.join(unpitched.select("track", F.lit(True).alias("missing_pitch")).distinct(), "track", "left")
+    df = df.withColumns({"has_primary": F.col("primary_score").isNotNull(), "has_prior": F.col("prior_score").isNotNull() if priors is not None else F.lit(False), "needs_pitch": F.col("object").isin(*[o for o, (_, _, needs) in E.SOURCE_OBJECTS.items() if needs])})
+    numbers = ["primary_score", "supporting_score", "prior_score", "behaviour_score", "performance_score"]
+    df = df.withColumns({n: F.coalesce(n, scored) if n in df.columns else scored for n in numbers} | {n: F.coalesce(n, F.lit(False)) if n in df.columns else F.lit(False) for n in ("verified", "missing_pitch")})
+    df = S.applied(df, E.VISIBILITY)
+    other = df.select("track", F.col("object").alias("other"), F.greatest("primary_score", "prior_score").alias("theirs"))
+    near = df.join(F.broadcast(spark.createDataFrame(RIVALS, "object string, other string")), "object").join(other, ["track", "other"]).where("theirs >= greatest(0.28, raw_score - 0.16)")
+    best_first = F.slice(F.sort_array(F.collect_list(F.struct((-F.round("theirs", 9)).alias("k"), F.col("other"))))["other"], 1, 4)
+    near = near.groupBy("track", "object").agg(F.array_join(best_first, ",").alias("confusion"))
+    return df.join(near, ["track", "object"], "left")
+
+
+def objects_sql(priors: str | None = None, behaviour: str | None = None, performance: str | None = None, verified: str | None = None, unpitched: str | None = None) -> str:
+    """source_objects() as CTEs o1 and q over seg and kept; the arguments name relations with its columns."""
+    value = lambda made, empty, given: made if given else empty
+    card = lambda source, name: f"LEFT JOIN (SELECT track, object, CAST(max({CLAIM_SCORE}) AS DOUBLE) AS {name} FROM {source} JOIN (SELECT DISTINCT object, family FROM of_) o USING (family) GROUP BY track, object) x_{name} USING (track, object)" if source else ""
+    return f""", of_(object, family, part) AS (VALUES {", ".join(str(x) for x in OBJECT_OF)}), rival(object, other) AS (VALUES {", ".join(str(x) for x in RIVALS)}), po(object, family) AS (VALUES {", ".join(str(x) for x in PRIOR_OF)}),
+    ob AS (SELECT track, unnest([{", ".join(f"'{o}'" for o in E.SOURCE_OBJECTS)}]) AS object FROM (SELECT DISTINCT track FROM seg)),
+    o0 AS (SELECT track, object, coalesce(primary_score, 0.0) AS primary_score, coalesce(supporting_score, 0.0) AS supporting_score, {value("coalesce(prior_score, 0.0)", "0.0", priors)} AS prior_score, {value("coalesce(behaviour_score, 0.0)", "CAST(0.0 AS DOUBLE)", behaviour)} AS behaviour_score,
+      {value("coalesce(performance_score, 0.0)", "0.0", performance)} AS performance_score, primary_score IS NOT NULL AS has_primary, {value("prior_score IS NOT NULL", "false", priors)} AS has_prior, object IN ({_PITCHED}) AS needs_pitch,
+      {value(f"(track, object) IN (SELECT (track, object) FROM {verified} JOIN of_ USING (family) WHERE part = 'primary')", "false", verified)} AS verified, {value(f"track IN (SELECT track FROM {unpitched})", "false", unpitched)} AS missing_pitch
+      FROM ob LEFT JOIN (SELECT track, object, max(candidate_score) FILTER (part = 'primary') AS primary_score, max(candidate_score) FILTER (part = 'supporting') AS supporting_score FROM kept JOIN of_ USING (family) GROUP BY track, object) c USING (track, object)
+      {f"LEFT JOIN (SELECT track, object, max(score) AS prior_score FROM {priors} JOIN po USING (family) GROUP BY track, object HAVING max(score) >= {E.PRIOR_LEAST}) x USING (track, object)" if priors else ""} {card(behaviour, "behaviour_score")} {card(performance, "performance_score")}),
+    o1 AS ({S.applied_sql(E.VISIBILITY, "o0")}),
+    q AS (SELECT track, object, array_to_string(list(other ORDER BY round(theirs, 9) DESC, other)[:4], ',') AS confusion FROM (SELECT a.track, a.object, b.object AS other, greatest(b.primary_score, b.prior_score) AS theirs, a.raw_score
+      FROM o1 a JOIN rival USING (object) JOIN o1 b ON a.track = b.track AND b.object = rival.other) WHERE theirs >= greatest(0.28, raw_score - 0.16) GROUP BY track, object)"""
+
+
+KEPT_SQL = ", kept AS (SELECT * FROM cand WHERE max_support >= 0.38 OR claim <> 'weak')"
+
+
+@query(on_scored(FAMILY_SQL + KEPT_SQL + objects_sql() + f""" SELECT track, object, {_r("primary_score", "supporting_score", "raw_score")}, visibility, confusion FROM o1 LEFT JOIN q USING (track, object)"""))
 def x28_source_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """X-28, J-14, J-16, G-27, Q22: how visible each source object of a track is, and with which it may be confused."""
+    """X-28, J-14, J-16, G-27, Q22: how visible each source object of a track is by its candidates alone, and with which it may be confused."""
     rows = stored(families(scored(spark, sf_dir)))
     kept = candidates(rows, ranges(rows)).where("max_support >= 0.38 OR claim <> 'weak'").select("track", "family", "candidate_score")
-    of = spark.createDataFrame(_OBJECT_OF, "object string, family string, part string")
-    rival = spark.createDataFrame(_RIVALS, "object string, other string")
-    objects = spark.createDataFrame([(o,) for o in E.SOURCE_OBJECTS], "object string")
-    tracks = rows.select("track").distinct().crossJoin(F.broadcast(objects))  # nine rows for each track
-    best = kept.join(F.broadcast(of), "family").groupBy("track", "object").agg(F.max(F.when(F.col("part") == "primary", F.col("candidate_score"))).alias("primary_score"), F.max(F.when(F.col("part") == "supporting", F.col("candidate_score"))).alias("supporting_score"))
-    df = S.applied(tracks.join(best, ["track", "object"], "left").fillna(0.0, ["primary_score", "supporting_score"]), [E.VISIBILITY, E.VISIBLE])
-    other = df.select("track", F.col("object").alias("other"), F.col("primary_score").alias("theirs"))
-    near = df.join(F.broadcast(rival), "object").join(other, ["track", "other"]).where("theirs >= greatest(0.28, raw_score - 0.16)")
-    best_first = F.sort_array(F.collect_list(F.struct((-F.round("theirs", 9)).alias("k"), F.col("other"))))["other"]
-    near = near.groupBy("track", "object").agg(F.array_join(best_first, ",").alias("confusion"))
-    return B.rounded(df.join(near, ["track", "object"], "left"))
+    return B.rounded(source_objects(rows, kept).select("track", "object", "primary_score", "supporting_score", "raw_score", "visibility", "confusion"))
 
 
 # Descriptors

@@ -182,3 +182,25 @@ def x15_capped_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = V.candidates(rows, V.ranges(rows), told).where("max_support >= 0.38 OR claim <> 'weak'")
     rank = F.row_number().over(Window.partitionBy("track").orderBy(F.desc("claim_rank"), F.round("mean_support", 9).desc(), F.round("max_support", 9).desc(), "family"))
     return df.select("track", "family", "family_group", *[F.round(c, 5).alias(c) for c in V.CLAIMED], "longest", "ranges", *V.LABELS, rank.alias("rank"))
+
+
+_OBJECT_SQL = BOOSTED_SQL + V.KEPT_SQL + """, pf AS (SELECT track, segment, family, score FROM hy UNION ALL SELECT track, segment, family, score FROM bf), up AS (SELECT DISTINCT track FROM hy WHERE pitch_status = 'unresolved'),
+    rk AS (SELECT DISTINCT CAST(s_suppkey % 10 AS INTEGER) AS track, [""" + ", ".join(f"'{n}'" for n in E.FAMILIES) + f"][s_suppkey % {len(E.FAMILIES)} + 1] AS family FROM supplier WHERE (CAST(s_acctbal AS DOUBLE) + 1000) / 11000 >= 0.97)" + V.objects_sql(priors="pf", behaviour="kept", verified="rk", unpitched="up")
+
+
+@query(V.on_scored(_OBJECT_SQL + " SELECT track, object, round(prior_score, 5) AS prior_score, round(behaviour_score, 5) AS behaviour_score, round(raw_score, 5) AS raw_score, round(confidence, 5) AS confidence, raw_visibility, visibility, capped, verified, missing_pitch, confusion FROM o1 LEFT JOIN q USING (track, object)"))
+def x28_verified_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X-28, J-15, G-29: source objects by candidates, prior windows, claims and recognised families, and their cap where no pitch is at hand."""
+    from .performance import recognised
+
+    found = ranked(spark, sf_dir)
+    broad = stored(P.broad_families(found))
+    near = stored(P.matches(found, broad))
+    rows = stored(V.families(V.scored(spark, sf_dir), lambda df: P.boosted(df, near)))
+    status = F.transform("ranked", lambda h: h["pitch_status"])
+    told = found.groupBy("track").agg(F.lit(True).alias("prior_available"), F.bool_or(F.arrays_overlap(status, F.array(F.lit("matched"), F.lit("partial")))).alias("pitch_matched"))
+    kept = stored(V.candidates(rows, V.ranges(rows), told).where("max_support >= 0.38 OR claim <> 'weak'"))
+    exact = found.select("track", "segment", F.explode("ranked").alias("h")).select("track", "segment", "h.family", "h.score")
+    unpitched = found.where(F.array_contains(status, "unresolved")).select("track").distinct()
+    df = V.source_objects(rows, kept, priors=exact.unionByName(broad.select("track", "segment", "family", "score")), behaviour=kept.select("track", "family", "claim"), verified=recognised(spark, sf_dir), unpitched=unpitched)
+    return df.select("track", "object", *[F.round(c, 5).alias(c) for c in ("prior_score", "behaviour_score", "raw_score", "confidence")], "raw_visibility", "visibility", "capped", "verified", "missing_pitch", "confusion")
