@@ -155,4 +155,4 @@ def test_source_objects_with_all_that_may_speak(spark):
     assert full[1, "drum_percussion_object"]["raw_score"] == pytest.approx(max(0.84 * 0.6, 0.68 * 0.58, 0.62 * 0.82))
     assert full[1, "voice_object"]["verified"] and full[1, "voice_object"]["visibility"] == "externally_supported"
     assert [k for k, r in full.items() if r["verified"]] == [(1, "voice_object")]  # a family that only supports verifies nothing
-    assert full[0, "keyboard_piano_object"]["confusion"] is None and full[0, "brass_wind_object"]["confusion"] is None
+    assert full[0, "keyboard_piano_object"]["confusion"] is None and full[0, "brass_wind_object"]["confusion"] == "strings_bowed_object"

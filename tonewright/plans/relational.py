@@ -255,13 +255,17 @@ def t11_representative_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.where("i = 1 or i = c or i = c div 2 + 1").select("conv_id", F.col("turn").cast("int").alias("turn"), "role")
 
 
-@query("""WITH s AS (SELECT conv_id, role, length(coalesce(text, '')) AS n, turn FROM conversations), m AS (SELECT conv_id, count(*) AS c FROM s GROUP BY conv_id), b AS (SELECT s.*, least(4, CAST(floor((row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) * 5 / c) AS INTEGER)) AS chunk FROM s JOIN m USING (conv_id))
+_CHUNK = " + ".join(f"CASE WHEN {i} < g AND {{0}}({i}.0 * c / g{{1}}) <= i THEN 1 ELSE 0 END" for i in range(1, 5))
+
+
+@query(f"""WITH s AS (SELECT conv_id, role, length(coalesce(text, '')) AS n, row_number() OVER o - 1 AS i, count(*) OVER (PARTITION BY conv_id) AS c FROM conversations WINDOW o AS (PARTITION BY conv_id ORDER BY turn)),
+    b AS (SELECT *, CAST({_CHUNK.format("round_even", ", 0")} AS INTEGER) AS chunk FROM (SELECT *, least(5, greatest(1, round(sqrt(c)))) AS g FROM s))
     SELECT conv_id, chunk, count(*) AS turns, round(avg(n), 6) AS mean_chars, string_agg(DISTINCT role, ',' ORDER BY role) AS roles FROM b GROUP BY conv_id, chunk""")
 def g33_macro_arc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G-33, G-04, U-01: at most five stretches of each track with their means and the union of their labels."""
+    """G-33, G-04, U-01: as many stretches of a track as the root of its length says, five at most, cut at rounded places (halves to even), with their means and the union of their labels."""
     w = Window.partitionBy("conv_id")
     df = table(spark, sf_dir, "conversations").withColumns({"i": F.row_number().over(w.orderBy("turn")) - 1, "c": F.count("*").over(w), "n": F.length(F.coalesce("text", F.lit("")))})
-    df = df.withColumn("chunk", F.least(F.lit(4), F.floor(F.col("i") * 5 / F.col("c")).cast("int")))
+    df = df.withColumn("g", F.least(F.lit(5.0), F.greatest(F.lit(1.0), F.round(F.sqrt("c"))))).withColumn("chunk", F.expr(_CHUNK.format("bround", "")))
     return B.rounded(df.groupBy("conv_id", "chunk").agg(F.count("*").alias("turns"), F.avg("n").alias("mean_chars"), F.array_join(F.array_sort(F.collect_set("role")), ",").alias("roles")))
 
 
@@ -280,20 +284,22 @@ def x33_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH n AS (SELECT l_suppkey AS family, l_partkey % 128 AS pitch, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber) AS i, count(*) OVER (PARTITION BY l_suppkey) AS c, l_shipdate, l_discount FROM lineitem),
-    t AS (SELECT family, count(*) AS notes, CAST(min(l_shipdate) AS VARCHAR) AS first_day, avg(pitch) FILTER (i <= greatest(1, c // 4)) AS head, avg(pitch) FILTER (i > c - greatest(1, c // 4)) AS tail, count(*) / greatest(1.0, date_diff('day', min(l_shipdate), max(l_shipdate))::DOUBLE) AS rate, avg(l_discount) AS confidence FROM n GROUP BY family)
-    SELECT family, notes, round(confidence, 6) AS confidence, CASE WHEN tail - head >= 2 THEN 'rising' WHEN tail - head <= -2 THEN 'falling' ELSE 'level' END AS contour, CASE WHEN rate >= 4 THEN 'dense' WHEN rate >= 1 THEN 'medium' ELSE 'sparse' END AS density FROM t""")
+    t AS (SELECT family, count(*) AS notes, CAST(min(l_shipdate) AS VARCHAR) AS first_day, avg(pitch) FILTER (i <= greatest(1, c // 4)) AS head, avg(pitch) FILTER (i > c - greatest(1, c // 4)) AS tail, avg(pitch) FILTER (c < 6 OR (i > c // 3 AND i <= greatest(c // 3 + 1, 2 * c // 3))) AS middle, count(*) / greatest(1.0, date_diff('day', min(l_shipdate), max(l_shipdate))::DOUBLE) AS rate, avg(l_discount) AS confidence FROM n GROUP BY family)
+    SELECT family, notes, round(confidence, 6) AS confidence, CASE WHEN notes < 3 THEN 'adapter_specific' WHEN tail - head > 2 THEN 'rising' WHEN tail - head < -2 THEN 'falling' WHEN middle > head + 2 AND middle > tail + 2 THEN 'arch' ELSE 'level_or_wavering' END AS contour, CASE WHEN rate >= 4 THEN 'dense' WHEN rate >= 1 THEN 'medium' ELSE 'sparse' END AS density FROM t""")
 def g35_note_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G-35, W-18, F-22: tracks built from notes, with contour between first and last quarter and density."""
+    """G-35, W-18, F-22: tracks built from notes, with the contour of their first and last quarter and middle third, and density."""
     w = Window.partitionBy("family")
     df = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("family"), (F.col("l_partkey") % 128).alias("pitch"), "l_shipdate", "l_orderkey", "l_linenumber", "l_discount")
     df = df.withColumns({"i": F.row_number().over(w.orderBy("l_shipdate", "l_orderkey", "l_linenumber")), "c": F.count("*").over(w)})
     edge = F.greatest(F.lit(1), F.expr("c div 4"))
     t = df.groupBy("family").agg(
         F.count("*").alias("notes"), F.avg("l_discount").alias("confidence"), F.avg(F.when(F.col("i") <= edge, F.col("pitch"))).alias("head"), F.avg(F.when(F.col("i") > F.col("c") - edge, F.col("pitch"))).alias("tail"),
+        F.avg(F.when(F.expr("c < 6 OR (i > c div 3 AND i <= greatest(c div 3 + 1, 2 * c div 3))"), F.col("pitch"))).alias("middle"),
         (F.count("*") / F.greatest(F.lit(1.0), F.datediff(F.max("l_shipdate"), F.min("l_shipdate")).cast("double"))).alias("rate"),
     )
-    step = F.col("tail") - F.col("head")
-    return B.rounded(t.select("family", "notes", "confidence", F.when(step >= 2, "rising").when(step <= -2, "falling").otherwise("level").alias("contour"), S.band(F.col("rate"), S.NOTE_DENSITY).alias("density")))
+    step, above = F.col("tail") - F.col("head"), (F.col("middle") > F.col("head") + 2) & (F.col("middle") > F.col("tail") + 2)
+    contour = F.when(F.col("notes") < 3, "adapter_specific").when(step > 2, "rising").when(step < -2, "falling").when(above, "arch").otherwise("level_or_wavering")
+    return B.rounded(t.select("family", "notes", "confidence", contour.alias("contour"), S.band(F.col("rate"), S.NOTE_DENSITY).alias("density")))
 
 
 @query("""WITH f AS (SELECT c_nationkey, c_mktsegment, count(*) AS n, avg(c_acctbal) AS m FROM customer GROUP BY ALL), s AS (SELECT *, sum(n) OVER (PARTITION BY c_nationkey) AS total FROM f)
