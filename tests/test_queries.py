@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import pytest
 
-from tonewright.plans import audio, evidence, packets, performance, priors, relational, rolling, signal, spatial
+from tonewright.plans import audio, context, evidence, packets, performance, priors, relational, rolling, signal, spatial
 
-PARTS = (signal, relational, evidence, audio, rolling, spatial, priors, performance, packets)
+PARTS = (signal, relational, evidence, audio, rolling, spatial, priors, performance, packets, context)
 QUERIES = {n: f for part in PARTS for n, f in part.QUERIES.items()}
 ORACLES = {n: sql for part in PARTS for n, sql in part.ORACLES.items()}
 
