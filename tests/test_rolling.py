@@ -197,3 +197,45 @@ def test_last_resort_events(spark):
     got = [tuple(r) for r in V.events(lanes).where("track = 0").select("segment", "start_s", "end_s", "kind", "lane", "event_id").collect()]
     assert got == [(0, 0.0, 3.0, "lane_presence_without_clear_delta", "low_body_lane", "lane_presence_without_clear_delta_001")]
     assert {r["kind"] for r in V.events(lanes).where("track = 1").collect()} >= {"lane_entry_or_growth", "lane_exit_or_reduction"}
+
+
+@pytest.mark.parametrize("stretch", [4096, 13])
+def test_fields_and_regions_against_numpy(spark, monkeypatch, stretch):
+    monkeypatch.setattr(auditory, "STRETCH", stretch)
+    data = {k: v for k, v in tracks(60).items() if k in (0, 2, 3)}
+    field = auditory.fields(auditory.curves(auditory.levels(matrix(spark, data)))).cache()
+    ratios = {(r["track"], r["band"]): (r["mean_ratio"], r["max_ratio"], r["mean_total"]) for r in auditory.band_ratios(field).collect()}
+    got = {}
+    for r in auditory.regions(auditory.activities(field), 4).orderBy("rank").collect():
+        got.setdefault((r["track"], r["list"]), []).append((r["kind"], r["start_s"], r["end_s"], r["mean"], r["highest"]))
+    told = {}
+    for k, (times, mid, side) in data.items():
+        mid, side = level(mid), level(side)
+        band = lambda m, b: m[(CENTRES >= auditory.BROAD[b][0]) & (CENTRES < auditory.BROAD[b][1])].mean(axis=0)
+        wide, centred = [], []
+        for b in auditory.BROAD:
+            m, s = band(mid, b), band(side, b)
+            ratio, whole = s / (m + s + 1e-12), np.clip(m + s, 0, 1)
+            assert ratios[k, b] == pytest.approx((ratio.mean(), ratio.max(), whole.mean()))
+            wide.append(np.clip((ratio - 0.45) / 0.55, 0, 1) * whole)
+            centred.append(np.clip((0.55 - ratio) / 0.55, 0, 1) * m)
+
+        def around(x, w):
+            padded = np.r_[np.zeros(w // 2), x, np.zeros((w - 1) // 2)]
+            return np.array([padded[i : i + w].mean() for i in range(len(x))])
+
+        def runs(name, x, least):
+            on = np.round(x, 9) >= least
+            edges = np.flatnonzero(np.diff(np.r_[0, on, 0]))
+            return [(name, times[a], times[b - 1], x[a:b].mean(), x[a:b].max()) for a, b in zip(edges[::2], edges[1::2], strict=True)]
+
+        for n, m in (("mid", mid), ("side", side)):
+            told[k, f"sustained_{n}"] = [r for b in ("low", "mid", "high") for r in runs(f"{b}_sustained_{n}", around(band(m, b), 9), 0.42)]
+            rise = {b: np.maximum(np.diff(band(m, b), prepend=band(m, b)[:1]), 0) for b in ("low", "mid", "high")}
+            told[k, f"transient_{n}"] = [r for b, x in rise.items() for r in runs(f"{b}_transient_{n}", x / x.max() if x.max() > 1e-12 else x, 0.55)]
+        told[k, "wide"] = runs("side_heavy_wide_band_region", around(np.mean(wide, axis=0), 7), 0.34)
+        told[k, "centred"] = runs("mid_focused_center_region", around(np.mean(centred, axis=0), 7), 0.34)
+    assert set(got) == {key for key, x in told.items() if x}
+    for key, rows in got.items():
+        assert [r[0] for r in rows] == [r[0] for r in told[key][:4]]
+        assert [x for r in rows for x in r[1:]] == pytest.approx([x for r in told[key][:4] for x in r[1:]])

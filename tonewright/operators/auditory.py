@@ -157,3 +157,60 @@ def display_bins(shown: DataFrame, smooth: int, seconds: float) -> DataFrame:
     place = F.floor(F.round((F.col("t") - F.col("_t0")) / seconds, 9)).cast("int")
     out = rows.groupBy("track", "channel", place.alias("bin"), "_t0").agg(F.avg("_level").alias("level"))
     return out.select("track", "channel", "bin", (F.col("_t0") + (F.col("bin") + 0.5) * seconds).alias("t"), "level")
+
+
+# Widths of the averages, and the activity from which frames count, of sustained, rising, wide and centred sound.
+SUSTAINED_WIDTH, SUSTAINED_LEAST, RISING_LEAST, FIELD_WIDTH, FIELD_LEAST = 9, 0.42, 0.55, 7, 0.34
+MOST_REGIONS = 10
+
+
+def smoothed(df: DataFrame, wanted: dict[str, tuple[str, int]]) -> DataFrame:
+    """Adds averages of columns over so many frames around each, with zeros beyond both ends; stretches take what they need from their neighbours."""
+    reach = max(w for _, w in wanted.values())
+    part = F.floor(F.col("frame_idx") / STRETCH)
+    places = F.array_distinct(F.array(F.floor((F.col("frame_idx") - reach) / STRETCH), part, F.floor((F.col("frame_idx") + reach) / STRETCH)))
+    rows = df.withColumn("_part", F.explode(places))
+    w = Window.partitionBy("track", "_part").orderBy("frame_idx")
+    rows = rows.withColumns({n: F.sum(c).over(w.rowsBetween(-(k // 2), (k - 1) // 2)) / k for n, (c, k) in wanted.items()})
+    return rows.where(F.col("_part") == part).drop("_part")
+
+
+def fields(curve: DataFrame) -> DataFrame:
+    """Adds the side's share and the sum of each broad band, and how wide and how centred a frame is."""
+    ratio = {b: F.col(f"{b}_side") / (F.col(f"{b}_mid") + F.col(f"{b}_side") + EPS) for b in BROAD}
+    df = curve.withColumns({f"ratio_{b}": x for b, x in ratio.items()} | {f"sum_{b}": F.least(F.col(f"{b}_mid") + F.col(f"{b}_side"), F.lit(1.0)) for b in BROAD})
+    unit = lambda x: F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
+    wide = sum((unit((F.col(f"ratio_{b}") - 0.45) / 0.55) * F.col(f"sum_{b}") for b in BROAD), F.lit(0.0)) / len(BROAD)
+    centred = sum((unit((0.55 - F.col(f"ratio_{b}")) / 0.55) * F.col(f"{b}_mid") for b in BROAD), F.lit(0.0)) / len(BROAD)
+    return df.withColumns({"wide": wide, "centred": centred})
+
+
+def band_ratios(field: DataFrame) -> DataFrame:
+    """(track, band, mean_ratio, max_ratio, mean_total): the side's share in each broad band of a track."""
+    found = field.groupBy("track").agg(*[f(c).alias(f"{n}_{b}") for b in BROAD for n, f, c in (("a", F.avg, f"ratio_{b}"), ("b", F.max, f"ratio_{b}"), ("c", F.avg, f"sum_{b}"))])
+    rows = F.array(*[F.struct(F.lit(b).alias("band"), F.col(f"a_{b}").alias("mean_ratio"), F.col(f"b_{b}").alias("max_ratio"), F.col(f"c_{b}").alias("mean_total")) for b in BROAD])
+    return found.select("track", F.explode(rows).alias("z")).select("track", "z.*")
+
+
+def activities(field: DataFrame) -> DataFrame:
+    """(track, frame_idx, t, kind, place, activity, least): the activities in which regions are looked for, in the order of their lists."""
+    bands = [(c, b) for c in ("mid", "side") for b in ("low", "mid", "high")]
+    rising = rises(field, {f"_r_{b}_{c}": f"{b}_{c}" for c, b in bands})
+    tops = rising.groupBy("track").agg(*[F.max(f"_r_{b}_{c}").alias(f"_t_{b}_{c}") for c, b in bands])
+    df = spread_back(rising, tops, ["track"], F.col("frame_idx"))
+    df = df.withColumns({f"_r_{b}_{c}": F.when(F.col(f"_t_{b}_{c}") > EPS, F.col(f"_r_{b}_{c}") / F.col(f"_t_{b}_{c}")).otherwise(0.0) for c, b in bands})
+    df = smoothed(df, {f"_s_{b}_{c}": (f"{b}_{c}", SUSTAINED_WIDTH) for c, b in bands} | {"_wide": ("wide", FIELD_WIDTH), "_centred": ("centred", FIELD_WIDTH)})
+    kinds = [(f"sustained_{c}", i, f"{b}_sustained_{c}", f"_s_{b}_{c}", SUSTAINED_LEAST) for c in ("mid", "side") for i, b in enumerate(("low", "mid", "high"))]
+    kinds += [(f"transient_{c}", i, f"{b}_transient_{c}", f"_r_{b}_{c}", RISING_LEAST) for c in ("mid", "side") for i, b in enumerate(("low", "mid", "high"))]
+    kinds += [("wide", 0, "side_heavy_wide_band_region", "_wide", FIELD_LEAST), ("centred", 0, "mid_focused_center_region", "_centred", FIELD_LEAST)]
+    rows = F.array(*[F.struct(F.lit(g).alias("list"), F.lit(i).alias("place"), F.lit(n).alias("kind"), F.col(c).alias("activity"), F.lit(x).alias("least")) for g, i, n, c, x in kinds])
+    return df.select("track", "frame_idx", "t", F.explode(rows).alias("z")).select("track", "frame_idx", "t", "z.*")
+
+
+def regions(activity: DataFrame, most: int = MOST_REGIONS) -> DataFrame:
+    """(track, list, rank, kind, start_s, end_s, mean, highest): maximal runs of frames at or above their least activity; the first of each list."""
+    on = activity.where(F.round("activity", 9) >= F.col("least"))
+    island = F.col("frame_idx") - F.row_number().over(Window.partitionBy("track", "kind").orderBy("frame_idx"))
+    runs = on.withColumn("_i", island).groupBy("track", "list", "place", "kind", "_i").agg(F.min("t").alias("start_s"), F.max("t").alias("end_s"), F.avg("activity").alias("mean"), F.max("activity").alias("highest"))
+    rank = F.row_number().over(Window.partitionBy("track", "list").orderBy("place", "start_s"))
+    return runs.withColumn("rank", rank).where(F.col("rank") <= most).drop("place", "_i")

@@ -192,6 +192,34 @@ def x26_behaviour(spark: SparkSession, sf_dir: str) -> DataFrame:
     return behaviours(spark, sf_dir).select("track", "family", *V.BEHAVIOUR)
 
 
+# Fields and regions of the two channels
+
+_RATIOS = ", ".join(f"{b}_side / ({b}_mid + {b}_side + 1e-12) AS ratio_{b}, least({b}_mid + {b}_side, 1) AS sum_{b}" for b in A.BROAD)
+_UNIT = S.clamp
+_FIELDS = f"""({" + ".join(f"{_UNIT(f'(ratio_{b} - 0.45) / 0.55')} * sum_{b}" for b in A.BROAD)}) / 4 AS wide, ({" + ".join(f"{_UNIT(f'(0.55 - ratio_{b}) / 0.55')} * {b}_mid" for b in A.BROAD)}) / 4 AS centred"""
+_CB = [(c, b) for c in ("mid", "side") for b in ("low", "mid", "high")]
+_AROUND = lambda c, k: f"sum({c}) OVER (PARTITION BY track ORDER BY frame_idx ROWS BETWEEN {k // 2} PRECEDING AND {(k - 1) // 2} FOLLOWING) / {k}"
+FIELD_SQL = WINDOW_SQL + f""", fd AS (SELECT *, {_FIELDS} FROM (SELECT *, {_RATIOS} FROM cv0)),
+    rz AS (SELECT *, {", ".join(f"greatest(coalesce({b}_{c} - lag({b}_{c}) OVER (PARTITION BY track ORDER BY frame_idx), 0), 0) AS r_{b}_{c}, {_AROUND(f'{b}_{c}', A.SUSTAINED_WIDTH)} AS s_{b}_{c}" for c, b in _CB)}, {_AROUND("wide", A.FIELD_WIDTH)} AS s_wide, {_AROUND("centred", A.FIELD_WIDTH)} AS s_centred FROM fd),
+    av AS ({" UNION ALL ".join([f"SELECT track, frame_idx, t, 'sustained_{c}' AS list, {i} AS place, '{b}_sustained_{c}' AS kind, s_{b}_{c} AS activity, {A.SUSTAINED_LEAST} AS least FROM rz UNION ALL SELECT track, frame_idx, t, 'transient_{c}', {i}, '{b}_transient_{c}', CASE WHEN max(r_{b}_{c}) OVER (PARTITION BY track) > 1e-12 THEN r_{b}_{c} / max(r_{b}_{c}) OVER (PARTITION BY track) ELSE 0 END, {A.RISING_LEAST} FROM rz" for c in ("mid", "side") for i, b in enumerate(("low", "mid", "high"))])}
+      UNION ALL SELECT track, frame_idx, t, 'wide', 0, 'side_heavy_wide_band_region', s_wide, {A.FIELD_LEAST} FROM rz UNION ALL SELECT track, frame_idx, t, 'centred', 0, 'mid_focused_center_region', s_centred, {A.FIELD_LEAST} FROM rz)"""
+
+
+@query(B.with_sql("s", FIELD_SQL + " UNION ALL ".join(f"SELECT track, '{b}' AS band, round(avg(ratio_{b}), 5) AS mean_ratio, round(max(ratio_{b}), 5) AS max_ratio, round(avg(sum_{b}), 5) AS mean_total FROM fd GROUP BY track" for b in A.BROAD)))
+def a33_band_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A-33: the side's share in four broad bands of each track."""
+    return B.rounded(A.band_ratios(A.fields(A.curves(A.levels(matrix(spark, sf_dir))))), 5)
+
+
+@query(B.with_sql("s", FIELD_SQL + f""", ri AS (SELECT track, list, place, kind, min(t) AS start_s, max(t) AS end_s, avg(activity) AS mean, max(activity) AS highest
+      FROM (SELECT *, frame_idx - row_number() OVER (PARTITION BY track, kind ORDER BY frame_idx) AS island FROM av WHERE round(activity, 9) >= least) GROUP BY track, list, place, kind, island)
+    SELECT track, list, CAST(row_number() OVER o AS INTEGER) AS rank, kind, round(start_s, 6) AS start_s, round(end_s, 6) AS end_s, round(mean, 5) AS mean, round(highest, 5) AS highest FROM ri WINDOW o AS (PARTITION BY track, list ORDER BY place, start_s) QUALIFY row_number() OVER o <= {A.MOST_REGIONS}"""))
+def a33_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A-33, H-36: where bands of the middle and the side sustain or rise, and where the field is wide or centred; ten of each list."""
+    df = A.regions(A.activities(stored(A.fields(A.curves(A.levels(matrix(spark, sf_dir)))))))
+    return df.select("track", "list", "rank", "kind", F.round("start_s", 6).alias("start_s"), F.round("end_s", 6).alias("end_s"), F.round("mean", 5).alias("mean"), F.round("highest", 5).alias("highest"))
+
+
 # Readable ranges
 
 _LABEL = "CASE {} " + " ".join(f"WHEN '{n}' THEN '{x}'" for n, x in E.LANE_LABELS.items()) + " ELSE {} END"
