@@ -293,4 +293,16 @@ def boosted(support: DataFrame, found: DataFrame) -> DataFrame:
     return df.withColumn("support", _unit(F.col("support") + F.col("boost")))
 
 
+def object_windows(scores: DataFrame, broad: DataFrame, families: list[tuple[str, str]], least: float, most: int = 12) -> DataFrame:
+    """(track, object, family, windows, top): the windows that speak most for an object, by its families of priors.
+
+    scores: (track, segment, family, score) of hypotheses and broad families; broad: the latter alone; families: (object, family) pairs.
+    """
+    of = F.broadcast(scores.sparkSession.createDataFrame(families, "object string, family string"))
+    best = scores.join(of, "family").groupBy("track", "object", "segment").agg(F.max("score").alias("_s")).where(F.col("_s") >= least)
+    rank = F.row_number().over(Window.partitionBy("track", "object").orderBy(F.round("_s", 9).desc(), "segment"))
+    best = best.withColumn("_k", rank).where(F.col("_k") <= most).select("track", "object", "segment")
+    return best.join(broad, ["track", "segment"]).join(of, ["object", "family"]).groupBy("track", "object", "family").agg(F.count("*").alias("windows"), F.max("score").alias("top"))
+
+
 assert set(RULES) == set(FAMILIES)

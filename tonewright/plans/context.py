@@ -106,3 +106,71 @@ def f30_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F-30, F-13: title, artist, album, year and confidence of an answer, from its own fields, else from its first result's first recording."""
     df = table(spark, sf_dir, "customer").select("c_custkey", F.expr(_ANSWER).alias("j"))
     return C.identities(df, "j").select("c_custkey", *C.DIRECT, "direct")
+
+
+# Notes, tags, fingerprints
+
+_NOTES = """concat('[', CASE WHEN c_custkey % 5 = 0 THEN '{"velocity": 3}' WHEN c_custkey % 5 = 1 THEN concat('{"onset": "', c_custkey % 97, '", "duration": 1.5, "note": ', c_nationkey + 40, '}') ELSE concat('{"start": ', c_custkey % 13, ', "offset_seconds": ', c_custkey % 13 + 2, ', "midi_pitch": 60.25, "instrument": " Lead-', c_nationkey % 3, ' x", "score": 0.75}') END,
+    ', {"pitch": ', c_nationkey, '}, 7]')"""
+
+
+def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "customer").select("c_custkey", F.try_parse_json(F.expr(_NOTES)).alias("v"))
+    return C.normal_notes(df.select("c_custkey", F.explode(F.try_variant_get("v", "$", "array<variant>")).alias("n")), "c_custkey", "n")
+
+
+def _note_sql() -> str:
+    number = lambda names: f"coalesce({', '.join(f'TRY_CAST(json_extract_string(n, {chr(39)}$.{x}{chr(39)}) AS DOUBLE)' for x in names)})"
+    family = ", ".join(f"nullif(trim(json_extract_string(n, '$.{x}')), '')" for x in C.NOTE_FAMILIES)
+    fields = ", ".join(f"{number(names)} AS f_{k}" for k, names in C.NOTE_FIELDS.items())
+    return f"""WITH a AS (SELECT c_custkey, unnest(json_extract({_NOTES}, '$[*]')) AS n FROM customer), b AS (SELECT c_custkey, {fields}, coalesce({family}, 'unknown') AS fam FROM a),
+    c AS (SELECT *, coalesce(f_start, 0) AS s FROM b WHERE f_start IS NOT NULL OR f_end IS NOT NULL OR f_pitch IS NOT NULL),
+    nn AS (SELECT c_custkey, regexp_replace(lower(trim(fam)), '[ -]+', '_', 'g') AS family, round(s, 4) AS start, round(coalesce(f_end, s + coalesce(f_duration, 0)), 4) AS "end", round(f_pitch, 4) AS pitch, round(f_velocity, 4) AS velocity, round(coalesce(f_confidence, 0.5), 4) AS confidence FROM c)"""
+
+
+@query(_note_sql() + " SELECT * FROM nn")
+def x36_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X-36: notes of transcription packets with their times, pitch and confidence, by whichever names they come."""
+    return _notes(spark, sf_dir)
+
+
+@query(_note_sql() + " SELECT c_custkey, count(*) AS notes, string_agg(DISTINCT family, ',' ORDER BY family) AS families, 'attached_transcription_notes' AS status FROM nn GROUP BY c_custkey")
+def x36_note_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X-36: what a packet of notes says of itself."""
+    return C.note_packets(_notes(spark, sf_dir), "c_custkey")
+
+
+_TAGGED = """concat('{"format": {"tags": {"TITLE": "', c_name, '", "Album-Artist": "A', c_nationkey, '"}}, "tags": {"Title": "', CASE WHEN c_custkey % 3 = 0 THEN ' ' ELSE 'own' END, '", "performer": "P"}, "streams": [{"tags": {"year": "', c_custkey, '"}}, 5, {"tags": {"title": "stream', c_custkey % 2, '"}}], "fingerprint": "', repeat('x', CAST(c_custkey % 4 AS INT)), '", "DURATION": ', c_custkey, '}')"""
+
+
+@query(f"""WITH a AS (SELECT c_custkey, {_TAGGED} AS j FROM customer)
+    SELECT c_custkey, concat('stream', c_custkey % 2) AS title, 'P' AS artist, json_extract_string(j, '$.format.tags.Album-Artist') AS album_artist, NULL AS album, CAST(c_custkey AS VARCHAR) AS date, CAST(c_custkey AS VARCHAR) AS year,
+      CASE WHEN json_extract_string(j, '$.fingerprint') = '' THEN 'attached_without_fingerprint_field' ELSE 'attached_fingerprint' END AS status, json_extract_string(j, '$.DURATION') AS duration, CAST(length(json_extract_string(j, '$.fingerprint')) AS INTEGER) AS length FROM a""")
+def f29_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F-29, F-31: tags of a recording out of its format, itself and its streams, the last of which wins, and its fingerprint."""
+    df = table(spark, sf_dir, "customer").select("c_custkey", F.try_parse_json(F.expr(_TAGGED)).alias("v"))
+    return C.metadata_tags(df, "c_custkey", "v").select("c_custkey", *C.TAGS, C.fingerprint(F.col("v")).alias("z")).select("c_custkey", *C.TAGS, "z.*")
+
+
+# Texts for readers
+
+_CLAIM = "concat(p_name, CASE p_partkey % 4 WHEN 0 THEN ' is the Source Truth, a STEM TRUTH' WHEN 1 THEN ' of confirmed Instruments and the original track' WHEN 2 THEN ' shows performer identity; confirmed instrument' ELSE '' END)"
+
+
+def _safe_sql(text: str) -> str:
+    for old, new in C.SAFE_WORDS.items():
+        text = f"regexp_replace({text}, '{old}', '{new}', 'gi')"
+    return text
+
+
+@query(f"SELECT p_partkey, {_safe_sql(_CLAIM)} AS text, regexp_matches(lower({_CLAIM}), '{'|'.join(C.SAFE_WORDS)}') AS claimed FROM part")
+def p17_safe_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P-16, P-17: texts without claims that they must not make, and whether they made one."""
+    text = F.expr(_CLAIM)
+    return table(spark, sf_dir, "part").select("p_partkey", C.safe_text(text).alias("text"), C.holds_claims(text).alias("claimed"))
+
+
+@query(V.on_scored("SELECT track, segment, round(start_s, 6) AS start_s, round(end_s, 6) AS end_s, role, round(role_confidence, 6) AS role_confidence, " + ", ".join(S.SKELETON) + " FROM p"))
+def p03_section_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P-03: the outline of each segment with its place and role."""
+    return B.rounded(V.scored(spark, sf_dir).select("track", "segment", "start_s", "end_s", "role", "role_confidence", *S.SKELETON))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import context as C
 from ..operators import evidence as E
 from ..operators import performance as P
 from ..operators import scorers as S
@@ -116,3 +117,9 @@ def t06_performance_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     modes = F.array_join(F.slice(F.split(F.expr(P.modes_sql("said")), ";"), 1, P.MOST_MODES), ";")
     order = Window.partitionBy("track").orderBy(F.expr(P.ranks("claim", P.STRENGTH)).desc(), F.round("active_mean", 9).desc(), F.desc("events"), "family", "folded")
     return df.select("track", "family", "folded", "claim", "events", modes.alias("modes"), F.row_number().over(order).alias("place"))
+
+
+@query(V.on_scored(MATCH_SQL + f""" SELECT track, family, folded, coalesce(string_agg(behaviour, ',' ORDER BY rank) FILTER (family_group = '{E.FUNCTIONAL}'), '') AS functional, coalesce(string_agg(behaviour, ',' ORDER BY rank) FILTER (family_group <> '{E.FUNCTIONAL}'), '') AS candidates FROM bm GROUP BY track, family, folded"""))
+def g38_behaviour_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G-38: the behaviour of a card that may shape its words, and that which only supports it."""
+    return C.behaviour_support(_matches(spark, sf_dir), E.FUNCTIONAL)

@@ -204,3 +204,24 @@ def x28_verified_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     unpitched = found.where(F.array_contains(status, "unresolved")).select("track").distinct()
     df = V.source_objects(rows, kept, priors=exact.unionByName(broad.select("track", "segment", "family", "score")), behaviour=kept.select("track", "family", "claim"), verified=recognised(spark, sf_dir), unpitched=unpitched)
     return df.select("track", "object", *[F.round(c, 5).alias(c) for c in ("prior_score", "behaviour_score", "raw_score", "confidence")], "raw_visibility", "visibility", "capped", "verified", "missing_pitch", "confusion")
+
+
+@query(V.on_scored(BOOSTED_SQL + f""", po(object, family) AS (VALUES {", ".join(str(x) for x in V.PRIOR_OF)}), ws AS (SELECT track, segment, family, max(score) AS score FROM (SELECT track, segment, family, score FROM hy UNION ALL SELECT track, segment, family, score FROM bf) GROUP BY ALL),
+    ow AS (SELECT * FROM (SELECT track, object, segment, max(score) AS score FROM ws JOIN po USING (family) GROUP BY track, object, segment) WHERE score >= {E.PRIOR_LEAST} QUALIFY row_number() OVER (PARTITION BY track, object ORDER BY round(score, 9) DESC, segment) <= 12)
+    SELECT ow.track, ow.object, bf.family, count(*) AS windows, round(max(bf.score), 5) AS top FROM ow JOIN bf ON bf.track = ow.track AND bf.segment = ow.segment JOIN po ON po.object = ow.object AND po.family = bf.family GROUP BY ow.track, ow.object, bf.family"""))
+def g29_prior_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G-29, J-15: of the twelve windows that speak most for a source object, how many each of its families has, and its best score."""
+    found = ranked(spark, sf_dir)
+    broad = stored(P.broad_families(found).select("track", "segment", "family", "score"))
+    exact = found.select("track", "segment", F.explode("ranked").alias("h")).select("track", "segment", "h.family", "h.score")
+    return B.rounded(P.object_windows(exact.unionByName(broad), broad, V.PRIOR_OF, E.PRIOR_LEAST), 5)
+
+
+@query(B.with_sql("ser", MATCH_SQL + f""", bm_ AS (SELECT track, family, segment FROM mt QUALIFY row_number() OVER (PARTITION BY track, family ORDER BY round(match, 9) DESC, segment) <= {P.MOST_MATCHES})
+    SELECT m.track, m.family, bf.family AS prior_family, count(*) AS windows FROM bm_ m JOIN bf ON bf.track = m.track AND bf.segment = m.segment AND bf.rank <= 4 GROUP BY m.track, m.family, bf.family"""))
+def g17_match_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G-17: in how many of its best windows a candidate family meets each family of priors."""
+    found = ranked(spark, sf_dir)
+    broad = stored(P.broad_families(found))
+    best = P.best_matches(P.matches(found, broad)).select("track", "family", "segment")
+    return best.join(broad.where("rank <= 4").select("track", "segment", F.col("family").alias("prior_family")), ["track", "segment"]).groupBy("track", "family", "prior_family").agg(F.count("*").alias("windows"))
