@@ -389,6 +389,8 @@ def test_language_model(spark, docs):
 def test_language_model_cuts_no_node(docs):
     """However few strings are sent to all tasks, the scores are those of the whole tree."""
     whole = {r["doc_id"]: r["score"] for r in ctw.score(docs).collect()}
+    for r in ctw.score(docs, split=300).collect():  # frequent pairs of context bytes in groups of three
+        assert r["score"] == pytest.approx(whole[r["doc_id"]], rel=1e-9)
     for r in ctw.score(docs, max_grams=2000, max_words=200).collect():
         assert r["score"] == pytest.approx(whole[r["doc_id"]], rel=1e-9)
 

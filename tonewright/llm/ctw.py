@@ -12,7 +12,7 @@ bytes it is a code length.
 Spark counts byte strings of depth + 1 in all texts, and how many of each are in training
 texts: each task reduces its texts to distinct strings with counts before the shuffle. The
 tree is built in groups that share the two bytes next to the predicted one, of which there
-are 65,536 at most; only the topmost levels, of proven size, are combined elsewhere and
+are 65,536 at most, and three where two are frequent; only the topmost levels, of proven size, are combined elsewhere and
 sent to all groups. No node is left out: each group scores its own strings with its whole
 part of the tree, which gives a table of log probabilities with a row for each different
 string of the corpus. The `max_grams` most frequent strings go to all tasks as a cache; the
@@ -49,6 +49,8 @@ END = b"\xff"  # never in UTF-8
 SLICE = 2 << 20
 #: Frequent byte strings whose log probabilities are sent to all tasks, at 16 bytes each; others are joined.
 MAX_GRAMS = 4_000_000
+#: Byte strings of a pair of context bytes from which its group is split by a third byte.
+SPLIT = 200_000
 #: Scores of strings that a worker keeps from batch to batch.
 REMEMBERED = 3_000_000
 
@@ -243,21 +245,28 @@ def _counts(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.Record
             yield out(kind)
 
 
+def _shared(group: int) -> int:
+    """How many context bytes the strings of a group share."""
+    return 3 if group >> 24 else 2
+
+
 def _sums(table: pa.Table, depth: int) -> pa.Table:
-    """Of the byte strings that share two context bytes: what they add to the nodes of depth 1."""
+    """Of the byte strings that share two (three) context bytes: what they add to the nodes of depth 1 (2)."""
+    shared = _shared(table["g"][0].as_py())
     keys, counts = summed(np.asarray(table["key"]), np.asarray(table["n"]))
-    _, node, n0, n1, _, log = tree(keys, counts, depth, 2)[-1]
-    order = np.argsort(up := parent(node, 2), kind="stable")
+    _, node, n0, n1, _, log = tree(keys, counts, depth, shared)[-1]
+    order = np.argsort(up := parent(node, shared), kind="stable")
     starts = np.flatnonzero(np.r_[True, up[order][1:] != up[order][:-1]])
-    return pa.table({"node": up[order][starts], **{k: np.add.reduceat(x[order], starts) for k, x in (("n0", n0), ("n1", n1), ("log", log))}})
+    return pa.table({"level": np.full(len(starts), shared - 1, np.int32), "node": up[order][starts], **{k: np.add.reduceat(x[order], starts) for k, x in (("n0", n0), ("n1", n1), ("log", log))}})
 
 
 def _logs(table: pa.Table, depth: int, top) -> pa.Table:
-    """Log10 probabilities of the byte strings that share two context bytes, by the whole tree below those bytes and the top."""
+    """Log10 probabilities of the byte strings of a group, by the whole tree below the bytes that they share and the levels above."""
     keys, n, m = (np.asarray(table[c]) for c in ("key", "n", "m"))
-    levels = list(top.value)
+    shared = _shared(table["g"][0].as_py())
+    levels = list(top.value[:shared])
     if (n > 0).any():
-        levels += [(node, (n1 + 0.5) / (n0 + n1 + 1), share) for _, node, n0, n1, share, _ in tree(*summed(keys[n > 0], n[n > 0]), depth, 2)[::-1]]
+        levels += [(node, (n1 + 0.5) / (n0 + n1 + 1), share) for _, node, n0, n1, share, _ in tree(*summed(keys[n > 0], n[n > 0]), depth, shared)[::-1]]
     model = ContextTree(len(levels) - 1, *[[x[i] for x in levels] for i in range(3)])
     return pa.table({"key": keys, "m": m, "log": model.log10(keys)})
 
@@ -272,25 +281,46 @@ def _threshold(sizes: DataFrame, times: str, bound: int) -> int:
     return 1
 
 
+def _added(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """(node, n0, n1, log) of several parts, summed by node."""
+    node, *values = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(node, kind="stable")
+    starts = np.flatnonzero(np.r_[True, node[order][1:] != node[order][:-1]]) if len(node) else np.empty(0, np.int64)
+    return node[order][starts], *[np.add.reduceat(x[order], starts) if len(starts) else x for x in values]
+
+
 def fit_top(grams: DataFrame, depth: int = DEPTH) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(nodes, estimates of a 1, own shares) of depths 0 and 1, from counts (g, key, n) of byte strings of depth + 1."""
-    sums = grams.where("n > 0").groupBy("g").applyInArrow(lambda t: _sums(t, depth), "node long, n0 long, n1 long, log double")
-    top = sums.groupBy("node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("log").alias("log")).orderBy("node").toArrow()  # 256 * 255 rows at most
-    out = []
-    node, n0, n1, log = (np.asarray(top[c]) for c in ("node", "n0", "n1", "log"))
-    for _ in (1, 0):
+    """(nodes, estimates of a 1, own shares) of depths 0, 1 and, for the pairs of bytes that are split, 2, from counts (g, key, n) of byte strings of depth + 1."""
+    sums = grams.where("n > 0").groupBy("g").applyInArrow(lambda t: _sums(t, depth), "level int, node long, n0 long, n1 long, log double")
+    # 256 * 255 rows of level 1 at most, and 255 of level 2 for each pair that is split, of which there are fewer than strings / SPLIT
+    top = sums.groupBy("level", "node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("log").alias("log")).toArrow()
+    level = np.asarray(top["level"])
+    held = {d: tuple(np.asarray(top[c])[level == d] for c in ("node", "n0", "n1", "log")) for d in (1, 2)}
+    out, more = [], held[2]
+    for d in (2, 1, 0):
+        node, n0, n1, log = _added([more])
         total, share = weighted(node, n0, n1, (node, log))
         out.append((node, (n1 + 0.5) / (n0 + n1 + 1), share))
-        up = parent(node, 1)
-        order = np.argsort(up, kind="stable")
-        starts = np.flatnonzero(np.r_[True, up[order][1:] != up[order][:-1]]) if len(up) else np.empty(0, np.int64)
-        node, n0, n1, log = [up[order][starts], *[np.add.reduceat(x[order], starts) if len(starts) else x for x in (n0, n1, total)]]
+        if d:
+            above = (parent(node, d), n0, n1, total)
+            more = _added([above, held[1]]) if d == 2 else above
     return out[::-1]
 
 
-def gram_logs(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(key, m, log) of each byte string of (key, n, m): its log10 probability by the whole tree of the strings that have n."""
-    grams = grams.withColumn("g", F.shiftright("key", 8).bitwiseAND(F.lit(65535)).cast("int"))
+def gram_logs(grams: DataFrame, depth: int = DEPTH, split: int = SPLIT) -> DataFrame:
+    """(key, m, log) of each byte string of (key, n, m): its log10 probability by the whole tree of the strings that have n.
+
+    A group holds the strings that share two context bytes; those of a pair with more than `split` strings share three.
+    """
+    grams = grams.withColumn("_pair", F.shiftright("key", 8).bitwiseAND(F.lit(65535)).cast("int"))
+    if depth > 2:
+        hot = grams.groupBy("_pair").agg(F.count("*").alias("_rows")).where(F.col("_rows") > split).select("_pair", F.lit(True).alias("_hot"))  # 65,536 rows at most
+        grams = grams.join(F.broadcast(hot), "_pair", "left")
+        three = F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFFFF)).cast("int").bitwiseOR(F.lit(1 << 24))
+        grams = grams.withColumn("g", F.when(F.col("_hot"), three).otherwise(F.col("_pair"))).drop("_hot")
+    else:
+        grams = grams.withColumn("g", F.col("_pair"))
+    grams = grams.drop("_pair")
     top = grams.sparkSession.sparkContext.broadcast(fit_top(grams, depth))
     return checkpointed(grams.groupBy("g").applyInArrow(lambda t: _logs(t, depth, top), "key long, m long, log double"))
 
@@ -360,7 +390,7 @@ def _scored(batches: Iterator[pa.RecordBatch], depth: int, grams, words) -> Iter
         row += n
 
 
-def score(df: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, max_grams: int = MAX_GRAMS, max_words: int = MAX_WORDS) -> DataFrame:
+def score(df: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, max_grams: int = MAX_GRAMS, max_words: int = MAX_WORDS, split: int = SPLIT) -> DataFrame:
     """One row for each row of df: id, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte; learns from rows where `learn` holds."""
     from pyspark.sql import types as T
 
@@ -375,7 +405,7 @@ def score(df: DataFrame, learn: Column | None = None, id_col: str = "doc_id", te
     often = vocabulary.where(F.col("c") >= least).toArrow()
     order = np.argsort(np.asarray(often["h"]), kind="stable")
     words = WordModel(np.asarray(often["h"])[order], np.asarray(often["c"])[order], totals["tokens"] or 0, totals["distinct"])
-    logs = gram_logs(counts.where("kind = 1").select("key", "n", "m"), depth)
+    logs = gram_logs(counts.where("kind = 1").select("key", "n", "m"), depth, split)
     least_m = _threshold(logs.select(F.col("m").alias("n"), F.lit(1).alias("times")), "times", max_grams)
     often = logs.where(F.col("m") >= least_m).select("key", "log").toArrow()  # max_grams rows at most
     order = np.argsort(np.asarray(often["key"]), kind="stable")
