@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import gc
 import uuid
 from collections.abc import Iterable, Iterator
@@ -100,7 +101,14 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, salt: Column) -> Da
     return dealt.join(right.withColumn("_salt", F.explode(parts)), [key, "_salt"]).drop("_salt")
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def give_back() -> None:
+    """Give memory that is free, but still held for this process, back to the machine: workers live on from task to task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each holds about `limit` bytes of the text column, or one row."""
     for batch in batches:
         if batch.num_rows == 0:
@@ -111,6 +119,8 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 8 << 20) -
         starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
         for a, b in zip(starts, np.r_[starts[1:], batch.num_rows], strict=True):
             yield batch.slice(int(a), int(b - a))
+        del batch, column, lengths, block, starts
+    give_back()
 
 
 def texts_of(batch: pa.RecordBatch, text: str) -> list[str]:
