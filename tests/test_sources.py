@@ -121,3 +121,33 @@ def test_streams_agree_with_batch(spark, small, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("select count(*) from contrast").first()[0] == events.count()
+
+
+def test_calibration_profiles_and_optional_packets(spark, tmp_path):
+    profile = {
+        "segment_overrides": {"segment_01": {"dominant_object": " voice ", "texture_keywords": ["a", " ", "b"]}, "segment_02": {"human_note": ""}, "segment_03": "text"},
+        "segment_fallback_notes": {"segment_01": {"important_hearing": "low"}},
+        "macro_sections": [{"start_seconds": 0, "end_seconds": "10.5", "focus": "f", "keywords": ["x", "y"]}, {"start_seconds": "soon", "end_seconds": 3}, {"end_seconds": 4, "note": "n"}],
+        "section_aliases": {"verse_like": ["V", "W"], "intro_like": " I ", "empty": "", "none": []},
+    }
+    (tmp_path / "p.json").write_text(json.dumps(profile), encoding="utf-8")
+    packets = readers.read_optional(spark, str(tmp_path / "p.json"))
+    got = {r["segment_id"]: tuple(r)[2:] for r in readers.calibration(packets, "segment_overrides").collect()}
+    assert got == {"segment_01": ("voice", None, "a, b", None), "segment_02": (None,) * 4, "segment_03": (None,) * 4}
+    assert [tuple(r)[1:] for r in readers.calibration(packets, "segment_fallback_notes").collect()] == [("segment_01", None, "low", None, None)]
+    assert sorted(tuple(r)[1:] for r in readers.macro_sections(packets).collect()) == [(0, 0.0, 10.5, "f", None, "x, y"), (2, 0.0, 4.0, None, "n", None)]
+    assert {r["label"]: r["alias"] for r in readers.section_aliases(packets).collect()} == {"verse_like": "V", "intro_like": "I"}
+    missing = readers.read_optional(spark, str(tmp_path / "no such folder"))
+    assert missing.count() == 0 and readers.calibration(missing, "segment_overrides").count() == 0 and readers.macro_sections(missing).count() == 0
+
+
+def test_context_files_and_lyric_anchors(spark, tmp_path):
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / "a.json").write_text('{"b": [1, 2]}', encoding="utf-8")
+    (tmp_path / "c" / "b.txt").write_text("\n  " + "x" * 30 + " \n", encoding="utf-8")
+    got = {r["path"].rsplit("/", 1)[1]: (r["kind"], r["body"], r["shortened"]) for r in readers.context_files(spark, str(tmp_path / "c"), 25).collect()}
+    assert got == {"a.json": ("json", '{"b":[1,2]}', False), "b.txt": ("text", "x" * 25, True)}
+    (tmp_path / "l.json").write_text(json.dumps({"lines": [{"from": 1, "to": 2.5, "line_id": "L1", "text": "secret"}, 3], "events": [{"time_range": [4, 5], "role": "hook"}, {"label": " "}]}), encoding="utf-8")
+    out = readers.lyric_anchors(readers.read_packets(spark, str(tmp_path / "l.json")))
+    assert sorted((tuple(r)[1:] for r in out.collect()), key=str) == [(1.0, 2.5, "L1", "lyric timing anchor"), (4.0, 5.0, "lyric_anchor", "hook"), (None, None, "lyric_anchor", "lyric timing anchor")]
+    assert "secret" not in str(out.collect())

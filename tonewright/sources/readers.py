@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,6 +94,89 @@ def read_packets(spark: SparkSession, path: str) -> DataFrame:
     return text.withColumn("packet", packet).where(F.schema_of_variant("packet").startswith("OBJECT")).select("path", "packet")
 
 
+def read_optional(spark: SparkSession, path: str) -> DataFrame:
+    """read_packets(), or no rows where nothing is at the path."""
+    try:
+        return read_packets(spark, path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "path string, packet variant")
+
+
+#: What a calibration profile says of a segment, and of a stretch of a track.
+CALIBRATED = ("dominant_object", "important_hearing", "texture_keywords", "human_note")
+
+
+def _words(value: Column) -> Column:
+    """A text, or a list's texts joined by commas; blank ones are left out."""
+    items = F.try_variant_get(value, "$", "array<string>")
+    joined = F.array_join(F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x != ""), ", ")
+    return F.nullif(F.coalesce(joined, F.trim(F.try_variant_get(value, "$", "string"))), F.lit(""))
+
+
+def calibration(packets: DataFrame, level: str) -> DataFrame:
+    """(path, segment_id, fields of CALIBRATED) of a calibration profile's `segment_overrides` or `segment_fallback_notes`; missing ones hold nothing."""
+    held = F.coalesce(F.try_variant_get("packet", f"$.{level}", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
+    rows = packets.select("path", F.explode(held).alias("segment_id", "_v"))
+    return rows.select("path", "segment_id", *[_words(F.try_variant_get("_v", f"$.{f}", "variant")).alias(f) for f in CALIBRATED])
+
+
+def macro_sections(packets: DataFrame) -> DataFrame:
+    """(path, place, from_s, to_s, dominant_object, important_hearing, texture_keywords) of a profile's stretches; those without both times that are numbers are left out."""
+    rows = packets.select("path", F.posexplode(F.try_variant_get("packet", "$.macro_sections", "array<variant>")).alias("place", "_v"))
+    time = lambda k: F.coalesce(F.try_variant_get("_v", f"$.{k}", "double"), F.when(F.try_variant_get("_v", f"$.{k}", "variant").isNull(), 0.0))
+    names = {"dominant_object": "focus", "important_hearing": "note", "texture_keywords": "keywords"}
+    out = rows.select("path", "place", time("start_seconds").alias("from_s"), time("end_seconds").alias("to_s"), *[_words(F.try_variant_get("_v", f"$.{k}", "variant")).alias(n) for n, k in names.items()])
+    return out.where("from_s IS NOT NULL AND to_s IS NOT NULL")
+
+
+def section_aliases(packets: DataFrame) -> DataFrame:
+    """(path, label, alias): the first of a label's aliases that is told."""
+    held = F.coalesce(F.try_variant_get("packet", "$.section_aliases", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
+    rows = packets.select("path", F.explode(held).alias("label", "_v"))
+    own = F.when(F.schema_of_variant("_v") == "STRING", F.trim(F.try_variant_get("_v", "$", "string")))
+    alias = F.coalesce(F.try_element_at(F.try_variant_get("_v", "$", "array<string>"), F.lit(1)), own)
+    return rows.select("path", "label", F.nullif(alias, F.lit("")).alias("alias")).where("alias IS NOT NULL")
+
+
+#: Characters of a context file that are shown.
+MOST_CONTEXT = 20_000
+
+
+def context_files(spark: SparkSession, path: str, most: int = MOST_CONTEXT) -> DataFrame:
+    """(path, kind, body, shortened): whole files as JSON or text, the first `most` characters for readers."""
+    text = _whole(spark, path)
+    packet = F.try_parse_json("value")
+    kind = F.when(packet.isNotNull(), "json").otherwise("text")
+    body = F.when(packet.isNotNull(), F.to_json(packet)).otherwise(F.trim("value", F.lit(" \t\n\r\x0b\x0c")))
+    return text.select("path", kind.alias("kind"), body.alias("_b")).select("path", "kind", F.substring("_b", 1, most).alias("body"), (F.length("_b") > most).alias("shortened"))
+
+
+#: Lists of a lyric alignment, and what its anchors may be called by.
+ALIGNMENT_LISTS = ("anchors", "alignment", "lines", "segments", "events")
+
+
+def lyric_anchors(packets: DataFrame) -> DataFrame:
+    """(path, start_s, end_s, label, function) of alignments; the words themselves are never read."""
+    parts = None
+    for name in ALIGNMENT_LISTS:
+        items = packets.select("path", F.explode(F.try_variant_get("packet", f"$.{name}", "array<variant>")).alias("_v"))
+        parts = items if parts is None else parts.unionByName(items)
+    parts = parts.where(F.schema_of_variant("_v").startswith("OBJECT"))
+    v, pair = F.col("_v"), F.try_variant_get("_v", "$.time_range", "array<double>")
+    start, end = first_field(v, ("start_seconds", "start", "from"), "double"), first_field(v, ("end_seconds", "end", "to"), "double")
+    told = lambda *keys: F.coalesce(*[F.nullif(F.trim(F.try_variant_get(v, f"$.{k}", "string")), F.lit("")) for k in keys])
+    none = start.isNull() & end.isNull()
+    return parts.select(
+        "path",
+        F.when(none, F.try_element_at(pair, F.lit(1))).otherwise(start).alias("start_s"),
+        F.when(none, F.try_element_at(pair, F.lit(2))).otherwise(end).alias("end_s"),
+        F.coalesce(told("label", "line_id", "section"), F.lit("lyric_anchor")).alias("label"),
+        F.coalesce(told("function", "role"), F.lit("lyric timing anchor")).alias("function"),
+    )
+
+
 def first_field(packet: Column, keys: tuple[str, ...], kind: str) -> Column:
     """The first of several alias keys that is there and casts."""
     return F.coalesce(*[F.try_variant_get(packet, f"$.{k}", kind) for k in keys])
