@@ -166,6 +166,74 @@ def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", *[F.coalesce(c, none.get(c, F.lit(0).cast("long"))).alias(c) for c in found.columns if c != "_conv"])
 
 
+def _op13_sql() -> str:
+    """Damage by CRC-32 over lists, the cheapest edits by recursion over a conversation's rows with the best (cost, audit) of each state, and the text that they give."""
+    plus = lambda x, cost, edit: f"{{'c': {x}.c + {cost}, 'a': {x}.a || '{edit}'}}"
+    least = lambda *x: f"list_min([{', '.join(x)}])"
+    start, system, user, assistant = (f"v[{i}]" for i in (1, 2, 3, 4))
+    put_user = least(user, *[plus(x, 2, "I") for x in (start, system, assistant)])
+    put_assistant = least(assistant, plus(user, 2, "I"), *[plus(x, 4, "II") for x in (start, system)])
+    after_user = [(x, e) for x in ("w[1]", "w[2]", "w[4]") for e in ("K", "R")]
+    when = lambda test, made: f"CASE WHEN {test} THEN {made} ELSE {{'c': 1000000000, 'a': ''}} END"
+    stays, more = "fault NOT IN ('b', 'd')", "CASE WHEN fault = 't' THEN 1 ELSE 0 END"
+    keep = lambda x, role: when(f"{stays} AND initial = '{role}'", plus(x, f"({more})", "K"))
+    rerole = lambda x: when(stays, plus(x, f"({more}) + 2", "R"))
+    steps = [
+        plus("w[1]", 3, "D"),
+        least(plus("w[2]", 3, "D"), keep("w[1]", "s")),
+        least(plus("w[3]", 3, "D"), *[keep(x, "u") if e == "K" else rerole(x) for x, e in after_user]),
+        least(plus("w[4]", 3, "D"), keep("w[3]", "a"), rerole("w[3]")),
+    ]
+    blanks = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    at = "CASE WHEN ({} - CASE WHEN first_s THEN 1 ELSE 0 END) % 2 = 1 THEN 'user' ELSE 'assistant' END"
+    return f"""
+WITH RECURSIVE tb AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384::BIGINT, c >> 1) ELSE c >> 1 END, n)) AS tb),
+ks AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+           xor(list_reduce(list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ascii(x) AS BIGINT)), lambda c, b: xor(c >> 8, tb[CAST((xor(c, b) & 255) + 1 AS BIGINT)]), 4294967295::BIGINT), 4294967295::BIGINT) % 20 AS kind
+    FROM conversations, tb
+), dm AS (
+    SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+    FROM ks, range(2) t(copy) WHERE kind <> 0 AND (copy = 0 OR kind = 3)
+), nm AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS nth, rtrim(text, {blanks}) AS solid FROM dm
+), rw AS (
+    SELECT *, CASE WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE 'o' END AS initial,
+           CASE WHEN solid = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY nth) > 1 THEN 'd' WHEN right(solid, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '-' END AS fault
+    FROM nm
+), dp AS (
+    SELECT DISTINCT conv_id, 0::BIGINT AS i, [{{'c': 0::BIGINT, 'a': ''}}, {{'c': 1000000000::BIGINT, 'a': ''}}, {{'c': 1000000000::BIGINT, 'a': ''}}, {{'c': 1000000000::BIGINT, 'a': ''}}] AS v FROM rw
+    UNION ALL
+    SELECT conv_id, i + 1, [{", ".join(steps)}] FROM (
+        SELECT dp.conv_id, i, initial, fault, [{start}, {system}, {put_user}, {put_assistant}] AS w FROM dp JOIN rw ON rw.conv_id IS NOT DISTINCT FROM dp.conv_id AND rw.nth = dp.i)
+), en AS (
+    SELECT conv_id, {least(start, put_assistant)} AS best FROM dp QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1
+), ed AS (
+    SELECT conv_id, best.c AS cost, best.a AS audit, regexp_extract_all(best.a, 'I*[KRD]') AS parts, regexp_extract(best.a, 'I*$') AS tail FROM en
+), ot AS (
+    SELECT rw.*, parts[nth + 1] AS part, length(parts[nth + 1]) - 1 AS puts, right(parts[nth + 1], 1) AS edit FROM rw JOIN ed ON ed.conv_id IS NOT DISTINCT FROM rw.conv_id
+), ps AS (
+    SELECT *, coalesce(sum(puts + CASE WHEN edit = 'D' THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done FROM ot
+), fs AS (
+    SELECT conv_id, bool_or(done = 0 AND puts = 0 AND edit = 'K' AND initial = 's') AS first_s, sum(puts + CASE WHEN edit = 'D' THEN 0 ELSE 1 END) AS total FROM ps GROUP BY conv_id
+), ln AS (
+    SELECT ps.conv_id, nth AS k, j, {at.format("done + j")} || ':' AS line FROM ps JOIN fs ON fs.conv_id IS NOT DISTINCT FROM ps.conv_id, range(1, 3) r(j) WHERE j <= puts
+    UNION ALL SELECT ps.conv_id, nth, 9, CASE WHEN edit = 'K' THEN role ELSE {at.format("done + puts + 1")} END || ':' || text FROM ps JOIN fs ON fs.conv_id IS NOT DISTINCT FROM ps.conv_id WHERE edit IN ('K', 'R')
+    UNION ALL SELECT ed.conv_id, 1000000000, j, {at.format("total + j")} || ':' FROM ed JOIN fs ON fs.conv_id IS NOT DISTINCT FROM ed.conv_id, range(1, 3) r(j) WHERE j <= length(tail)
+), tx AS (
+    SELECT conv_id, sha256(string_agg(line, chr(10) ORDER BY k, j)) AS digest FROM ln GROUP BY conv_id
+), st AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (wrong) AS illegal
+    FROM (SELECT *, lag(initial) OVER (PARTITION BY conv_id ORDER BY nth) || initial NOT IN ('su', 'ua', 'au') AS wrong FROM rw) GROUP BY conv_id
+)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, coalesce(digest, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN st ON st.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN ed ON ed.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN tx ON tx.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+
+OP13_SQL = _op13_sql()
+
+
 QUERIES: dict[str, Query] = {
     "op1_html_text": op1_html_text,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -186,4 +254,5 @@ ORACLES: dict[str, str] = {
     "op4_exact_dedup": OP4_SQL,
     "op11_hard_negatives": OP11_SQL,
     "op12_chat_windows": OP12_SQL,
+    "op13_turn_repair": OP13_SQL,
 }
