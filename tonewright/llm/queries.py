@@ -234,6 +234,43 @@ FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN st ON st.conv_id I
 OP13_SQL = _op13_sql()
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP2_SQL = rf"""
+WITH RECURSIVE wd AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+st AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END)) AS s FROM wd),
+cl AS (SELECT s, min(doc_id) AS c, len(s) AS n FROM st GROUP BY s),
+sh AS (SELECT c, n, unnest(s) AS g FROM cl),
+pr AS (SELECT a.c AS a, b.c AS b, a.n AS na, b.n AS nb, count(*) AS met FROM sh a JOIN sh b ON a.g = b.g AND a.c < b.c AND 10 * a.n >= 9 * b.n AND 10 * b.n >= 9 * a.n GROUP BY a.c, b.c, a.n, b.n),
+lk AS (SELECT a, b FROM pr WHERE 100 * met >= 90 * (na + nb - met)),
+bi AS (SELECT a, b FROM lk UNION ALL SELECT b, a FROM lk),
+rc AS (SELECT c AS a, c AS b FROM cl WHERE n > 0 UNION SELECT rc.a, bi.b FROM rc JOIN bi ON bi.a = rc.b),
+mn AS (SELECT a, min(b) AS component FROM rc GROUP BY a)
+SELECT st.doc_id, CAST(len(st.s) AS BIGINT) AS n_shingles, CASE WHEN len(st.s) = 0 THEN st.doc_id ELSE component END AS component_id
+FROM st JOIN cl ON cl.s = st.s LEFT JOIN mn ON mn.a = cl.c
+"""
+OP8_SQL = rf"""
+WITH dw AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+iw AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+iv AS (SELECT DISTINCT coalesce(CAST(item_id AS VARCHAR), '') AS item, least(10, len(w)) AS n, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS g FROM iw, range(1, 100000) r(i) WHERE len(w) > 0 AND i <= len(w) - least(10, len(w)) + 1),
+ns AS (SELECT DISTINCT n FROM iv),
+dv AS (SELECT doc_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: {{'i': i, 'g': array_to_string(w[i:i + n - 1], ' ')}})) AS x FROM dw, ns WHERE len(w) >= n),
+hi AS (SELECT doc_id, dv.n AS n, x.i AS i, item FROM dv JOIN iv ON iv.n = dv.n AND iv.g = dv.x.g),
+cv AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hi) GROUP BY doc_id),
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hi) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM dw LEFT JOIN cv USING (doc_id) LEFT JOIN it USING (doc_id)
+"""
+OP9_SQL = """
+WITH hx AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+ps AS (SELECT doc_id, i, substr(h, 2 * i + 1, 200) AS g FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 99)) AS i FROM hx WHERE len(h) >= 200)),
+ag AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY hash(g), g ORDER BY doc_id, i) AS k FROM ps) WHERE k > 1),
+ru AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS z FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 100 THEN 0 ELSE 1 END AS new FROM ag)) GROUP BY doc_id, run),
+sp AS (SELECT doc_id, count(*) AS n_spans, sum(z - a)::BIGINT AS n_removed, list(a ORDER BY a) AS s, list(z ORDER BY a) AS e FROM ru GROUP BY doc_id)
+SELECT hx.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(CASE WHEN s IS NULL THEN h ELSE array_to_string(list_transform(range(0, len(s) + 1), lambda k: substr(h, CAST(2 * CASE WHEN k = 0 THEN 0 ELSE e[k] END + 1 AS BIGINT), CAST(2 * (CASE WHEN k = len(s) THEN len(h) // 2 ELSE s[k + 1] END - CASE WHEN k = 0 THEN 0 ELSE e[k] END) AS BIGINT))), '') END)) AS kept_sha256
+FROM hx LEFT JOIN sp USING (doc_id)
+"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_html_text": op1_html_text,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -251,7 +288,10 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_ngram_jaccard_join": OP2_SQL,
     "op4_exact_dedup": OP4_SQL,
+    "op8_decontamination": OP8_SQL,
+    "op9_suffix_array_dedup": OP9_SQL,
     "op11_hard_negatives": OP11_SQL,
     "op12_chat_windows": OP12_SQL,
     "op13_turn_repair": OP13_SQL,
