@@ -61,14 +61,14 @@ def _display_sql(value: str) -> str:
 @query(B.with_sql("s", MATRIX_SQL + _display_sql("mid") + "SELECT track, CAST(frame_idx AS INTEGER) AS frame_idx, CAST(channel AS INTEGER) AS channel, round(shown, 5) AS shown FROM shown"))
 def a30_display_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A-30: the middle channel's envelopes as a display shows them, against quantiles of their band and of their track."""
-    return A.display(matrix(spark, sf_dir), "mid").select("track", "frame_idx", "channel", F.round("shown", 5).alias("shown"))
+    return A.display(stored(matrix(spark, sf_dir)), "mid").select("track", "frame_idx", "channel", F.round("shown", 5).alias("shown"))
 
 
 @query(B.with_sql("s", MATRIX_SQL + _display_sql("side") + f""", sm AS (SELECT track, channel, t, min(t) OVER (PARTITION BY track) AS t0, sum(shown) OVER (PARTITION BY track, channel ORDER BY frame_idx ROWS BETWEEN {SMOOTH // 2} PRECEDING AND {(SMOOTH - 1) // 2} FOLLOWING) / {SMOOTH} AS x FROM shown)
     SELECT track, CAST(channel AS INTEGER) AS channel, bin, round(any_value(t0) + (bin + 0.5) * {BIN}, 6) AS t, round(avg(x), 5) AS level FROM (SELECT *, CAST(floor(round((t - t0) / {BIN}, 9)) AS INTEGER) AS bin FROM sm) GROUP BY track, channel, bin"""))
 def a30_display_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A-30: the side's display, smoothed in time and averaged over half seconds."""
-    df = A.display_bins(A.display(matrix(spark, sf_dir), "side"), SMOOTH, BIN)
+    df = A.display_bins(A.display(stored(matrix(spark, sf_dir)), "side"), SMOOTH, BIN)
     return df.select("track", "channel", "bin", F.round("t", 6).alias("t"), F.round("level", 5).alias("level"))
 
 
@@ -91,7 +91,8 @@ WINDOW_SQL = f"""{MATRIX_SQL}, lg AS (SELECT *, ln(1 + greatest(mid, 0)) AS xm,
 
 def rolling_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Aggregates, ratios and lane support of each rolling window."""
-    return S.applied(A.pane_windows(A.curves(A.levels(matrix(spark, sf_dir))), PANES, PANE), [A.RATIOS, A.SUPPORT])
+    curve = stored(A.curves(A.levels(stored(matrix(spark, sf_dir)))))  # each is read several times
+    return S.applied(A.pane_windows(curve, PANES, PANE), [A.RATIOS, A.SUPPORT])
 
 
 _METRICS = [*A.MEANS, *A.HIGHEST, *A.RATIOS]
@@ -208,7 +209,7 @@ FIELD_SQL = WINDOW_SQL + f""", fd AS (SELECT *, {_FIELDS} FROM (SELECT *, {_RATI
 @query(B.with_sql("s", FIELD_SQL + " UNION ALL ".join(f"SELECT track, '{b}' AS band, round(avg(ratio_{b}), 5) AS mean_ratio, round(max(ratio_{b}), 5) AS max_ratio, round(avg(sum_{b}), 5) AS mean_total FROM fd GROUP BY track" for b in A.BROAD)))
 def a33_band_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A-33: the side's share in four broad bands of each track."""
-    return B.rounded(A.band_ratios(A.fields(A.curves(A.levels(matrix(spark, sf_dir))))), 5)
+    return B.rounded(A.band_ratios(A.fields(A.curves(A.levels(stored(matrix(spark, sf_dir)))))), 5)
 
 
 @query(B.with_sql("s", FIELD_SQL + f""", ri AS (SELECT track, list, place, kind, min(t) AS start_s, max(t) AS end_s, avg(activity) AS mean, max(activity) AS highest
@@ -216,7 +217,7 @@ def a33_band_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT track, list, CAST(row_number() OVER o AS INTEGER) AS rank, kind, round(start_s, 6) AS start_s, round(end_s, 6) AS end_s, round(mean, 5) AS mean, round(highest, 5) AS highest FROM ri WINDOW o AS (PARTITION BY track, list ORDER BY place, start_s) QUALIFY row_number() OVER o <= {A.MOST_REGIONS}"""))
 def a33_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A-33, H-36: where bands of the middle and the side sustain or rise, and where the field is wide or centred; ten of each list."""
-    df = A.regions(A.activities(stored(A.fields(A.curves(A.levels(matrix(spark, sf_dir)))))))
+    df = A.regions(A.activities(stored(A.fields(A.curves(A.levels(stored(matrix(spark, sf_dir))))))))
     return df.select("track", "list", "rank", "kind", F.round("start_s", 6).alias("start_s"), F.round("end_s", 6).alias("end_s"), F.round("mean", 5).alias("mean"), F.round("highest", 5).alias("highest"))
 
 
