@@ -480,7 +480,7 @@ def source_objects(tracks: DataFrame, kept: DataFrame, priors: DataFrame | None
     df = df.withColumns({"has_primary": F.col("primary_score").isNotNull(), "has_prior": F.col("prior_score").isNotNull() if priors is not None else F.lit(False), "needs_pitch": F.col("object").isin(*[o for o, (_, _, needs) in E.SOURCE_OBJECTS.items() if needs])})
     numbers = ["primary_score", "supporting_score", "prior_score", "behaviour_score", "performance_score"]
     df = df.withColumns({n: F.coalesce(n, scored) if n in df.columns else scored for n in numbers} | {n: F.coalesce(n, F.lit(False)) if n in df.columns else F.lit(False) for n in ("verified", "missing_pitch")})
-    df = S.applied(df, E.VISIBILITY)
+    df = stored(S.applied(df, E.VISIBILITY))
     other = df.select("track", F.col("object").alias("other"), F.greatest("primary_score", "prior_score").alias("theirs"))
     near = df.join(F.broadcast(spark.createDataFrame(RIVALS, "object string, other string")), "object").join(other, ["track", "other"]).where("theirs >= greatest(0.28, raw_score - 0.16)")
     best_first = F.slice(F.sort_array(F.collect_list(F.struct((-F.round("theirs", 9)).alias("k"), F.col("other"))))["other"], 1, 4)
