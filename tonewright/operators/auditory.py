@@ -94,11 +94,23 @@ def pane_windows(curve: DataFrame, length: int = 3, hop: float = 1.0) -> DataFra
     found = found.join(edges, "track").withColumn("start_s", F.col("segment") * F.lit(float(hop)))
     rest = max(LEAST_REST, min(length * hop, 1.0))
     found = found.where((F.col("start_s") < F.col("_end")) & ((F.col("segment") == 0) | (F.round(F.col("start_s") + rest - F.col("_end"), 9) <= 0)))
-    relative = {f"transient_{b}": F.when(F.col(f"_top_{b}") > EPS, F.col(f"transient_{b}") / F.col(f"_top_{b}")).otherwise(0.0) for b in RISING}
-    found = found.withColumns({"end_s": F.least(F.col("start_s") + length * hop, F.col("_end")), **relative})
+    found = found.withColumns({"end_s": F.least(F.col("start_s") + length * hop, F.col("_end")), **_relative()})
     return found.select("track", "segment", "start_s", "end_s", *MEANS, *HIGHEST)
 
 
+def _relative() -> dict[str, Column]:
+    """Transients against the highest rise of their track."""
+    return {f"transient_{b}": F.when(F.col(f"_top_{b}") > EPS, F.col(f"transient_{b}") / F.col(f"_top_{b}")).otherwise(0.0) for b in RISING}
+
+
+def segment_aggregates(curve: DataFrame, frames: int) -> DataFrame:
+    """The same 16 aggregates over each stretch of `frames` frames of a profile, the track's last one too."""
+    segment = F.floor(F.col("frame_idx") / frames).cast("int").alias("segment")
+    found = curve.groupBy("track", segment).agg(*[F.avg(c).alias(n) for n, c in MEANS.items()], *[F.max(c).alias(n) for n, c in HIGHEST.items()])
+    tops = found.groupBy("track").agg(*[F.max(f"transient_{b}").alias(f"_top_{b}") for b in RISING])
+    return found.join(tops, "track").withColumns(_relative()).select("track", "segment", *MEANS, *HIGHEST)
+
+
 def share(part: str, *others: str) -> str:
     return clamp(f"{part} / greatest({' + '.join([part, *others])}, 1e-12)")
 

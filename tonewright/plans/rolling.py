@@ -77,22 +77,27 @@ def a30_display_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LEVEL = lambda c: f"CASE WHEN q{c} > 1e-12 THEN least(x{c} / q{c}, 1) WHEN m{c} > 1e-12 THEN least(x{c} / m{c}, 1) ELSE 0 END AS {'mid' if c == 'm' else 'side'}"
 _BANDS = ", ".join(f"coalesce(avg({c}) FILTER (centre >= {low} AND centre < {high}), 0) AS {b}_{c}" for c in ("mid", "side") for b, (low, high) in A.BROAD.items())
 _SUMS = {"broadband": "total", **{b: S.clamp(f"{b}_mid + {b}_side") for b in ("low", "mid", "high")}}
-WINDOW_SQL = f"""{MATRIX_SQL}, lg AS (SELECT *, ln(1 + greatest(mid, 0)) AS xm, ln(1 + greatest(side, 0)) AS xs FROM mat),
+CURVE_SQL = f"""{MATRIX_SQL}, lg AS (SELECT *, ln(1 + greatest(mid, 0)) AS xm, ln(1 + greatest(side, 0)) AS xs FROM mat),
     lq AS (SELECT *, quantile_cont(xm, 0.98) OVER tr AS qm, max(xm) OVER tr AS mm, quantile_cont(xs, 0.98) OVER tr AS qs, max(xs) OVER tr AS ms FROM lg WINDOW tr AS (PARTITION BY track)),
     lv AS (SELECT track, frame_idx, t, channel, round(centre, 6) AS centre, {_LEVEL("m")}, {_LEVEL("s")} FROM lq),
     cv0 AS (SELECT track, frame_idx, t, {_BANDS}, avg(mid) AS all_mid, avg(side) AS all_side, {S.clamp("avg(mid) + avg(side)")} AS total FROM lv GROUP BY track, frame_idx, t),
     cv AS (SELECT *, {", ".join(f"greatest(coalesce({e} - lag({e}) OVER o, 0), 0) AS rise_{b}" for b, e in _SUMS.items())} FROM cv0 WINDOW o AS (PARTITION BY track ORDER BY frame_idx)),
-    ed AS (SELECT track, max(t) AS over, {", ".join(f"max(rise_{b}) AS top_{b}" for b in A.RISING)} FROM cv GROUP BY track),
+    ed AS (SELECT track, max(t) AS over, {", ".join(f"max(rise_{b}) AS top_{b}" for b in A.RISING)} FROM cv GROUP BY track)"""
+_AGGREGATED = ", ".join([f"avg({c}) AS {n}" for n, c in A.MEANS.items()] + [f"max({c})" + (f" / CASE WHEN any_value(top_{n[10:]}) > 1e-12 THEN any_value(top_{n[10:]}) ELSE 1e300 END" if n.startswith("transient_") else "") + f" AS {n}" for n, c in A.HIGHEST.items()])
+WINDOW_SQL = f"""{CURVE_SQL},
     wk AS (SELECT track, over, CAST(k AS INTEGER) AS segment, CAST(k AS DOUBLE) * {PANE} AS start_s, least(CAST(k AS DOUBLE) * {PANE} + {PANES * PANE}, over) AS end_s FROM ed, range(100000) r(k) WHERE k * {PANE} < over AND (k = 0 OR round(k * {PANE} + {max(A.LEAST_REST, min(PANES * PANE, 1.0))} - over, 9) <= 0)),
-    win0 AS (SELECT wk.track, segment, start_s, end_s, {", ".join(f"avg({c}) AS {n}" for n, c in A.MEANS.items())}, {", ".join(f"max({c})" + (f" / CASE WHEN any_value(top_{n[10:]}) > 1e-12 THEN any_value(top_{n[10:]}) ELSE 1e300 END" if n.startswith("transient_") else "") + f" AS {n}" for n, c in A.HIGHEST.items())}
+    win0 AS (SELECT wk.track, segment, start_s, end_s, {_AGGREGATED}
       FROM wk JOIN cv ON cv.track = wk.track AND round(t - start_s, 9) >= 0 AND round(t - end_s, 9) < 0 JOIN ed ON ed.track = wk.track GROUP BY wk.track, segment, start_s, end_s),
     win AS ({S.applied_sql([A.RATIOS, A.SUPPORT], "win0")})"""
 
 
+def stored_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(A.curves(A.levels(stored(matrix(spark, sf_dir)))))  # each is read several times
+
+
 def rolling_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Aggregates, ratios and lane support of each rolling window."""
-    curve = stored(A.curves(A.levels(stored(matrix(spark, sf_dir)))))  # each is read several times
-    return S.applied(A.pane_windows(curve, PANES, PANE), [A.RATIOS, A.SUPPORT])
+    return S.applied(A.pane_windows(stored_curves(spark, sf_dir), PANES, PANE), [A.RATIOS, A.SUPPORT])
 
 
 _METRICS = [*A.MEANS, *A.HIGHEST, *A.RATIOS]
@@ -119,6 +124,27 @@ def w11_rolling_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rolling_lanes(spark, sf_dir).select("track", "segment", "lane", *[F.round(c, 5).alias(c) for c in ("v", "relative", "entry", "leave", "score")], "active", "unsure")
 
 
+# Lanes of the profile beside auditory evidence of its segments
+
+PROFILE_SQL = f"""{CURVE_SQL}, au0 AS (SELECT track, CAST(floor(frame_idx / {B.SEGMENT_FRAMES}) AS INTEGER) AS segment, {_AGGREGATED} FROM cv JOIN ed USING (track) GROUP BY ALL),
+    au AS ({S.applied_sql([A.RATIOS, A.SUPPORT], "au0")}){V.blended_sql("au")}"""
+
+
+def profile_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lanes of each segment of the profile, whose scores take in the segment's auditory support."""
+    auditory = S.applied(A.segment_aggregates(stored_curves(spark, sf_dir), B.SEGMENT_FRAMES), [A.RATIOS, A.SUPPORT])
+    return V.lanes(V.scored(spark, sf_dir), auditory)
+
+
+_PARTS = ["v", "auditory", "relative", "entry", "leave", "score"]
+
+
+@query(V.on_scored(PROFILE_SQL + f"SELECT track, segment, lane, {V._r(*_PARTS)}, active, unsure FROM lane"))
+def x16_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X-16, J-10, F-10, H-28, H-29, W-11: lanes of each segment of the profile: its own score, auditory support, its own score against the track's, entry, exit, and the score of both."""
+    return B.rounded(V.contrasted(profile_lanes(spark, sf_dir)).select("track", "segment", "lane", *_PARTS, "active", "unsure"))
+
+
 _NEW = " + ".join(f"abs({c} - lag({c}) OVER o)" for c in A.SUPPORT)
 _SIGN = " || ".join(f"CASE WHEN {c} >= 0.5 THEN '1' ELSE '0' END" for c in A.SUPPORT)
 
