@@ -53,3 +53,14 @@ def test_lanes_of_all_segments_with_their_contrast(lanes):
                 assert (r["entry"], r["leave"]) == pytest.approx((max(0.0, r["v"] - before), max(0.0, before - r["v"])), abs=3e-6)
                 assert r["score"] == pytest.approx(0.68 * r["v"] + 0.32 * r["auditory"], abs=3e-6)
                 before = r["v"]
+
+
+def test_status_of_lanes_that_take_in_what_is_heard(spark, small, lanes):
+    """Support, coverage and status of each lane are those of its blended scores."""
+    got = {(r["track"], r["lane"]): r for r in rolling.QUERIES["g23_lanes"](spark, small).collect()}
+    assert set(got) == {(t, n) for t, _, n in lanes}
+    for (t, n), r in got.items():
+        scores = [x["score"] for k, x in lanes.items() if k[0] == t and k[2] == n]
+        share = fmean(x["active"] for k, x in lanes.items() if k[0] == t and k[2] == n)
+        assert (r["mean_support"], r["max_support"], r["coverage"]) == pytest.approx((fmean(scores), max(scores), share), abs=2e-6)
+        assert r["status"] == ("background_continuous_support" if share >= 0.85 else "tracked" if share > 0 else "not_stably_tracked")

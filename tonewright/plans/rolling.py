@@ -145,6 +145,12 @@ def x16_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.rounded(V.contrasted(profile_lanes(spark, sf_dir)).select("track", "segment", "lane", *_PARTS, "active", "unsure"))
 
 
+@query(V.on_scored(PROFILE_SQL + V.LANE_STATUS_SQL + f" SELECT track, lane, {V._r('mean_support', 'max_support', 'coverage')}, status FROM status"))
+def g23_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G-23, G-30: support, coverage and status of each lane of a track's profile beside auditory evidence."""
+    return B.rounded(V.lane_status(profile_lanes(spark, sf_dir)))
+
+
 _NEW = " + ".join(f"abs({c} - lag({c}) OVER o)" for c in A.SUPPORT)
 _SIGN = " || ".join(f"CASE WHEN {c} >= 0.5 THEN '1' ELSE '0' END" for c in A.SUPPORT)
 
