@@ -64,3 +64,19 @@ def test_status_of_lanes_that_take_in_what_is_heard(spark, small, lanes):
         share = fmean(x["active"] for k, x in lanes.items() if k[0] == t and k[2] == n)
         assert (r["mean_support"], r["max_support"], r["coverage"]) == pytest.approx((fmean(scores), max(scores), share), abs=2e-6)
         assert r["status"] == ("background_continuous_support" if share >= 0.85 else "tracked" if share > 0 else "not_stably_tracked")
+
+
+def test_states_of_lanes_that_take_in_what_is_heard(spark, small, lanes):
+    """Counts, best lanes, signature, mixedness and state of each segment follow from its blended scores."""
+    got = {(r["track"], r["segment"]): r for r in rolling.QUERIES["x18_states"](spark, small).collect()}
+    assert set(got) == {(t, s) for t, s, _ in lanes}
+    background = {(t, n) for t in {k[0] for k in lanes} for n in evidence.LANES if fmean(x["active"] for k, x in lanes.items() if k[0] == t and k[2] == n) >= 0.85}
+    for (t, s), r in got.items():
+        mine = [x for k, x in lanes.items() if k[:2] == (t, s)]
+        best = [x["lane"] for x in sorted((x for x in mine if x["active"]), key=lambda x: (-x["score"], x["lane"]))]
+        unsure = sum(x["unsure"] for x in mine)
+        mixed = min(len(best) / 4 + unsure / 8, 1.0)
+        state = "contrast_peak_zone" if len(best) >= 4 or mixed >= 0.86 else "mixed_arrangement_zone" if len(best) >= 2 or mixed >= 0.55 else "single_lane_focus" if best else "ambiguous_low_contrast_zone" if unsure else "reduced_arrangement_support"
+        assert (r["n_active"], r["n_unsure"], r["mixedness"], r["state"]) == (len(best), unsure, pytest.approx(mixed), state)
+        assert r["dominant"] == (",".join(best[:4]) or None)
+        assert r["signature"] == (",".join(sorted(n for n in best[:4] if (t, n) not in background)) or None)

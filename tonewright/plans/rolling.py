@@ -151,6 +151,13 @@ def g23_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.rounded(V.lane_status(profile_lanes(spark, sf_dir)))
 
 
+@query(V.on_scored(PROFILE_SQL + V.STATE_SQL + "SELECT track, segment, n_active, n_unsure, dominant, signature, round(mixedness, 6) AS mixedness, state FROM state"))
+def x18_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X-18, G-24, H-30: mixedness and state of the arrangement in each segment of the profile beside auditory evidence."""
+    rows = stored(profile_lanes(spark, sf_dir))
+    return B.rounded(V.states(rows, V.lane_status(rows)).drop("start_s", "end_s"))
+
+
 _NEW = " + ".join(f"abs({c} - lag({c}) OVER o)" for c in A.SUPPORT)
 _SIGN = " || ".join(f"CASE WHEN {c} >= 0.5 THEN '1' ELSE '0' END" for c in A.SUPPORT)
 
